@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sluice.llm import quality
+from sluice.llm import mixing, quality
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -64,11 +64,45 @@ verdicts AS (
   FROM base b LEFT JOIN covered c USING (rowid_) LEFT JOIN llr l USING (rowid_))
 """
 
+
+
+def raking(docs: str, prefix: str = "m") -> str:
+    """CTEs from rows (doc_id, source, lang, text) of `docs` to {prefix}_chances: doc_id, cell, tokens, probability, sampled."""
+    d, T = mixing.DIMENSIONS, mixing.TEMPER
+    out = f"""
+{prefix}_docs AS (
+  SELECT *, list_filter(string_split_regex(coalesce(text, ''), '{SPACE}'), lambda x: x <> '') AS ws FROM {docs}),
+{prefix}_rows AS (
+  SELECT doc_id, source, lang, greatest(len(ws), 1) AS tokens,
+         (('0x' || substr(md5(coalesce(list_max(list_transform(ws, lambda w: {{'n': length(w), 'word': w}})).word, '')), 1, 8))::BIGINT % {mixing.TOPICS})::INTEGER AS topic
+  FROM {prefix}_docs),
+{prefix}_cells AS (SELECT source, lang, topic, sum(tokens)::BIGINT AS tokens FROM {prefix}_rows GROUP BY ALL),
+{prefix}_w AS (SELECT *, {", ".join(f"pow(sum(tokens) OVER (PARTITION BY {x}), {T}) / count(*) OVER (PARTITION BY {x}) AS w_{x}" for x in d)} FROM {prefix}_cells),
+{prefix}_0 AS (SELECT source, lang, topic, tokens, tokens::DOUBLE AS fitted,
+  {", ".join(f"sum(w_{x}) OVER (PARTITION BY {x}) / (SELECT sum(w_{x}) FROM {prefix}_w) * (SELECT sum(tokens) FROM {prefix}_w) AS goal_{x}" for x in d)} FROM {prefix}_w)"""
+    step = 0
+    for _ in range(mixing.ROUNDS):
+        for x in d:
+            out += f""",
+{prefix}_{step + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, fitted * goal_{x} / sum(fitted) OVER (PARTITION BY {x}) AS fitted, goal_source, goal_lang, goal_topic FROM {prefix}_{step})"""
+            step += 1
+    return out + f""",
+{prefix}_p AS (SELECT source, lang, topic, fitted / tokens / (SELECT max(fitted / tokens) FROM {prefix}_{step}) AS probability FROM {prefix}_{step}),
+{prefix}_chances AS (
+  SELECT r.*, p.probability,
+         ('0x' || substr(md5(coalesce(r.doc_id::VARCHAR, '') || '#{mixing.SEED}'), 1, 12))::BIGINT::DOUBLE / {16**12}.0 < p.probability AS sampled
+  FROM {prefix}_rows r JOIN {prefix}_p p ON r.source IS NOT DISTINCT FROM p.source AND r.lang IS NOT DISTINCT FROM p.lang AND r.topic = p.topic)"""
+
+
 ORACLES = {
     "op1_quality_rules": f"""
 WITH {QUALITY_CTES}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND llr_sum_u >= {quality.THRESHOLD_U} * n_grams AS kept, llr_sum_u, n_grams
 FROM verdicts
+""",
+    "op10_source_mixing": f"""
+WITH {raking("documents")}
+SELECT doc_id, source, lang, topic, tokens, round(probability, 9) AS probability, sampled FROM m_chances
 """,
 }
