@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import mixing, packing, quality, secrets
+from sluice.llm import linededup, mixing, packing, quality, secrets
 from sluice.llm.common import read
 
 
@@ -26,8 +26,12 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(read(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op7_secret_scan, op9_best_fit_packing, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op7_secret_scan, op9_best_fit_packing, op10_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
