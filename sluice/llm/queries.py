@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import html, linededup, mixing, packing, quality, secrets
+from sluice.llm import html, linededup, mixing, ngramjoin, packing, quality, secrets
 from sluice.llm.common import read
 
 
@@ -34,8 +34,12 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(read(spark, sf_dir, "pages"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.report(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op6_html_extraction, op7_secret_scan, op9_best_fit_packing, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op4_ngram_jaccard_join, op6_html_extraction, op7_secret_scan, op9_best_fit_packing, op10_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
