@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import html, linededup, mixing, ngramjoin, packing, quality, secrets, unitdedup
+from sluice.llm import ann, html, linededup, mixing, ngramjoin, packing, quality, secrets, unitdedup
 from sluice.llm.common import read
 
 
@@ -42,8 +42,12 @@ def op8_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unitdedup.report(read(spark, sf_dir, "documents"))
 
 
+def op3_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op4_ngram_jaccard_join, op6_html_extraction, op7_secret_scan, op8_unit_dedup, op9_best_fit_packing, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_adaptive_scan, op4_ngram_jaccard_join, op6_html_extraction, op7_secret_scan, op8_unit_dedup, op9_best_fit_packing, op10_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
