@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from sluice.plans import lifecycle
+from sluice.plans.binding import Query
 
-from pyspark.sql import DataFrame, SparkSession
+BOOKS = (lifecycle.BOOK,)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: f for book in BOOKS for name, f in book.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for book in BOOKS for name, sql in book.oracles.items()}
