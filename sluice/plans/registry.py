@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from sluice.plans import lifecycle
+from sluice.plans import intake, lifecycle
 from sluice.plans.binding import Query
 
-BOOKS = (lifecycle.BOOK,)
+BOOKS = (lifecycle.BOOK, intake.BOOK)
 
 
 def queries() -> dict[str, Query]:
