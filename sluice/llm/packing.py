@@ -17,6 +17,7 @@ ordinary rows, each packed once; an empty table gives an empty result; other col
 
 from __future__ import annotations
 
+import base64
 import os
 import re
 import zlib
@@ -36,12 +37,13 @@ CAPACITY, END_ID, NODES = 1024, 2, 2_000
 
 # --- tokens -----------------------------------------------------------------------------------------------
 
-#: No token of the byte-level BPE spans a place where ASCII white space follows another character, so that
-#: texts can be encoded chunk by chunk. Texts with other white space or a special token are encoded whole.
-CHUNK = re.compile("[ \t\n\r\v\f]*[^ \t\n\r\v\f]+|[ \t\n\r\v\f]+")
-WHOLE = re.compile("[\x1c-\x1f\x85\xa0  -     　]|<\\|")
-KEPT_CHUNKS, KEPT_CHARS = 300_000, 40
-_tokenizers: dict[str, tuple] = {}
+#: In the byte-level BPE no token spans a place where a space or line feed follows another character, so a regular
+#: text is the chunks " word" and "\\nword", each encoded once for a worker. Other texts are encoded whole.
+IRREGULAR = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Beyond these letters, the faster of the two libraries is not relied on.
+OTHER_LETTERS = re.compile("[^\x00-\u024f]")
+KEPT_CHUNKS = 800_000
+_encoders: dict[tuple, "_Encoder"] = {}
 
 
 def default_tokenizer() -> str:
@@ -50,44 +52,103 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _tokenizer(path: str | None) -> tuple:
-    path = path or default_tokenizer()
-    if path not in _tokenizers:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
-    return _tokenizers[path]
-
+def default_ranks() -> str:
+    import public_tokenizers
 
-def _bytes(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def encode(texts: list[str], path: str | None = None) -> list[bytes]:
-    """The ids of each text, without special tokens, as little-endian unsigned 32-bit numbers."""
-    tokenizer, known = _tokenizer(path)
-    if len(known) > KEPT_CHUNKS:
-        known.clear()
-    parts = [None if WHOLE.search(x) else CHUNK.findall(x) for x in texts]
-    fresh = {c for p in parts if p is not None for c in p}.difference(known)
-    fresh = list(fresh)
-    local = dict(zip(fresh, (_bytes(e.ids) for e in tokenizer.encode_batch_fast(fresh, add_special_tokens=False))))
-    both = _Both(known, local)
-    out = [_bytes(tokenizer.encode(x, add_special_tokens=False).ids) if p is None else b"".join(map(both.__getitem__, p)) for x, p in zip(texts, parts)]
-    known.update((c, b) for c, b in local.items() if len(c) <= KEPT_CHARS)
-    return out
+def regular(text: str) -> bool:
+    return not (
+        "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n" or "<|" in text
+        or "\t" in text or "\r" in text or "\v" in text or "\f" in text or IRREGULAR.search(text)
+    )
 
 
-class _Both(dict):
-    """The chunks of this run, then those known from before."""
+class _Encoder(dict):
+    """Chunk -> number; the ids of all chunks lie one after another in a pool."""
 
-    def __init__(self, known: dict, local: dict):
-        super().__init__(local)
-        self.known = known
+    def __init__(self, path: str, ranks: str | None):
+        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    def __missing__(self, chunk: str) -> bytes:
-        return self.known[chunk]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.fast, self.bytes_of = None, None
+        if ranks:
+            import public_tokenizers
+            import tiktoken
+
+            with open(ranks, "rb") as f:
+                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+            self.bytes_of = np.zeros(max(table.values()) + 1, np.int64)
+            for token, number in table.items():
+                self.bytes_of[number] = len(token)
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.fresh: list[str] = []
+        self.pool, self.used = np.zeros(1 << 16, "<u4"), 0
+        self.start, self.n = np.zeros(1 << 14, np.int64), 0
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = number = len(self)
+        self.fresh.append(chunk if chunk[:1] == "\n" else " " + chunk)
+        return number
+
+    def _learn(self) -> None:
+        """Encode the new chunks and append their ids to the pool."""
+        if not self.fresh:
+            return
+        joined = "".join(self.fresh)
+        if self.fast is not None and not OTHER_LETTERS.search(joined):
+            ids = np.array(self.fast.encode_ordinary(joined), "<u4")
+            ends = np.cumsum(np.fromiter((len(c) if c.isascii() else len(c.encode()) for c in self.fresh), np.int64, len(self.fresh)))
+            stops = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
+        else:
+            each = [e.ids for e in self.tokenizer.encode_batch_fast(self.fresh, add_special_tokens=False)]
+            ids = np.array([i for x in each for i in x], "<u4")
+            stops = np.cumsum([len(x) for x in each])
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        while self.n + len(stops) + 1 > len(self.start):
+            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+        self.start[self.n + 1 : self.n + 1 + len(stops)] = self.used + stops
+        self.used, self.n = self.used + len(ids), self.n + len(stops)
+        self.fresh = []
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self) > KEPT_CHUNKS:
+            self.reset()
+        out: list = []
+        for text in texts:
+            if not text:
+                out.append(np.zeros(0, "<u4"))
+            elif regular(text):
+                chunks = ("\n" + text.replace("\n", " \n")).split(" ")
+                out.append(np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks)))
+            else:
+                out.append(None)
+        self._learn()
+        for i, (text, chunks) in enumerate(zip(texts, out)):
+            if chunks is None:
+                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+            elif len(chunks):
+                first, lengths = self.start[chunks], self.start[chunks + 1] - self.start[chunks]
+                at = np.repeat(first - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+                out[i] = self.pool[at[1:]]  # without the line feed that was put in front
+        return out
+
+
+def encode(texts: list[str], path: str | None = None) -> list[np.ndarray]:
+    """The ids of each text, without special tokens."""
+    key = (path or default_tokenizer(), None if path else default_ranks())
+    if key not in _encoders:
+        _encoders[key] = _Encoder(*key)
+    return _encoders[key].encode(texts)
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -99,7 +160,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 def _pieces(capacity: int, end_id: int, path: str | None, run_chars: int = 2_000_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen = TaskContext.get().partitionId(), Counter()
-        tail = np.array([end_id], "<u4").tobytes()
+        tail = np.array([end_id], "<u4")
         for batch in batches:
             ids, texts = batch["doc_id"], batch["text"].to_pylist()
             at = 0
@@ -109,10 +170,10 @@ def _pieces(capacity: int, end_id: int, path: str | None, run_chars: int = 2_000
                     chars += len(texts[end] or "")
                     end += 1
                 rows: list[tuple] = []
-                for i, data in enumerate(encode([x or "" for x in texts[at:end]], path), at):
-                    data += tail
-                    for piece, (start, length) in enumerate(cut(len(data) // 4, capacity)):
-                        rows.append((i, piece, start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), seen[length]))
+                for i, ids_of in enumerate(encode([x or "" for x in texts[at:end]], path), at):
+                    data = np.concatenate([ids_of, tail])
+                    for piece, (start, length) in enumerate(cut(len(data), capacity)):
+                        rows.append((i, piece, start, length, zlib.crc32(data[start : start + length]), seen[length]))
                         seen[length] += 1
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
