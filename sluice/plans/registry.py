@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from sluice.plans import intake, lifecycle, pages
+from sluice.plans import fields, intake, lifecycle, pages
 from sluice.plans.binding import Query
 
-BOOKS = (lifecycle.BOOK, intake.BOOK, pages.BOOK)
+BOOKS = (lifecycle.BOOK, intake.BOOK, pages.BOOK, fields.BOOK)
 
 
 def queries() -> dict[str, Query]:
