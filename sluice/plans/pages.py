@@ -112,7 +112,7 @@ def t8_page_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {LINES}, l AS (SELECT *, (y1 - y0) / 100 * x1 / 100 AS area FROM v_lines WHERE length(text) % 3 <> 0),
 r AS (SELECT *, coalesce(max(y1) OVER (PARTITION BY document_id, page ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above, sum(area) OVER (PARTITION BY document_id, page) AS covered FROM l),
 b AS (SELECT document_id, page, above AS top, y0 AS bottom, covered FROM r WHERE y0 > above UNION ALL SELECT document_id, page, max(y1), 100, max(covered) FROM r GROUP BY document_id, page HAVING max(y1) < 100)
-SELECT document_id, page, top, bottom FROM b WHERE covered <= 0.7""")
+SELECT document_id, page, top::DOUBLE AS top, bottom::DOUBLE AS bottom FROM b WHERE covered <= 0.7""")
 def t9_empty_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines(spark, sf_dir).filter(F.length("text") % 3 != 0).withColumn("area", (F.col("y1") - F.col("y0")) / 100 * F.col("x1") / 100)
     return T.empty_bands(rows)
