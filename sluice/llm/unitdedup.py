@@ -18,6 +18,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -152,8 +153,6 @@ def report(documents: DataFrame) -> DataFrame:
 
 def dedup(documents: DataFrame) -> DataFrame:
     """The documents with their text deduplicated and the removed spans in a column of their own."""
-    import pandas as pd
-
     @F.pandas_udf("kept string, removed array<struct<start:int,end:int>>")
     def cleaned(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
         out = []
