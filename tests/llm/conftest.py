@@ -1,17 +1,10 @@
-import pytest
-
-WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
+import os
+import sys
 
+import pytest
 
-def prose(seed: int, n: int) -> str:
-    """n words in sentences, made from a seed."""
-    out, x = [], seed * 7919 + 13
-    for i in range(n):
-        x = (x * 1103515245 + 12345) % (1 << 31)
-        w = WORDS[x >> 8 & 15] + WORDS[x >> 14 & 15][: 2 + (x >> 20) % 4]
-        out.append(w + ("." if x % 9 == 0 else ""))
-    return " ".join(out)
-
+sys.path.insert(0, os.path.dirname(__file__))
+from llm_cases import prose  # noqa: E402
 
 EDGE = [
     (None, "a null id", "en", "s1", 9), (1, None, None, None, None), (2, "", "en", "s1", 0), (3, "   \n\t ", "en", "s1", 6), (4, "one", "en", "s1", 3),

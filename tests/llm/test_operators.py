@@ -218,7 +218,7 @@ def test_unit_dedup(docs):
 
 
 def test_unit_dedup_keeps_first(spark):
-    from conftest import prose
+    from llm_cases import prose
     from sluice.llm import unitdedup as U
 
     shared = prose(9, 60)
