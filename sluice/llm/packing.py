@@ -42,7 +42,7 @@ CAPACITY, END_ID, NODES = 1024, 2, 2_000
 IRREGULAR = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Beyond these letters, the faster of the two libraries is not relied on.
 OTHER_LETTERS = re.compile("[^\x00-\u024f]")
-KEPT_CHUNKS = 800_000
+KEPT_CHUNKS = 250_000
 _encoders: dict[tuple, "_Encoder"] = {}
 
 
