@@ -143,24 +143,60 @@ def scan(q: np.ndarray, ids: np.ndarray, x: np.ndarray, px: np.ndarray, pq: np.n
 
 
 def _searched(index: Index, d: int, k: int):
+    """The best of a unit for each query, over those of the unit's lists that it probes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, "unit"):
             is_query = np.asarray(group["is_query"])
             vectors = group["vector"].flatten().to_numpy().reshape(-1, d)
-            ids = group["vec_id"].to_numpy()
-            x, xid, queries, qid = vectors[~is_query], ids[~is_query], vectors[is_query], ids[is_query]
-            if not len(x) or not len(queries):
+            ids, lists = group["vec_id"].to_numpy(), group["list"].to_numpy()
+            mine, asked = np.flatnonzero(~is_query), np.flatnonzero(is_query)
+            if not len(mine) or not len(asked):
                 continue
-            px, pq = index.placed(x, False), index.placed(queries, True)
-            out = [(int(i), *scan(q, xid, x, px, p, i, k)) for i, q, p in zip(qid, queries, pq)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat([o[0] for o in out], [len(o[1]) for o in out])), pa.array(np.concatenate([o[1] for o in out])), pa.array(np.concatenate([o[2] for o in out]))],
-                names=["query_id", "vec_id", "score"],
-            )
+            mine = mine[np.argsort(lists[mine], kind="stable")]
+            x, xid, xlist = vectors[mine], ids[mine], lists[mine]
+            px = index.placed(x, False)
+            # a query comes once for each of its lists; a vec_id may have several vectors
+            keys = np.ascontiguousarray(np.concatenate([np.ascontiguousarray(a).view(np.uint8).reshape(len(asked), -1) for a in (ids[asked], vectors[asked])], axis=1))
+            _, first, which = np.unique(keys.view(np.dtype((np.void, keys.shape[1]))).ravel(), return_index=True, return_inverse=True)
+            order = np.argsort(which.reshape(-1), kind="stable")
+            cuts = np.searchsorted(which.reshape(-1)[order], np.arange(len(first) + 1))
+            out = []
+            for n, at in enumerate(first):
+                probed = np.unique(lists[asked[order[cuts[n] : cuts[n + 1]]]])
+                a, b = np.searchsorted(xlist, probed), np.searchsorted(xlist, probed, side="right")
+                rows = np.concatenate([np.arange(i, j) for i, j in zip(a, b)])
+                if len(rows):
+                    q = vectors[asked[at]]
+                    own = int(ids[asked[at]])
+                    out.append((own, *scan(q, xid[rows], x[rows], px[rows], index.placed(q[None, :], True)[0], own, k)))
+            if out:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat([o[0] for o in out], [len(o[1]) for o in out])), pa.array(np.concatenate([o[1] for o in out])), pa.array(np.concatenate([o[2] for o in out]))],
+                    names=["query_id", "vec_id", "score"],
+                )
 
     return run
 
 
+def grouped_lists(sizes: dict[int, int], lists: int, rows: int = BLOCK_ROWS) -> list[tuple[int, int, int]]:
+    """(list, first unit, blocks): small lists share a unit of up to about `rows` rows, a large one has several units."""
+    out, unit, held = [], 0, 0
+    for n in range(lists):
+        size = sizes.get(n, 0)
+        if size > rows:
+            unit += held > 0
+            blocks = -(-size // rows)
+            out.append((n, unit, blocks))
+            unit, held = unit + blocks, 0
+        else:
+            if held + size > rows:
+                unit, held = unit + 1, 0
+            out.append((n, unit, 1))
+            held += size
+    return out
+
+
 def nearest(embeddings: DataFrame, *, k: int = K, every: int = EVERY, target: float = TARGET) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of each row whose vec_id is divisible by `every`."""
     spark = embeddings.sparkSession
@@ -172,12 +208,13 @@ def nearest(embeddings: DataFrame, *, k: int = K, every: int = EVERY, target: fl
     fields = "vec_id long, vector array<double>, list int"
     members = stored(vectors.mapInArrow(_dealt(index, d, every, False), fields), "lists")
     queries = vectors.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "vector"]).mapInArrow(_dealt(index, d, every, True), fields)
-    blocks = members.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    unit = F.xxhash64("list", "block").alias("unit")
-    # at most MOST_LISTS rows
-    dealt = members.join(F.broadcast(blocks), "list").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.col("blocks")).cast("int"))
-    asked = queries.join(F.broadcast(blocks), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    both = dealt.select("vec_id", "vector", unit, F.lit(False).alias("is_query")).union(asked.select("vec_id", "vector", unit, F.lit(True).alias("is_query")))
+    # one row for each list: at most MOST_LISTS
+    sizes = {r["list"]: r["n"] for r in members.groupBy("list").agg(F.count("*").alias("n")).collect()}
+    units = F.broadcast(spark.createDataFrame(grouped_lists(sizes, len(index.centroids)), "list int, first int, blocks int"))
+    block = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.col("blocks"))
+    dealt = members.join(units, "list").withColumn("unit", F.xxhash64(F.col("first") + block.cast("int")))
+    asked = queries.join(units, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("unit", F.xxhash64(F.col("first") + F.col("block")))
+    both = dealt.select("vec_id", "vector", "list", "unit", F.lit(False).alias("is_query")).union(asked.select("vec_id", "vector", "list", "unit", F.lit(True).alias("is_query")))
     found = both.repartition(partitions(spark), "unit").sortWithinPartitions("unit").mapInArrow(_searched(index, d, k), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
