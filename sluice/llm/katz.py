@@ -36,8 +36,11 @@ from sluice.llm import words as W
 from sluice.llm.common import partitions, stored
 from sluice.llm.ngramjoin import runs
 
-KMAX, HEAD, HOT, RUN = 5, 1 << 20, 2_048, 2_000_000
-START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
+KMAX, HEAD, HOT, RUN = 5, 1 << 20, 2_048, 1_000_000
+END = np.uint64(0x454E44)
+#: Words are numbered in blocks: those of the head by their place in it, others by their hash with the top bit set.
+TOP = np.uint64(1 << 63)
+START = TOP | np.uint64(0x5354415254)
 
 
 def tokens(text: str) -> np.ndarray:
@@ -114,29 +117,72 @@ def unblock(data: bytes) -> list[np.ndarray]:
     return out
 
 
+class Head:
+    """The most frequent words: hashes (sorted) and counts, which all tasks know, and the hot ones among them."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, tokens: int):
+        self.keys, self.counts = keys, counts
+        self.hot = np.append(np.flatnonzero(counts * HOT >= max(1, tokens)).astype(np.uint64), START)
+
+    def codes(self, hashes: np.ndarray) -> np.ndarray:
+        out = hashes | TOP
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+            out = np.where(self.keys[at] == hashes, at.astype(np.uint64), out)
+        return out
+
+    def hot_numbers(self, codes: np.ndarray) -> np.ndarray:
+        """1 and up for hot first words, 0 for others."""
+        at = np.minimum(np.searchsorted(self.hot, codes), len(self.hot) - 1)
+        return np.where(self.hot[at] == codes, at + 1, 0)
+
+    def route(self, v: np.ndarray, w: np.ndarray, parts: int) -> np.ndarray:
+        at = W.mix(v)
+        return (np.where(self.hot_numbers(v) > 0, W.mix(at ^ w), at) >> np.uint64(8)) % np.uint64(parts)
+
+
+def _coded(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted codes as steps between the head's and the others as they are."""
+    k = int(np.searchsorted(codes, TOP))
+    return _narrow(np.diff(codes[:k], prepend=np.uint64(0))), codes[k:]
+
+
+def _decoded(steps: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.cumsum(steps.astype(np.uint64), dtype=np.uint64), rest])
+
+
 def pack(v: np.ndarray, w: np.ndarray, count: np.ndarray, doc: np.ndarray, train: np.ndarray) -> bytes:
-    """Occurrences, sorted by v, each hash once."""
+    """Occurrences, sorted by first word; each word once, with its count if it is not of the head."""
     order = np.argsort(v, kind="stable")
     v, w, count, doc, train = v[order], w[order], count[order], doc[order], train[order]
     uv, nv = np.unique(v, return_counts=True)
     uw, fw, iw = np.unique(w, return_index=True, return_inverse=True)
     ud, fd, i = np.unique(doc, return_index=True, return_inverse=True)
-    return block(uv, _narrow(nv), uw, _narrow(count[fw]), _narrow(iw), ud, train[fd].astype(np.uint8), _narrow(i))
-
-
-def unpack(blocks: list[bytes]) -> tuple[np.ndarray, ...]:
-    parts: list[list] = [[], [], [], [], []]
-    for data in blocks:
-        uv, nv, uw, count, iw, ud, train, i = unblock(data)
-        for part, x in zip(parts, (np.repeat(uv, nv), uw[iw], count.astype(np.int64)[iw], ud[i], train[i])):
-            part.append(x)
-    return tuple(np.concatenate(p) for p in parts)
-
-
-def _route(v: np.ndarray, w: np.ndarray, hot: np.ndarray, parts: int) -> np.ndarray:
-    at = W.mix(v)
-    is_hot = hot[np.minimum(np.searchsorted(hot, v), len(hot) - 1)] == v
-    return (np.where(is_hot, W.mix(at ^ w), at) >> np.uint64(8)) % np.uint64(parts)
+    return block(*_coded(uv), _narrow(nv), *_coded(uw), _narrow(count[fw[np.searchsorted(uw, TOP) :]]), _narrow(iw), ud, train[fd].astype(np.uint8), _narrow(i))
+
+
+def _joint(parts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """The distinct values of several dictionaries, the new numbers of each one's entries, and where each value first is."""
+    values, first, inverse = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
+    return values, np.split(inverse.astype(np.int32), np.cumsum([len(p) for p in parts])[:-1]), first
+
+
+def unpack(blocks: list[bytes], head: Head) -> tuple[np.ndarray, ...]:
+    """Occurrences of several blocks as 32-bit numbers: first words and numbers, words, counts and numbers, documents, flags and numbers."""
+    found = [unblock(data) for data in blocks]
+    uv, iv, _ = _joint([_decoded(f[0], f[1]) for f in found])
+    uw, iw, _ = _joint([_decoded(f[3], f[4]) for f in found])
+    ud, i, fd = _joint([f[7] for f in found])
+    k = int(np.searchsorted(uw, TOP))
+    count = np.zeros(len(uw), np.int64)
+    count[:k] = head.counts[uw[:k].astype(np.int64)]
+    for f, n in zip(found, iw):
+        count[n[len(f[3]) :]] = f[5]
+    train = np.concatenate([f[8] for f in found])[fd]
+    return (
+        uv, np.concatenate([np.repeat(n, f[2]) for n, f in zip(iv, found)]), uw, count, np.concatenate([n[f[6]] for n, f in zip(iw, found)]),
+        ud, train, np.concatenate([n[f[9]] for n, f in zip(i, found)]),
+    )
 
 
 def _dealt(p: np.ndarray, columns: tuple[np.ndarray, ...]) -> Iterator[tuple[int, bytes]]:
@@ -194,37 +240,35 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _occurrences(head: np.ndarray, counts: np.ndarray, hot: np.ndarray, parts: int, rare: bool):
+def _occurrences(head: Head, parts: int, rare: bool):
     """Blocks of the occurrences of the head's words, by first word, or of the rarer words, by the word itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held, uid, train in _collected(batches, ("uid", "train")):
             sizes = [len(h) for h in held]
-            w = np.concatenate(held)
+            u, inverse = np.unique(np.concatenate(held), return_inverse=True)
+            w = head.codes(u)[inverse]
+            del u, inverse
             v = np.concatenate([[START], w[:-1]])
             v[np.cumsum(sizes)[:-1]] = START
-            doc, train = np.repeat(uid, sizes), np.repeat(train.astype(bool), sizes)
-            u, inverse = np.unique(w, return_inverse=True)
-            at = np.minimum(np.searchsorted(head, u), max(0, len(head) - 1))
-            known = head[at] == u if len(head) else np.zeros(len(u), bool)
-            count = np.where(known, counts[at], 0) if len(head) else np.zeros(len(u), np.int64)
-            known, count = known[inverse], count[inverse]
-            where = np.flatnonzero(known != rare)
-            v, w, count, doc, train = (x[where] for x in (v, w, count, doc, train))
-            yield from _batches(_dealt((W.mix(w) >> np.uint64(8)) % np.uint64(parts) if rare else _route(v, w, hot, parts), (v, w, count, doc, train)))
+            where = np.flatnonzero((w >= TOP) == rare)
+            doc, train = np.repeat(uid, sizes)[where], np.repeat(train.astype(bool), sizes)[where]
+            v, w = v[where], w[where]
+            yield from _batches(_dealt((W.mix(w) >> np.uint64(8)) % np.uint64(parts) if rare else head.route(v, w, parts), (v, w, np.zeros(len(w), np.int64), doc, train)))
 
     return run
 
 
-def _counted_words(hot: np.ndarray, parts: int):
+def _counted_words(head: Head, parts: int):
     """Rarer words meet by hash: their training occurrences are their count. On to where their first word is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, "p"):
-            v, w, _, doc, train = unpack(group["data"].to_pylist())
-            _, inverse = np.unique(w, return_inverse=True)
-            count = np.bincount(inverse, weights=train).astype(np.int64)[inverse]
-            yield from _batches(_dealt(_route(v, w, hot, parts), (v, w, count, doc, train)))
+            uv, iv, uw, _, iw, ud, flags, i = unpack(group["data"].to_pylist(), head)
+            train = flags[i]
+            count = np.bincount(iw, weights=train, minlength=len(uw)).astype(np.int64)[iw]
+            v, w, doc = uv[iv], uw[iw], ud[i]
+            yield from _batches(_dealt(head.route(v, w, parts), (v, w, count, doc, train)))
 
     return run
 
@@ -232,35 +276,45 @@ def _counted_words(hot: np.ndarray, parts: int):
 STATS = [f"n{r}" for r in range(1, KMAX + 2)]
 
 
-def _counted_pairs(hot: np.ndarray, unigram: Unigram):
-    """One block for each partition, and the sums that must be put together: of all pairs (v null), of hot contexts."""
+def _counted_pairs(head: Head, unigram: Unigram, slice_rows: int = 600_000):
+    """Blocks of counted pairs, and the sums that must be put together: of all pairs (hot null), of hot contexts.
+
+    A partition is worked on in slices of whole first words, which bounds memory.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, "p"):
-            v, w, count, doc, train = unpack(group["data"].to_pylist())
-            uv, iv = np.unique(v, return_inverse=True)
-            uw, fw, iw = np.unique(w, return_index=True, return_inverse=True)
-            pairs, ip, rows = np.unique((iv.astype(np.uint64) << np.uint64(32)) | iw.astype(np.uint64), return_inverse=True, return_counts=True)
-            seen = np.bincount(ip, weights=train, minlength=len(pairs)).astype(np.int64)
-            of_v, of_w = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            word = count[fw][of_w]
-            at = np.minimum(np.searchsorted(hot, uv), len(hot) - 1)
-            which = np.where(hot[at] == uv, at + 1, 0)
-            ud, idoc = np.unique(doc, return_inverse=True)
-            data = block(_narrow(which), _narrow(np.bincount(of_v, minlength=len(uv))), _narrow(seen), _narrow(word), _narrow(rows), _narrow(idoc[np.argsort(ip, kind="stable")]), ud)
-            out = [(None, data, *(int((seen == r).sum()) for r in range(1, KMAX + 2)), 0, 0, 0.0)]
-            mass = unigram(word)
-            for k in np.flatnonzero(which):
-                mine = seen[of_v == k] if which.sum() < 3 else seen[np.searchsorted(of_v, k) : np.searchsorted(of_v, k + 1)]
-                part = mass[np.searchsorted(of_v, k) : np.searchsorted(of_v, k + 1)][mine > 0]
-                out.append((int(which[k]), None, *(int((mine == r).sum()) for r in range(1, KMAX + 2)), int(mine.sum()), int((mine > 0).sum()), float(part.sum())))
-            columns = list(zip(*out))
-            types = [pa.int32(), pa.binary(), *[pa.int64()] * (KMAX + 3), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["hot", "data", *STATS, "total", "types", "mass"])
+            uv, iv, uw, count, iw, ud, flags, idoc = unpack(group["data"].to_pylist(), head)
+            del group
+            part = np.cumsum(np.bincount(iv, minlength=len(uv))) // slice_rows  # of each first word
+            for k in np.unique(part):
+                rows = np.flatnonzero(part[iv] == k) if part[-1] else slice(None)
+                out = _slice(uv, iv[rows], count, iw[rows], ud, flags, idoc[rows], head, unigram)
+                columns = list(zip(*out))
+                types = [pa.int32(), pa.binary(), *[pa.int64()] * (KMAX + 3), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["hot", "data", *STATS, "total", "types", "mass"])
 
     return run
 
 
+def _slice(uv: np.ndarray, iv: np.ndarray, count: np.ndarray, iw: np.ndarray, ud: np.ndarray, flags: np.ndarray, idoc: np.ndarray, head: Head, unigram: Unigram) -> list[tuple]:
+    pairs, ip, rows = np.unique((iv.astype(np.uint64) << np.uint64(32)) | iw.astype(np.uint64), return_inverse=True, return_counts=True)
+    seen = np.bincount(ip, weights=flags[idoc], minlength=len(pairs)).astype(np.int64)
+    order = np.argsort(ip.astype(np.int32), kind="stable")
+    used, of_v = np.unique((pairs >> np.uint64(32)).astype(np.int64), return_inverse=True)
+    word = count[(pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+    which = head.hot_numbers(uv[used])
+    docs, idoc = np.unique(idoc[order], return_inverse=True)
+    data = block(_narrow(which), _narrow(np.bincount(of_v, minlength=len(used))), _narrow(seen), _narrow(word), _narrow(rows), _narrow(idoc), ud[docs])
+    out = [(None, data, *(int((seen == r).sum()) for r in range(1, KMAX + 2)), 0, 0, 0.0)]
+    mass = unigram(word)
+    for k in np.flatnonzero(which):
+        a, b = np.searchsorted(of_v, k), np.searchsorted(of_v, k + 1)
+        mine = seen[a:b]
+        out.append((int(which[k]), None, *(int((mine == r).sum()) for r in range(1, KMAX + 2)), int(mine.sum()), int((mine > 0).sum()), float(mass[a:b][mine > 0].sum())))
+    return out
+
+
 def context_weights(total: np.ndarray, kept: np.ndarray, mass: np.ndarray) -> np.ndarray:
     """alpha: the probability that the discounts left, over that of what was not seen."""
     left = 1 - np.divide(kept, total, out=np.zeros_like(kept), where=total > 0)
@@ -268,26 +322,42 @@ def context_weights(total: np.ndarray, kept: np.ndarray, mass: np.ndarray) -> np
 
 
 def _scored(unigram: Unigram, pair: Discount, hot_total: np.ndarray, hot_alpha: np.ndarray, hot_halves: np.ndarray):
+    def sums_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        which, n_pairs, seen, word, rows, idoc, ud = unblock(data)
+        seen, word = seen.astype(np.int64), word.astype(np.int64)
+        of_v = np.repeat(np.arange(len(which)), n_pairs)
+        small = np.bincount(of_v, weights=(seen > 0) & (seen <= KMAX), minlength=len(which)) > 0
+        hot = which.astype(np.int64) - 1
+        halves = np.where(hot >= 0, hot_halves[hot], ~small)
+        total = np.where(hot >= 0, hot_total[hot], np.bincount(of_v, weights=seen, minlength=len(which)))
+        p = unigram(word)
+        kept = pair(seen, halves[of_v])
+        alpha = context_weights(total, np.bincount(of_v, weights=kept, minlength=len(which)), np.bincount(of_v, weights=np.where(seen > 0, p, 0.0), minlength=len(which)))
+        alpha = np.where(hot >= 0, hot_alpha[hot], alpha)
+        chance = np.where(seen > 0, kept / np.maximum(total[of_v], 1), alpha[of_v] * p)
+        base = np.log10((word + 1) / (unigram.n + unigram.v + 1))
+        sums = [np.bincount(idoc, minlength=len(ud)).astype(np.float64)]
+        sums += [np.bincount(idoc, weights=np.repeat(x, rows), minlength=len(ud)) for x in (word > 0, base, np.log10(chance))]
+        return ud, np.stack(sums)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each document's sums over as many blocks as a task reads."""
+        docs, sums = np.zeros(0, np.int64), np.zeros((4, 0))
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(docs), *(pa.array(x.astype(np.int64)) for x in sums[:2]), *map(pa.array, sums[2:])], names=["uid", "tokens", "known", "base", "log10p"])
+
         for batch in batches:
             for data in batch["data"]:
-                which, n_pairs, seen, word, rows, idoc, ud = unblock(data.as_py())
-                seen, word = seen.astype(np.int64), word.astype(np.int64)
-                of_v = np.repeat(np.arange(len(which)), n_pairs)
-                small = np.bincount(of_v, weights=(seen > 0) & (seen <= KMAX), minlength=len(which)) > 0
-                hot = which.astype(np.int64) - 1
-                halves = np.where(hot >= 0, hot_halves[hot], ~small)
-                total = np.where(hot >= 0, hot_total[hot], np.bincount(of_v, weights=seen, minlength=len(which)))
-                p = unigram(word)
-                kept = pair(seen, halves[of_v])
-                alpha = context_weights(total, np.bincount(of_v, weights=kept, minlength=len(which)), np.bincount(of_v, weights=np.where(seen > 0, p, 0.0), minlength=len(which)))
-                alpha = np.where(hot >= 0, hot_alpha[hot], alpha)
-                chance = np.where(seen > 0, kept / np.maximum(total[of_v], 1), alpha[of_v] * p)
-                of_pair = np.repeat(np.arange(len(seen)), rows)
-                base = np.log10((word + 1) / (unigram.n + unigram.v + 1))
-                sums = [np.bincount(idoc, minlength=len(ud)), np.bincount(idoc, weights=(word > 0)[of_pair], minlength=len(ud)).astype(np.int64)]
-                sums += [np.bincount(idoc, weights=x[of_pair], minlength=len(ud)) for x in (base, np.log10(chance))]
-                yield pa.RecordBatch.from_arrays([pa.array(ud), *map(pa.array, sums)], names=["uid", "tokens", "known", "base", "log10p"])
+                ud, more = sums_of(data.as_py())
+                docs, inverse = np.unique(np.concatenate([docs, ud]), return_inverse=True)
+                both = np.concatenate([sums, more], axis=1)
+                sums = np.stack([np.bincount(inverse, weights=x, minlength=len(docs)) for x in both])
+                if len(docs) > 500_000:
+                    yield out()
+                    docs, sums = docs[:0], sums[:, :0]
+        if len(docs):
+            yield out()
 
     return run
 
@@ -300,8 +370,8 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def facts(words: DataFrame, head: int = HEAD) -> tuple[Unigram, np.ndarray, np.ndarray, np.ndarray]:
-    """The unigram model, the head's hashes (sorted) and counts, and the hot first words (sorted)."""
+def facts(words: DataFrame, head: int = HEAD) -> tuple[Unigram, Head]:
+    """The unigram model and the head."""
     one = words.agg(F.sum("n").alias("tokens"), F.count("*").alias("types"), *[F.count_if(F.col("n") == r).alias(f"n{r}") for r in range(1, KMAX + 2)]).first()
     unigram = Unigram(one.tokens or 0, one.types, [one[s] for s in STATS])
     # the least count that leaves at most `head` words, from a histogram over eighths of powers of 2
@@ -313,12 +383,11 @@ def facts(words: DataFrame, head: int = HEAD) -> tuple[Unigram, np.ndarray, np.n
             break
         least = row.e
     if least is None:
-        return unigram, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.array([START])
+        return unigram, Head(np.zeros(0, np.uint64), np.zeros(0, np.int64), unigram.n)
     table = words.filter(eighth >= least).select("word", "n").toArrow()
     keys, counts = table["word"].to_numpy().view(np.uint64), table["n"].to_numpy()
     order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    return unigram, keys, counts, np.unique(np.append(keys[counts * HOT >= unigram.n], START))
+    return unigram, Head(keys[order], counts[order], unigram.n)
 
 
 def score(documents: DataFrame, *, head: int = HEAD) -> DataFrame:
@@ -327,17 +396,17 @@ def score(documents: DataFrame, *, head: int = HEAD) -> DataFrame:
     parts = partitions(spark)
     rows = documents.select("doc_id", "text", _identity().alias("uid"), (~held_out()).alias("train"))
     words = stored(rows.select("text", "train").mapInArrow(_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
-    unigram, keys, counts, hot = facts(words, head)
+    unigram, known = facts(words, head)
 
     fields = "p int, data binary"
     texts = rows.select("text", "uid", "train")
-    frequent = texts.mapInArrow(_occurrences(keys, counts, hot, parts, False), fields)
-    rare = texts.mapInArrow(_occurrences(keys, counts, hot, parts, True), fields)
-    rare = rare.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(_counted_words(hot, parts), fields)
+    frequent = texts.mapInArrow(_occurrences(known, parts, False), fields)
+    rare = texts.mapInArrow(_occurrences(known, parts, True), fields)
+    rare = rare.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(_counted_words(known, parts), fields)
     met = frequent.union(rare).repartition(parts, "p").sortWithinPartitions("p")
     stats = ", ".join(f"{s} long" for s in STATS)
-    pairs = stored(met.mapInArrow(_counted_pairs(hot, unigram), f"hot int, data binary, {stats}, total long, types long, mass double"), "pair-counts")
-    pair, total, alpha, halves = pair_facts(pairs, len(hot))
+    pairs = stored(met.mapInArrow(_counted_pairs(known, unigram), f"hot int, data binary, {stats}, total long, types long, mass double"), "pair-counts")
+    pair, total, alpha, halves = pair_facts(pairs, len(known.hot))
     parts_of = pairs.filter("data is not null").select("data").mapInArrow(_scored(unigram, pair, total, alpha, halves), "uid long, tokens long, known long, base double, log10p double")
     sums = parts_of.groupBy("uid").agg(*[F.sum(c).alias(c) for c in ("tokens", "known", "base", "log10p")])
     copies = rows.groupBy("uid").agg(F.count("*").alias("copies"))
