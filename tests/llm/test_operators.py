@@ -327,3 +327,17 @@ def test_pipeline(spark):
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "ngram_jaccard_join", "source_mixing", "best_fit_packing"]
     assert corpus_pipeline.run(spark, DIR).count() > 0
+
+
+def test_line_dedup_long_words(spark):
+    from pyspark.sql import functions as F
+
+    from sluice.llm import linededup as L
+
+    cjk = "".join(chr(0x4E00 + i * 37 % 5000) for i in range(60))
+    lines = ["Download https://example.org/files/a.zip now please", "Download https://example.org/files/b.zip now please", cjk, cjk, cjk[:30] + "x" + cjk[:30], "QUJD" * 3 + "REVG" * 40, "short", "short"]
+    found = L.report(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in found if r.n_removed} == {3}
+    # however often a long line's least shingles repeat, its sketch has SKETCH distinct hashes
+    row = spark.createDataFrame([(" ".join(" ".join([f"some passage number {i}"] * 60) for i in range(12)),)], "norm string").select(L.bands(L.shingles(F.col("norm"))).alias("b")).first()
+    assert len(set(row.b)) == L.SKETCH - 1
