@@ -74,6 +74,18 @@ def test_line_dedup(docs):
     assert len(gone ^ mine) <= 0.01 * len(gone)
 
 
+def test_line_dedup_crowded_band(spark):
+    from sluice.llm import linededup as L
+
+    # one band for all; the similar pairs (1, 4), (2, 7) and (5, 8) are neither its least nor neighbours in it
+    same = {4: 1, 7: 2, 8: 5}
+    norms = [(k, f"line of number {same.get(k, k)} " + " ".join(f"w{same.get(k, k)}x{i}" for i in range(30)) + (" end" if k in same else "")) for k in range(12)]
+    lines = spark.createDataFrame(norms, "key long, norm string")
+    places = spark.createDataFrame([(k, [77]) for k, _ in norms], "key long, bands array<long>")
+    for block in (2, 256):
+        assert {(r.v, r.u) for r in L.similar_lines(places, lines, block=block).collect()} == {(a, b) for b, a in same.items()}
+
+
 def test_ngram_join(docs):
     from sluice.llm import ngramjoin as J
 
