@@ -5,7 +5,8 @@ stop, question or exclamation mark, or up to the line's end; one of over LONG wo
 hash says so, which are the same words wherever the passage stands. Units are normalised (lower case, white space between
 words does not count) and hashed to 128 bits. Over the whole corpus, all but the earliest occurrence of a digest
 (by doc_id, then by place) are repeats. Runs of neighbouring repeats with at least MIN_RUN words are removed; shorter
-ones are ordinary language and stay. Units under MIN_UNIT words are not compared and go with the repeats around them.
+ones are ordinary language and stay, unless words of at least UNIT_CHARS characters make up RUN_CHARS of them (text without
+spaces). Units under both MIN_UNIT words and UNIT_CHARS characters are not compared and go with the repeats around them.
 
 Edge cases: a null text has no units and stays null; an empty text stays empty; repeated doc_ids with different texts
 are ranked by a hash of their text, while wholly equal rows are one document, which keeps its units in each row; null doc_ids
@@ -27,6 +28,8 @@ from sluice.llm import words as W
 from sluice.llm.common import free_name, stored
 
 MIN_UNIT, MIN_RUN, LONG = 3, 8, 24
+#: A unit of fewer words counts if it has so many characters, and so does a run: text without spaces is one word, whatever its length.
+UNIT_CHARS, RUN_CHARS = 24, 64
 STOPS = np.array([ord(c) for c in ".!?"], np.uint32)
 
 
@@ -48,6 +51,11 @@ def units(cp: np.ndarray) -> tuple[np.ndarray, ...]:
     return starts, ends, np.concatenate([[0], stop[:-1]]), stop
 
 
+def counted(starts: np.ndarray, ends: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Which units are compared: those with enough words or characters."""
+    return (stop - first >= MIN_UNIT) | (ends[stop - 1] - starts[first] >= UNIT_CHARS)
+
+
 def digests(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low = np.where((cp >= 65) & (cp <= 90), cp + 32, cp).astype(np.uint32)
     word = W.mix(W.hashes(low, starts, ends))
@@ -68,7 +76,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, text in enumerate(batch["text"]):
             cp = W.codepoints(text.as_py() or "")
             starts, ends, first, stop = units(cp)
-            at = np.flatnonzero(stop - first >= MIN_UNIT)
+            at = np.flatnonzero(counted(starts, ends, first, stop)) if len(first) else first
             if len(at):
                 h1, h2 = digests(cp, starts, ends, first, stop)
                 rows.append((i, at, h1[at], h2[at]))
@@ -80,6 +88,12 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out()
 
 
+def _unspaced(starts: np.ndarray, ends: np.ndarray, a: int, b: int) -> bool:
+    """Whether a run of few words is long for its words that are themselves as long as a unit."""
+    lengths = ends[a:b] - starts[a:b]
+    return bool(lengths[lengths >= UNIT_CHARS].sum() >= RUN_CHARS)
+
+
 def removed_spans(text: str, repeats: list[int], min_run: int = MIN_RUN) -> list[tuple[int, int]]:
     """Code point spans to remove, given the numbers of the units that are repeats."""
     cp = W.codepoints(text)
@@ -88,7 +102,7 @@ def removed_spans(text: str, repeats: list[int], min_run: int = MIN_RUN) -> list
         return []
     hit = np.zeros(len(first), bool)
     hit[repeats] = True
-    short = stop - first < MIN_UNIT
+    short = ~counted(starts, ends, first, stop)
     index = np.arange(len(first))
     before = np.maximum.accumulate(np.where(short, -1, index))
     after = np.minimum.accumulate(np.where(short, len(first), index)[::-1])[::-1]
@@ -97,7 +111,7 @@ def removed_spans(text: str, repeats: list[int], min_run: int = MIN_RUN) -> list
     edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
     out = []
     for a, b in zip(edges[0::2], edges[1::2]):
-        if stop[b - 1] - first[a] < min_run:
+        if stop[b - 1] - first[a] < min_run and not _unspaced(starts, ends, int(first[a]), int(stop[b - 1])):
             continue
         end = ends[stop[b - 1] - 1]
         while end < len(cp) and cp[end] != 10 and (cp[end] == 32 or 9 <= cp[end] <= 13):

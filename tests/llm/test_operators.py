@@ -239,6 +239,17 @@ def test_unit_dedup_keeps_first(spark):
     assert found[1].n_spans == 0 and found[3].n_spans == 0 and found[2].n_removed_chars > 0.7 * len(shared)
 
 
+def test_unit_dedup_without_spaces(spark):
+    from llm_cases import prose
+    from sluice.llm import unitdedup as U
+
+    cjk = "".join(chr(0x4E00 + i * 37 % 5000) for i in range(3000))
+    rows = [(1, prose(30, 40) + "\n" + cjk), (2, cjk + "\n" + prose(31, 40)), (3, "short\n" + "QUJD" * 30), (4, "short\n" + "QUJD" * 30)]
+    found = {r.doc_id: r for r in U.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (found[1].n_spans, found[3].n_spans) == (0, 0)
+    assert found[2].n_removed_chars >= 3000 and found[4].n_removed_chars >= 120
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
