@@ -34,7 +34,7 @@ BROADCAST_TOKENS, SALTS = 500_000, 32
 
 # The parts of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript xmp iframe noembed noframes template svg math".split())
+RAW = set("script style textarea title iframe noembed noframes template".split())
 BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
@@ -42,13 +42,17 @@ BLOCKS = set(
 CLOSES_P = BLOCKS - {"html", "body", "tr", "tbody", "thead", "tfoot", "caption", "legend"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}, "p": {"article", "section", "div", "td", "th", "li", "main", "body"}}
-OUTSIDE = set("nav footer aside form head button select menu dialog canvas object audio video datalist output".split())
+OUTSIDE = set("nav footer aside form head select menu datalist".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar status".split())
 WORDS = set(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu sidebar sidebars footer "
     "comment comments disqus respond cookie cookies consent gdpr notice notices newsletter subscribe subscription signup share sharing social related "
     "breadcrumb breadcrumbs popup modal widget widgets pagination pager toolbar masthead skip login".split()
 )
+#: Words that hold for an element even if the page's article is inside it.
+COMMENTS = set("comment comments disqus respond related".split())
+#: First words of compound class names that say something of the page's layout, not of the element: has-sidebar, no-comments.
+LAYOUT = set("has with no without not hide".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 PART = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(?=[/A-Za-z])[^<>]*(?:>|\Z)", re.S)
@@ -64,25 +68,31 @@ class Node:
         self.tag, self.path, self.outside, self.article, self.header = tag, path, outside, article, header
 
 
-def _opened(tag: str, attributes: str, above: Node) -> Node:
+def _opened(tag: str, attributes: str, above: Node, free: bool = False) -> Node:
     found = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in NAMED.finditer(attributes)} if attributes.strip() else {}
     names = f"{found.get('class', '')} {found.get('id', '')}"
     role = found.get("role", "")
     words = set(SPLIT.split(names)) if names.strip() else set()
+    roles = {w for name in names.split() if (parts := SPLIT.split(name))[0] not in LAYOUT for w in parts}
     article = above.article or tag in ("article", "main") or role == "main" or found.get("itemprop") == "articlebody"
     header = above.header or tag == "header" or "header" in words and not above.article
     outside = (
-        above.outside or tag in OUTSIDE or role in ROLES or bool(words & WORDS) and tag not in ("html", "body")
+        above.outside or tag in OUTSIDE or role in ROLES or bool(roles & (COMMENTS if free else WORDS)) and tag not in ("html", "body")
         or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
     )
     path = xxhash.xxh3_64_intdigest(f"{tag}.{names.strip()}", above.path)
     return Node(tag, path, outside, article, header)
 
 
-def read_page(html: str) -> tuple[list[tuple[Node, str]], list[int]]:
-    """The blocks of text with the node that holds them, and the places of all tags, in page order."""
+def read_page(html: str, free: frozenset[int] | None = None) -> tuple[list[tuple[Node, str]], list[int]]:
+    """The blocks of text with the node that holds them, and the places of all tags, in page order.
+
+    If class words would leave nothing of the page's articles, they do not hold on the first article's line of elements,
+    whose numbers are then given as `free`.
+    """
     root = Node("", 0, False, False, False)
     stack, blocks, tags, text = [root], [], [], []
+    numbers, line = [-1], frozenset()
     at, n = 0, len(html)
 
     def flush() -> None:
@@ -96,7 +106,7 @@ def read_page(html: str) -> tuple[list[tuple[Node, str]], list[int]]:
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in names:
                 flush()
-                del stack[i:]
+                del stack[i:], numbers[i:]
                 return
             if stack[i].tag in scope:
                 return
@@ -121,7 +131,7 @@ def read_page(html: str) -> tuple[list[tuple[Node, str]], list[int]]:
                 if stack[i].tag == tag:
                     if stack[i].outside != (stack[i - 1].outside if i else False):
                         flush()
-                    del stack[i:]
+                    del stack[i:], numbers[i:]
                     break
             continue
         if tag in RAW and not m[3].rstrip().endswith("/"):
@@ -138,12 +148,17 @@ def read_page(html: str) -> tuple[list[tuple[Node, str]], list[int]]:
             text.append("" if tag == "wbr" else " ")
         if tag in VOID:
             continue
-        node = _opened(tag, m[3], stack[-1])
+        node = _opened(tag, m[3], stack[-1], free is not None and len(tags) in free)
         if node.outside != stack[-1].outside:
             flush()
         stack.append(node)
+        numbers.append(len(tags))
         tags.append(node.path)
+        if node.article and not line:
+            line = frozenset(numbers)
     flush()
+    if free is None and line and not any(b.article and not b.outside for b, _ in blocks) and any(b.article for b, _ in blocks):
+        return read_page(html, line)
     return blocks, tags
 
 

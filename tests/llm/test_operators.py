@@ -184,6 +184,16 @@ def test_html():
         assert H.main_text(H.read_page(odd)[0], set()) == text
 
 
+def test_html_keeps_whole_articles():
+    from sluice.llm import html as H
+
+    for name in ("layout with-sidebar", "has-sidebar", "no-comments", "single-post-navigation"):
+        assert H.main_text(H.read_page(f'<body><div class="{name}"><article><p>Text</p></article></div></body>')[0], set()) == "Text", name
+    assert H.main_text(H.read_page('<body><article class="promotion"><p>Text</p><div class="ad-slot">buy</div></article></body>')[0], set()) == "Text"
+    odd = "<article><p>If <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p><noscript><p>Plain</p></noscript><object>Alt</object><script>no()</script></article>"
+    assert H.main_text(H.read_page(odd)[0], set()) == "If x=1 holds\n\nPlain\n\nAlt"
+
+
 def test_html_template(spark):
     from sluice.llm import html as H
 
