@@ -322,8 +322,12 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _centres(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first two vectors of each of the ten labels."""
-    firsts = view(spark, sf_dir, "embeddings").groupBy("label").agg(F.slice(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), 1, 2).alias("v"))
-    return firsts.select("label", F.explode("v").alias("v")).select("label", F.col("v.embedding").alias("vector"))
+    rows = view(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding")
+    # twice a minimum, which is pre-aggregated, so that no label's vectors gather in one row
+    one = rows.groupBy("label").agg(F.min("vec_id").alias("first"))
+    two = rows.join(F.broadcast(one.withColumnRenamed("label", "of")), F.col("label").eqNullSafe(F.col("of")) & (F.col("vec_id") > F.col("first"))).groupBy("label").agg(F.min("vec_id").alias("first"))
+    firsts = one.union(two).withColumnRenamed("label", "of")
+    return rows.join(F.broadcast(firsts), F.col("label").eqNullSafe(F.col("of")) & (F.col("vec_id") == F.col("first"))).select("label", F.col("embedding").alias("vector"))
 
 
 @BOOK.query(f"WITH {CENTRES} SELECT vec_id AS document_id, label, round(score, 6) AS score, round(delta, 6) AS delta FROM vt")

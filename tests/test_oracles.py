@@ -42,3 +42,13 @@ def test_same_rows(spark, duck, name):
 def test_queries_without_sql_run(spark):
     for name in sorted(set(QUERIES) - set(ORACLES)):
         assert QUERIES[name](spark, DIR).count() >= 0
+
+
+def test_centres_gather_no_vectors(spark):
+    from sluice.plans import fields
+
+    found = fields._centres(spark, DIR)
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+    rows = spark.read.parquet(f"{DIR}/embeddings.parquet").toPandas()
+    firsts = rows.sort_values("vec_id").groupby("label").head(2)
+    assert sorted((r.label, list(r.vector)) for r in found.collect()) == sorted((r.label, list(r.embedding)) for r in firsts.itertuples())
