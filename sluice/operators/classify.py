@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sluice.operators.beside import beside
+
 WORD = "[a-zàâäéèêëïîôöùûüç0-9]{3,}"
 #: Rows of a weights or centroid table up to which it is broadcast; a larger one is joined by its key, or in blocks.
 BROADCAST_ROWS = 200_000
@@ -47,17 +49,31 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def _centroid_blocks(centroids: DataFrame) -> tuple[DataFrame, int]:
+    """Centroids as arrays, a label's together: one row, or, beyond BROADCAST_ROWS, as many as blocks of that size."""
+    n = centroids.count()
+    blocks = max(1, -(-n // BROADCAST_ROWS))
+    block = F.pmod(F.xxhash64("label"), F.lit(blocks)).alias("block")
+    return centroids.groupBy(block).agg(F.collect_list(F.struct("label", F.col("vector").alias("v"))).alias("cs")).select("cs"), blocks
+
+
 def vector(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
-    """label, score and delta to the next other label, by the inner product of unit vectors. vectors: document_id, vector.
+    """label, score and delta to the next other label, by the inner product of unit vectors. vectors: document_id, vector, one row a document.
 
-    The centroids are few (the number of labels, not of documents); their number is checked before they are broadcast.
+    The centroids are few (the number of labels, not of documents): they are one array beside every vector, so scoring
+    shuffles nothing. More than BROADCAST_ROWS are scored block by block, and each document's best of all blocks are put together.
     """
-    if centroids.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} centroids: score them in blocks")
-    pairs = vectors.crossJoin(F.broadcast(centroids.select("label", F.col("vector").alias("c"))))
-    scores = pairs.groupBy("document_id", "label").agg(F.max(F.round(dot(F.col("vector"), F.col("c")), 9)).alias("score"))
-    top = _top_two(scores)
-    return vectors.select("document_id").distinct().join(top, "document_id", "left").select("document_id", "label", F.coalesce("best", F.lit(0.0)).alias("score"), F.coalesce(F.col("best") - F.col("second"), F.lit(0.0)).alias("delta"))
+    held, blocks = _centroid_blocks(centroids)
+    rows = vectors.crossJoin(F.broadcast(held) if blocks == 1 else held)
+    scores = F.transform("cs", lambda c: F.struct((-F.round(dot(F.col("vector"), c["v"]), 9)).alias("less"), c["label"].alias("label")))
+    first = F.array_sort(scores)
+    # in order, the first of another label is the second best
+    top = rows.select("document_id", first.alias("s")).select("document_id", F.slice(F.concat(F.slice("s", 1, 1), F.filter("s", lambda x: x["label"] != F.col("s")[0]["label"])), 1, 2).alias("s"))
+    if blocks > 1:
+        top = top.groupBy("document_id").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("s"))
+    best, second = F.try_element_at("s", F.lit(1)), F.try_element_at("s", F.lit(2))
+    out = vectors.select("document_id").join(top.filter("size(s) > 0"), "document_id", "left") if blocks > 1 else top
+    return out.select("document_id", best["label"].alias("label"), F.coalesce(-best["less"], F.lit(0.0)).alias("score"), F.coalesce(second["less"] - best["less"], -best["less"], F.lit(0.0)).alias("delta"))
 
 
 def best_chunk(scored: DataFrame) -> DataFrame:
@@ -158,23 +174,34 @@ def model_version(centres: DataFrame, version: str) -> tuple[DataFrame, DataFram
 def choices(documents: DataFrame, configs: DataFrame, doctypes: DataFrame) -> DataFrame:
     """Types a document may be given by hand: its config's expected ones, else the account's and public ones. documents: document_id, config_id, account_id."""
     rows = documents.join(configs.select("config_id", "expected"), "config_id", "left").withColumn("expected", F.coalesce("expected", F.array().cast("array<string>")))
-    some = rows.filter(F.size("expected") > 0).select("document_id", F.explode("expected").alias("doctype_id")).join(doctypes.select("doctype_id", "doctype_name"), "doctype_id")
+    names = doctypes.select("doctype_id", "doctype_name")
+    some = rows.filter(F.size("expected") > 0).select("document_id", F.explode("expected").alias("doctype_id")).join(names.hint("merge"), "doctype_id")
     none = rows.filter(F.size("expected") == 0)
-    public = none.crossJoin(F.broadcast(doctypes.filter("is_public").select("doctype_id", "doctype_name"))).select("document_id", "doctype_id", "doctype_name")
-    own = none.join(doctypes.filter("not is_public").select("doctype_id", "doctype_name", "account_id"), "account_id").select("document_id", "doctype_id", "doctype_name")
+    public = beside(none, doctypes.filter("is_public").select("doctype_id", "doctype_name")).select("document_id", "doctype_id", "doctype_name")
+    own = none.join(doctypes.filter("not is_public").select("doctype_id", "doctype_name", "account_id").hint("merge"), "account_id").select("document_id", "doctype_id", "doctype_name")
     return some.select("document_id", "doctype_id", "doctype_name").unionByName(public).unionByName(own)
 
 
+#: Types and directions that a proposed field may have.
+FIELD_TYPES, DIRECTIONS = ("string", "number", "date", "float", "object", "array"), ("right", "left", "below", "above", "block", "any")
+
+
 def proposed_fields(answers: DataFrame, json: str = "answer") -> DataFrame:
-    """Cleaned fields of a proposed type: snake-case names, known types and directions, no rules for fields that the model reads."""
+    """Cleaned fields of a proposed type: snake-case names, known types and directions, no rules for fields that the model reads, no direction without anchors.
+
+    The answer may stand in a code fence.
+    """
     from sluice.operators.text import snake_case
 
-    schema = "struct<fields:array<struct<field_name:string,field_type:string,direction:string,regexp:string,use_ia:string>>>"
-    rows = answers.select("document_id", F.posexplode(F.from_json(json, schema)["fields"]).alias("n", "f")).select("document_id", "n", "f.*")
-    by_model = F.coalesce(F.lower(F.trim("use_ia")).isin("1", "true", "on", "yes"), F.lit(False))
+    schema = "struct<fields:array<struct<field_name:string,field_type:string,field_description:string,anchors:string,direction:string,regexp:string,use_ia:string>>>"
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.col(json)), r"^```(?:json)?\s*", ""), r"(?s)```.*$", ""))
+    rows = answers.select("document_id", F.posexplode(F.from_json(bare, schema)["fields"]).alias("n", "f")).select("document_id", "n", "f.*")
+    by_model = ~F.lower(F.trim(F.coalesce("use_ia", F.lit("")))).isin("", "0", "false", "null")
+    plain = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    rule = lambda c: F.when(by_model, "").otherwise(c)
+    direction = F.lower(plain("direction"))
     return rows.select(
-        "document_id", "n", snake_case(F.coalesce("field_name", F.lit(""))).alias("field_name"),
-        F.when(F.col("field_type").isin("string", "date", "number", "amount", "boolean"), F.col("field_type")).otherwise("string").alias("field_type"),
-        F.when(F.col("direction").isin("right", "left", "above", "below"), F.col("direction")).otherwise("").alias("direction"),
-        F.when(by_model, "").otherwise(F.coalesce("regexp", F.lit(""))).alias("regexp"), by_model.alias("use_ia"),
+        "document_id", "n", snake_case(F.coalesce("field_name", F.lit(""))).alias("field_name"), F.when(plain("field_type").isin(*FIELD_TYPES), plain("field_type")).otherwise("string").alias("field_type"),
+        plain("field_description").alias("field_description"), rule(plain("anchors")).alias("anchors"),
+        rule(F.when(direction.isin(*DIRECTIONS) & (plain("anchors") != ""), direction).otherwise("")).alias("direction"), rule(plain("regexp")).alias("regexp"), by_model.alias("use_ia"),
     ).filter("field_name <> ''")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sluice.operators.beside import beside
+
 
 def route(fields: DataFrame) -> DataFrame:
     """model, rules or skipped, by what a field defines."""
@@ -18,21 +20,24 @@ def route(fields: DataFrame) -> DataFrame:
     return fields.withColumn("strategy", F.when(F.coalesce(F.col("use_ia"), F.lit(False)), "model").when(rules, "rules").otherwise("skipped"))
 
 
-def pattern(reg: Column) -> Column:
+def pattern(reg: str) -> str:
     """A pattern in Java's form: `/body/i` becomes a pattern that ignores case."""
-    body = F.regexp_extract(reg, r"(?s)^/(.*)/([^/]*)$", 1)
-    flags = F.regexp_extract(reg, r"(?s)^/(.*)/([^/]*)$", 2)
-    return F.when(reg.startswith("/"), F.when(flags.contains("i"), F.concat(F.lit("(?i)"), body)).otherwise(body)).otherwise(reg)
+    if not reg.startswith("/"):
+        return reg
+    body, _, flags = reg[1:].rpartition("/")
+    return f"(?iu){body}" if "i" in flags else body
 
 
 def first_match(lines: DataFrame, reg: str, name: str) -> DataFrame:
     """The first line's match of a pattern, in page and line order. The pattern is a constant, so that lines are filtered where they are read."""
+    reg = pattern(reg)
     hits = lines.filter(F.col("text").rlike(reg)).withColumn("value", F.regexp_extract("text", reg, 0)).filter("value <> ''")
     return hits.groupBy("document_id").agg(F.min_by("value", F.struct("page", "line_no")).alias("value")).withColumn("field_name", F.lit(name))
 
 
 def regex_fields(lines: DataFrame, fields: dict[str, str]) -> DataFrame:
     """Values of several fields, in one pass over the lines: each line is matched against all patterns and only hits are kept."""
+    fields = {n: pattern(r) for n, r in fields.items()}
     hits = F.filter(F.array(*[F.struct(F.lit(n).alias("field_name"), F.regexp_extract("text", r, 0).alias("value")) for n, r in fields.items()]), lambda x: x["value"] != "")
     rows = lines.filter(" or ".join(f"text rlike {_literal(r)}" for r in fields.values())).select("document_id", "page", "line_no", F.inline(hits))
     return rows.groupBy("document_id", "field_name").agg(F.min_by("value", F.struct("page", "line_no")).alias("value"))
@@ -58,24 +63,39 @@ def anchor_terms(anchors: str) -> list[str]:
     return [a.strip().lower() for a in anchors.replace("|", ",").split(",") if a.strip()]
 
 
+def _places(text: Column, found: Column, parts: Column) -> Column:
+    """Start (from 0) and text of each match, from the matches and the parts of the text between them."""
+    steps = F.zip_with(F.slice(parts, F.lit(1), F.size(found)), found, lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
+    none = F.array().cast("array<struct<at:int,hit:string>>")
+    add = lambda state, x: F.struct((state["end"] + x["gap"] + F.length(x["hit"])).alias("end"), F.concat(state["all"], F.array(F.struct((state["end"] + x["gap"]).alias("at"), x["hit"].alias("hit")))).alias("all"))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("end"), none.alias("all")), add)["all"]
+
+
 def same_line(lines: DataFrame, reg: str, anchors: str, direction: str = "right", max_distance: int = 0) -> DataFrame:
-    """The match nearest to an anchor on its own line; longer anchors first, then line order. Up to 3 * max_distance characters away."""
+    """The match nearest to an anchor on its own line, for the longest anchor that has one on the page.
+
+    All occurrences of the anchor on all lines of the page are looked at. A match's distance is from the anchor's end to its own start, at most
+    3 * max_distance characters (0: any); right asks for matches after the anchor, left for those before it. Of equal ones the first on the page counts.
+    """
+    reg = pattern(reg)
     terms = sorted(anchor_terms(anchors), key=lambda a: -len(a))
-    low = F.lower("text")
-    tried = F.array(*[F.struct(F.lit(i).alias("term"), F.lit(len(t)).alias("n"), F.locate(t, low).alias("at")) for i, t in enumerate(terms)])
-    rows = lines.select("document_id", "page", "line_no", "text", F.inline(F.filter(tried, lambda x: x["at"] > 0)))
-    budget = 3 * max_distance if max_distance else 1_000_000
-    before = F.substring("text", F.lit(1), F.col("at") - 1)
-    after = F.substring("text", F.col("at") + F.col("n"), F.length("text"))
-    right = F.struct(F.regexp_extract(after, reg, 0).alias("value"), (F.regexp_instr(after, F.lit(reg)) - 1).alias("far"))
-    lefts = F.regexp_extract_all(before, F.lit(reg), F.lit(0))
-    last = F.when(F.size(lefts) > 0, F.element_at(lefts, -1)).otherwise("")
-    left = F.struct(last.alias("value"), (F.length(before) - (F.length(before) - F.position(F.reverse(last), F.reverse(before)) + 1)).alias("far"))
-    found = {"right": right, "left": left}.get(direction)
-    if found is None:
-        found = F.when((right["value"] != "") & ((left["value"] == "") | (right["far"] <= left["far"])), right).otherwise(left)
-    hits = rows.withColumn("m", found).filter((F.col("m.value") != "") & (F.col("m.far") <= budget))
-    return hits.groupBy("document_id", "page").agg(F.min_by("m.value", F.struct("term", "line_no")).alias("value"))
+    low, budget = F.lower("text"), 3 * max_distance
+    matches = _places(F.col("text"), F.regexp_extract_all("text", F.lit(reg), F.lit(0)), F.split("text", reg, -1))
+
+    def nearest(i: int, term: str) -> Column:
+        parts = F.split(low, rf"\Q{term}\E", -1)
+        marks = F.transform(_places(low, F.array_repeat(F.lit(term), F.size(parts) - 1), parts), lambda x: x["at"])
+
+        def of(at: Column) -> Column:
+            good = {"right": lambda m: m["at"] >= at + len(term), "left": lambda m: m["at"] < at}.get(direction, lambda m: F.lit(True))
+            near = F.transform(F.filter("m", good), lambda m: F.struct(F.lit(i).alias("term"), F.abs(m["at"] - at - len(term)).alias("far"), F.col("line_no"), at.alias("mark"), m["at"].alias("at"), m["hit"].alias("value")))
+            return F.filter(near, lambda m: (m["far"] <= budget) & (m["value"] != "")) if budget else F.filter(near, lambda m: m["value"] != "")
+
+        return F.array_min(F.flatten(F.transform(marks, of)))
+
+    held = lines.filter(F.col("text").rlike(reg)).filter(" or ".join(["false", *(f"contains(lower(text), {_literal(t)})" for t in terms)]))
+    rows = held.withColumn("m", matches).select("document_id", "page", F.array_min(F.array(*[nearest(i, t) for i, t in enumerate(terms)])).alias("best"))
+    return rows.filter("best is not null").groupBy("document_id", "page").agg(F.min("best").alias("b")).select("document_id", "page", "b.value")
 
 
 def _penalty(direction: str | None) -> Column:
@@ -88,14 +108,21 @@ def nearest_line(lines: DataFrame, reg: str, anchors: str, direction: str | None
 
     Both sides are filtered first, and the join has the page as its key, so pages are compared within themselves only.
     """
+    reg = pattern(reg)
+    return _neighbours(lines, lines.filter(F.col("text").rlike(reg)).withColumn("value", F.regexp_extract("text", reg, 0)), anchors, direction, max_distance)
+
+
+BOX = ("x0", "y0", "x1", "y1")
+
+
+def _neighbours(lines: DataFrame, items: DataFrame, anchors: str, direction: str | None, max_distance: int) -> DataFrame:
+    """The value of the item nearest to a line with an anchor, on each page. items: lines with a value."""
     low = F.lower("text")
     hit = None
     for t in anchor_terms(anchors):
         hit = low.contains(t) if hit is None else hit | low.contains(t)
-    box = ["x0", "y0", "x1", "y1"]
-    marks = lines.filter(hit).select("document_id", "page", F.col("line_no").alias("a_no"), *[F.col(c).alias(f"a{c}") for c in box])
-    items = lines.filter(F.col("text").rlike(reg)).select("document_id", "page", "line_no", *box, F.regexp_extract("text", reg, 0).alias("value"))
-    pairs = marks.join(items, ["document_id", "page"]).filter("a_no <> line_no")
+    marks = lines.filter(hit).select("document_id", "page", F.col("line_no").alias("a_no"), *[F.col(c).alias(f"a{c}") for c in BOX])
+    pairs = marks.join(items.select("document_id", "page", "line_no", *BOX, "value").hint("merge"), ["document_id", "page"]).filter("a_no <> line_no")
     dx = (F.col("x0") + F.col("x1") - F.col("ax0") - F.col("ax1")) / 2
     dy = (F.col("y0") + F.col("y1") - F.col("ay0") - F.col("ay1")) / 2
     far = F.sqrt(dx * dx + dy * dy)
@@ -105,19 +132,33 @@ def nearest_line(lines: DataFrame, reg: str, anchors: str, direction: str | None
     return scored.groupBy("document_id", "page").agg(F.min_by("value", F.struct("score", "a_no", "line_no")).alias("value"))
 
 
-LEADING = r"^[ \t:：;,\-—–=. ]+"
-NEXT_LABEL = r"(?s)\s+[A-Za-zÀ-ÿ.]+(?:\s+[A-Za-zÀ-ÿ.]+){0,3}\s*:.*$"
+#: The signs that may stand between a label and its value.
+SEPARATORS = " \t:：;,-—–=.\u00a0"
+#: A label is up to four words of letters and dots before a colon; it ends the value before it.
+LABEL_WORD = r"[\p{L}.]+"
+NEXT_LABEL = rf"(?s)\s+(?:{LABEL_WORD}\s+){{0,3}}{LABEL_WORD}\s*:.*"
+
 
+def _without_separators(text: Column) -> Column:
+    return F.regexp_replace(F.ltrim(text, F.lit(SEPARATORS)), r"^\s+|\s+$", "")
 
-def after_anchor(lines: DataFrame, anchors: str) -> DataFrame:
-    """The rest of the line after the longest anchor, without separators, up to the next `Label :`."""
+
+def after_anchor(lines: DataFrame, anchors: str, direction: str = "right", max_distance: int = 0) -> DataFrame:
+    """The rest of the line after the longest anchor, without separators, up to the next `Label :`; else the nearest line on the wanted side.
+
+    The second way is for pages whose anchors stand alone on their lines; distances are as in nearest_line.
+    """
     terms = sorted(anchor_terms(anchors), key=lambda a: -len(a))
     low = F.lower("text")
     tried = F.array(*[F.struct(F.lit(i).alias("term"), (F.locate(t, low) + len(t)).alias("from"), (F.locate(t, low) > 0).alias("ok")) for i, t in enumerate(terms)])
     rows = lines.select("document_id", "page", "line_no", "text", F.inline(F.filter(tried, lambda x: x["ok"])))
-    rest = F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.substring("text", F.col("from"), F.length("text")), LEADING, "")), NEXT_LABEL, ""))
+    rest = F.regexp_replace(F.regexp_replace(_without_separators(F.substring("text", F.col("from"), F.length("text"))), NEXT_LABEL, ""), r"\s+$", "")
     hits = rows.withColumn("value", rest).filter("value <> ''")
-    return hits.groupBy("document_id", "page").agg(F.min_by("value", F.struct("term", "line_no")).alias("value"))
+    own = hits.groupBy("document_id", "page").agg(F.min_by("value", F.struct("term", "line_no")).alias("value"))
+    items = lines.withColumn("value", _without_separators(F.col("text"))).filter("value <> ''")
+    alone = rows.select("document_id", "page").distinct().join(own.hint("merge"), ["document_id", "page"], "left_anti")
+    near = _neighbours(lines.join(alone.hint("merge"), ["document_id", "page"], "left_semi"), items, anchors, direction, max_distance)
+    return own.unionByName(near)
 
 
 def barcode_value(barcodes: DataFrame, wanted: str, reg: str | None = None) -> DataFrame:
@@ -151,7 +192,7 @@ def across_pages(values: DataFrame, fields: DataFrame, documents: DataFrame) ->
     default = F.coalesce("default_value", F.lit(""))
     known = values.join(fields.select("field_name", default.alias("d")), "field_name").filter("value <> '' and value <> d")
     first = known.groupBy("document_id", "field_name").agg(F.min_by("value", "page").alias("value"))
-    every = documents.select("document_id").distinct().crossJoin(F.broadcast(fields.select("field_name", default.alias("d"))))  # a type's few fields
+    every = beside(documents.select("document_id").distinct(), fields.select("field_name", default.alias("d")))
     return every.join(first, ["document_id", "field_name"], "left").select("document_id", "field_name", F.coalesce("value", "d").alias("value"))
 
 
@@ -166,24 +207,55 @@ def check_digit(text: Column) -> Column:
     return F.aggregate(weighed, F.lit(0), lambda s, x: s + x) % 10
 
 
+#: Formats of machine-readable zones, in the order in which they are looked for: length and number of lines, then line, first
+#: character (from 1) and length of each field, fields with a check digit after them, and the parts of the digit over all.
+ZONES = {
+    "TD3": (44, 2, {"document_type": (1, 1, 2), "country": (1, 3, 3), "names": (1, 6, 39), "number": (2, 1, 9), "nationality": (2, 11, 3), "born": (2, 14, 6), "sex": (2, 21, 1), "expires": (2, 22, 6), "optional": (2, 29, 14)},
+            ("number", "born", "expires"), ((2, 1, 10), (2, 14, 7), (2, 22, 22)), (2, 44)),
+    "TD1": (30, 3, {"document_type": (1, 1, 2), "country": (1, 3, 3), "names": (3, 1, 30), "number": (1, 6, 9), "nationality": (2, 16, 3), "born": (2, 1, 6), "sex": (2, 8, 1), "expires": (2, 9, 6), "optional": (1, 16, 15)},
+            ("number", "born", "expires"), ((1, 6, 25), (2, 1, 7), (2, 9, 7), (2, 19, 11)), (2, 30)),
+    "TD2": (36, 2, {"document_type": (1, 1, 2), "country": (1, 3, 3), "names": (1, 6, 31), "number": (2, 1, 9), "nationality": (2, 11, 3), "born": (2, 14, 6), "sex": (2, 21, 1), "expires": (2, 22, 6), "optional": (2, 29, 7)},
+            ("number", "born", "expires"), ((2, 1, 10), (2, 14, 7), (2, 22, 14)), (2, 36)),
+}
+#: Lengths may be off by so much, and a line is looked at from so many characters.
+OFF, LEAST_ZONE_CHARS = 3, 26
+
+
 def mrz(lines: DataFrame) -> DataFrame:
-    """Fields of machine-readable zones of two lines of 44 (passports), the last such pair of a document; kept if their check digits hold."""
-    text = F.upper(F.translate("text", " ", "<"))
-    rows = lines.withColumn("t", text).filter(F.col("t").rlike("^[A-Z0-9<]{41,47}$"))
-    place = F.row_number().over(Window.partitionBy("document_id").orderBy(F.desc("page"), F.desc("line_no")))
-    two = rows.withColumn("t", F.rpad(F.substring("t", 1, 44), 44, "<")).withColumn("r", place).filter("r <= 2")
-    pair = two.groupBy("document_id").agg(F.max(F.when(F.col("r") == 2, F.col("t"))).alias("one"), F.max(F.when(F.col("r") == 1, F.col("t"))).alias("two")).filter("one is not null and one like 'P%'")
-    part = lambda a, n: F.substring("two", a, n)
-    checked = lambda a, n: F.when(check_digit(part(a, n)).cast("string") == part(a + n, 1), F.regexp_replace(part(a, n), "<+$", ""))
-    names = F.split(F.substring("one", 6, 39), "<<", 2)
-    clean = lambda c: F.trim(F.regexp_replace(c, "<+", " "))
-    return pair.select("document_id", checked(1, 9).alias("number"), checked(14, 6).alias("born"), checked(22, 6).alias("expires"), F.substring("one", 3, 3).alias("country"), clean(F.element_at(names, 1)).alias("surname"), clean(F.coalesce(F.try_element_at(names, F.lit(2)), F.lit(""))).alias("given"))
+    """The machine-readable zone of each document: the last lines of the first format of which there are enough, cut or filled to its length.
+
+    valid says whether all check digits hold, that over all included; the values are given either way, so that callers decide.
+    """
+    text = F.regexp_replace(F.upper(F.trim("text")), "[ «»“”\"'`]", "<")
+    rows = lines.withColumn("t", text).filter(F.col("t").rlike(f"^[A-Z0-9<]{{{LEAST_ZONE_CHARS},}}$"))
+    # lines of a document that look like a zone: few
+    docs = rows.groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page", "line_no", "t"))), lambda x: x["t"]).alias("all"))
+    found = None
+    for name, (size, n, fields, digits, over, last) in ZONES.items():
+        fit = F.filter("all", lambda t: F.abs(F.length(t) - size) <= OFF)
+        zone_ = F.transform(F.slice(fit, -n, n), lambda t: F.rpad(F.substring(t, 1, size), size, "<"))
+        part = lambda line, first, length: F.substring(F.col("z")[line - 1], first, length)
+        clean = lambda c: F.trim(F.regexp_replace(c, "<+", " "))
+        of = {f: part(*place) for f, place in fields.items()}
+        names = F.split(of.pop("names"), "<<", 2)
+        holds = lambda c, digit: check_digit(c).cast("string") == F.translate(digit, "<", "0")
+        valid = holds(F.concat(*[part(*x) for x in over]), part(*last, 1))
+        for f in digits:
+            line, first, length = fields[f]
+            valid = valid & holds(part(line, first, length), part(line, first + length, 1))
+        if name == "TD3":
+            valid = valid & holds(of["optional"], part(2, 43, 1))
+        made = F.struct(F.lit(name).alias("format"), *[clean(c).alias(f) for f, c in of.items()], clean(names[0]).alias("surname"), clean(F.coalesce(F.try_element_at(names, F.lit(2)), F.lit(""))).alias("given"), valid.alias("valid"))
+        one = docs.filter(F.size(fit) >= n).select("document_id", zone_.alias("z")).select("document_id", F.lit(len(found or ())).alias("order"), made.alias("m"))
+        found = [*(found or []), one]
+    every = found[0].unionByName(found[1]).unionByName(found[2])
+    return every.groupBy("document_id").agg(F.min_by("m", "order").alias("m")).select("document_id", "m.*")
 
 
 def model_answers(documents: DataFrame, fields: DataFrame, json: str = "answer") -> DataFrame:
     """Value and score of every field: objects as they are, bare texts with 0.5 (empty 0.0), missing ones empty with 0.0."""
     parsed = documents.select("document_id", F.from_json(json, "map<string,string>").alias("m"))
-    rows = parsed.crossJoin(F.broadcast(fields.select("field_name")))  # a type's few fields
+    rows = beside(parsed, fields.select("field_name"))
     raw = F.col("m")[F.col("field_name")]
     inner = F.get_json_object(raw, "$.value")
     is_object = raw.startswith("{")
@@ -230,36 +302,58 @@ def replace_indexes(indexes: DataFrame, news: DataFrame) -> DataFrame:
     return kept.unionByName(fresh.select(*kept.columns))
 
 
+#: What a service may answer for yes and no.
+YES, NO = ("true", "1", "ok", "found", "valid", "yes"), ("false", "0", "not_found", "invalid", "no")
+
+
+def _asked(indexes: DataFrame, definitions: DataFrame, replies: DataFrame) -> DataFrame:
+    asked = indexes.join(definitions.hint("merge"), ["doctype", "field_name"]).join(replies.hint("merge"), ["name", "value"], "left")
+    told = F.call_function("get_json_object", F.col("reply"), F.concat(F.lit("$."), F.col("status_key")))
+    word = F.lower(F.trim(told))
+    by_key = F.when(F.coalesce(word, F.lit("")) == "", "INVALID").when(word.isin(*NO), "INVALID").otherwise("VALID")
+    bare = F.trim("reply")
+    some = F.when(bare.isin("", "null", "{}", "[]", "false", "0", '""'), "UNKNOWN").otherwise("VALID")
+    keyed = (F.coalesce("status_key", F.lit("")) != "") & bare.startswith("{")
+    return asked.withColumn("state", F.when(F.col("reply").isNull(), "ERROR").when(keyed, by_key).otherwise(some))
+
+
 def enrich(indexes: DataFrame, definitions: DataFrame, replies: DataFrame) -> DataFrame:
-    """Rows that enrichment adds: a status row `<field>__consolidation_status` and a row for each mapped entry of a valid reply.
+    """Rows that enrichment adds: a status row `<field>__consolidation_status` and a row for each mapped entry of a reply.
 
-    indexes: document_id, doctype, field_name, value. definitions: name, doctype, field_name, status_key, mapping (name -> key).
-    replies: name, value, reply (JSON); a missing reply is an error, one without a readable status is unknown.
+    indexes: document_id, doctype, field_name, value. definitions: name, doctype, field_name, status_key, mapping (name -> key), on_failure (skip or
+    error). replies: name, value, reply (JSON); a missing reply is an error. With a status key the reply's value there decides, else whether there is
+    a reply at all. A document for which a definition of mode `error` fails gets no rows: see `enrichment_failures`.
     """
-    asked = indexes.join(definitions, ["doctype", "field_name"]).join(replies, ["name", "value"], "left")
-    told = F.call_function("get_json_object", F.col("reply"), F.concat(F.lit("$."), F.col("status_key")))
-    state = F.when(F.col("reply").isNull(), "ERROR").when(F.lower(told).isin("valid", "ok", "true", "1"), "VALID").when(F.lower(told).isin("invalid", "ko", "false", "0"), "INVALID").otherwise("UNKNOWN")
-    rows = asked.withColumn("state", state)
+    rows = _asked(indexes, definitions, replies)
+    stopped = rows.filter("state = 'ERROR' and lower(on_failure) = 'error'").select("document_id").distinct()
+    rows = rows.join(stopped.hint("merge"), "document_id", "left_anti")
     flags = rows.select("document_id", F.concat("field_name", F.lit("__consolidation_status")).alias("index_name"), F.col("state").alias("index_value"))
-    data = rows.filter("state = 'VALID'").select("document_id", "reply", F.explode("mapping").alias("index_name", "k"))
+    data = rows.filter("state <> 'ERROR'").select("document_id", "reply", F.explode("mapping").alias("index_name", "k")).filter("trim(index_name) <> ''")
     return flags.unionByName(data.select("document_id", "index_name", F.call_function("get_json_object", F.col("reply"), F.concat(F.lit("$."), F.col("k"))).alias("index_value")).filter("index_value is not null"))
 
 
+def enrichment_failures(indexes: DataFrame, definitions: DataFrame, replies: DataFrame) -> DataFrame:
+    """document_id, message and whether the failure stops the document, for every failed call."""
+    failed = _asked(indexes, definitions, replies).filter("state = 'ERROR'")
+    return failed.select("document_id", F.format_string("WS '%s' pour '%s'", "name", "field_name").alias("message"), F.coalesce(F.lower("on_failure") == "error", F.lit(False)).alias("stops"))
+
+
 def propagated(transactions: DataFrame, fields: DataFrame, now: Column, zone_name: str = "Europe/Paris") -> DataFrame:
-    """Values of propagated fields: a token, else the context's value (exact key, then any case), else the default.
+    """Values of propagated fields: of type computed a token, of type context the context's value (exact key, then any case), else the default.
 
-    transactions: transaction_id, config_name, context (map). fields: field_name, source, default_value.
+    transactions: transaction_id, config_name, context (map). fields: field_name, source_type, source, default_value.
     """
     local = F.from_utc_timestamp(now, zone_name)
-    rows = transactions.crossJoin(F.broadcast(fields))  # a config's few fields
-    s = F.lower(F.trim("source"))
+    rows = beside(transactions, fields)
+    kind, s = F.lower(F.trim("source_type")), F.lower(F.trim("source"))
+    blank = lambda c: F.when(F.trim(c) != "", c)
     tokens = (
-        F.when(s == "@today", F.date_format(local, "yyyy-MM-dd")).when(s == "@now", F.date_format(local, "HH:mm:ss")).when(s == "@datetime", F.date_format(local, "yyyy-MM-dd HH:mm:ss"))
-        .when(s == "@year_month", F.date_format(local, "yyyy-MM")).when(s == "@transaction_id", F.col("transaction_id").cast("string")).when(s == "@config_name", F.col("config_name"))
+        F.when(s == "@today", F.date_format(local, "yyyy_MM_dd")).when(s.isin("@now", "@datetime"), F.date_format(local, "dd/MM/yyyy HH:mm:ss"))
+        .when(s == "@year_month", F.date_format(local, "yyyy-MM")).when(s == "@transaction_id", blank(F.col("transaction_id").cast("string"))).when(s == "@config_name", blank(F.col("config_name")))
     )
-    loose = F.try_element_at(F.map_values(F.map_filter("context", lambda k, v: F.lower(k) == s)), F.lit(1))
-    found = F.coalesce(F.nullif(F.col("context")[F.col("source")], F.lit("")), F.nullif(loose, F.lit("")))
-    return rows.select("transaction_id", "field_name", F.coalesce(tokens, found, "default_value", F.lit("")).alias("value"))
+    loose = F.try_element_at(F.map_values(F.map_filter("context", lambda k, v: (F.lower(k) == s) & (F.trim(v) != ""))), F.lit(1))
+    found = F.when(kind == "computed", tokens).when(kind == "context", F.coalesce(blank(F.col("context")[F.trim("source")]), loose))
+    return rows.select("transaction_id", "field_name", F.coalesce(found, "default_value", F.lit("")).alias("value"))
 
 
 def metadata_upsert(metadata: DataFrame, news: DataFrame) -> DataFrame:

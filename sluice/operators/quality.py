@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def repeated(rows: DataFrame, *key: str) -> DataFrame:
@@ -21,28 +22,33 @@ def dangling(rows: DataFrame, key: str, parents: DataFrame, parent_key: str) ->
     return rows.filter(F.col(key).isNotNull()).join(known, F.col(key) == F.col("__known"), "left_anti")
 
 
+#: What a definition may say.
+METHODS, AUTH_TYPES, ON_FAILURE, TIMEOUTS, DEFAULT_TIMEOUT = ("GET", "POST"), ("none", "header", "query"), ("skip", "error"), (1, 30), 5
+
+
 def definition_faults() -> Column:
-    """What is wrong with an enrichment definition, as an array of codes.
+    """What is wrong with an enrichment definition, as an array of codes; missing values are taken as the defaults.
 
-    Columns: name, url, method, target_doctype, target_field, on_failure, mapping (map), timeout_s, status_key, and repeats (rows with its name).
+    Columns: name, url, method, auth_type, auth_key, on_failure, timeout_s (text), target (`@doctype:field`), and nth (which of its name it is).
     """
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    auth = F.lower(F.coalesce("auth_type", F.lit("none")))
+    timeout = F.coalesce(F.col("timeout_s").try_cast("int"), F.lit(DEFAULT_TIMEOUT))
     checks = {
         "name": blank("name"),
-        "name_repeated": F.col("repeats") > 1,
+        "name_repeated": ~blank("name") & (F.col("nth") > 1),
         "url": ~F.coalesce(F.col("url"), F.lit("")).rlike("^https?://"),
-        "method": ~F.coalesce(F.upper("method"), F.lit("")).isin("GET", "POST"),
-        "target_doctype": blank("target_doctype"),
-        "target_field": blank("target_field"),
-        "on_failure": ~F.coalesce(F.col("on_failure"), F.lit("")).isin("skip", "abort"),
-        "mapping": F.coalesce(F.size("mapping"), F.lit(0)) < 1,
-        "timeout": ~F.coalesce(F.col("timeout_s").between(1, 300), F.lit(False)),
-        "status_key": blank("status_key"),
+        "method": ~F.upper(F.coalesce("method", F.lit("GET"))).isin(*METHODS),
+        "auth_type": ~auth.isin(*AUTH_TYPES),
+        "auth_key": auth.isin(*AUTH_TYPES[1:]) & blank("auth_key"),
+        "on_failure": ~F.lower(F.coalesce("on_failure", F.lit("skip"))).isin(*ON_FAILURE),
+        "timeout": ~timeout.between(*TIMEOUTS),
+        "target": ~F.coalesce(F.trim("target"), F.lit("")).rlike(r"^@*\s*[^:\s][^:]*:\s*\S"),
     }
     return F.filter(F.array(*[F.when(bad, F.lit(code)) for code, bad in checks.items()]), lambda x: x.isNotNull())
 
 
 def bad_definitions(definitions: DataFrame) -> DataFrame:
-    names = definitions.groupBy("name").agg(F.count("*").alias("repeats"))
-    out = definitions.join(names, definitions["name"].eqNullSafe(names["name"]), "left").drop(names["name"])
-    return out.withColumn("faults", definition_faults()).filter(F.size("faults") > 0)
+    """Definitions with faults. Of equal names all but the first by position are repeats."""
+    nth = F.row_number().over(Window.partitionBy("name").orderBy("position"))
+    return definitions.withColumn("nth", nth).withColumn("faults", definition_faults()).filter(F.size("faults") > 0)

@@ -108,14 +108,20 @@ def split_documents(groups: DataFrame) -> DataFrame:
 
 
 def detected(answers: DataFrame, least: float = 0.4, json: str = "answer") -> DataFrame:
-    """Sub-documents that a detector saw: identity labels, a box within the page, enough confidence (1 where none is given)."""
-    schema = "struct<items:array<struct<label:string,confidence:double,x0:double,y0:double,x1:double,y1:double>>>"
-    rows = answers.select("document_id", F.inline(F.from_json(json, schema)["items"]))
-    label = F.lower(F.translate("label", "éèêëàâîïôûùç", "eeeeaaiiouuc"))
+    """Sub-documents that a detector saw: identity labels, a box of some size on the page, enough confidence (1 where none can be read).
+
+    The answer holds documents of type, confidence and bbox (x, y, w, h in percent, as numbers or text).
+    """
+    schema = "struct<documents:array<struct<type:string,confidence:string,bbox:struct<x:string,y:string,w:string,h:string>>>>"
+    rows = answers.select("document_id", F.inline(F.from_json(json, schema)["documents"]))
+    label = F.lower(F.trim(F.coalesce("type", F.lit("document"))))
     named = F.exists(F.array(*[F.lit(x) for x in IDENTITY]), lambda x: F.contains(label, x))
-    box = (F.least("x0", "y0", "x1", "y1") >= 0) & (F.greatest("x0", "y0", "x1", "y1") <= 100) & (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))
-    kept = rows.filter(named & box & (F.coalesce("confidence", F.lit(1.0)) >= least))
-    return kept.withColumn("is_multi", F.count("*").over(Window.partitionBy("document_id")) > 1)
+    read = {c: F.col(f"bbox.{c}").try_cast("double") for c in "xywh"}
+    rows = rows.withColumns({"confidence": F.coalesce(F.col("confidence").try_cast("double"), F.lit(1.0)), **read})
+    box = F.col("x").between(0, 100) & F.col("y").between(0, 100) & (F.col("w") > 0) & (F.col("w") <= 100) & (F.col("h") > 0) & (F.col("h") <= 100)
+    kept = rows.filter(named & box & (F.col("confidence") >= least))
+    out = kept.select("document_id", F.coalesce("type", F.lit("document")).alias("label"), F.round("confidence", 3).alias("confidence"), *[F.round(c, 1).alias(c) for c in "xywh"])
+    return out.withColumn("is_multi", F.count("*").over(Window.partitionBy("document_id")) > 1)
 
 
 def needs_barcodes(documents: DataFrame, configs: DataFrame, fields: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sluice.functions.unicode import normal_form
+
 
 def flat_lines(documents: DataFrame, pages: str = "pages") -> DataFrame:
     """Nested pages of base64 lines as rows: document_id, page, line_no, text, x0, y0, x1, y1. Undecodable and empty lines are left out."""
@@ -59,11 +61,18 @@ def word_lines(words: DataFrame, least: int = 30) -> DataFrame:
     return grouped.withColumn("text", F.array_join(F.transform("w", lambda x: x["text"]), " ")).drop("w")
 
 
-def choose_engine(lines: DataFrame, enough: int = 500) -> DataFrame:
-    """local or remote for each document: local if its text is long enough, or longer than the remote one. lines: engine, text."""
+def choose_engine(lines: DataFrame, enough: int = 500, failed: DataFrame | None = None) -> DataFrame:
+    """local or remote for each document: local if its text is long enough, longer than the remote one, or the remote engine failed.
+
+    lines: document_id, engine, text; failed: document_id of failed remote readings. A remote reading without text wins over a local one without.
+    """
     size = lambda e: F.coalesce(F.sum(F.when(F.col("engine") == e, F.length("text"))), F.lit(0)).alias(e)
     scores = lines.groupBy("document_id").agg(size("local"), size("remote"))
-    return scores.withColumn("engine", F.when(F.col("local") >= enough, "local").when((F.col("remote") > 0) & (F.col("remote") >= F.col("local")), "remote").otherwise("local"))
+    ok = F.lit(True)
+    if failed is not None:
+        scores = scores.join(failed.select("document_id").distinct().withColumn("__failed", F.lit(True)), "document_id", "left")
+        ok = F.col("__failed").isNull()
+    return scores.select("document_id", "local", "remote", F.when(F.col("local") >= enough, "local").when(ok & (F.col("remote") >= F.col("local")), "remote").otherwise("local").alias("engine"))
 
 
 def page_kind(n_chars: Column, has_image: Column) -> Column:
@@ -97,20 +106,29 @@ def barcodes_by_page(barcodes: DataFrame) -> DataFrame:
     return barcodes.groupBy("document_id", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "value", "format"))), lambda x: F.struct(x["value"].alias("value"), x["format"].alias("format"))).alias("barcodes"))
 
 
-def structural(text: Column) -> Column:
-    """Page marks as spaces, spaces and line ends evened out."""
-    t = F.regexp_replace(text, r"\[PAGE\s+\d+\]", " ")
+def clean(text: Column) -> Column:
+    """Compatibility forms made plain (NFKC), spaces and line ends evened out. Only texts beyond ASCII go to Python."""
+    t = F.coalesce(normal_form(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
     t = F.regexp_replace(F.regexp_replace(t, r"\r\n?", "\n"), r"[ \t]+", " ")
-    return F.trim(F.regexp_replace(t, r"\n{3,}", "\n\n"))
+    return F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+
+
+def structural(text: Column) -> Column:
+    """Page marks as spaces."""
+    return F.regexp_replace(text, r"\[PAGE\s+\d+\]", " ")
+
+
+def for_vectors(text: Column, most: int) -> Column:
+    return smart_cut(structural(clean(text)), most)
 
 
 def smart_cut(text: Column, most: int, least_share: float = 0.6) -> Column:
-    """At most `most` characters, ended at the last full stop or line end, if that is far enough on."""
+    """At most `most` characters, ended before the last full stop or line end, if that is far enough on."""
     cut = F.substring(text, 1, most)
     back = F.reverse(cut)
-    at = lambda c: F.when(F.locate(c, back) > 0, F.length(cut) - F.locate(c, back) + 1).otherwise(0)
+    at = lambda c: F.when(F.locate(c, back) > 0, F.length(cut) - F.locate(c, back)).otherwise(0)
     last = F.greatest(at("."), at("\n"))
-    return F.when(F.length(text) <= most, text).when(last > most * least_share, F.trim(F.substring(cut, F.lit(1), last))).otherwise(cut)
+    return F.when(F.length(text) <= most, text).when(last > most * least_share, F.substring(cut, F.lit(1), last)).otherwise(cut)
 
 
 def token_chunks(documents: DataFrame, size: int = 800, step: int = 680) -> DataFrame:

@@ -30,10 +30,10 @@ def e1_field_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @BOOK.query(f"""
-WITH {LINES}, h AS (SELECT 'mail' AS field_name, * FROM {_candidates(MAIL)} UNION ALL SELECT 'ip', * FROM {_candidates(ADDRESS)} UNION ALL SELECT 'licence', * FROM {_candidates(LICENCE)})
+WITH {LINES}, h AS (SELECT 'mail' AS field_name, * FROM {_candidates('(?i)' + MAIL)} UNION ALL SELECT 'ip', * FROM {_candidates(ADDRESS)} UNION ALL SELECT 'licence', * FROM {_candidates(LICENCE)})
 SELECT document_id, field_name, arg_min(value, page * 1000000 + line_no) AS value FROM h GROUP BY document_id, field_name""")
 def e2_regex_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.regex_fields(lines(spark, sf_dir), {"mail": MAIL, "ip": ADDRESS, "licence": LICENCE})
+    return E.regex_fields(lines(spark, sf_dir), {"mail": f"/{MAIL}/i", "ip": ADDRESS, "licence": f"/{LICENCE}/"})
 
 
 @BOOK.query(f"WITH {LINES} SELECT document_id, arg_min(value, page * 1000000 + line_no) AS value FROM {_candidates('[A-Z][a-z]+')} WHERE x1 BETWEEN 20 AND 90 AND y0 BETWEEN 20 AND 60 GROUP BY document_id")
@@ -42,10 +42,15 @@ def e3_zone_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @BOOK.query(rf"""
-WITH {LINES}, t AS (SELECT document_id, page, line_no, term, substr(text, strpos(lower(text), w) + length(w)) AS rest FROM v_lines, (VALUES (0, 'under the'), (1, 'the')) a(term, w) WHERE strpos(lower(text), w) > 0),
-m AS (SELECT document_id, page, line_no, term, regexp_extract(rest, '[A-Z][a-z]+') AS value, rest FROM t WHERE regexp_matches(rest, '[A-Z][a-z]+')),
-n AS (SELECT * FROM m WHERE length(regexp_extract(rest, '^(?s:.*?)([A-Z][a-z]+)', 0)) - length(value) <= 60)
-SELECT document_id, page, arg_min(value, term * 1000000 + line_no) AS value FROM n GROUP BY document_id, page""")
+WITH {LINES},
+l AS (SELECT document_id, page, line_no, string_split_regex(text, '[A-Z][a-z]+') AS gaps, regexp_extract_all(text, '[A-Z][a-z]+') AS found, text FROM v_lines),
+m AS (SELECT document_id, page, line_no, found[i] AS value, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS st
+      FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM l)),
+k AS (SELECT document_id, page, line_no, term, length(w) AS n, list_sum(list_transform(parts[1:j], lambda x: length(x))) + (j - 1) * length(w) AS mark
+      FROM (SELECT *, unnest(range(1, len(parts))) AS j FROM (SELECT l.*, term, w, string_split(lower(text), w) AS parts FROM l, (VALUES (0, 'under the'), (1, 'the')) a(term, w)))),
+p AS (SELECT k.document_id, k.page, value, row_number() OVER (PARTITION BY k.document_id, k.page ORDER BY term, st - mark - n, k.line_no, mark, st) AS r
+      FROM k JOIN m ON k.document_id = m.document_id AND k.line_no = m.line_no WHERE st >= mark + n AND st - mark - n <= 60)
+SELECT document_id, page, value FROM p WHERE r = 1""")
 def e4_anchor_same_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.same_line(lines(spark, sf_dir), "[A-Z][a-z]+", "the, under the", "right", 20)
 
@@ -61,11 +66,18 @@ def e5_anchor_nearest_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @BOOK.query(rf"""
-WITH {LINES}, t AS (SELECT document_id, page, line_no, term, substr(text, strpos(lower(text), w) + length(w)) AS rest FROM v_lines, (VALUES (0, 'under the'), (1, 'and')) a(term, w) WHERE strpos(lower(text), w) > 0),
-v AS (SELECT *, trim(regexp_replace(trim(regexp_replace(rest, '^[ \t:：;,\-—–=. ]+', '')), '(?s)\s+[A-Za-zÀ-ÿ.]+(?:\s+[A-Za-zÀ-ÿ.]+){{0,3}}\s*:.*$', '')) AS value FROM t)
-SELECT document_id, page, arg_min(value, term * 1000000 + line_no) AS value FROM v WHERE value <> '' GROUP BY document_id, page""")
+WITH {LINES}, t AS (SELECT document_id, page, line_no, term, substr(text, strpos(lower(text), w) + length(w)) AS rest FROM v_lines, (VALUES (0, 'apache license'), (1, 'reserved.')) a(term, w) WHERE strpos(lower(text), w) > 0),
+v AS (SELECT *, trim(regexp_replace(trim(ltrim(rest, ' ' || chr(9) || ':：;,-—–=.' || chr(160)), E' \n\r\t'), '(?s)\s+(?:[\p{{L}}.]+\s+){{0,3}}[\p{{L}}.]+\s*:.*', '')) AS value FROM t),
+own AS (SELECT document_id, page, arg_min(value, term * 1000000 + line_no) AS value FROM v WHERE value <> '' GROUP BY document_id, page),
+i AS (SELECT *, trim(ltrim(text, ' ' || chr(9) || ':：;,-—–=.' || chr(160)), E' \n\r\t') AS value FROM v_lines),
+near AS (
+  SELECT i.document_id, i.page, i.value, row_number() OVER (PARTITION BY i.document_id, i.page ORDER BY round(sqrt(pow((i.x0 + i.x1 - a.x0 - a.x1) / 2, 2) + pow((i.y0 + i.y1 - a.y0 - a.y1) / 2, 2)) + CASE WHEN i.y0 <= a.y1 THEN 1000 ELSE 0 END
+         + abs((i.y0 + i.y1 - a.y0 - a.y1) / 2) * 5, 6), a.line_no, i.line_no) AS r
+  FROM v_lines a JOIN i ON a.document_id = i.document_id AND a.page = i.page AND a.line_no <> i.line_no
+  WHERE (contains(lower(a.text), 'apache license') OR contains(lower(a.text), 'reserved.')) AND i.value <> '' AND (a.document_id, a.page) NOT IN (SELECT (document_id, page) FROM own))
+SELECT * FROM own UNION ALL SELECT document_id, page, value FROM near WHERE r = 1""")
 def e6_anchor_rest_of_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.after_anchor(lines(spark, sf_dir), "and|under the")
+    return E.after_anchor(lines(spark, sf_dir), "reserved.|Apache License", "below")
 
 
 @BOOK.query(f"""
@@ -121,17 +133,28 @@ def e9_page_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _across(spark, sf_dir)
 
 
-@BOOK.query()
+@BOOK.query("""
+SELECT c_custkey AS document_id, CASE c_custkey % 3 WHEN 0 THEN 'TD3' WHEN 1 THEN 'TD1' ELSE 'TD2' END AS format, CASE c_custkey % 3 WHEN 0 THEN 'P' WHEN 1 THEN 'I' ELSE 'V' END AS document_type, 'UTO' AS country,
+       lpad(c_custkey::VARCHAR, 9, '0') AS number, 'FRA' AS nationality, '740812' AS born, 'F' AS sex, '320415' AS expires, 'CUSTOMER' AS surname, 'ANNA MARIA' AS given, c_custkey % 7 <> 0 AS valid FROM customer""")
 def e10_machine_readable_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passport zones are made from customers: a right check digit for most, a wrong one for every seventh."""
+    """Zones of all three formats are made from customers, as a reader might give them: with spaces, one line too long; every seventh has a wrong check digit."""
     k = F.col("c_custkey")
+    digit = lambda c: E.check_digit(c).cast("string")
     number = F.lpad(k.cast("string"), 9, "0")
-    digit = (E.check_digit(number) + F.when(k % 7 == 0, 1).otherwise(0)) % 10
-    born, till = F.lit("740812"), F.lit("120415")
-    two = F.concat(number, digit.cast("string"), F.lit("UTO"), born, E.check_digit(born).cast("string"), F.lit("F"), till, E.check_digit(till).cast("string"), F.lit("<" * 16))
-    one = F.rpad(F.concat(F.lit("P<UTO"), F.upper(F.regexp_replace("c_name", "[^A-Za-z]", "")), F.lit("<<ANNA<MARIA")), 44, "<")
-    rows = view(spark, sf_dir, "customer").select(k.alias("document_id"), F.lit(1).alias("page"), F.posexplode(F.array(F.lit("noise"), one, two)).alias("line_no", "text"))
-    return E.mrz(rows)
+    checked = F.concat(number, ((E.check_digit(number) + F.when(k % 7 == 0, 1).otherwise(0)) % 10).cast("string"))
+    born, till = F.concat(F.lit("740812"), digit(F.lit("740812"))), F.concat(F.lit("320415"), digit(F.lit("320415")))
+    names = F.concat(F.upper(F.regexp_replace("c_name", "[^A-Za-z]", "")), F.lit("<<ANNA MARIA"))
+    td3 = F.concat(checked, F.lit("FRA"), born, F.lit("F"), till, F.lit("<" * 14), F.lit("0"))
+    td2 = F.concat(checked, F.lit("FRA"), born, F.lit("F"), till, F.lit("<" * 7))
+    td1, two = F.concat(F.lit("I<UTO"), checked, F.lit("<" * 15)), F.concat(born, F.lit("F"), till, F.lit("FRA"), F.lit("<" * 11))
+    full = lambda c, n: F.rpad(c, n, "<")
+    rows = (
+        F.when(k % 3 == 0, F.array(F.lit("noise"), full(F.concat(F.lit("P<UTO"), names), 46), F.concat(td3, digit(F.concat(checked, born, till, F.lit("<" * 14), F.lit("0"))))))
+        .when(k % 3 == 1, F.array(td1, F.concat(two, digit(F.concat(checked, F.lit("<" * 15), born, till, F.lit("<" * 11)))), full(names, 30), F.lit("noise")))
+        .otherwise(F.array(full(F.concat(F.lit("V<UTO"), names), 36), F.concat(td2, digit(F.concat(checked, born, till, F.lit("<" * 7))))))
+    )
+    read = view(spark, sf_dir, "customer").select(k.alias("document_id"), F.lit(1).alias("page"), F.posexplode(rows).alias("line_no", "text"))
+    return E.mrz(read).drop("optional")
 
 
 @BOOK.query("""
@@ -195,27 +218,32 @@ def e15_index_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @BOOK.query("""
-WITH r AS (SELECT document_id, quantity::INTEGER AS q FROM v_documents)
-SELECT document_id, 'quantity__consolidation_status' AS index_name, CASE WHEN q % 4 = 0 THEN 'ERROR' WHEN q % 4 = 1 THEN 'VALID' WHEN q % 4 = 2 THEN 'INVALID' ELSE 'UNKNOWN' END AS index_value FROM r
-UNION ALL SELECT document_id, 'name', 'n' || q::VARCHAR FROM r WHERE q % 4 = 1""")
+WITH r AS (SELECT document_id, quantity::INTEGER AS q FROM v_documents),
+w AS (SELECT document_id, q, q % 9 AS k FROM r WHERE NOT (q % 9 = 0 AND q % 2 = 0))
+SELECT document_id, 'quantity__consolidation_status' AS index_name, CASE WHEN k = 0 THEN 'ERROR' WHEN k IN (1, 2, 5, 6) THEN 'VALID' ELSE 'INVALID' END AS index_value FROM w
+UNION ALL SELECT document_id, 'name', 'n' || q::VARCHAR FROM w WHERE k > 0""")
 def e16_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _indexes(spark, sf_dir).filter("index_type = 'extracted'").select("document_id", F.lit("any").alias("doctype"), F.col("index_name").alias("field_name"), F.col("index_value").alias("value"))
-    definition = view(spark, sf_dir, "region").filter("r_regionkey = 0").select(F.lit("check").alias("name"), F.lit("any").alias("doctype"), F.lit("quantity").alias("field_name"), F.lit("state").alias("status_key"), F.create_map(F.lit("name"), F.lit("n"), F.lit("gone"), F.lit("x")).alias("mapping"))
+    """Replies yes, found, no, not_found, later (a value that is not a no), true, false and none at all; of the failures, those of even values stop their document."""
     q = F.col("value").cast("int")
-    told = F.when(q % 4 == 1, '"OK"').when(q % 4 == 2, "false").otherwise('"later"')
-    replies = rows.select("value").distinct().filter(q % 4 != 0).select(F.lit("check").alias("name"), "value", F.concat(F.lit('{"state":'), told, F.lit(',"n":"n'), "value", F.lit('"}')).alias("reply"))
+    rows = _indexes(spark, sf_dir).filter("index_type = 'extracted'").select("document_id", F.concat(F.lit("t"), (F.col("index_value").cast("int") % 2).cast("string")).alias("doctype"), F.col("index_name").alias("field_name"), F.col("index_value").alias("value"))
+    k = F.col("r_regionkey")
+    definition = view(spark, sf_dir, "region").filter("r_regionkey < 2").select(F.lit("check").alias("name"), F.concat(F.lit("t"), k.cast("string")).alias("doctype"), F.lit("quantity").alias("field_name"), F.lit("state").alias("status_key"), F.create_map(F.lit("name"), F.lit("n"), F.lit("gone"), F.lit("x")).alias("mapping"), F.when(k == 0, "error").otherwise("skip").alias("on_failure"))
+    words = {1: '"yes"', 2: '" Found"', 3: '"no"', 4: '"not_found"', 5: '"later"', 6: "true", 7: "false", 8: '""'}
+    told = F.create_map(*[F.lit(x) for pair in words.items() for x in pair])[q % 9]
+    replies = rows.select("value").distinct().filter(q % 9 != 0).select(F.lit("check").alias("name"), "value", F.concat(F.lit('{"state":'), told, F.lit(',"n":"n'), "value", F.lit('"}')).alias("reply"))
     return E.enrich(rows, definition, replies)
 
 
 @BOOK.query("""
-SELECT o_orderkey AS transaction_id, f AS field_name, CASE f WHEN 'f0' THEN '2024-03-31' WHEN 'f1' THEN o_orderkey::VARCHAR WHEN 'f2' THEN CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE 'dflt' END WHEN 'f3' THEN '2024-03-31 03:30:00' ELSE o_orderstatus END AS value
+SELECT o_orderkey AS transaction_id, f AS field_name, CASE f WHEN 'f0' THEN '2024_03_31' WHEN 'f1' THEN o_orderkey::VARCHAR WHEN 'f2' THEN CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE 'dflt' END WHEN 'f3' THEN '31/03/2024 03:30:00' ELSE 'none' END AS value
 FROM orders, (VALUES ('f0'), ('f1'), ('f2'), ('f3'), ('f4')) v(f)""")
 def e17_propagated_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    context = F.create_map(F.lit("Prio"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).otherwise(""), F.lit("exact"), F.col("o_orderstatus"))
+    context = F.create_map(F.lit("Prio"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).otherwise(" "), F.lit("@today"), F.col("o_orderstatus"))
     tx = view(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("transaction_id"), F.lit("cfg").alias("config_name"), context.alias("context"))
     k = F.col("r_regionkey")
-    source = F.when(k == 0, "@today").when(k == 1, "@transaction_id").when(k == 2, "PRIO").when(k == 3, "@datetime").otherwise("exact")
-    fields = view(spark, sf_dir, "region").filter("r_regionkey < 5").select(F.concat(F.lit("f"), k.cast("string")).alias("field_name"), source.alias("source"), F.when(k == 2, "dflt").alias("default_value"))
+    source = F.when(k == 0, "@Today ").when(k == 1, "@transaction_id").when(k == 2, "PRIO").when(k == 3, "@now").otherwise("@today")
+    kind = F.when(k == 2, "Context").when(k == 4, "other").otherwise("computed")
+    fields = view(spark, sf_dir, "region").filter("r_regionkey < 5").select(F.concat(F.lit("f"), k.cast("string")).alias("field_name"), kind.alias("source_type"), source.alias("source"), F.when(k == 2, "dflt").when(k == 4, "none").alias("default_value"))
     return E.propagated(tx, fields, F.lit("2024-03-31 01:30:00").cast("timestamp"))
 
 
@@ -438,10 +466,14 @@ def l14_reclassification_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @BOOK.query("""
-SELECT p_partkey AS document_id, 0 AS n, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS field_name, CASE WHEN p_size % 2 = 0 THEN 'date' ELSE 'string' END AS field_type,
-       CASE WHEN p_size % 3 = 0 THEN 'left' ELSE '' END AS direction, CASE WHEN p_size % 5 = 0 THEN '' ELSE 'x+' END AS regexp, p_size % 5 = 0 AS use_ia FROM part""")
+SELECT p_partkey AS document_id, 0 AS n, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS field_name, CASE WHEN p_size % 2 = 0 THEN 'object' ELSE 'string' END AS field_type,
+       CASE WHEN p_size % 5 = 0 OR p_size % 7 = 0 THEN '' ELSE 'Total' END AS anchors, CASE WHEN p_size % 5 = 0 OR p_size % 7 = 0 THEN '' WHEN p_size % 3 = 0 THEN 'any' WHEN p_size % 3 = 1 THEN 'block' ELSE '' END AS direction,
+       CASE WHEN p_size % 5 = 0 THEN '' ELSE 'x+' END AS regexp, p_size % 5 = 0 AS use_ia FROM part""")
 def l15_proposed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("p_size")
-    one = F.struct(F.col("p_name").alias("field_name"), F.when(n % 2 == 0, "date").otherwise("blob").alias("field_type"), F.when(n % 3 == 0, "left").otherwise("up").alias("direction"), F.lit("x+").alias("regexp"), F.when(n % 5 == 0, "on").otherwise("0").alias("use_ia"))
-    two = F.struct(F.lit(" - ").alias("field_name"), F.lit("date").alias("field_type"), F.lit("").alias("direction"), F.lit("").alias("regexp"), F.lit("0").alias("use_ia"))
-    return L.proposed_fields(view(spark, sf_dir, "part").select(F.col("p_partkey").alias("document_id"), F.to_json(F.struct(F.array(one, two).alias("fields"))).alias("answer")))
+    field = lambda name, kind, anchors, direction, ia: F.struct(name.alias("field_name"), kind.alias("field_type"), anchors.alias("anchors"), direction.alias("direction"), F.lit(" x+").alias("regexp"), ia.alias("use_ia"))
+    one = field(F.col("p_name"), F.when(n % 2 == 0, "object").otherwise("amount"), F.when(n % 7 == 0, " ").otherwise("Total "), F.when(n % 3 == 0, "ANY").when(n % 3 == 1, "block").otherwise("up"), n % 5 == 0)
+    two = field(F.lit(" - "), F.lit("date"), F.lit(""), F.lit(""), F.lit(False))
+    answer = F.to_json(F.struct(F.array(one, two).alias("fields")))
+    fenced = F.when(n % 2 == 0, F.concat(F.lit("```json\n"), answer, F.lit("\n```\nDone."))).otherwise(answer)
+    return L.proposed_fields(view(spark, sf_dir, "part").select(F.col("p_partkey").alias("document_id"), fenced.alias("answer"))).drop("field_description")

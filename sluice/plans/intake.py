@@ -275,13 +275,16 @@ def b5_export_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @BOOK.query("""
-SELECT s_suppkey, array_to_string(list_filter([
-  CASE WHEN s_suppkey % 2 = 0 THEN 'name_repeated' END, CASE WHEN s_suppkey % 3 = 0 THEN 'url' END, CASE WHEN s_suppkey % 5 = 0 THEN 'method' END, CASE WHEN s_suppkey % 7 = 0 THEN 'timeout' END], lambda x: x IS NOT NULL), ',') AS faults
-FROM supplier WHERE s_suppkey % 2 = 0 OR s_suppkey % 3 = 0 OR s_suppkey % 5 = 0 OR s_suppkey % 7 = 0""")
+WITH d AS (SELECT s_suppkey AS k, row_number() OVER (PARTITION BY s_suppkey % 2 ORDER BY s_suppkey) AS nth FROM supplier)
+SELECT k AS s_suppkey, array_to_string(list_filter([
+  CASE WHEN k % 2 = 0 AND nth > 1 THEN 'name_repeated' END, CASE WHEN k % 3 = 0 THEN 'url' END, CASE WHEN k % 5 = 0 THEN 'method' END, CASE WHEN k % 13 = 0 THEN 'auth_key' END,
+  CASE WHEN k % 11 = 0 THEN 'on_failure' END, CASE WHEN k % 7 = 0 THEN 'timeout' END, CASE WHEN k % 17 = 0 THEN 'target' END], lambda x: x IS NOT NULL), ',') AS faults
+FROM d WHERE (k % 2 = 0 AND nth > 1) OR k % 3 = 0 OR k % 5 = 0 OR k % 7 = 0 OR k % 11 = 0 OR k % 13 = 0 OR k % 17 = 0""")
 def q5_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     rows = view(spark, sf_dir, "supplier").select(
-        "s_suppkey", F.when(k % 2 == 0, "same").otherwise(F.col("s_name")).alias("name"), F.when(k % 3 == 0, "ftp://x").otherwise("https://x").alias("url"), F.when(k % 5 == 0, "PUT").otherwise("get").alias("method"),
-        F.lit("d").alias("target_doctype"), F.lit("f").alias("target_field"), F.lit("skip").alias("on_failure"), F.create_map(F.lit("a"), F.lit("b")).alias("mapping"), F.when(k % 7 == 0, 0).otherwise(30).alias("timeout_s"), F.lit("s").alias("status_key"),
+        "s_suppkey", k.alias("position"), F.when(k % 2 == 0, "same").otherwise(F.col("s_name")).alias("name"), F.when(k % 3 == 0, "ftp://x").otherwise("https://x").alias("url"), F.when(k % 5 == 0, "PUT").otherwise("get").alias("method"),
+        F.when(k % 13 == 0, "Header").when(k % 2 == 0, "query").alias("auth_type"), F.when(k % 13 != 0, "key").alias("auth_key"), F.when(k % 17 == 0, "@type:").otherwise("@type:field").alias("target"),
+        F.when(k % 11 == 0, "abort").when(k % 2 == 0, "ERROR").alias("on_failure"), F.when(k % 7 == 0, "31").when(k % 2 == 0, "soon").otherwise("30").alias("timeout_s"),
     )
     return Q.bad_definitions(rows).select("s_suppkey", F.array_join("faults", ",").alias("faults"))

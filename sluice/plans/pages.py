@@ -98,9 +98,10 @@ def t6_word_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @BOOK.query(f"""
 WITH {LINES}, s AS (SELECT document_id, coalesce(sum(length(text)) FILTER (line_no % 2 = 0), 0)::BIGINT AS local, coalesce(sum(length(text)) FILTER (line_no % 2 = 1), 0)::BIGINT AS remote FROM v_lines GROUP BY document_id)
-SELECT document_id, local, remote, CASE WHEN local >= 500 THEN 'local' WHEN remote > 0 AND remote >= local THEN 'remote' ELSE 'local' END AS engine FROM s""")
+SELECT document_id, local, remote, CASE WHEN local >= 500 THEN 'local' WHEN remote >= local THEN CASE WHEN document_id % 7 = 0 THEN 'local' ELSE 'remote' END ELSE 'local' END AS engine FROM s""")
 def t7_engine_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.choose_engine(lines(spark, sf_dir).withColumn("engine", F.when(F.col("line_no") % 2 == 0, "local").otherwise("remote")))
+    read = lines(spark, sf_dir).withColumn("engine", F.when(F.col("line_no") % 2 == 0, "local").otherwise("remote"))
+    return T.choose_engine(read, failed=read.filter("document_id % 7 = 0").select("document_id"))
 
 
 @BOOK.query(f"WITH {PAGES} SELECT document_id, page, CASE WHEN length(text) < 20 AND i THEN 'SCAN' WHEN length(text) >= 200 THEN 'NATIVE' WHEN i THEN 'HYBRID' ELSE 'NATIVE' END AS kind FROM (SELECT *, (document_id + page) % 2 = 0 AS i FROM v_pages)")
@@ -139,11 +140,16 @@ def t11_barcodes_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @BOOK.query(r"""
-WITH s AS (SELECT doc_id, regexp_replace(text, '[ \t]+', ' ', 'g') AS t FROM documents), c AS (SELECT doc_id, t, substr(t, 1, 400) AS cut FROM s),
-k AS (SELECT *, greatest(CASE WHEN strpos(reverse(cut), '.') > 0 THEN length(cut) - strpos(reverse(cut), '.') + 1 ELSE 0 END, CASE WHEN strpos(reverse(cut), chr(10)) > 0 THEN length(cut) - strpos(reverse(cut), chr(10)) + 1 ELSE 0 END) AS last FROM c)
-SELECT doc_id, CASE WHEN length(t) <= 400 THEN t WHEN last > 240 THEN trim(substr(cut, 1, last)) ELSE cut END AS text FROM k""")
+WITH n AS (SELECT doc_id, doc_id::VARCHAR || chr(13) || chr(10) || CASE WHEN doc_id % 3 = 0 THEN 'fi ABC 12 ' ELSE '' END || nfc_normalize(text) AS t FROM documents),
+s AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(replace(t, chr(13) || chr(10), chr(10)), '\r', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), E' \n\t') AS t FROM n),
+c AS (SELECT doc_id, '  ' || t AS t, substr('  ' || t, 1, 400) AS cut FROM s),
+k AS (SELECT *, greatest(CASE WHEN strpos(reverse(cut), '.') > 0 THEN length(cut) - strpos(reverse(cut), '.') ELSE 0 END, CASE WHEN strpos(reverse(cut), chr(10)) > 0 THEN length(cut) - strpos(reverse(cut), chr(10)) ELSE 0 END) AS last FROM c)
+SELECT doc_id, CASE WHEN length(t) <= 400 THEN t WHEN last > 240 THEN substr(cut, 1, last) ELSE cut END AS text FROM k""")
 def t12_normalised_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "documents").select("doc_id", T.structural(F.concat(F.lit("[PAGE 1] "), "text")).alias("t")).select("doc_id", T.smart_cut(F.col("t"), 400).alias("text"))
+    """Every third text begins with a ligature, wide letters and a small digit, which NFKC makes plain."""
+    odd = F.when(F.col("doc_id") % 3 == 0, "ﬁ ＡＢＣ 1² ").otherwise("")
+    raw = F.concat(F.lit("[PAGE 1] "), F.col("doc_id").cast("string"), F.lit("\r\n"), odd, "text")
+    return view(spark, sf_dir, "documents").select("doc_id", T.for_vectors(raw, 400).alias("text"))
 
 
 @BOOK.query("""
@@ -159,9 +165,9 @@ def t13_token_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.token_chunks(view(spark, sf_dir, "documents").withColumnRenamed("doc_id", "document_id")).select("document_id", "chunk_no", "chunk_id")
 
 
-@BOOK.query("SELECT doc_id, regexp_replace(regexp_replace(translate(lower(substr(text, 1, 60)), 'àâäáãåçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS name FROM documents")
+@BOOK.query("SELECT doc_id, regexp_replace(regexp_replace(translate(lower(text), 'àâäáãåçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS name FROM documents")
 def t14_snake_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "documents").select("doc_id", T.snake_case(F.substring("text", 1, 60)).alias("name"))
+    return view(spark, sf_dir, "documents").select("doc_id", T.snake_case(F.col("text")).alias("name"))
 
 
 @BOOK.query("SELECT event_id, CASE event_id % 4 WHEN 3 THEN '{}' ELSE props END AS answer FROM events")
@@ -244,15 +250,19 @@ def p6_split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @BOOK.query("""
 WITH i AS (
-  SELECT event_id, CASE WHEN k = 0 THEN 'Passeport' WHEN k = 1 THEN 'face' ELSE 'Carte d''identité' END AS label, CASE WHEN k = 2 THEN NULL ELSE (event_id % 10) / 10.0 END AS conf, event_id % 5 AS a, k FROM events, (VALUES (0), (1), (2)) v(k)),
-g AS (SELECT event_id, label FROM i WHERE label <> 'face' AND coalesce(conf, 1) >= 0.4 AND (k = 0 OR a <> 0))
-SELECT event_id AS document_id, label, count(*) OVER (PARTITION BY event_id) > 1 AS is_multi FROM g""")
+  SELECT event_id, k, CASE k WHEN 0 THEN 'Passeport' WHEN 1 THEN 'face' WHEN 2 THEN 'ID Card (back)' ELSE 'Visa' END AS label,
+         CASE k WHEN 2 THEN 1.0 ELSE (event_id % 10) / 10.0 END::DOUBLE AS confidence, CASE WHEN k = 2 AND event_id % 5 = 0 THEN 0 ELSE 40 END::DOUBLE AS w, CASE WHEN k = 3 THEN 100.5 ELSE 12.34 END AS x
+  FROM events, (VALUES (0), (1), (2), (3)) v(k))
+SELECT event_id AS document_id, label, confidence, 12.3::DOUBLE AS x, w, count(*) OVER (PARTITION BY event_id) > 1 AS is_multi FROM i WHERE label <> 'face' AND confidence >= 0.4 AND w > 0 AND x <= 100""")
 def p7_detected_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of four boxes for each event one is a face, one sometimes has no width, one lies off the page."""
     e = F.col("event_id")
     conf = ((e % 10) / 10.0).cast("string")
-    item = lambda label, c, x1: F.concat(F.lit(f'{{"label":"{label}","confidence":'), c, F.lit(',"x0":0,"y0":0,"x1":'), x1, F.lit(',"y1":50}'))
-    answer = F.concat(F.lit('{"items":['), item("Passeport", conf, F.lit("50")), F.lit(","), item("face", conf, F.lit("50")), F.lit(","), item("Carte d'identité", F.lit("null"), F.when(e % 5 == 0, "0").otherwise("100")), F.lit("]}"))
-    return P.detected(view(spark, sf_dir, "events").select(e.alias("document_id"), answer.alias("answer"))).select("document_id", "label", "is_multi")
+    item = lambda label, c, x, w: F.concat(F.lit(f'{{"type":"{label}","confidence":'), c, F.lit(f',"bbox":{{"x":{x},"y":"5","w":'), w, F.lit(',"h":50}}'))
+    some = F.lit("40")
+    items = F.concat_ws(",", item("Passeport", conf, 12.34, some), item("face", conf, 12.34, some), item("ID Card (back)", F.lit('"high"'), 12.34, F.when(e % 5 == 0, "0").otherwise("40")), item("Visa", conf, 100.5, some))
+    answer = F.concat(F.lit('{"documents":['), items, F.lit("]}"))
+    return P.detected(view(spark, sf_dir, "events").select(e.alias("document_id"), answer.alias("answer"))).select("document_id", "label", "confidence", "x", "w", "is_multi")
 
 
 @BOOK.query("SELECT transaction_id FROM v_transactions WHERE config_id IN (SELECT c_mktsegment FROM customer JOIN part ON p_partkey = c_custkey WHERE p_size > 49 AND c_custkey % 7 = 0)")

@@ -17,11 +17,12 @@ def deposits(spark: SparkSession, folder: str, schema: str = SCHEMA, files_per_b
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(folder)
 
 
-def accepted(stream: DataFrame, window_seconds: int = 3_600) -> DataFrame:
-    """Deposits that pass the temporal rule, in order of arrival for each (config, path).
+def accepted(stream: DataFrame, window_seconds: int = 3_600, late_seconds: int = 3_600) -> DataFrame:
+    """Deposits that pass the temporal rule, in order of their time for each (config, path).
 
-    The state of a key is the time of its last accepted deposit; it is dropped when no deposit has come for a window,
-    since the next one is then accepted whatever the state was.
+    The state of a key is the time of its last accepted deposit. Time is the deposits' own: `late_seconds` is how far behind the newest one a deposit
+    may come, and a state is dropped once no deposit within its window can come any more. A key's rows of a trigger may reach
+    the rule in several frames, so they are put in order together first.
     """
 
     def rule(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -30,19 +31,18 @@ def accepted(stream: DataFrame, window_seconds: int = 3_600) -> DataFrame:
             return
         last = state.get[0] if state.exists else None
         rows: list[tuple[Any, ...]] = []
-        for frame in frames:
-            for row in frame.sort_values(["seen_at", "event_id"]).itertuples():
-                micros = row.seen_at.value // 1_000
-                if last is None or micros - last >= window_seconds * 1_000_000:
-                    last = micros
-                    rows.append((*key, row.event_id))
+        for row in pd.concat(list(frames)).sort_values(["seen_at", "event_id"]).itertuples():
+            micros = row.seen_at.value // 1_000
+            if last is None or micros - last >= window_seconds * 1_000_000:
+                last = micros
+                rows.append((*key, row.event_id))
         if last is not None:
             state.update((last,))
-            state.setTimeoutDuration(window_seconds * 1_000)
+            state.setTimeoutTimestamp(max(last // 1_000 + window_seconds * 1_000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(rows, columns=["config_id", "source_key", "event_id"])
 
-    return stream.groupBy("config_id", "source_key").applyInPandasWithState(
-        rule, outputStructType="config_id string, source_key string, event_id long", stateStructType="last long", outputMode="append", timeoutConf=GroupStateTimeout.ProcessingTimeTimeout
+    return stream.withWatermark("seen_at", f"{late_seconds} seconds").groupBy("config_id", "source_key").applyInPandasWithState(
+        rule, outputStructType="config_id string, source_key string, event_id long", stateStructType="last long", outputMode="append", timeoutConf=GroupStateTimeout.EventTimeTimeout
     )
 
 

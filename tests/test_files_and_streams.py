@@ -141,3 +141,39 @@ def test_mixed_extraction_and_summary(spark):
     found = {r.document_id: r for r in E.summary(values, fields, docs).collect()}
     assert found["d"].extraction_ok and found["d"].min_score == 0.95
     assert not found["e"].extraction_ok and found["e"].missing_required == "date"
+
+
+def test_stream_over_many_files_and_a_pause(spark, tmp_path):
+    """Deposits of six days in files of their own, a few a trigger and a run for each half, give what the batch gives."""
+    from sluice.operators import admission as A
+    from sluice.streaming import admission as S
+
+    rows = _deposits(spark)
+    days = rows.withColumn("day", F.to_date("seen_at"))
+    first = sorted(r.day for r in days.select("day").distinct().collect())[:6]
+    some = days.filter(F.col("day").isin(first)).drop("day")
+    want = sorted(A.accepted(some, 7_200).collect())
+    for half in (first[:3], first[3:]):
+        for day in half:
+            rows.filter(F.to_date("seen_at") == F.lit(day)).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+            job = S.write_once(S.accepted(S.deposits(spark, str(tmp_path / "in"), files_per_batch=2), 7_200, 86_400), str(tmp_path / "out"), str(tmp_path / "check"))
+            job.awaitTermination(120)
+    assert want and sorted(spark.read.parquet(str(tmp_path / "out")).collect()) == want
+
+
+def test_stream_orders_rows_of_several_frames(spark, tmp_path):
+    """A key's rows in several frames, out of order between them, are judged in order."""
+    from datetime import datetime as D
+
+    from sluice.streaming import admission as S
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        (tmp_path / "in").mkdir()
+        times = [D(2024, 1, 1, h) for h in (9, 7, 5, 3, 1)]
+        (tmp_path / "in" / "a.json").write_text("\n".join(json.dumps({"event_id": i, "config_id": "c", "source_key": "k", "seen_at": t.isoformat() + "Z", "size": "1"}) for i, t in enumerate(times)))
+        S.write_once(S.accepted(S.deposits(spark, str(tmp_path / "in")), 3 * 3_600), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
+        # 1, 5 and 9 o'clock
+        assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 2, 4]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
