@@ -1,18 +1,23 @@
 """N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
-A text's set is its windows of five words (lower case; a shorter text is one window). Each tree of the forest orders the
-texts by a label of minimum hashes, so equal prefixes of labels are the nodes of a prefix trie. The matched
-prefix is shortened from the full label, one hash at a time, until pairs at the threshold are expected to meet in some tree
-with the target recall; at that depth, the texts below a trie node are candidates of each other.
+A text's set is its windows of five words (lower case; a shorter text is one window). Each tree of the forest is a prefix trie
+over labels of minimum hashes; a label is as long as the target recall allows, which is the prefix at which
+pairs at the threshold still meet in some tree with that recall. From the full label, each text's prefix is
+shortened, hash by hash, for as long as the node above holds at most WIDTH texts: where the forest is
+sparse, texts meet at short prefixes, and recall is close to 1; in crowded parts they meet at the full label. The sizes
+of a node's ancestors are the same for all texts in it, so all of them stop at the same node, and texts in one node
+are candidates of each other.
 
 Texts with equal sets are one class and counted once. A pair of classes is verified only in the first tree where it
-meets. A node with many classes is dealt into blocks, and each pair of blocks is a unit of work of bounded size;
+meets. A node with many classes or words is dealt into blocks, and each pair of blocks is a unit of work of bounded size;
 units exchange signatures first, and only classes with a pair to verify in a unit send their text there. Units give
 numbers of links and a spanning forest of the verified pairs, never the pairs themselves. Groups are the connected components.
+Where thousands of different texts share a full label, the work grows with the square of their number, as do their links.
 
 Edge cases: null, empty and wordless texts have no set, no links and are their own group; repeated doc_ids are
 ordinary rows; ties do not arise; a group's id is its least doc_id (null, if all are null); an empty table gives an empty result;
-other columns are passed on by `unique` and may have any names.
+other columns are passed on by `unique` and may have any names. `unique` keeps one row of a group, whatever the ids: that of the least
+doc_id, null ids last, then of the least hash of the row.
 """
 
 from __future__ import annotations
@@ -29,10 +34,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.llm import words as W
-from sluice.llm.common import free_name, partitions, stored
+from sluice.llm.common import free_name, identity, partitions, stored
 from sluice.llm.components import connected
 
-NGRAM, SIMILARITY, TREES, LABEL, RECALL, BLOCK = 5, 0.8, 12, 8, 0.99, 1_500
+NGRAM, SIMILARITY, TREES, LABEL, RECALL = 5, 0.8, 16, 8, 0.9995
+#: Texts that a node may hold for prefixes to be shortened to it; texts and words of a block.
+WIDTH, BLOCK, BLOCK_WORDS = 6, 1_500, 1_500_000
 
 
 def depth(similarity: float = SIMILARITY, trees: int = TREES, label: int = LABEL, recall: float = RECALL) -> int:
@@ -51,17 +58,18 @@ def ngrams(text: str, n: int = NGRAM) -> np.ndarray:
 
 
 def labels(grams: np.ndarray, trees: int, length: int) -> np.ndarray:
-    """The first `length` minimum hashes of each tree's label, folded into one number for each tree."""
+    """The nodes on each tree's path to the text's label, top down: a number for each prefix of `length` minimum hashes."""
     seeds = W.mix(np.arange(1, trees * length + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
     least = np.full(trees * length, np.iinfo(np.uint64).max)
     for at in range(0, len(grams), 4_096):
         part = grams[at : at + 4_096] >> np.uint64(3)
         for k, seed in enumerate(seeds):
             least[k] = min(least[k], (part * seed ^ (part >> np.uint64(29))).min())
-    out = np.zeros(trees, np.uint64)
-    for level in least.reshape(trees, length).T:
-        out = W.mix(out ^ level) + np.uint64(1)
-    return out
+    out = least.reshape(trees, length)
+    node = np.arange(trees, dtype=np.uint64)
+    for level in range(length):
+        out[:, level] = node = W.mix(node ^ out[:, level]) + np.uint64(1)
+    return out.ravel()
 
 
 def _signed(x: int) -> int:
@@ -71,12 +79,14 @@ def _signed(x: int) -> int:
 def _signatures(n: int, trees: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sets = [], []
+            keys, sets, sizes = [], [], []
             for text in batch["text"]:
                 grams = ngrams(text.as_py() or "", n)
                 keys.append(_signed(xxhash.xxh3_64_intdigest(grams.tobytes())) if len(grams) else None)
                 sets.append(labels(grams, trees, length).view(np.int64) if len(grams) else None)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["uid"], pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "uid", "class", "nodes"])
+                sizes.append(len(grams))
+            columns = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["uid"], *columns], names=["doc_id", "uid", "class", "words", "labels"])
 
     return run
 
@@ -195,35 +205,55 @@ def _packed(text: str) -> Column:
     return packed(text)
 
 
-def join(documents: DataFrame, *, n: int = NGRAM, similarity: float = SIMILARITY, trees: int = TREES, label: int = LABEL, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """doc_id, uid (hash of the row's id and text), class, copy_of, group_id and n_links for each row of documents.
+def meeting_nodes(labelled: DataFrame, trees: int, length: int, width: int = WIDTH) -> DataFrame:
+    """class, words, tree, node and m: where each class's prefix ends in each tree, and the classes there; only nodes with company.
 
-    copy_of is the least doc_id with the same set, group_id the least in the connected component of links, and
-    n_links the number of other sets that are similar enough.
+    labelled: class, words, labels of each class. A class goes up from its full label while the node above has at most `width` classes.
+    """
+    paths = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.slice("labels", t * length + 1, F.lit(length)))
+    members = labelled.select("class", "words", F.posexplode(paths).alias("tree", "path")).withColumn("top", F.col("path")[0])
+    tops = members.groupBy("top").agg(F.count("*").alias("m")).filter("m > 1")
+    members = stored(members.join(tops.hint("merge"), "top").select("class", "words", "tree", "path", "m"), "trie-members")
+    sparse = members.filter(F.col("m") <= width).select("class", "words", "tree", F.col("path")[0].alias("node"), "m")
+    if length == 1:
+        return members.select("class", "words", "tree", F.col("path")[0].alias("node"), "m")
+    below = members.filter(F.col("m") > width).select("class", "words", "tree", F.posexplode("path").alias("depth", "node")).filter("depth > 0")
+    sizes = below.groupBy("node").agg(F.count("*").alias("m"))
+    ends = below.join(sizes.hint("merge"), "node").filter((F.col("m") <= width) | (F.col("depth") == length - 1))
+    ends = ends.groupBy("class", "words", "tree").agg(F.min(F.struct("depth", "node", "m")).alias("end"))
+    return sparse.union(ends.select("class", "words", "tree", "end.node", "end.m")).filter("m > 1")
+
+
+def join(documents: DataFrame, *, n: int = NGRAM, similarity: float = SIMILARITY, trees: int = TREES, label: int = LABEL, recall: float = RECALL, width: int = WIDTH, block: int = BLOCK, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, uid (hash of the row's id and text), class, copy_of, group_id, kept_uid and n_links for each row of documents.
+
+    copy_of is the least doc_id with the same set, group_id the least in the connected component of links, kept_uid the
+    row that stands for it, and n_links the number of other sets that are similar enough.
     """
     spark = documents.sparkSession
     length = depth(similarity, trees, label, recall)
     id_type = documents.schema["doc_id"].dataType.simpleString()
-    uid = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00")), F.coalesce("text", F.lit("\x00")))
-    texts = documents.select("doc_id", uid.alias("uid"), "text")
-    signed = stored(texts.mapInArrow(_signatures(n, trees, length), f"doc_id {id_type}, uid long, class long, nodes array<long>"), "signatures")
+    texts = documents.select("doc_id", identity(F.col("doc_id"), F.col("text")).alias("uid"), "text")
+    signed = stored(texts.mapInArrow(_signatures(n, trees, length), f"doc_id {id_type}, uid long, class long, words long, labels array<long>"), "signatures")
     known = signed.filter("class is not null")
-    classes = known.groupBy("class").agg(F.min("doc_id").alias("copy_of"), F.min("uid").alias("rep"))
-
-    # nodes of the tries that hold more than one class
-    some = known.dropDuplicates(["class"]).select("class", "nodes")
-    below = some.select("class", F.posexplode("nodes").alias("tree", "node"))
-    crowded = below.groupBy("tree", "node").agg(F.count("*").alias("m")).filter("m > 1")
-    met = below.join(crowded.hint("merge"), ["tree", "node"]).withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
-    met = met.withColumn("block", F.pmod(F.xxhash64("class", F.lit(7)), F.col("blocks")).cast("int"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
+    classes = known.groupBy("class").agg(F.min(rank).alias("first"), F.min("uid").alias("rep"))
+
+    met = stored(meeting_nodes(known.dropDuplicates(["class"]).select("class", "words", "labels"), trees, length, width), "trie-nodes")
+    # the nodes of a class in all trees; alone in a tree, its own number stands there
+    own = met.groupBy("class").agg(F.map_from_entries(F.collect_list(F.struct("tree", "node"))).alias("by_tree"))
+    own = own.select("class", F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.coalesce(F.try_element_at("by_tree", t), F.col("class"))).alias("nodes"))
+    sizes = met.groupBy("node").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("words") / block_words)).cast("int").alias("blocks"))
+    sized = met.select("class", "tree", "node").join(sizes.hint("merge"), "node")
+    sized = sized.withColumn("block", F.pmod(F.xxhash64("class", F.lit(7)), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    units = met.withColumn("other", other).select(
+    units = sized.withColumn("other", other).select(
         "class", "tree", "block", (F.col("block") != F.col("other")).alias("two"),
         F.xxhash64("tree", "node", F.least("block", "other"), F.greatest("block", "other")).alias("unit"),
     )
     fields = "class long, tree int, block int, two boolean, unit long, nodes array<long>"
     parts = partitions(spark)
-    dealt = units.join(some.hint("merge"), "class").select("class", "tree", "block", "two", "unit", "nodes")
+    dealt = units.join(own.hint("merge"), "class").select("class", "tree", "block", "two", "unit", "nodes")
     needs = stored(dealt.repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(_needs, fields), "units")
 
     # the texts of classes with something to verify go to their units
@@ -236,13 +266,14 @@ def join(documents: DataFrame, *, n: int = NGRAM, similarity: float = SIMILARITY
     counts = linked.groupBy("u").agg(F.sum("links").alias("n_links"))
     about = classes.join(groups.withColumnRenamed("id", "class").hint("merge"), "class", "left").join(counts.withColumnRenamed("u", "class").hint("merge"), "class", "left")
     about = about.withColumn("component", F.coalesce("component", "class"))
-    least = about.groupBy("component").agg(F.min("copy_of").alias("group_id"))
-    about = stored(about.join(least.hint("merge"), "component").select("class", "copy_of", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
+    least = about.groupBy("component").agg(F.min("first").alias("kept"))
+    about = about.join(least.hint("merge"), "component")
+    about = stored(about.select("class", "first.doc_id", "kept.uid", F.col("kept.doc_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")).toDF("class", "copy_of", "kept_uid", "group_id", "n_links"), "classes")
     out = signed.select("doc_id", "uid", "class").join(about.hint("merge"), "class", "left")
     alone = F.col("class").isNull()
     return out.select(
         "doc_id", "uid", "class", F.when(alone, F.col("doc_id")).otherwise(F.col("copy_of")).alias("copy_of"),
-        F.when(alone, F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"), F.coalesce("kept_uid", "uid").alias("kept_uid"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
 
 
@@ -252,13 +283,12 @@ def report(documents: DataFrame, **options) -> DataFrame:
 
 
 def unique(documents: DataFrame, **options) -> DataFrame:
-    """One document of each group, the first by doc_id (of equal rows, one); documents without words all stay. Columns stay as they came."""
+    """One document of each group, the first by doc_id; documents without words all stay. Columns stay as they came."""
     found = join(documents.select("doc_id", "text"), **options)
-    stays = found.filter((F.col("class").isNull()) | F.col("doc_id").eqNullSafe(F.col("group_id"))).select("uid", "class").distinct()
+    stays = found.filter("uid = kept_uid").select("uid", "class").distinct()
     uid, cls, rank = (free_name(documents, x) for x in ("__uid", "__class", "__rank"))
     stays = stays.select(F.col("uid").alias(uid), F.col("class").alias(cls))
-    mine = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00")), F.coalesce("text", F.lit("\x00")))
-    out = documents.withColumn(uid, mine).join(stays.hint("merge"), uid)
+    out = documents.withColumn(uid, identity(F.col("doc_id"), F.col("text"))).join(stays.hint("merge"), uid)
     # rows that repeat a kept row wholly have its uid: one of them stays, unless they have no set
     key = F.coalesce(F.col(cls), F.monotonically_increasing_id())
     return out.withColumn(rank, key).dropDuplicates([uid, rank]).select(*documents.columns)
