@@ -1,16 +1,17 @@
 """Substring deduplication by hashing the lines and sentences of every text.
 
-Passages repeat inside lines as well, so a unit is a sentence within a line: words up to one that ends in a full
+By default a unit is a sentence within a line, since passages repeat inside lines as well: words up to one that ends in a full
 stop, question or exclamation mark, or up to the line's end; one of over LONG words is cut further after words whose
-hash says so, which are the same words wherever the passage stands. Units are normalised (lower case, white space between
-words does not count) and hashed to 128 bits. Over the whole corpus, all but the earliest occurrence of a digest
-(by doc_id, then by place) are repeats. Runs of neighbouring repeats with at least MIN_RUN words are removed; shorter
-ones are ordinary language and stay, unless words of at least UNIT_CHARS characters make up RUN_CHARS of them (text without
-spaces). Units under both MIN_UNIT words and UNIT_CHARS characters are not compared and go with the repeats around them.
+hash says so, which are the same words wherever the passage stands. With `by` units are whole lines or paragraphs. Units are normalised
+(lower case, white space between words does not count) and hashed to 128 bits. Over the whole corpus, all but the earliest occurrence of
+a digest (by doc_id, then by place) are repeats. Runs of neighbouring repeats with at least `min_run` words are removed; by default
+these are passages of MIN_RUN words, while shorter ones are ordinary language and stay, unless words of at least UNIT_CHARS
+characters make up RUN_CHARS of them (text without spaces). Units under both `min_unit` words and UNIT_CHARS characters are not
+compared and go with the repeats around them. With min_unit and min_run of 1, every repeat but the first goes.
 
 Edge cases: a null text has no units and stays null; an empty text stays empty; repeated doc_ids with different texts
-are ranked by a hash of their text, while wholly equal rows are one document, which keeps its units in each row; null doc_ids
-rank first; an empty table gives an empty result; other columns pass through `dedup` as they came.
+are ranked by a hash of their text; of wholly equal rows one is the first, and the units of all others are repeats; null doc_ids
+rank first; an empty table gives an empty result; other columns pass through `dedup` as they came, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,26 +24,31 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sluice.llm import words as W
-from sluice.llm.common import free_name, stored
+from sluice.llm.common import free_name, identity, stored
 
-MIN_UNIT, MIN_RUN, LONG = 3, 8, 24
+MIN_UNIT, MIN_RUN, LONG = 3, 40, 24
+#: What a unit is: a sentence within a line, a line, or the lines up to an empty one.
+KINDS = ("sentence", "line", "paragraph")
 #: A unit of fewer words counts if it has so many characters, and so does a run: text without spaces is one word, whatever its length.
 UNIT_CHARS, RUN_CHARS = 24, 64
 STOPS = np.array([ord(c) for c in ".!?"], np.uint32)
 
 
-def units(cp: np.ndarray) -> tuple[np.ndarray, ...]:
+def units(cp: np.ndarray, by: str = "sentence") -> tuple[np.ndarray, ...]:
     """Starts and ends of the words; first word of each unit, and the end (exclusive)."""
     starts, ends = W.spans(cp)
     if not len(starts):
         return starts, ends, starts, ends
     lines = np.cumsum(np.concatenate([[0], cp == 10]))
-    last = np.isin(cp[ends - 1], STOPS)
-    last[:-1] |= lines[ends[:-1]] != lines[starts[1:]]
+    last = np.isin(cp[ends - 1], STOPS) if by == "sentence" else np.zeros(len(ends), bool)
+    last[:-1] |= lines[starts[1:]] - lines[ends[:-1]] > (by == "paragraph")
     last[-1] = True
     stop = np.flatnonzero(last) + 1
+    if by != "sentence":
+        return starts, ends, np.concatenate([[0], stop[:-1]]), stop
     lengths = np.diff(stop, prepend=0)
     if lengths.max() > LONG:
         low = np.where((cp >= 65) & (cp <= 90), cp + 32, cp).astype(np.uint32)
@@ -51,9 +57,9 @@ def units(cp: np.ndarray) -> tuple[np.ndarray, ...]:
     return starts, ends, np.concatenate([[0], stop[:-1]]), stop
 
 
-def counted(starts: np.ndarray, ends: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+def counted(starts: np.ndarray, ends: np.ndarray, first: np.ndarray, stop: np.ndarray, min_unit: int = MIN_UNIT) -> np.ndarray:
     """Which units are compared: those with enough words or characters."""
-    return (stop - first >= MIN_UNIT) | (ends[stop - 1] - starts[first] >= UNIT_CHARS)
+    return (stop - first >= min_unit) | (ends[stop - 1] - starts[first] >= UNIT_CHARS)
 
 
 def digests(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,30 +68,33 @@ def digests(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndar
     return W.hashes(word, first, stop).view(np.int64), W.hashes(W.mix(word ^ np.uint64(0x5851F42D4C957F2D)), first, stop, 0x2545F4914F6CDD1D).view(np.int64)
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows: list[tuple] = []
-        held = 0
-
-        def out() -> pa.RecordBatch:
-            lengths = [len(r[1]) for r in rows]
-            at = pa.array(np.repeat([r[0] for r in rows], lengths))
-            columns = [pa.array(np.concatenate([r[k] for r in rows])) for k in (1, 2, 3)]
-            return pa.RecordBatch.from_arrays([batch["doc_id"].take(at), batch["uid"].take(at), *columns], names=["doc_id", "uid", "unit", "h1", "h2"])
-
-        for i, text in enumerate(batch["text"]):
-            cp = W.codepoints(text.as_py() or "")
-            starts, ends, first, stop = units(cp)
-            at = np.flatnonzero(counted(starts, ends, first, stop)) if len(first) else first
-            if len(at):
-                h1, h2 = digests(cp, starts, ends, first, stop)
-                rows.append((i, at, h1[at], h2[at]))
-                held += len(at)
-            if held > 100_000:
+def _units(by: str, min_unit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            held = 0
+
+            def out() -> pa.RecordBatch:
+                lengths = [len(r[1]) for r in rows]
+                at = pa.array(np.repeat([r[0] for r in rows], lengths))
+                columns = [pa.array(np.concatenate([r[k] for r in rows])) for k in (1, 2, 3)]
+                return pa.RecordBatch.from_arrays([batch["doc_id"].take(at), batch["uid"].take(at), *columns], names=["doc_id", "uid", "unit", "h1", "h2"])
+
+            for i, text in enumerate(batch["text"]):
+                cp = W.codepoints(text.as_py() or "")
+                starts, ends, first, stop = units(cp, by)
+                at = np.flatnonzero(counted(starts, ends, first, stop, min_unit)) if len(first) else first
+                if len(at):
+                    h1, h2 = digests(cp, starts, ends, first, stop)
+                    rows.append((i, at, h1[at], h2[at]))
+                    held += len(at)
+                if held > 100_000:
+                    yield out()
+                    rows, held = [], 0
+            if rows:
                 yield out()
-                rows, held = [], 0
-        if rows:
-            yield out()
+
+    return run
 
 
 def _unspaced(starts: np.ndarray, ends: np.ndarray, a: int, b: int) -> bool:
@@ -94,15 +103,14 @@ def _unspaced(starts: np.ndarray, ends: np.ndarray, a: int, b: int) -> bool:
     return bool(lengths[lengths >= UNIT_CHARS].sum() >= RUN_CHARS)
 
 
-def removed_spans(text: str, repeats: list[int], min_run: int = MIN_RUN) -> list[tuple[int, int]]:
-    """Code point spans to remove, given the numbers of the units that are repeats."""
+def removed_spans(text: str, repeats: list[int] | None, by: str = "sentence", min_unit: int = MIN_UNIT, min_run: int = MIN_RUN) -> list[tuple[int, int]]:
+    """Code point spans to remove, given the numbers of the units that are repeats (None: all are)."""
     cp = W.codepoints(text)
-    starts, ends, first, stop = units(cp)
-    if not len(first) or not repeats:
+    starts, ends, first, stop = units(cp, by)
+    if not len(first) or repeats is not None and not len(repeats):
         return []
-    hit = np.zeros(len(first), bool)
-    hit[repeats] = True
-    short = ~counted(starts, ends, first, stop)
+    short = ~counted(starts, ends, first, stop, min_unit)
+    hit = ~short if repeats is None else np.isin(np.arange(len(first)), repeats)
     index = np.arange(len(first))
     before = np.maximum.accumulate(np.where(short, -1, index))
     after = np.minimum.accumulate(np.where(short, len(first), index)[::-1])[::-1]
@@ -128,11 +136,13 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*parts, text[at:]])
 
 
-def repeats(documents: DataFrame) -> DataFrame:
+def repeats(documents: DataFrame, *, by: str = "sentence", min_unit: int = MIN_UNIT) -> DataFrame:
     """uid with the numbers of its units that are not the earliest of their digest."""
+    if by not in KINDS:
+        raise ValueError(f"units are one of {KINDS}")
     id_type = documents.schema["doc_id"].dataType.simpleString()
-    uid = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00")), F.coalesce("text", F.lit("\x00")))
-    rows = documents.select("doc_id", uid.alias("uid"), "text").mapInArrow(_units, f"doc_id {id_type}, uid long, unit long, h1 long, h2 long")
+    uid = identity(F.col("doc_id"), F.col("text"))
+    rows = documents.select("doc_id", uid.alias("uid"), "text").mapInArrow(_units(by, min_unit), f"doc_id {id_type}, uid long, unit long, h1 long, h2 long")
     rows = stored(rows, "units")
     firsts = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "uid", "unit")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     firsts = firsts.select("h1", "h2", F.col("first.uid").alias("first_uid"), F.col("first.unit").alias("first_unit"))
@@ -140,41 +150,50 @@ def repeats(documents: DataFrame) -> DataFrame:
     return stored(later.groupBy("uid").agg(F.array_sort(F.collect_set("unit")).alias("repeats")), "repeats")
 
 
-def _with_repeats(documents: DataFrame, columns: list[str]) -> DataFrame:
-    uid, found = free_name(documents, "__uid"), free_name(documents, "__repeats")
-    marked = repeats(documents).select(F.col("uid").alias(uid), F.col("repeats").alias(found))
-    mine = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00")), F.coalesce("text", F.lit("\x00")))
-    return documents.select(*columns, mine.alias(uid)).join(marked.hint("merge"), uid, "left").withColumnRenamed(found, "__repeats").drop(uid)
+def _with_repeats(documents: DataFrame, columns: list[str], by: str, min_unit: int) -> tuple[DataFrame, str, str]:
+    """The columns, with the numbers of repeated units and whether the row wholly repeats another one, and these two's names."""
+    uid, found, again = (free_name(documents, x) for x in ("__uid", "__repeats", "__again"))
+    marked = repeats(documents, by=by, min_unit=min_unit).select(F.col("uid").alias(uid), F.col("repeats").alias(found))
+    rows = documents.select(*columns, identity(F.col("doc_id"), F.col("text")).alias(uid)).join(marked.hint("merge"), uid, "left")
+    # the join has sorted the rows by uid already
+    copy = F.row_number().over(Window.partitionBy(uid).orderBy(uid))
+    return rows.withColumn(again, copy > 1).drop(uid), found, again
+
 
+def _reported(by: str, min_unit: int, min_run: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text, found, again in zip(batch["text"].to_pylist(), batch["found"].to_pylist(), batch["again"].to_pylist()):
+                spans = removed_spans(text or "", None if again else found or [], by, min_unit, min_run)
+                kept = without(text or "", spans)
+                rows.append((len(spans), sum(b - a for a, b in spans), ",".join(f"{a}:{b}" for a, b in spans), hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest()))
+            columns = list(zip(*rows)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string())))], names=["doc_id", "n_spans", "n_removed_chars", "removed_spans", "kept_sha256"])
 
-def _reported(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for text, found in zip(batch["text"].to_pylist(), batch["__repeats"].to_pylist()):
-            spans = removed_spans(text or "", found or [])
-            kept = without(text or "", spans)
-            rows.append((len(spans), sum(b - a for a, b in spans), ",".join(f"{a}:{b}" for a, b in spans), hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest()))
-        columns = list(zip(*rows)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string())))], names=["doc_id", "n_spans", "n_removed_chars", "removed_spans", "kept_sha256"])
+    return run
 
 
-def report(documents: DataFrame) -> DataFrame:
+def report(documents: DataFrame, *, by: str = "sentence", min_unit: int = MIN_UNIT, min_run: int = MIN_RUN) -> DataFrame:
     """Every document's removed spans (code points of the original) and the digest of what is left."""
     id_type = documents.schema["doc_id"].dataType.simpleString()
-    rows = _with_repeats(documents, ["doc_id", "text"])
-    return rows.mapInArrow(_reported, f"doc_id {id_type}, n_spans long, n_removed_chars long, removed_spans string, kept_sha256 string")
+    rows, found, again = _with_repeats(documents, ["doc_id", "text"], by, min_unit)
+    rows = rows.select("doc_id", "text", F.col(found).alias("found"), F.col(again).alias("again"))
+    return rows.mapInArrow(_reported(by, min_unit, min_run), f"doc_id {id_type}, n_spans long, n_removed_chars long, removed_spans string, kept_sha256 string")
+
 
+def dedup(documents: DataFrame, *, by: str = "sentence", min_unit: int = MIN_UNIT, min_run: int = MIN_RUN) -> DataFrame:
+    """The documents with their text deduplicated and the removed spans in a column of their own, `removed_spans` or a like name."""
 
-def dedup(documents: DataFrame) -> DataFrame:
-    """The documents with their text deduplicated and the removed spans in a column of their own."""
     @F.pandas_udf("kept string, removed array<struct<start:int,end:int>>")
-    def cleaned(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
+    def cleaned(texts: pd.Series, found: pd.Series, again: pd.Series) -> pd.DataFrame:
         out = []
-        for text, numbers in zip(texts, found):
-            spans = removed_spans(text or "", [] if numbers is None else list(numbers))
+        for text, numbers, whole in zip(texts, found, again):
+            spans = removed_spans(text or "", None if whole else [] if numbers is None else list(numbers), by, min_unit, min_run)
             out.append((None if text is None else without(text, spans), [{"start": a, "end": b} for a, b in spans]))
         return pd.DataFrame(out, columns=["kept", "removed"])
 
-    rows = _with_repeats(documents, documents.columns).withColumn("__clean", cleaned("text", "__repeats"))
-    removed = free_name(documents, "removed_spans")
-    return rows.withColumn("text", F.col("__clean.kept")).withColumn(removed, F.col("__clean.removed")).drop("__clean", "__repeats")
+    rows, found, again = _with_repeats(documents, documents.columns, by, min_unit)
+    clean, removed = free_name(documents, "__clean"), free_name(documents, "removed_spans")
+    out = rows.withColumn(clean, cleaned("text", found, again)).withColumns({"text": F.col(f"{clean}.kept"), removed: F.col(f"{clean}.removed")})
+    return out.select(*documents.columns, removed)
