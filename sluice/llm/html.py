@@ -2,16 +2,24 @@
 
 Every page is read into tokens: tags with their place in the page's tree, and pieces of text with theirs. Tokens of a
 host with the same occurrence vector (as many times on the same pages) form an equivalence class; the vectors are
-compared by an order-free digest, so that no host's pages meet in one task. Classes with enough support and more than one
-token are valid; their tokens, in order of place, nest into the host's template. What lies between template tokens are the slots.
-The main text is taken from the slots in the page's article (or main) element, or else from all slots of the
-body, without those that lie in menus, headers, footers, sidebars, notices, adverts, forms, comments and the like.
-Text that itself is a template token is no slot; inside an article it still counts as text, since copies of one
-article on a host repeat it as well.
+compared by order-free sums of hashes, so that no host's pages meet in one task, and pages of equal html count once. A class is valid if it
+has enough support and tokens, if its tokens stand in one order on all its pages, and if it nests: its tokens lie in one
+class, its parent, or in the class itself, but for the outermost class, which holds the root. The valid classes are the host's template, a tree by their parents. A piece of text is part of the
+template if its class is valid and holds on most pages that have the element around it, which is asked of that element
+and not of the host, as a host may have several layouts. All other text are the slots.
+
+The main text are the slots of the page's article (or main) element, or, without one, all slots of the body, without
+those in menus, headers, footers, sidebars, notices, adverts, forms, comments and the like, which tags and
+names tell: no template can, since their text may differ from page to page. Names say nothing of the elements around the page's longest
+article. If the template's text makes up more than half of an article, or all text of a page without one, pages are
+copies of each other, and all of it counts as text.
+
+The texts to take away are found for each page by joining its own tokens with the template, so that no list grows with a
+host.
 
 Edge cases: null and empty html give an empty text; a page alone on its host has no template, and its tags
 decide; unclosed and unmatched tags are closed by what follows; repeated page_ids are ordinary rows; a null
-url is a host of its own; an empty table gives an empty result.
+url is a host of its own; an empty table gives an empty result; columns of other names are not looked at.
 """
 
 from __future__ import annotations
@@ -22,15 +30,15 @@ from html import unescape
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.common import stored
 
-#: Least pages, and least share of a host's pages, that hold a template token; least tokens of a class.
+#: Least pages of a class; least share of the pages with the element around it that have a template text; least tokens of a class.
 LEAST_PAGES, LEAST_SHARE, LEAST_TOKENS = 3, 0.8, 2
-#: Templates of at most this many tokens in all are broadcast; more meet the pages in a salted join.
-BROADCAST_TOKENS, SALTS = 500_000, 32
+#: At most this many template texts on pages are broadcast; more are joined by page.
+BROADCAST_TOKENS = 500_000
 
 # The parts of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,17 +50,20 @@ BLOCKS = set(
 CLOSES_P = BLOCKS - {"html", "body", "tr", "tbody", "thead", "tfoot", "caption", "legend"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}, "p": {"article", "section", "div", "td", "th", "li", "main", "body"}}
-OUTSIDE = set("nav footer aside form head select menu datalist".split())
-ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar status".split())
+OUTSIDE = set("nav footer aside head select menu datalist".split())
+ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar status".split())
+#: An element is outside if a name of its class or id consists of these words, beside those of AROUND and numbers.
 WORDS = set(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu sidebar sidebars footer "
     "comment comments disqus respond cookie cookies consent gdpr notice notices newsletter subscribe subscription signup share sharing social related "
     "breadcrumb breadcrumbs popup modal widget widgets pagination pager toolbar masthead skip login".split()
 )
-#: Words that hold for an element even if the page's article is inside it.
+AROUND = set(
+    "area bar block body bottom box button buttons col column container feed first form global group holder icon icons inner item items last left line link links list "
+    "main media message panel post posts primary region right row secondary section site slot sticky text thread top unit wrap wrapper".split()
+)
+#: Words that hold for an element even if an article is inside it.
 COMMENTS = set("comment comments disqus respond related".split())
-#: First words of compound class names that say something of the page's layout, not of the element: has-sidebar, no-comments.
-LAYOUT = set("has with no without not hide".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 PART = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(?=[/A-Za-z])[^<>]*(?:>|\Z)", re.S)
@@ -62,43 +73,67 @@ SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "path", "outside", "article", "header")
+    """An element. hard: it is outside in any case; soft: unless it is around the page's longest article."""
 
-    def __init__(self, tag: str, path: int, outside: bool, article: bool, header: bool):
-        self.tag, self.path, self.outside, self.article, self.header = tag, path, outside, article, header
+    __slots__ = ("tag", "path", "above", "article", "header", "hard", "soft", "comments", "outside")
 
+    def __init__(self, tag: str, path: int, above: Node | None):
+        self.tag, self.path, self.above = tag, path, above
+        self.article = self.header = self.hard = self.soft = self.comments = self.outside = False
 
-def _opened(tag: str, attributes: str, above: Node, free: bool = False) -> Node:
+
+def _opened(tag: str, attributes: str, above: Node) -> Node:
     found = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in NAMED.finditer(attributes)} if attributes.strip() else {}
     names = f"{found.get('class', '')} {found.get('id', '')}"
     role = found.get("role", "")
-    words = set(SPLIT.split(names)) if names.strip() else set()
-    roles = {w for name in names.split() if (parts := SPLIT.split(name))[0] not in LAYOUT for w in parts}
-    article = above.article or tag in ("article", "main") or role == "main" or found.get("itemprop") == "articlebody"
-    header = above.header or tag == "header" or "header" in words and not above.article
-    outside = (
-        above.outside or tag in OUTSIDE or role in ROLES or bool(roles & (COMMENTS if free else WORDS)) and tag not in ("html", "body")
-        or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-    )
-    path = xxhash.xxh3_64_intdigest(f"{tag}.{names.strip()}", above.path)
-    return Node(tag, path, outside, article, header)
-
-
-def read_page(html: str, free: frozenset[int] | None = None) -> tuple[list[tuple[Node, str]], list[int]]:
-    """The blocks of text with the node that holds them, and the places of all tags, in page order.
-
-    If class words would leave nothing of the page's articles, they do not hold on the first article's line of elements,
-    whose numbers are then given as `free`.
+    node = Node(tag, xxhash.xxh3_64_intdigest(f"{tag}.{names.strip()}", above.path), above)
+    roles = set()
+    for name in names.split():
+        words = {w for w in SPLIT.split(name) if w and not w.isdigit()}
+        if words <= WORDS | AROUND:
+            roles |= words & WORDS
+    node.article = above.article or tag in ("article", "main") or role == "main" or found.get("itemprop") == "articlebody"
+    node.header = above.header or tag == "header" or "header" in names.split() and not above.article
+    node.hard = tag in OUTSIDE or role in ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
+    node.soft = tag == "form" or role == "form" or bool(roles) and tag not in ("html", "body")
+    node.comments = above.comments or above.hard or node.hard or bool(roles & COMMENTS)
+    return node
+
+
+def _settled(nodes: list[Node], blocks: list[tuple[Node, str]]) -> None:
+    """Which elements are outside. The longest article that is not itself a comment or the like is never so by names."""
+    sizes: dict[int, int] = {}
+    roots: dict[int, Node] = {}
+    for node, text in blocks:
+        if node.article and not node.comments:
+            while node.above.article:
+                node = node.above
+            sizes[id(node)] = sizes.get(id(node), 0) + len(text)
+            roots[id(node)] = node
+    line = set()
+    if sizes:
+        node = roots[max(sizes, key=sizes.__getitem__)]
+        while node is not None:
+            line.add(id(node))
+            node = node.above
+    for node in nodes:
+        node.outside = node.above.outside or node.hard or node.soft and id(node) not in line
+
+
+def read_page(html: str) -> tuple[list[tuple[Node, str]], list[tuple[int, int, int]]]:
+    """The blocks of text with the node that holds them, and all tokens in page order.
+
+    A token is its number, the number of the tag around it, and the number of its block (-1: a tag).
     """
-    root = Node("", 0, False, False, False)
-    stack, blocks, tags, text = [root], [], [], []
-    numbers, line = [-1], frozenset()
+    root = Node("", 0, None)
+    stack, nodes, blocks, tokens, text = [root], [], [], [], []
     at, n = 0, len(html)
 
     def flush() -> None:
         if text:
             joined = SPACE.sub(" ", unescape("".join(text))).strip()
             if joined:
+                tokens.append((_text_token(stack[-1], joined), _signed(stack[-1].path), len(blocks)))
                 blocks.append((stack[-1], joined))
             text.clear()
 
@@ -106,7 +141,7 @@ def read_page(html: str, free: frozenset[int] | None = None) -> tuple[list[tuple
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in names:
                 flush()
-                del stack[i:], numbers[i:]
+                del stack[i:]
                 return
             if stack[i].tag in scope:
                 return
@@ -129,9 +164,9 @@ def read_page(html: str, free: frozenset[int] | None = None) -> tuple[list[tuple
                 text.append(" ")
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
-                    if stack[i].outside != (stack[i - 1].outside if i else False):
+                    if stack[i].hard or stack[i].soft:
                         flush()
-                    del stack[i:], numbers[i:]
+                    del stack[i:]
                     break
             continue
         if tag in RAW and not m[3].rstrip().endswith("/"):
@@ -148,18 +183,15 @@ def read_page(html: str, free: frozenset[int] | None = None) -> tuple[list[tuple
             text.append("" if tag == "wbr" else " ")
         if tag in VOID:
             continue
-        node = _opened(tag, m[3], stack[-1], free is not None and len(tags) in free)
-        if node.outside != stack[-1].outside:
+        node = _opened(tag, m[3], stack[-1])
+        if node.hard or node.soft:
             flush()
+        tokens.append((_signed(node.path), _signed(stack[-1].path), -1))
         stack.append(node)
-        numbers.append(len(tags))
-        tags.append(node.path)
-        if node.article and not line:
-            line = frozenset(numbers)
+        nodes.append(node)
     flush()
-    if free is None and line and not any(b.article and not b.outside for b, _ in blocks) and any(b.article for b, _ in blocks):
-        return read_page(html, line)
-    return blocks, tags
+    _settled(nodes, blocks)
+    return blocks, tokens
 
 
 def _signed(x: int) -> int:
@@ -172,45 +204,79 @@ def _text_token(node: Node, text: str) -> int:
 
 def main_text(blocks: list[tuple[Node, str]], template: set[int]) -> str:
     """The slots that belong to the article, in page order."""
-    inside = [(b, t) for b, t in blocks if b.article and not b.outside]
-    if inside:
-        return "\n\n".join(t for b, t in inside if not b.header or b.tag in HEADINGS)
-    return "\n\n".join(t for b, t in blocks if not b.outside and not b.header and _text_token(b, t) not in template)
+    inside = [(b, t) for b, t in blocks if b.article and not b.outside and (not b.header or b.tag in HEADINGS)]
+    if inside or any(b.article and not b.outside for b, _ in blocks):
+        slots = [t for b, t in inside if _text_token(b, t) not in template] if template else [t for _, t in inside]
+        copied = 2 * sum(map(len, slots)) < sum(len(t) for _, t in inside)
+    else:
+        inside = [(b, t) for b, t in blocks if not b.outside and not b.header]
+        slots = [t for b, t in inside if _text_token(b, t) not in template]
+        copied = not slots
+    return "\n\n".join([t for _, t in inside] if copied else slots)
+
+
+def page_tokens(html: str) -> dict[int, list]:
+    """Each token with how often it occurs, whether it is text, the tag around it, and its first place; of texts, only those inside."""
+    blocks, tokens = read_page(html)
+    found: dict[int, list] = {}
+    for place, (token, parent, block) in enumerate(tokens):
+        if block < 0 or not blocks[block][0].outside:
+            found.setdefault(token, [0, block >= 0, parent, place])[0] += 1
+    return found
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
         for host, page, html in zip(batch["host"].to_pylist(), batch["page"].to_pylist(), batch["html"].to_pylist()):
-            blocks, tags = read_page(html or "")
-            found: dict[int, list] = {}
-            for token, text in [*((_signed(p), False) for p in tags), *((_text_token(b, t), True) for b, t in blocks if not b.outside)]:
-                entry = found.setdefault(token, [0, text, len(found)])
-                entry[0] += 1
-            rows.extend((host, page, token, times, text, place) for token, (times, text, place) in found.items())
+            rows.extend((host, page, token, *facts) for token, facts in page_tokens(html or "").items())
         if rows:
             columns = list(zip(*rows))
-            types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["host", "page", "token", "times", "is_text", "place"])
+            types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["host", "page", "token", "times", "is_text", "parent", "place"])
 
 
 def _hosted(pages: DataFrame) -> DataFrame:
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1)), F.lit(""))
-    return pages.withColumns({"host": host, "page": F.xxhash64("page_id", "url", "html")})
+    return pages.select("page_id", "url", "html", host.alias("host")).withColumn("page", F.xxhash64("host", "html"))
+
+
+def tokens_of(pages: DataFrame) -> DataFrame:
+    """host, page (a hash of host and html), token, times, is_text, parent and place; pages of equal html on a host are one."""
+    fields = "host string, page long, token long, times long, is_text boolean, parent long, place long"
+    return _hosted(pages).select("host", "page", "html").mapInArrow(_tokens, fields).dropDuplicates(["host", "page", "token"])
+
+
+def _half_sums(x: Column) -> Column:
+    """Sums of the halves of 64-bit hashes: like a sum, the same in any order, but without overflow."""
+    return F.struct(F.sum(F.shiftrightunsigned(x, 32)).alias("high"), F.sum(x.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"))
 
 
-def templates(pages: DataFrame, *, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, least_tokens: int = LEAST_TOKENS) -> DataFrame:
-    """host, class, token, is_text and place of every valid class; the outer class of a host is 0, nested ones follow by support."""
-    hosted = _hosted(pages.select("page_id", "url", "html"))
-    tokens = hosted.select("host", "page", "html").mapInArrow(_tokens, "host string, page long, token long, times long, is_text boolean, place long")
+def templates(tokens: DataFrame, *, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, least_tokens: int = LEAST_TOKENS) -> DataFrame:
+    """host, class, inside, token, is_text, support, share and place of each token of a valid class.
+
+    inside is the class that the class is nested in (null at the root), share that of the pages with the element around a text.
+    """
     vectors = tokens.groupBy("host", "token").agg(
-        F.bit_xor(F.xxhash64("page", "times")).alias("vector"), F.count("*").alias("pages"), F.first("is_text").alias("is_text"), F.avg("place").alias("place")
+        _half_sums(F.xxhash64("page", "times")).alias("vector"), F.count("*").alias("support"), F.first("is_text").alias("is_text"), F.first("parent").alias("parent"), F.avg("place").alias("place")
     )
-    sizes = hosted.groupBy("host").agg(F.count("*").alias("all"))
-    common = vectors.filter(F.col("pages") >= least_pages).join(sizes.hint("merge"), "host").filter(F.col("pages") >= least_share * F.col("all"))
-    common = stored(common.select("host", "token", "vector", "pages", "is_text", "place"), "tokens")
-    classes = common.groupBy("host", "vector").agg(F.count("*").alias("n"), F.max("pages").alias("support"), F.min("place").alias("from")).filter(F.col("n") >= least_tokens)
-    return common.join(classes.hint("merge"), ["host", "vector"]).select("host", "vector", "support", "from", "token", "is_text", "place")
+    vectors = stored(vectors.filter(F.col("support") >= least_pages).withColumn("class", F.xxhash64("host", "vector")).drop("vector"), "tokens")
+    around = vectors.select("host", F.col("token").alias("parent"), F.col("class").alias("around"), F.col("support").alias("of"))
+    placed = vectors.join(around.hint("merge"), ["host", "parent"], "left").withColumn("share", F.col("support") / F.coalesce("of", "support"))
+    other = F.when(F.col("around") != F.col("class"), F.col("around"))
+    # the outermost class has a token at the root; any other lies in one class besides itself
+    outermost = F.count_if(F.col("around").isNull()) > 0
+    classes = placed.groupBy("host", "class").agg(
+        F.count("*").alias("n"), F.when(~outermost, F.min(other)).alias("inside"), (outermost | F.min(other).eqNullSafe(F.max(other))).alias("nested")
+    )
+    classes = stored(classes.filter((F.col("n") >= least_tokens) & F.col("nested")).select("host", "class", "inside"), "classes")
+    members = placed.join(classes.hint("merge"), ["host", "class"])
+    # in one order on all pages: the tokens of a class on a page are at most as many as the page has
+    order = tokens.select("host", "token", "page", "place").withColumnRenamed("place", "at").join(members.select("host", "token", "class").hint("merge"), ["host", "token"])
+    order = order.groupBy("class", "page").agg(F.xxhash64(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"])).alias("order"))
+    ordered = order.groupBy("class").agg(F.min("order").alias("a"), F.max("order").alias("b")).filter("a = b").select("class")
+    valid = members.join(ordered.hint("merge"), "class", "left_semi")
+    return valid.select("host", "class", "inside", "token", "is_text", "support", "share", "place").filter(~F.col("is_text") | (F.col("share") >= least_share))
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,15 +292,13 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame, **options) -> DataFrame:
     """Each page's main text, its code points and its number of slots."""
-    found = stored(templates(pages, **options).filter("is_text").select("host", "token"), "template-texts")
-    # at most as many as 1 / least_share times the pieces of text on a page
-    per_host = found.groupBy("host").agg(F.collect_list("token").alias("constant")).withColumnRenamed("host", "of_host")
-    rows = _hosted(pages.select("page_id", "url", "html")).select("page_id", "url", "html", "host")
-    if found.count() <= BROADCAST_TOKENS:
-        rows = rows.join(F.broadcast(per_host), F.col("host") == F.col("of_host"), "left")
-    else:
-        rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
-        spread = per_host.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.join(spread.hint("merge"), (F.col("host") == F.col("of_host")) & (F.col("salt") == F.col("of_salt")), "left")
+    pages = pages.select("page_id", "url", "html")
+    tokens = stored(tokens_of(pages), "page-tokens")
+    texts = templates(tokens, **options).filter("is_text").select("host", "token")
+    mine = tokens.filter("is_text").select("host", "token", "page").join(texts.hint("merge"), ["host", "token"])
+    # at most as many as a page has pieces of text
+    constant = stored(mine.groupBy("page").agg(F.collect_list("token").alias("constant")), "template-texts")
+    size = constant.agg(F.sum(F.size("constant")).alias("n")).first().n or 0
+    rows = _hosted(pages).join(F.broadcast(constant) if size <= BROADCAST_TOKENS else constant.hint("merge"), "page", "left")
     id_type = pages.schema["page_id"].dataType.simpleString()
     return rows.select("page_id", "url", "html", "constant").mapInArrow(_extracted, f"page_id {id_type}, url string, text string, n_chars long, n_slots long")
