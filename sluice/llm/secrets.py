@@ -2,8 +2,8 @@
 
 Patterns find assignments, access keys and long hex strings. Every other run of 20 or more of the letters, digits
 and signs that encodings use is a candidate. Its encoding (hex, base32, base64) is inferred from the characters
-in it, and three tests ask whether it could be random text of that encoding: chi-squared uniformity over the
-alphabet's parts, a runs test on the halves of the alphabet, and the serial correlation of neighbouring
+in it, and three tests ask whether it could be random text of that encoding: chi-squared uniformity over all letters of the
+alphabet, a runs test on the halves of the alphabet, and the serial correlation of neighbouring
 characters. The tests' p-values are combined (the least of three, times three).
 
 "Not random" is what a test can prove, so the discoveries are the tokens to dismiss. Their false discoveries,
@@ -86,14 +86,13 @@ def battery(token: Column) -> dict[str, Column]:
     is_b32 = token.rlike(r"^[A-Z2-7]+=*$")
     encoding = F.when(is_hex, "hex").when(is_b32, "base32").otherwise("base64")
 
-    def chi(parts: list[tuple[str, float]]) -> Column:
-        return reduce(lambda a, b: a + b, [F.pow(_count(token, pattern) - n * share, F.lit(2)) / (n * share) for pattern, share in parts])
-
-    uniform = (
-        F.when(is_hex, _chi_tail(chi([("[0-4]", 5 / 16), ("[5-9]", 5 / 16), ("[a-cA-C]", 3 / 16), ("[d-fD-F]", 3 / 16)]), 3))
-        .when(is_b32, _chi_tail(chi([("[A-G]", 7 / 32), ("[H-M]", 6 / 32), ("[N-T]", 7 / 32), ("[U-Z]", 6 / 32), ("[2-7=]", 6 / 32)]), 4))
-        .otherwise(_chi_tail(chi([("[A-M]", 13 / 64), ("[N-Z]", 13 / 64), ("[a-m]", 13 / 64), ("[n-z]", 13 / 64), ("[0-9+/_=-]", 12 / 64)]), 4))
-    )
+    # over k letters the statistic is k / n times the sum of squared counts, less n; counts are runs in the sorted letters
+    letters = F.filter(F.split(F.regexp_replace(F.when(is_hex, F.lower(token)).otherwise(token), "=+$", ""), ""), lambda c: c != "")
+    counts = F.regexp_extract_all(F.array_join(F.array_sort(letters), ""), F.lit(r"(?s)(.)\1*"), F.lit(0))
+    squares = F.aggregate(counts, F.lit(0.0), lambda s, c: s + F.length(c) * F.length(c))
+    size = F.size(letters).cast("double")
+    chi = lambda k: _chi_tail(F.lit(float(k)) / size * squares - size, k - 1)
+    uniform = F.when(size < 1, 1.0).when(is_hex, chi(16)).when(is_b32, chi(32)).otherwise(chi(64))
     low = F.when(is_hex, F.regexp_replace(token, "[0-7]", "0")).when(is_b32, F.regexp_replace(token, "[A-P]", "0")).otherwise(F.regexp_replace(token, "[A-Za-f]", "0"))
     halves = F.regexp_replace(low, "[^0]", "1")
     ones = _count(halves, "1")
