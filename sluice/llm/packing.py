@@ -9,7 +9,9 @@ dealt back to the pieces by their rank within their length, which needs one smal
 The search keeps the best-fit-decreasing packing as incumbent. It takes the largest piece left, lists
 the undominated fillings around it in order of waste, uses one as often as counts allow, and goes deeper; a branch is
 dropped when the waste it has shows that it can't beat the incumbent. It ends when a bound is met or after
-`nodes` nodes, with the best packing seen.
+`nodes` nodes, with the best packing seen. By default it looks at TRIES fillings a node, follows the WIDTH best, and uses each as often as it
+can, which settles a corpus of any size in seconds; with exact=True it does none of this and has no limit of nodes, so that its
+answer is an optimum, in a time that can grow exponentially: a choice for small histograms.
 
 Edge cases: a null or empty text is one piece that holds the end id only; null and repeated doc_ids are
 ordinary rows, each packed once; an empty table gives an empty result; other columns are not looked at.
@@ -33,7 +35,7 @@ from pyspark.sql.window import Window
 
 from sluice.llm.common import stored
 
-CAPACITY, END_ID, NODES = 1024, 2, 2_000
+CAPACITY, END_ID, NODES, WIDTH, TRIES = 1024, 2, 2_000, 6, 400
 
 # --- tokens -----------------------------------------------------------------------------------------------
 
@@ -250,8 +252,8 @@ def dominated(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     return a != b and sum(b) <= sum(a) and len(a) <= len(b) and place(b, list(a))
 
 
-def fillings(counts: dict[int, int], room: int, width: int = 6, tries: int = 400) -> list[tuple[int, ...]]:
-    """Undominated fillings of the room, those with the least waste first; up to `tries` are looked at."""
+def fillings(counts: dict[int, int], room: int, width: int | None = WIDTH, tries: int | None = TRIES) -> list[tuple[int, ...]]:
+    """Undominated fillings of the room, those with the least waste first; up to `tries` are looked at and `width` given (None: all)."""
     sizes = sorted((s for s, n in counts.items() if n and s <= room), reverse=True)
     found: list[tuple[int, tuple[int, ...]]] = []
     smallest = sizes[-1] if sizes else 0
@@ -259,7 +261,7 @@ def fillings(counts: dict[int, int], room: int, width: int = 6, tries: int = 400
 
     def go(i: int, left: int, chosen: tuple[int, ...]) -> None:
         nonlocal looked
-        if looked >= tries:
+        if tries is not None and looked >= tries:
             return
         if not left or left < smallest:
             looked += 1
@@ -271,7 +273,7 @@ def fillings(counts: dict[int, int], room: int, width: int = 6, tries: int = 400
             if s <= left and (chosen.count(s) if chosen and chosen[-1] == s else 0) < counts[s]:
                 fits = True
                 go(j, left - s, (*chosen, s))
-                if looked >= tries:
+                if tries is not None and looked >= tries:
                     return
         if not fits:
             looked += 1
@@ -283,16 +285,17 @@ def fillings(counts: dict[int, int], room: int, width: int = 6, tries: int = 400
         if o <= s and (o == 0 or counts.get(o, 0) > (o == s)):
             found.append((0, (s, o) if o else (s,)))
     go(0, room, ())
-    best = sorted(set(found), key=lambda x: (x[0], len(x[1]), [-s for s in x[1]]))[: 4 * width]
+    best = sorted(set(found), key=lambda x: (x[0], len(x[1]), [-s for s in x[1]]))[: 4 * width if width is not None else None]
     kept: list[tuple[int, ...]] = []
     for _, b in best:
-        if len(kept) < width and not any(dominated(a, b) for a in kept):
+        if (width is None or len(kept) < width) and not any(dominated(a, b) for a in kept):
             kept.append(b)
     return kept or [()]
 
 
-def search(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
-    """(filling, times) of the best packing found."""
+def search(counts: dict[int, int], capacity: int, nodes: int = NODES, exact: bool = False) -> list[tuple[tuple[int, ...], int]]:
+    """(filling, times) of the best packing found; exact: of a packing with the fewest bins."""
+    limits = (None, None) if exact else (WIDTH, TRIES)
     counts = {s: n for s, n in counts.items() if n}
     best = best_fit(counts, capacity)
     bins = sum(n for _, n in best)
@@ -300,7 +303,7 @@ def search(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[tu
     total = sum(s * n for s, n in counts.items())
     spent = 0
     stack: list[tuple[dict[int, int], list, int, int]] = [(counts, [], 0, 0)]
-    while stack and bins > bound and spent < nodes:
+    while stack and bins > bound and (exact or spent < nodes):
         left, used, n_used, waste = stack.pop()
         spent += 1
         if not left:
@@ -315,9 +318,9 @@ def search(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[tu
         largest = max(left)
         rest = dict(left)
         rest[largest] -= 1
-        for f in reversed(fillings(rest, capacity - largest)):
+        for f in reversed(fillings(rest, capacity - largest, *limits)):
             need = Counter((largest, *f))
-            times = min(left[s] // k for s, k in need.items())
+            times = 1 if exact else min(left[s] // k for s, k in need.items())
             child = {s: n for s, n in ((s, n - times * need.get(s, 0)) for s, n in left.items()) if n}
             wasted = waste + times * (capacity - largest - sum(f))
             if wasted <= (bins - 1) * capacity - total:
@@ -354,7 +357,7 @@ def _dealt(table: tuple[np.ndarray, ...]):
     return run
 
 
-def pack(documents: DataFrame, *, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None, nodes: int = NODES) -> DataFrame:
+def pack(documents: DataFrame, *, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None, nodes: int = NODES, exact: bool = False) -> DataFrame:
     """One row for each piece, with its sequence and its place there."""
     id_type = documents.schema["doc_id"].dataType.simpleString()
     cols = f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long"
@@ -363,6 +366,6 @@ def pack(documents: DataFrame, *, capacity: int = CAPACITY, end_id: int = END_ID
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_task.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     counts = {r.length: r.n for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    table = schedule(search(counts, capacity, nodes))
+    table = schedule(search(counts, capacity, nodes, exact))
     ranked = pieces.join(offsets.hint("merge"), ["length", "task"]).withColumn("rank", F.col("rank") + F.col("before"))
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_dealt(table), f"{cols}, sequence_id long, offset long")
