@@ -10,7 +10,7 @@ In a block, a query first ranks a few candidates exactly, which gives a distance
 block by column block: after d of D rotated columns, the partial distance times D / d estimates the distance, and a
 candidate is abandoned when even with the tolerance (1 + EPSILON / sqrt(d)) the estimate is too large, which
 rejects wrongly with a chance that falls as exp(-EPSILON^2). Survivors are scored by the inner product of the original vectors in
-double precision, and the best of all blocks are merged.
+double precision, and the best of all blocks are merged. A query whose lists hold fewer than k candidates is searched again in all lists.
 
 Edge cases: vectors that are null, empty, zero, of another length than most or with null or non-finite components
 take no part, neither as queries nor as candidates; fewer candidates than k give fewer rows; equal scores rank by smaller vec_id;
@@ -103,7 +103,10 @@ def fit(vectors: DataFrame, *, seed: int = 3, target: float = TARGET) -> Index |
     return index
 
 
-def _dealt(index: Index, d: int, every: int, as_query: bool):
+def _dealt(index: Index, d: int, probes: int | None = None):
+    """Each row with its list, or, for queries, with the lists that they probe."""
+    as_query = probes is not None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths = batch["vector"].value_lengths().to_numpy()
@@ -111,7 +114,7 @@ def _dealt(index: Index, d: int, every: int, as_query: bool):
             for at in range(0, batch.num_rows, 2_000):
                 part = batch.slice(at, 2_000)
                 vectors = part["vector"].flatten().to_numpy().reshape(-1, d)
-                own = index.order(index.placed(vectors, as_query), index.probes if as_query else 1)
+                own = index.order(index.placed(vectors, as_query), probes if as_query else 1)
                 rows = np.repeat(np.arange(len(own)), own.shape[1])
                 taken = part.take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays([taken["vec_id"], taken["vector"], pa.array(own.ravel().astype(np.int32))], names=["vec_id", "vector", "list"])
@@ -206,15 +209,26 @@ def nearest(embeddings: DataFrame, *, k: int = K, every: int = EVERY, target: fl
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     d = len(index.rotation) - 1
     fields = "vec_id long, vector array<double>, list int"
-    members = stored(vectors.mapInArrow(_dealt(index, d, every, False), fields), "lists")
-    queries = vectors.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "vector"]).mapInArrow(_dealt(index, d, every, True), fields)
+    members = stored(vectors.mapInArrow(_dealt(index, d), fields), "lists")
+    queries = vectors.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "vector"])
     # one row for each list: at most MOST_LISTS
     sizes = {r["list"]: r["n"] for r in members.groupBy("list").agg(F.count("*").alias("n")).collect()}
     units = F.broadcast(spark.createDataFrame(grouped_lists(sizes, len(index.centroids)), "list int, first int, blocks int"))
     block = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.col("blocks"))
     dealt = members.join(units, "list").withColumn("unit", F.xxhash64(F.col("first") + block.cast("int")))
-    asked = queries.join(units, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("unit", F.xxhash64(F.col("first") + F.col("block")))
-    both = dealt.select("vec_id", "vector", "list", "unit", F.lit(False).alias("is_query")).union(asked.select("vec_id", "vector", "list", "unit", F.lit(True).alias("is_query")))
-    found = both.repartition(partitions(spark), "unit").sortWithinPartitions("unit").mapInArrow(_searched(index, d, k), "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    dealt = dealt.select("vec_id", "vector", "list", "unit", F.lit(False).alias("is_query"))
+
+    def search(some: DataFrame, probes: int) -> DataFrame:
+        asked = some.mapInArrow(_dealt(index, d, probes), fields).join(units, "list")
+        asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("unit", F.xxhash64(F.col("first") + F.col("block")))
+        both = dealt.union(asked.select("vec_id", "vector", "list", "unit", F.lit(True).alias("is_query")))
+        found = both.repartition(partitions(spark), "unit").sortWithinPartitions("unit").mapInArrow(_searched(index, d, k), "query_id long, vec_id long, score double")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return stored(found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest")
+
+    found = search(queries, index.probes)
+    full = found.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
+    short = stored(queries.join(full.hint("merge"), "vec_id", "left_anti"), "short-queries")
+    if index.probes < len(index.centroids) and not short.isEmpty():
+        found = found.join(full.withColumnRenamed("vec_id", "query_id").hint("merge"), "query_id", "left_semi").union(search(short, len(index.centroids)))
+    return found
