@@ -39,6 +39,14 @@ def test_oracles(spark):
         assert sorted(tuple(plain(r[n]) for n in sorted(names)) for r in out.collect()) == theirs, name
 
 
+def line_shingles(norm, size):
+    """From each word's start, and from each further character with as many characters of its word left."""
+    out = set()
+    for m in re.finditer("[^ ]+", norm):
+        out |= {norm[i : i + size] for i in range(m.start(), max(m.start(), m.end() - size) + 1)}
+    return out
+
+
 def test_line_dedup(docs):
     from sluice.llm import linededup as L
 
@@ -46,10 +54,10 @@ def test_line_dedup(docs):
     for r in docs.collect():
         for i, line in enumerate((r.text or "").split("\n")):
             n = re.sub(r"[\x20\x09-\x0D]+", " ", line.lower()).strip(" ")
-            if len(n.split(" ")) >= L.MIN_WORDS:
+            if n:
                 occurrences.append((r.doc_id, i, n))
     keys = sorted({o[2] for o in occurrences})
-    sets = [{n[m.start() : m.start() + L.SHINGLE] for m in re.finditer(r"(?<![^ ])(?=.)", n)} for n in keys]
+    sets = [line_shingles(n, L.SHINGLE) if len(n.split(" ")) >= L.MIN_WORDS or len(n) >= L.MIN_CHARS else set() for n in keys]
     parent = list(range(len(keys)))
 
     def root(a):
@@ -74,6 +82,28 @@ def test_line_dedup(docs):
     assert len(gone ^ mine) <= 0.01 * len(gone)
 
 
+def test_line_dedup_recall(spark):
+    """Lines of twenty words that differ in one are found if their five-character shingles are similar."""
+    from sluice.llm import linededup as L
+
+    rng = random.Random(7)
+    letters = "etaoinshrdlucmfwypvbgkjqxz"
+    words = ["".join(rng.choice(letters[: rng.randint(8, 26)]) for _ in range(rng.randint(2, 9))) for _ in range(3_000)]
+    rows, wanted = [], set()
+    for i in range(600):
+        a = [rng.choice(words) for _ in range(20)]
+        b = a[:]
+        b[rng.randrange(20)] = rng.choice(words)
+        a, b = " ".join(a), " ".join(b)
+        rows += [(2 * i, a), (2 * i + 1, b)]
+        x, y = ({t[k : k + 5] for k in range(len(t) - 4)} for t in (a, b))
+        if a != b and len(x & y) >= 0.8 * len(x | y):
+            wanted.add(2 * i + 1)
+    found = {r.doc_id for r in L.report(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.n_removed}
+    assert len(wanted) > 400 and len(found & wanted) >= 0.9 * len(wanted)
+    assert all(d % 2 for d in found)
+
+
 def test_line_dedup_crowded_band(spark):
     from sluice.llm import linededup as L
 
@@ -368,9 +398,217 @@ def test_line_dedup_long_words(spark):
     from sluice.llm import linededup as L
 
     cjk = "".join(chr(0x4E00 + i * 37 % 5000) for i in range(60))
-    lines = ["Download https://example.org/files/a.zip now please", "Download https://example.org/files/b.zip now please", cjk, cjk, cjk[:30] + "x" + cjk[:30], "QUJD" * 3 + "REVG" * 40, "short", "short"]
+    lines = ["Download https://example.org/files/a.zip now please", "Download https://example.org/files/b.zip now please", cjk, cjk, cjk[:30] + "x" + cjk[:30], "QUJD" * 3 + "REVG" * 40, "short", "Short ", "shorn", " "]
     found = L.report(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
-    assert {r.doc_id for r in found if r.n_removed} == {3}
+    assert {r.doc_id for r in found if r.n_removed} == {3, 7}  # copies, however short; not what is merely like them
     # however often a long line's least shingles repeat, its sketch has SKETCH distinct hashes
-    row = spark.createDataFrame([(" ".join(" ".join([f"some passage number {i}"] * 60) for i in range(12)),)], "norm string").select(L.bands(L.shingles(F.col("norm"))).alias("b")).first()
+    row = spark.createDataFrame([(" ".join(" ".join([f"some passage number {i}"] * 60) for i in range(12)),)], "norm string").select(L.bands(L.shingles(F.col("norm"), L.SIGNED)).alias("b")).first()
     assert len(set(row.b)) == L.SKETCH - 1
+
+
+@pytest.mark.parametrize("by, min_unit, min_run", [("sentence", 3, 40), ("line", 1, 1), ("paragraph", 1, 1)])
+def test_unit_dedup_plain(docs, by, min_unit, min_run):
+    """Against a plain version that goes through the documents in order."""
+    from sluice.llm import unitdedup as U
+
+    seen, mine = set(), {r.doc_id: r.removed_spans for r in U.report(docs, by=by, min_unit=min_unit, min_run=min_run).collect()}
+    for r in sorted(docs.collect(), key=lambda r: r.doc_id):
+        text, found = r.text or "", []
+        if by == "sentence":
+            cp = U.W.codepoints(text)
+            starts, ends, first, stop = U.units(cp)
+            parts = [(int(starts[a]), int(ends[b - 1])) for a, b in zip(first, stop)]
+        else:
+            parts = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D](?:[^\n]*[^\x20\x09-\x0D])?" if by == "line" else r"[^\x20\x09-\x0D](?:(?:(?!\n[\x20\x09\x0B-\x0D]*\n).)*[^\x20\x09-\x0D])?", text, re.S)]
+        runs, kind = [], []
+        for a, b in parts:
+            words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text[a:b])) if w]
+            compared = len(words) >= min_unit or b - a >= U.UNIT_CHARS
+            kind.append((a, b, words, compared, compared and tuple(words) in seen))
+            if compared:
+                seen.add(tuple(words))
+        hit = [k[4] for k in kind]
+        for i, k in enumerate(kind):
+            if not k[3]:  # too short: goes with the repeats around it
+                before = next((kind[j][4] for j in range(i, -1, -1) if kind[j][3]), False)
+                hit[i] = before and next((kind[j][4] for j in range(i, len(kind)) if kind[j][3]), False)
+        for i, k in enumerate(kind):
+            if hit[i]:
+                runs.append([*(runs.pop() if i and hit[i - 1] else []), k])
+        for run in runs:
+            words = [w for k in run for w in k[2]]
+            if len(words) >= min_run or sum(len(w) for w in words if len(w) >= U.UNIT_CHARS) >= U.RUN_CHARS:
+                end = run[-1][1]
+                while end < len(text) and text[end] in " \t\x0b\x0c\r":
+                    end += 1
+                found.append(f"{run[0][0]}:{end}")
+        assert mine[r.doc_id] == ",".join(found), r.doc_id
+
+
+def test_unit_dedup_equal_rows(spark):
+    from llm_cases import prose
+    from sluice.llm import unitdedup as U
+
+    rows = [(1, prose(40, 60)), (1, prose(40, 60)), (2, "A short line\nof its own"), (3, "A short line\nand another")]
+    found = U.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.n_removed_chars for r in found if r.doc_id == 1) == [0, len(prose(40, 60))]
+    assert all(r.n_spans == 0 for r in found if r.doc_id > 1)
+    every = {r.doc_id: r.removed_spans for r in U.report(spark.createDataFrame(rows, "doc_id long, text string"), by="line", min_unit=1, min_run=1).collect()}
+    assert (every[2], every[3]) == ("", "0:12")
+    odd = spark.createDataFrame([(1, "a b c", 1, 2), (1, "a b c", 3, 4)], "doc_id long, text string, __repeats int, __clean int")
+    assert sorted(tuple(r) for r in U.dedup(odd, by="line", min_unit=1, min_run=1).select("text", "__repeats", "__clean").collect())[0][0] == ""
+
+
+def test_html_keeps_probed_texts(spark):
+    from sluice.llm import html as H
+
+    for open_, close in (('<div class="widget content">', "</div>"), ('<div id="social-impact">', "</div>"), ("<form>", "</form>")):
+        assert H.main_text(H.read_page(f"<body>{open_}<article><p>Own text</p></article>{close}</body>")[0], set()) == "Own text", open_
+    page = '<article><p>A</p><section class="related-work"><p>B</p></section><div class="related-posts">C</div><div class="share-buttons">D</div></article><div class="comments"><article class="comment">E, a long one</article></div>'
+    assert H.main_text(H.read_page(page)[0], set()) == "A\n\nB"
+    rows = [(i, "http://e.example/", "<body><div><p>The same text</p><p>More of it</p></div></body>") for i in range(4)]
+    assert {r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"The same text\n\nMore of it"}
+
+
+def test_html_template_inside_articles(spark):
+    from sluice.llm import html as H
+
+    page = lambda i, own: f'<body><article><h1>Title {i}</h1><p>{own}</p><div class="x"><p>Read our terms.</p></div></article></body>'
+    rows = [(i, "http://t.example/", page(i, f"The text of page {i}, which is long enough to be an article.")) for i in range(5)]
+    rows += [(10 + i, "http://copies.example/", f"<body><article><h1>One title</h1><p>One text, copied everywhere on this host.</p><p>{i}</p></article></body>") for i in range(5)]
+    found = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found[2] == "Title 2\n\nThe text of page 2, which is long enough to be an article."
+    assert found[12] == "One title\n\nOne text, copied everywhere on this host.\n\n2"
+
+
+def test_html_classes(spark):
+    """The template against a plain version, on random pages of three hosts."""
+    from sluice.llm import html as H
+
+    rng = random.Random(4)
+    kinds = ['<div class="{}"><p>text {}</p></div>', "<section><h2>head {}</h2><p>{}</p></section>", "<ul><li>{}</li><li>item {}</li></ul>", "<p>{} words {}</p>"]
+    rows = []
+    for i in range(60):
+        host = i % 3
+        parts = [rng.choice(kinds).format(rng.randrange(2), rng.randrange(3)) for _ in range(rng.randrange(5))]
+        parts += [k.format(host, host) for k in kinds[: host + 1] if rng.random() < 0.9]
+        if host == 1 and rng.random() < 0.5:
+            parts.reverse()
+        rows.append((i, f"http://h{host}.example/{i}", "<body>" + "".join(parts) + "</body>"))
+    rows.append((60, *rows[0][1:]))
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    mine = {(r.host, r.token): (r.is_text, r.support) for r in H.templates(H.tokens_of(frame)).collect()}
+    want = {}
+    for host in range(3):
+        pages = list(dict.fromkeys(r[2] for r in rows if f"//h{host}." in r[1]))
+        found = [H.page_tokens(p) for p in pages]
+        facts = {t: f[t] for f in found for t in f}
+        vector = {t: tuple(f[t][0] if t in f else 0 for f in found) for t in facts}
+        support = {t: sum(n > 0 for n in v) for t, v in vector.items()}
+        common = {t: v for t, v in vector.items() if support[t] >= H.LEAST_PAGES}
+        classes = defaultdict(list)
+        for t, v in common.items():
+            classes[v].append(t)
+        for v, tokens in classes.items():
+            parents = {common.get(facts[t][2]) for t in tokens} - {v}
+            orders = {tuple(sorted(tokens, key=lambda t: f[t][3])) for f in found if tokens[0] in f}
+            if len(tokens) >= H.LEAST_TOKENS and (len(parents) <= 1 or None in parents) and len(orders) == 1:
+                for t in tokens:
+                    text, parent = facts[t][1:3]
+                    if not text or support[t] >= H.LEAST_SHARE * support.get(parent, support[t]):
+                        want[f"h{host}.example", t] = (text, support[t])
+    assert mine == want and any(text for text, _ in want.values())
+
+
+def test_packing_search_exact():
+    """Against every way to pack."""
+    from sluice.llm import packing as P
+
+    def fewest(pieces, capacity):
+        best = len(pieces)
+
+        def go(i, rooms):
+            nonlocal best
+            if len(rooms) >= best:
+                return
+            if i == len(pieces):
+                best = len(rooms)
+                return
+            for j, room in enumerate(rooms):
+                if room >= pieces[i] and room not in rooms[:j]:
+                    go(i + 1, [*rooms[:j], room - pieces[i], *rooms[j + 1 :]])
+            go(i + 1, [*rooms, capacity - pieces[i]])
+
+        go(0, [])
+        return best
+
+    rng = random.Random(3)
+    for _ in range(150):
+        capacity = rng.choice([10, 20, 30])
+        pieces = sorted((rng.randint(1, capacity) for _ in range(rng.randint(1, 9))), reverse=True)
+        plan = P.search(Counter(pieces), capacity, exact=True)
+        assert sum(n for _, n in plan) == fewest(pieces, capacity)
+
+
+def test_secrets_plain(spark):
+    """The random spans against a plain version of the battery and of the step-up rule."""
+    from sluice.llm import secrets as S
+
+    rng = random.Random(11)
+    kinds = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+    parts = "get set load store the user account order list of all new old item page Value Name Index".split()
+    tokens = []
+    for i in range(300):
+        if i % 2:
+            tokens.append("".join(rng.choice(kinds[rng.choice(["base32", "base64"])]) for _ in range(rng.randint(20, 70))))
+        else:
+            tokens.append("".join(rng.choice(parts).capitalize() for _ in range(rng.randint(5, 12))) + str(rng.randrange(100)))
+    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+
+    def p_value(t):
+        kind = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", t) else "base32" if re.fullmatch("[A-Z2-7]+=*", t) else "base64"
+        n, letters = len(t), (t.lower() if kind == "hex" else t).rstrip("=")
+        k = len(kinds[kind])
+        x = k / len(letters) * sum(c * c for c in Counter(letters).values()) - len(letters)
+        spread = 2 / (9 * (k - 1))
+        uniform = tail(((x / (k - 1)) ** (1 / 3) - (1 - spread)) / math.sqrt(spread))
+        low = {"hex": "01234567", "base32": kinds["base32"][:16], "base64": kinds["base64"][:32]}[kind]
+        half = [c in low for c in t]
+        zeros = sum(half)
+        ones, runs = n - zeros, 1 + sum(a != b for a, b in zip(half, half[1:]))
+        mean = 2 * ones * zeros / n + 1
+        var = (mean - 1) * (mean - 2) / (n - 1)
+        run_p = 2 * tail(abs(runs - mean) / math.sqrt(max(var, 1e-9))) if var > 0 else 0.0
+        codes = [ord(c) for c in t]
+        m = sum(codes) / n
+        total = sum((c - m) ** 2 for c in codes)
+        r = sum((a - m) * (b - m) for a, b in zip(codes, codes[1:])) / total if total else 0
+        serial = 2 * tail(abs(r + 1 / n) * math.sqrt(n)) if total else 0.0
+        return max(min(1.0, 3 * min(uniform, run_p, serial)), 1e-300)
+
+    seen = [t for t in tokens if len(t) >= 20 and sum(bool(re.search(c, t)) for c in ("[0-9]", "[A-Z]", "[a-z]")) >= 2]
+    bins = {t: min(S.BINS, math.floor(round(-10 * math.log10(p_value(t)), 3))) for t in seen}
+    cls = lambda t: max(k for k, n in enumerate(S.LENGTHS) if len(t) >= n)
+    limit = {}
+    for c in range(len(S.LENGTHS)):
+        mine = [bins[t] for t in seen if cls(t) == c]
+        passed = [b for b in set(mine) if 10 ** (-b / 10) <= S.LEVEL * sum(x >= b for x in mine) / len(mine)]
+        limit[c] = min(passed, default=S.BINS + 1)
+    want = {i for i, t in enumerate(tokens) if t in bins and bins[t] < limit[cls(t)]}
+    found = S.report(spark.createDataFrame([(i, f"x {t} y") for i, t in enumerate(tokens)], "doc_id long, text string")).collect()
+    got = {r.doc_id for r in found if r.n_random}
+    assert len(got ^ want) <= 3  # the tails are approximated to 1e-7, which may move a token to the next bin
+    assert all(r.spans == f"random:2:{2 + len(tokens[r.doc_id])}" for r in found if r.n_random)
+
+
+def test_nearest_tops_up(spark):
+    """Queries whose probed lists hold too few candidates get the rest from all lists."""
+    from sluice.llm import ann as A
+
+    rng = np.random.default_rng(2)
+    far = rng.standard_normal((3, 16)) * 0.01 + 50 * np.eye(16)[0]
+    rest = rng.standard_normal((6_000, 16))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.concatenate([far, rest]))]
+    found = A.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=1_000).collect()
+    per = Counter(r.query_id for r in found)
+    assert set(per) == set(range(0, 6_003, 1_000)) and set(per.values()) == {A.K}
