@@ -9,5 +9,10 @@ from pyspark.sql import functions as F
 MOST = 10_000
 
 
+def if_few(rows: DataFrame, most: int = MOST) -> DataFrame:
+    """The rows with the hint to broadcast them, if there are no more than `most`."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def beside(rows: DataFrame, few: DataFrame, most: int = MOST) -> DataFrame:
-    return rows.crossJoin(F.broadcast(few) if few.limit(most + 1).count() <= most else few)
+    return rows.crossJoin(if_few(few, most))

@@ -8,16 +8,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluice.operators.beside import if_few
+
 TECHNICAL = ("DEPRECATED", "DISCARDED")
 TERMINAL = ("VALIDATED", "EXPORTED", "FAILED", "PENDING_VALIDATION", "UNRECOGNIZED")
 FINISHED = ("VALIDATED", "EXPORTED", "FAILED")
 
 #: The order of processing steps, and two names that the journal uses for steps of the list.
 STEPS = (
-    "NEWDOC DOC_CREATED FILEEXTRACTOR DOC_EXTRACTED DETECT_FILE_TYPE UNLOCK_PDF OFFICE_CONVERTER IMAGECONVERTER TEXTCONVERTER "
-    "FILE_CONVERTED PDF_TRUNCATED CAB_READER OCR_READER OCR_DONE DETECT_MULTI_DOC DOC_SPLITTER AI_DISPATCHED DISPATCH_DONE "
-    "AI_PROCESSING CLASSIFIER FIELD_EXTRACTOR DATA_EXTRACTED VALIDATED EXPORTED"
-).split()
+    "NEWDOC", "DOC_CREATED", "FILEEXTRACTOR", "DOC_EXTRACTED", "DETECT_FILE_TYPE", "UNLOCK_PDF", "OFFICE_CONVERTER", "IMAGECONVERTER",
+    "TEXTCONVERTER", "FILE_CONVERTED", "PDF_TRUNCATED", "CAB_READER", "OCR_READER", "OCR_DONE", "DETECT_MULTI_DOC", "DOC_SPLITTER", "AI_DISPATCHED",
+    "DISPATCH_DONE", "AI_PROCESSING", "CLASSIFIER", "FIELD_EXTRACTOR", "DATA_EXTRACTED", "VALIDATED", "EXPORTED",
+)
 STEP_NAMES = {"CLASSIFY": "CLASSIFIER", "EXTRACT": "FIELD_EXTRACTOR"}
 
 
@@ -81,26 +83,25 @@ def validation_list(documents: DataFrame) -> DataFrame:
     return active_documents(documents).select("transaction_id", "document_id", state.alias("state"), state.isin("pending", "validated").alias("validatable")).orderBy("document_id")
 
 
-def completeness(expected: DataFrame, documents: DataFrame) -> DataFrame:
-    """For each transaction: required types present and missing, optional ones present.
+def completeness(transactions: DataFrame, expected: DataFrame, documents: DataFrame) -> DataFrame:
+    """For each transaction of a config that expects types: required types present and missing, optional ones present.
 
-    expected: transaction_id, doctype_id, doctype_name, required. A type is present if an active document carries its
-    id, or its name (trimmed, case ignored); each is an equi-join of its own, since one join on either would be a nested loop.
+    transactions: transaction_id, config_id; expected: config_id, doctype_id, doctype_name, required. A type is present if an active document
+    carries its id, or its name (trimmed, case ignored). A config's types are one list, which is compared with the set of types that the transaction
+    carries, so there is no row for each transaction and type.
     """
-    carried = active_documents(documents).select("transaction_id", F.col("doctype").alias("d")).distinct()
-    names = carried.select("transaction_id", F.lower(F.trim("d")).alias("n")).distinct().withColumn("by_name", F.lit(True))
-    ids = carried.withColumn("by_id", F.lit(True))
-    e = expected.withColumn("key", F.lower(F.trim("doctype_name")))
-    e = e.join(ids.select("transaction_id", F.col("d").alias("doctype_id"), "by_id"), ["transaction_id", "doctype_id"], "left")
-    e = e.join(names.select("transaction_id", F.col("n").alias("key"), "by_name"), ["transaction_id", "key"], "left")
-    present = F.col("by_id").isNotNull() | F.col("by_name").isNotNull()
-    named = lambda cond: F.array_sort(F.collect_set(F.when(cond, F.col("doctype_name"))))
-    out = e.groupBy("transaction_id").agg(
-        F.count_if(F.col("required")).alias("n_required"),
-        named(F.col("required") & present).alias("present"),
-        named(F.col("required") & ~present).alias("missing"),
-        named(~F.col("required") & present).alias("optional"),
-    )
+    lists = expected.groupBy("config_id").agg(F.collect_list(F.struct("doctype_id", "doctype_name", "required")).alias("types"))
+    carried = active_documents(documents).groupBy("transaction_id").agg(F.collect_set("doctype").alias("have"))
+    rows = transactions.select("transaction_id", "config_id").join(if_few(lists), "config_id").join(carried, "transaction_id", "left")
+    rows = rows.withColumn("have", F.coalesce("have", F.array().cast("array<string>"))).withColumn("names", F.transform("have", lambda d: F.lower(F.trim(d))))
+    there = lambda t: F.array_contains("have", t["doctype_id"]) | F.array_contains("names", F.lower(F.trim(t["doctype_name"])))
+    marked = F.transform("types", lambda t: F.struct(t["doctype_name"].alias("name"), t["required"].alias("required"), F.coalesce(there(t), F.lit(False)).alias("present")))
+    rows = rows.select("transaction_id", marked.alias("t"))
+    named = lambda cond: F.array_sort(F.array_distinct(F.transform(F.filter("t", cond), lambda t: t["name"])))
+    out = rows.select(
+        "transaction_id", F.size(F.filter("t", lambda t: t["required"])).cast("long").alias("n_required"),
+        named(lambda t: t["required"] & t["present"]).alias("present"), named(lambda t: t["required"] & ~t["present"]).alias("missing"), named(lambda t: ~t["required"] & t["present"]).alias("optional"),
+    )
     return out.withColumn("complete", (F.col("n_required") == 0) | (F.size("missing") == 0))
 
 

@@ -10,6 +10,8 @@ from sluice.operators import export as X
 from sluice.operators import quality as Q
 from sluice.plans.binding import Book
 from sluice.sources.adapters import view
+from sluice.sources.scratch import scratch
+from sluice.streaming import admission as stream
 
 BOOK = Book()
 NOW = "1998-06-01 00:00:00"
@@ -97,18 +99,33 @@ def a6_idempotent_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.idempotent(rows, rows.filter("event_id < 500"), "event_id")
 
 
-@BOOK.query("""
+ADMITTED = """
 WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY config_id, source_key ORDER BY seen_at, event_id) AS rn FROM v_deposits),
 f AS (
   SELECT config_id, source_key, rn, event_id, seen_at AS last, true AS taken FROM s WHERE rn = 1
   UNION ALL
   SELECT s.config_id, s.source_key, s.rn, s.event_id, CASE WHEN s.seen_at - f.last >= INTERVAL 24 HOUR THEN s.seen_at ELSE f.last END, s.seen_at - f.last >= INTERVAL 24 HOUR
   FROM f JOIN s ON s.config_id = f.config_id AND s.source_key = f.source_key AND s.rn = f.rn + 1)
-SELECT config_id, source_key, event_id FROM f WHERE taken""")
+SELECT config_id, source_key, event_id FROM f WHERE taken"""
+
+
+@BOOK.query(ADMITTED)
 def a7_temporal_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.accepted(view(spark, sf_dir, "v_deposits"), 86_400)
 
 
+@BOOK.query(ADMITTED)
+def a10_streaming_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same deposits as files that arrive in a folder, admitted by the continuous job."""
+    folder = scratch(spark, "admission")
+    rows = view(spark, sf_dir, "v_deposits").select("event_id", F.col("config_id").cast("string").alias("config_id"), "source_key", F.col("seen_at").cast("timestamp").alias("seen_at"), F.lit("0").alias("size"))
+    rows.coalesce(1).write.json(f"{folder}/in")
+    job = stream.write_once(stream.accepted(stream.deposits(spark, f"{folder}/in"), 86_400, 86_400), f"{folder}/out", f"{folder}/state")
+    job.awaitTermination()
+    types = view(spark, sf_dir, "v_deposits").schema
+    return spark.read.parquet(f"{folder}/out").select(F.col("config_id").cast(types["config_id"].dataType).alias("config_id"), "source_key", "event_id")
+
+
 @BOOK.query("""
 SELECT config_id, source_key, arg_max(origin, (seen_at, event_id)) FILTER (origin <> '') AS origin, arg_max(size, (seen_at, event_id)) FILTER (size <> '') AS size, max(seen_at) AS last_seen_at
 FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN 'o' || event_id::VARCHAR ELSE '' END AS origin, CASE WHEN event_id % 2 = 0 THEN event_id::VARCHAR END AS size FROM v_deposits) GROUP BY ALL""")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sluice.operators import quality as Q
 from sluice.operators import report as R
 from sluice.operators import status as S
+from sluice.operators.beside import beside
 from sluice.plans.binding import Book, case_sql
 from sluice.sources.adapters import view
 
@@ -76,13 +77,12 @@ expected AS (
 
 
 def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types that each config expects."""
     types = view(spark, sf_dir, "part").select(F.col("p_type").alias("doctype_name")).distinct()
     configs = view(spark, sf_dir, "v_configs").select("config_id")
     n, m = F.length("doctype_name"), F.length("config_id")
-    # both sides are dimensions of a few rows
-    required = configs.join(F.broadcast(types), n % 3 == m % 3).withColumn("required", F.abs(n - m) % 5 == 0)
-    rows = TX(spark, sf_dir).select("transaction_id", "config_id").join(F.broadcast(required), "config_id")
-    return rows.select("transaction_id", F.concat(F.upper("doctype_name"), F.lit("#")).alias("doctype_id"), F.concat(F.lit("  "), F.lower("doctype_name")).alias("doctype_name"), "required")
+    rows = beside(configs, types).filter(n % 3 == m % 3).withColumn("required", F.abs(n - m) % 5 == 0)
+    return rows.select("config_id", F.concat(F.upper("doctype_name"), F.lit("#")).alias("doctype_id"), F.concat(F.lit("  "), F.lower("doctype_name")).alias("doctype_name"), "required")
 
 
 @BOOK.query(f"""
@@ -98,13 +98,13 @@ SELECT transaction_id, count(*) FILTER (required) AS n_required,
        count(*) FILTER (required) = 0 OR count(*) FILTER (required AND NOT present) = 0 AS complete
 FROM marked GROUP BY transaction_id""", blank=("present", "missing"))
 def s6_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = S.completeness(expected(spark, sf_dir), DOCS(spark, sf_dir))
+    out = S.completeness(TX(spark, sf_dir), expected(spark, sf_dir), DOCS(spark, sf_dir))
     return out.select("transaction_id", "n_required", F.array_join("present", ",").alias("present"), F.array_join("missing", ",").alias("missing"), F.size("optional").cast("long").alias("n_optional"), "complete")
 
 
-@BOOK.query(f"WITH {EXPECTED} SELECT transaction_id AS config_id, array_to_string(list_sort(list(DISTINCT doctype_id)), ',') AS expected FROM expected GROUP BY transaction_id")
+@BOOK.query(f"WITH {EXPECTED} SELECT config_id, array_to_string(list_sort(list(DISTINCT upper(doctype_name) || '#')), ',') AS expected FROM required GROUP BY config_id")
 def s7_expected_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.expected_ids(expected(spark, sf_dir).withColumnRenamed("transaction_id", "config_id")).select("config_id", F.array_join("expected", ",").alias("expected"))
+    return S.expected_ids(expected(spark, sf_dir)).select("config_id", F.array_join("expected", ",").alias("expected"))
 
 
 @BOOK.query(f"""
@@ -217,9 +217,10 @@ def s17_state_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- reports ----------------------------------------------------------------------------------------------
 
 
-@BOOK.query(f"SELECT status, count(*) AS n FROM v_transactions WHERE created_at >= TIMESTAMP '{NOW}' - INTERVAL 365 DAY AND account_id = 10 GROUP BY status")
+@BOOK.query(f"SELECT account_id, status, count(*) AS n FROM v_transactions WHERE created_at >= TIMESTAMP '{NOW}' - INTERVAL 365 DAY GROUP BY account_id, status")
 def r1_scope_and_period(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.scoped(TX(spark, sf_dir), account=F.lit(10), now=now(), days=R.period_days(365)).groupBy("status").agg(F.count("*").alias("n"))
+    """What every account sees of the period; `account` narrows it to one."""
+    return R.scoped(TX(spark, sf_dir), account=None, now=now(), days=R.period_days(365)).groupBy("account_id", "status").agg(F.count("*").alias("n"))
 
 
 @BOOK.query("""
