@@ -80,14 +80,15 @@ def raking(docs: str, prefix: str = "m") -> str:
 {prefix}_w AS (SELECT *, {", ".join(f"pow(sum(tokens) OVER (PARTITION BY {x}), {T}) / count(*) OVER (PARTITION BY {x}) AS w_{x}" for x in d)} FROM {prefix}_cells),
 {prefix}_0 AS (SELECT source, lang, topic, tokens, tokens::DOUBLE AS fitted,
   {", ".join(f"sum(w_{x}) OVER (PARTITION BY {x}) / (SELECT sum(w_{x}) FROM {prefix}_w) * (SELECT sum(tokens) FROM {prefix}_w) AS goal_{x}" for x in d)} FROM {prefix}_w)"""
-    step = 0
-    for _ in range(mixing.ROUNDS):
-        for x in d:
-            out += f""",
-{prefix}_{step + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, fitted * goal_{x} / sum(fitted) OVER (PARTITION BY {x}) AS fitted, goal_source, goal_lang, goal_topic FROM {prefix}_{step})"""
-            step += 1
+    body = f"{prefix}_r"
+    for x in d:
+        scaled = f"fitted * goal_{x} / sum(fitted) OVER (PARTITION BY {x})"
+        step = "step + 1 AS step" if x == d[0] else "step"
+        body = f"(SELECT {step}, source, lang, topic, tokens, {scaled} AS fitted, goal_source, goal_lang, goal_topic FROM {body if body.startswith('(') else body + f' WHERE step < {mixing.ROUNDS}'})"
     return out + f""",
-{prefix}_p AS (SELECT source, lang, topic, fitted / tokens / (SELECT max(fitted / tokens) FROM {prefix}_{step}) AS probability FROM {prefix}_{step}),
+{prefix}_r AS (SELECT 0 AS step, * FROM {prefix}_0 UNION ALL SELECT * FROM {body}),
+{prefix}_last AS (SELECT * FROM {prefix}_r WHERE step = {mixing.ROUNDS}),
+{prefix}_p AS (SELECT source, lang, topic, fitted / tokens / (SELECT max(fitted / tokens) FROM {prefix}_last) AS probability FROM {prefix}_last),
 {prefix}_chances AS (
   SELECT r.*, p.probability,
          ('0x' || substr(md5(coalesce(r.doc_id::VARCHAR, '') || '#{mixing.SEED}'), 1, 12))::BIGINT::DOUBLE / {16**12}.0 < p.probability AS sampled
@@ -102,7 +103,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM verdicts
 """,
     "op10_source_mixing": f"""
-WITH {raking("documents")}
+WITH RECURSIVE {raking("documents")}
 SELECT doc_id, source, lang, topic, tokens, round(probability, 9) AS probability, sampled FROM m_chances
 """,
 }
