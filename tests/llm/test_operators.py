@@ -47,11 +47,12 @@ def line_shingles(norm, size):
     return out
 
 
-def test_line_dedup(docs):
+def plain_removed_lines(rows):
+    """(doc_id, line number) of the lines that go, by comparing every two lines that share a shingle."""
     from sluice.llm import linededup as L
 
     occurrences = []
-    for r in docs.collect():
+    for r in rows:
         for i, line in enumerate((r.text or "").split("\n")):
             n = re.sub(r"[\x20\x09-\x0D]+", " ", line.lower()).strip(" ")
             if n:
@@ -77,7 +78,13 @@ def test_line_dedup(docs):
     first = {}
     for d, i, n in sorted(occurrences):
         first.setdefault(root(number[n]), (d, i))
-    gone = {(d, i) for d, i, n in occurrences if first[root(number[n])] != (d, i)}
+    return {(d, i) for d, i, n in occurrences if first[root(number[n])] != (d, i)}
+
+
+def test_line_dedup(docs):
+    from sluice.llm import linededup as L
+
+    gone = plain_removed_lines(docs.collect())
     mine = {(r.doc_id, int(i)) for r in L.report(docs).collect() for i in r.removed_lines.split(",") if i}
     assert len(gone ^ mine) <= 0.01 * len(gone)
 
@@ -116,21 +123,22 @@ def test_line_dedup_crowded_band(spark):
         assert {(r.v, r.u) for r in L.similar_lines(places, lines, block=block).collect()} == {(a, b) for b, a in same.items()}
 
 
-def test_ngram_join(docs):
-    from sluice.llm import ngramjoin as J
-
+def plain_links(rows):
+    """Sets of five words with their doc_ids, and the pairs of similar ones, by comparing every two."""
     sets = defaultdict(list)
-    for r in docs.collect():
+    for r in rows:
         w = [x.decode() for x in re.sub(rb"[A-Z]", lambda m: m[0].lower(), (r.text or "").encode()).split()]
         sets[frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)) if w)].append(r.doc_id)
     kinds = [s for s in sets if s]
-    links = Counter()
-    for i, a in enumerate(kinds):
-        for b in kinds[:i]:
-            n = len(a & b)
-            if n >= 0.8 * (len(a) + len(b) - n) - 1e-9:
-                links[a] += 1
-                links[b] += 1
+    pairs = [(a, b) for i, a in enumerate(kinds) for b in kinds[:i] if (n := len(a & b)) >= 0.8 * (len(a) + len(b) - n) - 1e-9]
+    return sets, kinds, pairs
+
+
+def test_ngram_join(docs):
+    from sluice.llm import ngramjoin as J
+
+    sets, kinds, pairs = plain_links(docs.collect())
+    links = Counter(x for pair in pairs for x in pair)
     mine = {r.doc_id: r for r in J.report(docs).collect()}
     for s in kinds:
         for d in sets[s]:
@@ -392,6 +400,59 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, DIR).count() > 0
 
 
+def test_pipeline_stages(spark, docs):
+    """The rows of every stage against plain versions, each stage on what the one before it gave."""
+    import corpus_pipeline
+    from sluice.llm import mixing, packing, quality
+    from sluice.llm.common import read, stored
+    from tokenizers import Tokenizer
+
+    stages = dict(corpus_pipeline.STAGES)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    at = docs
+    good = stored(stages["quality_rules"](spark, at, DIR), "test")
+    kept = {r.doc_id for r in quality.report(at, read(spark, DIR, "labels")).collect() if r.kept}
+    assert rows(good) == [r for r in rows(at) if r[0] in kept] and good.columns == docs.columns
+
+    clean = stored(stages["line_dedup"](spark, good, DIR), "test")
+    gone, want = plain_removed_lines(good.collect()), {}
+    for r in good.collect():
+        left = [x for i, x in enumerate(r.text.split("\n")) if (r.doc_id, i) not in gone]
+        if len(left) == len(r.text.split("\n")) or "".join(left).strip():
+            want[r.doc_id] = "\n".join(left)
+    found = {r.doc_id: r.text for r in clean.collect()}
+    assert sum(found.get(d) != want.get(d) for d in found | want) <= 0.01 * len(want)
+
+    one = stored(stages["ngram_jaccard_join"](spark, clean, DIR), "test")
+    sets, kinds, pairs = plain_links(clean.collect())
+    group = {k: k for k in kinds}
+
+    def root(k):
+        while group[k] is not k:
+            k = group[k]
+        return k
+
+    for a, b in pairs:
+        group[root(a)] = root(b)
+    firsts = defaultdict(list)
+    for k in kinds:
+        firsts[root(k)] += sets[k]
+    assert sorted(r.doc_id for r in one.collect()) == sorted([*map(min, firsts.values()), *sets.get(frozenset(), [])])
+
+    some = stored(stages["source_mixing"](spark, one, DIR), "test")
+    sampled = {r.doc_id for r in mixing.report(one).collect() if r.sampled}
+    assert rows(some) == [r for r in rows(one) if r[0] in sampled]
+
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    packed = stages["best_fit_packing"](spark, some, DIR).collect()
+    tokens = {r.doc_id: len(tokenizer.encode(r.text, add_special_tokens=False).ids) + 1 for r in some.collect()}
+    got = Counter()
+    for r in packed:
+        got[r.doc_id] += r.length
+    assert got == Counter(tokens)
+    assert len({r.sequence_id for r in packed}) <= packing.least_bins(Counter(r.length for r in packed), 1024) + 1
+
+
 def test_line_dedup_long_words(spark):
     from pyspark.sql import functions as F
 
