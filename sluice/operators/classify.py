@@ -17,9 +17,9 @@ WORD = "[a-zàâäéèêëïîôöùûüç0-9]{3,}"
 BROADCAST_ROWS = 200_000
 
 
-def document_words(documents: DataFrame) -> DataFrame:
-    """Distinct words of each document."""
-    return documents.select("document_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("word"))
+def document_words(documents: DataFrame, *more: str) -> DataFrame:
+    """Distinct words of each document, with further columns of it."""
+    return documents.select("document_id", *more, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("word"))
 
 
 def _top_two(scores: DataFrame) -> DataFrame:
@@ -31,16 +31,15 @@ def _top_two(scores: DataFrame) -> DataFrame:
 
 def lexical(documents: DataFrame, weights: DataFrame) -> DataFrame:
     """label, confidence and delta by the sum of the weights of the words that occur; null, 0 and 0 if none is known."""
-    hits = document_words(documents).join(weights, "word")
+    hits = document_words(documents).join(weights.hint("shuffle_hash"), "word")
     top = _top_two(hits.groupBy("document_id", "label").agg(F.sum("weight").alias("score")))
-    out = documents.select("document_id").join(top, "document_id", "left")
+    out = documents.select("document_id").join(top.hint("merge"), "document_id", "left")
     return out.select("document_id", "label", F.coalesce(F.least(F.lit(1.0), F.abs("best") / 10), F.lit(0.0)).alias("confidence"), F.coalesce(F.col("best") - F.col("second"), F.lit(0.0)).alias("delta"))
 
 
 def lexical_statistics(documents: DataFrame) -> DataFrame:
     """Documents for each label, and for each label and word (word null: the label itself). documents: document_id, text, label."""
-    words = document_words(documents).join(documents.select("document_id", "label"), "document_id")
-    by_word = words.groupBy("label", "word").agg(F.count("*").alias("n"))
+    by_word = document_words(documents, "label").groupBy("label", "word").agg(F.count("*").alias("n"))
     by_label = documents.groupBy("label").agg(F.count("*").alias("n")).select("label", F.lit(None).cast("string").alias("word"), "n")
     return by_label.unionByName(by_word)
 
@@ -53,8 +52,23 @@ def _centroid_blocks(centroids: DataFrame) -> tuple[DataFrame, int]:
     """Centroids as arrays, a label's together: one row, or, beyond BROADCAST_ROWS, as many as blocks of that size."""
     n = centroids.count()
     blocks = max(1, -(-n // BROADCAST_ROWS))
-    block = F.pmod(F.xxhash64("label"), F.lit(blocks)).alias("block")
-    return centroids.groupBy(block).agg(F.collect_list(F.struct("label", F.col("vector").alias("v"))).alias("cs")).select("cs"), blocks
+    held = F.collect_list(F.struct("label", F.col("vector").alias("v"))).alias("cs")
+    if blocks == 1:
+        return centroids.agg(held), 1
+    return centroids.groupBy(F.pmod(F.xxhash64("label"), F.lit(blocks)).alias("block")).agg(held).select("cs"), blocks
+
+
+def _scored(rows: DataFrame, wanted: Column) -> DataFrame:
+    """Adds s: of the wanted rows' vectors, the best label and the best of another label, as (less: minus the score, label)."""
+    every = F.transform("cs", lambda c: F.struct((-F.round(dot(F.col("vector"), c["v"]), 9)).alias("less"), c["label"].alias("label")))
+    rows = rows.withColumn("s", F.when(wanted, F.array_sort(every))).drop("cs")
+    # in order, the first of another label is the second best
+    return rows.withColumn("s", F.slice(F.concat(F.slice("s", 1, 1), F.filter("s", lambda x: x["label"] != F.try_element_at("s", F.lit(1))["label"])), 1, 2))
+
+
+def _score_columns() -> list[Column]:
+    best, second = F.try_element_at("s", F.lit(1)), F.try_element_at("s", F.lit(2))
+    return [best["label"].alias("label"), F.coalesce(-best["less"], F.lit(0.0)).alias("score"), F.coalesce(second["less"] - best["less"], -best["less"], F.lit(0.0)).alias("delta")]
 
 
 def vector(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -64,16 +78,11 @@ def vector(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     shuffles nothing. More than BROADCAST_ROWS are scored block by block, and each document's best of all blocks are put together.
     """
     held, blocks = _centroid_blocks(centroids)
-    rows = vectors.crossJoin(F.broadcast(held) if blocks == 1 else held)
-    scores = F.transform("cs", lambda c: F.struct((-F.round(dot(F.col("vector"), c["v"]), 9)).alias("less"), c["label"].alias("label")))
-    first = F.array_sort(scores)
-    # in order, the first of another label is the second best
-    top = rows.select("document_id", first.alias("s")).select("document_id", F.slice(F.concat(F.slice("s", 1, 1), F.filter("s", lambda x: x["label"] != F.col("s")[0]["label"])), 1, 2).alias("s"))
+    rows = vectors.select("document_id", "vector").crossJoin(F.broadcast(held) if blocks == 1 else held)
+    top = _scored(rows, F.lit(True))
     if blocks > 1:
         top = top.groupBy("document_id").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("s"))
-    best, second = F.try_element_at("s", F.lit(1)), F.try_element_at("s", F.lit(2))
-    out = vectors.select("document_id").join(top.filter("size(s) > 0"), "document_id", "left") if blocks > 1 else top
-    return out.select("document_id", best["label"].alias("label"), F.coalesce(-best["less"], F.lit(0.0)).alias("score"), F.coalesce(second["less"] - best["less"], -best["less"], F.lit(0.0)).alias("delta"))
+    return top.select("document_id", *_score_columns())
 
 
 def best_chunk(scored: DataFrame) -> DataFrame:
@@ -82,18 +91,29 @@ def best_chunk(scored: DataFrame) -> DataFrame:
     return good.groupBy("document_id").agg(F.max_by(F.struct("chunk_no", "label", "score", "delta"), F.struct("score", -F.col("chunk_no"))).alias("b")).select("document_id", "b.*")
 
 
-def cascade(documents: DataFrame, lexical_scores: DataFrame, vector_scores, model_answers: DataFrame, *, versions: dict[str, str], lexical_min: tuple[float, float] = (0.6, 0.20), vector_min: tuple[float, float] = (0.75, 0.10)) -> DataFrame:
+def cascade(
+    documents: DataFrame, lexical_scores: DataFrame, vectors: DataFrame, centroids: DataFrame, model_answers: DataFrame,
+    *, versions: dict[str, str], lexical_min: tuple[float, float] = (0.6, 0.20), vector_min: tuple[float, float] = (0.75, 0.10),
+) -> DataFrame:
     """label, confidence and source of each document: cheap stages first, the rest to the next one.
 
-    vector_scores is a function from the documents that are left to their vector scores, so the dearer stage sees only these.
+    A document's lexical verdict, vector and model answer are brought together once; vectors are scored only where the verdict is not good enough.
     """
-    first = lexical_scores.filter((F.col("confidence") >= lexical_min[0]) & (F.col("delta") >= lexical_min[1])).select("document_id", "label", "confidence").withColumn("source", F.lit(f"lexical_v{versions['lexical']}"))
-    left = documents.join(first.select("document_id"), "document_id", "left_anti")
-    second = vector_scores(left).filter((F.col("score") >= vector_min[0]) & (F.col("delta") >= vector_min[1])).select("document_id", "label", F.col("score").alias("confidence")).withColumn("source", F.lit(f"embedding_v{versions['embedding']}"))
-    rest = left.join(second.select("document_id"), "document_id", "left_anti").select("document_id")
-    third = rest.join(model_answers.select("document_id", "label", "confidence"), "document_id", "left").withColumn("source", F.lit(f"llm_v{versions['llm']}"))
-    out = first.unionByName(second).unionByName(third)
-    return out.select("document_id", F.coalesce("label", F.lit("unknown")).alias("label"), F.round(F.coalesce("confidence", F.lit(0.0)), 4).alias("confidence"), "source")
+    one = documents.select("document_id").join(lexical_scores.select("document_id", F.struct("label", "confidence", "delta").alias("lex")).hint("merge"), "document_id", "left")
+    rows = one.join(vectors.select("document_id", "vector").hint("merge"), "document_id", "left")
+    rows = rows.join(model_answers.select("document_id", F.struct("label", "confidence").alias("llm")).hint("merge"), "document_id", "left")
+    by_words = F.coalesce((F.col("lex.confidence") >= lexical_min[0]) & (F.col("lex.delta") >= lexical_min[1]), F.lit(False))
+    wanted = ~by_words & F.col("vector").isNotNull()
+    held, blocks = _centroid_blocks(centroids)
+    if blocks == 1:
+        rows = _scored(rows.crossJoin(F.broadcast(held)), wanted).withColumn("emb", F.when(F.size("s") > 0, F.struct(*_score_columns())))
+    else:
+        rows = rows.join(vector(rows.filter(wanted), centroids).select("document_id", F.struct("label", "score", "delta").alias("emb")).hint("merge"), "document_id", "left")
+    by_vector = F.coalesce((F.col("emb.score") >= vector_min[0]) & (F.col("emb.delta") >= vector_min[1]), F.lit(False))
+    verdict = lambda c, score, name: F.struct(F.col(f"{c}.label").alias("label"), F.col(f"{c}.{score}").alias("confidence"), F.lit(f"{name}_v{versions[name]}").alias("source"))
+    found = F.when(by_words, verdict("lex", "confidence", "lexical")).when(by_vector, verdict("emb", "score", "embedding")).otherwise(verdict("llm", "confidence", "llm"))
+    out = rows.select("document_id", found.alias("v"))
+    return out.select("document_id", F.coalesce("v.label", F.lit("unknown")).alias("label"), F.round(F.coalesce("v.confidence", F.lit(0.0)), 4).alias("confidence"), "v.source")
 
 
 def recognition(classified: DataFrame, level: Column, guess: Column) -> DataFrame:
@@ -112,8 +132,8 @@ def scope(configs: DataFrame, doctypes: DataFrame) -> DataFrame:
     """Types of each config: those it expects, else its old list, else its account's. configs: config_id, account_id, expected, old (arrays)."""
     wanted = F.when(F.size("expected") > 0, F.col("expected")).otherwise(F.col("old"))
     rows = configs.select("config_id", "account_id", wanted.alias("w"))
-    listed = rows.filter(F.size("w") > 0).select("config_id", F.explode("w").alias("doctype_id")).join(doctypes.select("doctype_id", "doctype_name"), "doctype_id")
-    owned = rows.filter(F.size("w") == 0).join(doctypes.select("doctype_id", "doctype_name", "account_id"), "account_id")
+    listed = rows.filter(F.size("w") > 0).select("config_id", F.explode("w").alias("doctype_id")).join(doctypes.select("doctype_id", "doctype_name").hint("merge"), "doctype_id")
+    owned = rows.filter(F.size("w") == 0).join(doctypes.select("doctype_id", "doctype_name", "account_id").hint("merge"), "account_id")
     return listed.select("config_id", "doctype_id", "doctype_name").unionByName(owned.select("config_id", "doctype_id", "doctype_name"))
 
 

@@ -10,7 +10,7 @@ def payloads(documents: DataFrame, indexes: DataFrame) -> DataFrame:
     """JSON of each document: extracted values as indexes, metadata as transaction fields, in order of position."""
     listed = lambda kind, *cols: F.transform(F.array_sort(F.collect_list(F.when(F.col("index_type") == kind, F.struct("position", *cols)))), lambda x: F.struct(*[x[c].alias(c.removeprefix("index_")) for c in cols]))
     grouped = indexes.groupBy("document_id").agg(listed("extracted", "index_name", "index_value", "index_score").alias("indexes"), listed("metadata", "index_name", "index_value").alias("transaction_fields"))
-    out = documents.join(grouped, "document_id", "left")
+    out = documents.join(grouped.hint("merge"), "document_id", "left")
     body = F.struct(
         F.col("document_id").alias("doc_id"), F.coalesce("doctype", F.lit("")).alias("doctype"), F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("creation_date"),
         F.coalesce("indexes", F.array()).alias("indexes"), F.coalesce("transaction_fields", F.array()).alias("transaction_fields"),
@@ -22,7 +22,7 @@ def pending_writes(documents: DataFrame, listed: DataFrame, prefix: str) -> Data
     """Documents of which the file or the JSON is not yet among the listed keys."""
     key = F.concat(F.lit(f"{prefix.rstrip('/')}/"), F.col("document_id").cast("string"))
     wanted = documents.withColumn("key", key).select("*", F.explode(F.array(F.concat("key", F.lit(".pdf")), F.concat("key", F.lit(".json")))).alias("object"))
-    missing = wanted.join(listed.select(F.col("key").alias("object")), "object", "left_anti")
+    missing = wanted.join(listed.select(F.col("key").alias("object")).hint("merge"), "object", "left_anti")
     return missing.drop("object").dropDuplicates(["document_id"])
 
 

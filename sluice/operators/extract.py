@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sluice.operators.beside import beside
+from sluice.operators.beside import beside, if_few
 
 
 def route(fields: DataFrame) -> DataFrame:
@@ -181,7 +181,7 @@ def winners(candidates: DataFrame, fields: DataFrame) -> DataFrame:
     """
     order = F.array_position(F.array(*[F.lit(s) for s in STRATEGIES]), F.col("strategy"))
     best = candidates.filter("coalesce(value, '') <> ''").groupBy("document_id", "page", "field_name").agg(F.min_by("value", order).alias("value"))
-    out = best.join(fields.select("field_name", "black_words", "default_value"), "field_name")
+    out = best.join(if_few(fields.select("field_name", "black_words", "default_value")), "field_name")
     words = F.filter(F.split(F.lower(F.coalesce("black_words", F.lit(""))), r"\|"), lambda w: w != "")
     bad = F.exists(words, lambda w: F.contains(F.lower("value"), w))
     return out.select("document_id", "page", "field_name", F.when(bad, F.coalesce("default_value", F.lit(""))).otherwise(F.col("value")).alias("value"))
@@ -190,10 +190,10 @@ def winners(candidates: DataFrame, fields: DataFrame) -> DataFrame:
 def across_pages(values: DataFrame, fields: DataFrame, documents: DataFrame) -> DataFrame:
     """The value of the first page that has one other than the default, else the default, for every document and field."""
     default = F.coalesce("default_value", F.lit(""))
-    known = values.join(fields.select("field_name", default.alias("d")), "field_name").filter("value <> '' and value <> d")
+    known = values.join(if_few(fields.select("field_name", default.alias("d"))), "field_name").filter("value <> '' and value <> d")
     first = known.groupBy("document_id", "field_name").agg(F.min_by("value", "page").alias("value"))
     every = beside(documents.select("document_id").distinct(), fields.select("field_name", default.alias("d")))
-    return every.join(first, ["document_id", "field_name"], "left").select("document_id", "field_name", F.coalesce("value", "d").alias("value"))
+    return every.join(first.hint("merge"), ["document_id", "field_name"], "left").select("document_id", "field_name", F.coalesce("value", "d").alias("value"))
 
 
 def _digit(c: Column) -> Column:
@@ -275,7 +275,7 @@ def summary(values: DataFrame, fields: DataFrame, documents: DataFrame, threshol
     filled = values.filter(F.trim(F.coalesce("value", F.lit(""))) != "").withColumn("s", F.coalesce(F.col("score").try_cast("double"), F.lit(0.0)))
     per = filled.groupBy("document_id").agg(F.count("*").alias("extracted"), F.min("s").alias("least"), F.avg("s").alias("mean"), F.collect_set("field_name").alias("have"))
     needed = fields.agg(F.count("*").alias("total"), F.collect_set(F.when(F.col("required") & (F.col("field_name") != ""), F.col("field_name"))).alias("need"))
-    out = documents.select("document_id").distinct().join(per, "document_id", "left").crossJoin(F.broadcast(needed))  # one row
+    out = documents.select("document_id").distinct().join(per.hint("merge"), "document_id", "left").crossJoin(F.broadcast(needed))  # one row
     missing = F.array_sort(F.array_except("need", F.coalesce("have", F.array().cast("array<string>"))))
     least = F.coalesce("least", F.lit(0.0))
     return out.select(
@@ -297,7 +297,7 @@ def validation_status(documents: DataFrame, scores: DataFrame) -> DataFrame:
 def replace_indexes(indexes: DataFrame, news: DataFrame) -> DataFrame:
     """Extracted rows of documents that were read again give way to the new rows that have a value."""
     again = news.select("document_id").distinct().withColumn("again", F.lit(True))
-    kept = indexes.join(again, "document_id", "left").filter((F.col("index_type") != "extracted") | F.col("again").isNull()).drop("again")
+    kept = indexes.join(again.hint("merge"), "document_id", "left").filter((F.col("index_type") != "extracted") | F.col("again").isNull()).drop("again")
     fresh = news.filter("trim(coalesce(index_value, '')) <> ''").withColumn("index_type", F.lit("extracted"))
     return kept.unionByName(fresh.select(*kept.columns))
 
@@ -364,7 +364,7 @@ def metadata_upsert(metadata: DataFrame, news: DataFrame) -> DataFrame:
 
 def inherited(children: DataFrame, parents: DataFrame, own: DataFrame) -> DataFrame:
     """A child's rows: its parent's with score 1, and its own, of which two naming styles are one. children: document_id, parent_id."""
-    got = children.join(parents.withColumnRenamed("document_id", "parent_id"), "parent_id").select("document_id", "index_type", "index_name", "index_value", F.lit("1").alias("index_score"))
+    got = children.join(parents.withColumnRenamed("document_id", "parent_id").hint("merge"), "parent_id").select("document_id", "index_type", "index_name", "index_value", F.lit("1").alias("index_score"))
     name, value = F.coalesce(F.nullif("index_name", F.lit("")), "name"), F.coalesce(F.nullif("index_value", F.lit("")), "value")
     mine = own.select("document_id", "index_type", name.alias("index_name"), value.alias("index_value"), "index_score").filter("coalesce(index_name, '') <> ''")
     return got.unionByName(mine)
@@ -375,7 +375,7 @@ def deprecated_parents(news: DataFrame, documents: DataFrame) -> DataFrame:
     stem = F.regexp_replace("document_id", r"_\d{4,5}$", "")
     tried = news.select(F.posexplode(F.array(F.col("document_id"), stem)).alias("n", "candidate"), F.col("document_id").alias("new_id"))
     known = documents.filter("not is_new").select(F.col("document_id").alias("candidate"))
-    found = tried.join(known, "candidate").groupBy("new_id").agg(F.min_by("candidate", "n").alias("document_id"))
+    found = tried.join(known.hint("merge"), "candidate").groupBy("new_id").agg(F.min_by("candidate", "n").alias("document_id"))
     return found.select("document_id").distinct()
 
 
@@ -383,7 +383,7 @@ def corrected(documents: DataFrame, indexes: DataFrame, corrections: DataFrame)
     """Documents validated by hand, and the rows after it: corrections replace extracted ones with score 1.0; nameless ones are dropped."""
     named = corrections.filter("trim(coalesce(index_name, '')) <> ''").withColumn("index_score", F.lit("1.0"))
     again = corrections.select("document_id").distinct().withColumn("again", F.lit(True))
-    kept = indexes.join(again, "document_id", "left").filter((F.col("index_type") != "extracted") | F.col("again").isNull()).drop("again")
+    kept = indexes.join(again.hint("merge"), "document_id", "left").filter((F.col("index_type") != "extracted") | F.col("again").isNull()).drop("again")
     rows = kept.unionByName(named.withColumn("index_type", F.lit("extracted")).select(*kept.columns))
     docs = documents.join(again, "document_id", "left").withColumn("status", F.when(F.col("again"), F.lit("VALIDATED")).otherwise(F.col("status"))).drop("again")
     return docs, rows
@@ -392,7 +392,7 @@ def corrected(documents: DataFrame, indexes: DataFrame, corrections: DataFrame)
 def sheet(fields: DataFrame, indexes: DataFrame) -> DataFrame:
     """Every defined field once, in order, filled if extracted; other extracted fields after them. fields: document_id, field_name, position."""
     last = F.lit(1_000_000)
-    joined = fields.join(indexes.select("document_id", F.col("index_name").alias("field_name"), "index_value"), ["document_id", "field_name"], "full_outer")
+    joined = fields.join(indexes.select("document_id", F.col("index_name").alias("field_name"), "index_value").hint("merge"), ["document_id", "field_name"], "full_outer")
     place = F.row_number().over(Window.partitionBy("document_id").orderBy(F.coalesce("position", last), "field_name"))
     return joined.select("document_id", "field_name", F.coalesce("index_value", F.lit("")).alias("value"), F.col("position").isNotNull().alias("defined"), place.alias("place"))
 

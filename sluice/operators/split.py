@@ -94,7 +94,7 @@ def separator_scope(configs: DataFrame, fields: DataFrame) -> DataFrame:
 def children(groups: DataFrame) -> DataFrame:
     """Child pages of documents with more than one group: child id, its page from 1, the parent's page."""
     several = groups.groupBy("document_id").agg(F.max("group_no").alias("n")).filter("n > 1").select("document_id")
-    rows = groups.join(several, "document_id")
+    rows = groups.join(several.hint("merge"), "document_id")
     place = F.row_number().over(Window.partitionBy("document_id", "group_no").orderBy("page"))
     return rows.select(F.format_string("%s_split_%05d", F.col("document_id").cast("string"), "group_no").alias("child_id"), F.col("document_id").alias("parent_id"), place.alias("page"), F.col("page").alias("parent_page"))
 

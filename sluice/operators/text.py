@@ -28,7 +28,7 @@ def markdown(lines: DataFrame, own: DataFrame) -> DataFrame:
     own: document_id, page, markdown.
     """
     joined = lines.filter("text <> ''").groupBy("document_id", "page").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("l"))
-    pages = joined.join(own, ["document_id", "page"], "full_outer")
+    pages = joined.join(own.hint("merge"), ["document_id", "page"], "full_outer")
     body = F.coalesce(F.nullif(F.trim("markdown"), F.lit("")), F.array_join(F.transform("l", lambda x: x["text"]), "\n"), F.lit(""))
     parts = pages.select("document_id", F.struct("page", F.format_string("[PAGE %d]\n%s", F.col("page"), body).alias("t")).alias("part"))
     return parts.groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda x: x["t"]), "\n\n").alias("markdown"))
@@ -98,7 +98,7 @@ def barcode_lines(lines: DataFrame, barcodes: DataFrame) -> DataFrame:
     first = F.row_number().over(Window.partitionBy("document_id", "page", "value").orderBy("n"))
     shown = barcodes.filter("coalesce(value, '') <> '' and x0 is not null").withColumn("r", first).filter("r = 1")
     pages = lines.groupBy("document_id", "page").agg(F.max("line_no").alias("last"))
-    tagged = shown.join(pages, ["document_id", "page"]).select("document_id", "page", (F.col("last") + 1 + F.col("n")).alias("line_no"), F.concat(F.lit("[BARCODE] "), "value").alias("text"), "x0", "y0", "x1", "y1")
+    tagged = shown.join(pages.hint("merge"), ["document_id", "page"]).select("document_id", "page", (F.col("last") + 1 + F.col("n")).alias("line_no"), F.concat(F.lit("[BARCODE] "), "value").alias("text"), "x0", "y0", "x1", "y1")
     return lines.select("document_id", "page", "line_no", "text", "x0", "y0", "x1", "y1").unionByName(tagged)
 
 

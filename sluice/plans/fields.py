@@ -386,7 +386,7 @@ def _cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors, centres = _vectors(spark, sf_dir), _centres(spark, sf_dir).withColumn("label", F.concat(F.lit("v"), F.col("label").cast("string")))
     answers = view(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select(F.col("doc_id").alias("document_id"), F.col("source").alias("label"), F.lit(0.81).alias("confidence"))
     return L.cascade(
-        docs.select("document_id"), L.lexical(docs, _weights(spark, sf_dir)), lambda left: L.vector(vectors.join(left, "document_id", "left_semi"), centres), answers,
+        docs.select("document_id"), L.lexical(docs, _weights(spark, sf_dir)), vectors, centres, answers,
         versions={"lexical": "2", "embedding": "3", "llm": "bootstrap"}, vector_min=(0.3, 0.02),
     )
 

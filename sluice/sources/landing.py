@@ -10,8 +10,12 @@ from email import message_from_bytes, policy
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
+from pyspark.sql.window import Window
 
-MOST_BYTES = 500_000_000
+from sluice.sources.scratch import scratch
+
+#: Limits of a container.
+MOST_BYTES, MOST_MEMBERS = 500_000_000, 10_000
 
 
 def scan(spark: SparkSession, folder: str, *, pattern: str = "*", content: bool = False) -> DataFrame:
@@ -29,8 +33,11 @@ class Members:
         try:
             if category == "ZIP":
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    total = 0
-                    for n, info in enumerate(i for i in z.infolist() if not i.is_dir()):
+                    total, files = 0, [i for i in z.infolist() if not i.is_dir()]
+                    if len(files) > MOST_MEMBERS:
+                        yield 0, "", 0, None, "too_many_members"
+                        return
+                    for n, info in enumerate(files):
                         total += info.file_size
                         if total > MOST_BYTES:
                             yield n, info.filename, info.file_size, None, "too_large"
@@ -45,18 +52,28 @@ class Members:
             yield 0, "", 0, None, f"error:{type(error).__name__}"
 
 
-def expand(containers: DataFrame, *, depth: int = 5) -> DataFrame:
-    """All members down to a depth, one join a level: root, depth, path, size, content, state. containers: root, name, content."""
+def expand(containers: DataFrame, *, depth: int = 5, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """All members down to a depth: root, depth, path, position, size, content, state. containers: root, name, content.
+
+    Every level is written out and read again, so that a container is opened once, whatever lies below it. The sizes of all that a root
+    holds are added up level by level; members beyond `most_bytes` are too large, and are not opened.
+    """
     from sluice.operators.admission import container_category
 
     spark = containers.sparkSession
     spark.udtf.register("sluice_members", Members)
-    level = containers.select("root", F.col("name").alias("path"), "content")
-    found = None
+    folder = scratch(spark, "containers")
+    level = containers.select("root", F.col("name").alias("path"), "content", F.lit(0).cast("long").alias("held"))
     for n in range(1, depth + 1):
         opened = level.withColumn("category", container_category(F.col("content"), F.col("path"))).filter("category <> 'FILE'")
-        opened.createOrReplaceTempView(f"sluice_level_{n}")
-        rows = spark.sql(f"SELECT c.root, {n} AS depth, concat(c.path, '/', m.name) AS path, m.position, m.size, m.content, m.state FROM sluice_level_{n} c, LATERAL sluice_members(c.category, c.content) m")
-        found = rows if found is None else found.unionByName(rows)
-        level = rows.filter("state = 'ok'").select("root", "path", "content")
-    return found
+        rows = spark.sql(
+            f"SELECT c.root, {n} AS depth, concat(c.path, '/', m.name) AS path, m.position, m.size, m.content, m.state, c.held FROM {{opened}} c, LATERAL sluice_members(c.category, c.content) m", opened=opened
+        )
+        total = F.col("held") + F.sum(F.when(F.col("state") == "ok", F.col("size")).otherwise(0)).over(Window.partitionBy("root").orderBy("path", "position").rowsBetween(Window.unboundedPreceding, 0))
+        rows = rows.withColumn("total", total).withColumn("state", F.when((F.col("state") == "ok") & (F.col("total") > most_bytes), "too_large").otherwise(F.col("state")))
+        rows = rows.withColumn("content", F.when(F.col("state") == "ok", F.col("content")))
+        rows.write.parquet(f"{folder}/level={n}")
+        held = spark.read.parquet(f"{folder}/level={n}")
+        sums = held.groupBy("root").agg(F.max("total").alias("held"))
+        level = held.filter("state = 'ok'").select("root", "path", "content").join(sums.hint("merge"), "root")
+    return spark.read.option("basePath", folder).parquet(f"{folder}/level=*").select("root", F.col("depth").cast("int").alias("depth"), "path", "position", "size", "content", "state")
