@@ -421,7 +421,8 @@ def test_pipeline_stages(spark, docs):
         if len(left) == len(r.text.split("\n")) or "".join(left).strip():
             want[r.doc_id] = "\n".join(left)
     found = {r.doc_id: r.text for r in clean.collect()}
-    assert sum(found.get(d) != want.get(d) for d in found | want) <= 0.01 * len(want)
+    # as in test_line_dedup, the candidate search may miss one line in a hundred: those whose similarity is just the threshold
+    assert sum(found.get(d) != want.get(d) for d in found | want) <= max(1, 0.01 * len(gone))
 
     one = stored(stages["ngram_jaccard_join"](spark, clean, DIR), "test")
     sets, kinds, pairs = plain_links(clean.collect())
