@@ -88,8 +88,11 @@ def same_line(lines: DataFrame, reg: str, anchors: str, direction: str = "right"
 
         def of(at: Column) -> Column:
             good = {"right": lambda m: m["at"] >= at + len(term), "left": lambda m: m["at"] < at}.get(direction, lambda m: F.lit(True))
-            near = F.transform(F.filter("m", good), lambda m: F.struct(F.lit(i).alias("term"), F.abs(m["at"] - at - len(term)).alias("far"), F.col("line_no"), at.alias("mark"), m["at"].alias("at"), m["hit"].alias("value")))
-            return F.filter(near, lambda m: (m["far"] <= budget) & (m["value"] != "")) if budget else F.filter(near, lambda m: m["value"] != "")
+            found = F.filter("m", lambda m: good(m) & (m["hit"] != ""))
+            # matches are in order, so on one side of the mark the first or the last one is nearest
+            found = {"right": F.slice(found, 1, 1), "left": F.slice(found, -1, 1)}.get(direction, found)
+            near = F.transform(found, lambda m: F.struct(F.lit(i).alias("term"), F.abs(m["at"] - at - len(term)).alias("far"), F.col("line_no"), at.alias("mark"), m["at"].alias("at"), m["hit"].alias("value")))
+            return F.filter(near, lambda m: m["far"] <= budget) if budget else near
 
         return F.array_min(F.flatten(F.transform(marks, of)))
 
