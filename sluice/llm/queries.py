@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import ann, html, katz, linededup, mixing, ngramjoin, packing, quality, secrets, unitdedup
+from sluice.llm import align, ann, html, katz, linededup, mixing, ngramjoin, packing, quality, secrets, unitdedup
 from sluice.llm.common import read
 
 
@@ -50,8 +50,12 @@ def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(read(spark, sf_dir, "documents"))
 
 
+def op13_galloping_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.report(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_adaptive_scan, op4_ngram_jaccard_join, op5_katz_backoff, op6_html_extraction, op7_secret_scan, op8_unit_dedup, op9_best_fit_packing, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_adaptive_scan, op4_ngram_jaccard_join, op5_katz_backoff, op6_html_extraction, op7_secret_scan, op8_unit_dedup, op9_best_fit_packing, op10_source_mixing, op13_galloping_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,6 +1,6 @@
 """Operators that give one row for each document (packing: its first piece)."""
 
-from sluice.llm import katz, linededup, mixing, ngramjoin, packing, quality, secrets, unitdedup
+from sluice.llm import align, katz, linededup, mixing, ngramjoin, packing, quality, secrets, unitdedup
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
 
@@ -20,6 +20,7 @@ def labels(spark):
 
 
 CASES = {
+    "align": lambda spark, d: align.report(d),
     "quality": lambda spark, d: quality.report(d, labels(spark)),
     "linededup": lambda spark, d: linededup.report(d),
     "ngramjoin": lambda spark, d: ngramjoin.report(d),
