@@ -105,5 +105,40 @@ FROM verdicts
     "op10_source_mixing": f"""
 WITH RECURSIVE {raking("documents")}
 SELECT doc_id, source, lang, topic, tokens, round(probability, 9) AS probability, sampled FROM m_chances
+""",
+    "op12_prefix_trie": """
+WITH turns AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role)::VARCHAR || ':' || role || text)) AS pos
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+own AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY pos) AS l FROM turns GROUP BY conv_id),
+cuts AS (
+  SELECT conv_id, l, conv_id - conv_id % 100 AS base,
+         xor(4294967295, list_reduce(
+           list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+           lambda crc, byte: list_reduce(
+             list_prepend(xor(crc, byte), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+             lambda x, bit: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))) % 6 AS h
+  FROM own),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(list_slice(coalesce(b.l, []), 1, h), list_slice(c.l, h + 1, len(c.l))) AS l
+  FROM cuts c LEFT JOIN own b ON b.conv_id = c.base),
+prefixes AS (
+  SELECT conv_id, depth, list_slice(l, 1, depth) AS p, depth = len(l) AS ends
+  FROM (SELECT conv_id, l, unnest(range(0, len(l) + 1)) AS depth FROM rebuilt)),
+nodes AS (
+  SELECT p, depth, list_slice(p, 1, depth - 1) AS above, min(conv_id) AS conv_id, count(*) AS n_convs,
+         coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '') AS ends
+  FROM prefixes GROUP BY p, depth),
+kids AS (SELECT above AS p, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY above),
+counted AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids k ON n.p = k.p),
+sums AS (
+  SELECT p, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT list_slice(p, 1, d) AS p, leaf, saved
+        FROM (SELECT p, unnest(range(0, depth + 1)) AS d, (n_children = 0)::INT AS leaf,
+                     CASE WHEN depth > 0 THEN (n_convs - 1) * length(p[depth].text) ELSE 0 END AS saved FROM counted))
+  GROUP BY p)
+SELECT n.conv_id, n.depth::BIGINT AS depth, CASE WHEN n.depth > 0 THEN a.conv_id END AS parent_conv_id, n.n_convs, n.n_children,
+       s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM counted n JOIN sums s ON n.p = s.p LEFT JOIN nodes a ON n.depth > 0 AND a.p = n.above
 """,
 }
