@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import align, ann, html, katz, linededup, mixing, ngramjoin, packing, quality, secrets, trie, unitdedup
+from sluice.llm import align, ann, html, katz, linededup, mixing, ngramjoin, packing, pii, quality, secrets, trie, unitdedup
 from sluice.llm.common import read
 
 
@@ -50,6 +50,10 @@ def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(read(spark, sf_dir, "documents"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie(read(spark, sf_dir, "conversations"))
 
@@ -59,7 +63,7 @@ def op13_galloping_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_adaptive_scan, op4_ngram_jaccard_join, op5_katz_backoff, op6_html_extraction, op7_secret_scan, op8_unit_dedup, op9_best_fit_packing, op10_source_mixing, op12_prefix_trie, op13_galloping_alignment)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_adaptive_scan, op4_ngram_jaccard_join, op5_katz_backoff, op6_html_extraction, op7_secret_scan, op8_unit_dedup, op9_best_fit_packing, op10_source_mixing, op11_personal_data, op12_prefix_trie, op13_galloping_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,6 +1,6 @@
 """Operators that give one row for each document (packing: its first piece)."""
 
-from sluice.llm import align, katz, linededup, mixing, ngramjoin, packing, quality, secrets, unitdedup
+from sluice.llm import align, katz, linededup, mixing, ngramjoin, packing, pii, quality, secrets, unitdedup
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
 
@@ -27,6 +27,7 @@ CASES = {
     "katz": lambda spark, d: katz.score(d),
     "secrets": lambda spark, d: secrets.report(d),
     "unitdedup": lambda spark, d: unitdedup.report(d),
+    "pii": lambda spark, d: pii.report(d),
     "packing": lambda spark, d: packing.pack(d).filter("piece = 0"),
     "mixing": lambda spark, d: mixing.report(d),
 }
