@@ -1,7 +1,7 @@
 """Personal data: pattern spans, and further spans from weak supervision.
 
 Base patterns find mail addresses, IP addresses, card and phone numbers; what passes their checks is always a span. Wider
-patterns find candidates of other kinds (spelled-out mail addresses, IPv6 addresses, phone numbers without country code, national
+patterns find candidates of other kinds (card and phone numbers that ran together with other digits and so failed, spelled-out mail addresses, IPv6 addresses, phone numbers without country code, national
 ids, IBANs, persons). Three labelers look at every candidate, those of the base patterns included, and say yes, no or nothing:
 
 * format: checks of the value itself (check digits, group sizes, ranges);
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from sluice.llm.common import stored
 
 BASE = ("email", "ip", "card", "phone")
-WIDER = ("spelled_email", "ipv6", "local_phone", "national_id", "iban", "person")
+WIDER = ("joined_card", "joined_phone", "spelled_email", "ipv6", "local_phone", "national_id", "iban", "person")
 KINDS = BASE + WIDER
 LABELERS = ("format", "gazetteer", "context")
 #: Votes: no, yes, nothing.
@@ -96,6 +96,8 @@ def base_matches(text: str) -> Iterator[tuple[int, int, int, bool]]:
 
 # --- wider patterns -------------------------------------------------------------------------------------------
 
+JOINED_CARD = re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3})(?![0-9])")
+JOINED_PHONE = re.compile(r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?(?:[\x20.-]?[0-9]{2,4}){2,3}(?![0-9])")
 AT = re.compile(r"[\[(]\x20?at\x20?[\])]", re.I)
 SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(]\x20?at\x20?[\])]\x20?[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[(]\x20?dot\x20?[\])]\x20?)[A-Za-z0-9-]{1,63}){1,5}", re.I)
 GROUPS = re.compile(r"(?<![0-9A-Za-z+.:/-])\(?[0-9]{2,5}\)?(?:[\x20./-][0-9]{2,5}){2,4}(?![0-9A-Za-z:/-])")
@@ -105,7 +107,12 @@ IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:
 PERSON = re.compile(r"(?<!\w)(?!(?:Mr|Mrs|Ms|Dr|Prof|Dear|Herr|Frau|Monsieur|Madame)\x20)[A-Z][a-z\u00df-\u00ff]{1,20}(?:\x20[A-Z][a-z\u00df-\u00ff]{1,20}){1,2}(?!\w)")
 
 
-def wider_matches(text: str) -> Iterator[tuple[int, int, int]]:
+def wider_matches(text: str, failed: list[tuple[int, int]] = ()) -> Iterator[tuple[int, int, int]]:
+    """(kind, start, end) of candidates; failed: base matches that failed their checks, in which whole numbers may stand."""
+    for start, end in failed:
+        for name, pattern in (("joined_card", JOINED_CARD), ("joined_phone", JOINED_PHONE)):
+            for m in pattern.finditer(text, start, end):
+                yield KINDS.index(name), *m.span()
     if AT.search(text):
         for m in SPELLED.finditer(text):
             yield KINDS.index("spelled_email"), *m.span()
@@ -134,7 +141,7 @@ CUES = {
     "email": "mail email e-mail contact write courriel correo", "ip": "ip address host client addr adresse", "card": "card visa mastercard credit karte carte tarjeta", "phone": "phone tel telephone call mobile fax telefon teléfono téléphone cell",
     "national_id": "ssn social security national identity id", "iban": "iban account konto compte cuenta bank", "person": "mr mrs ms dr prof name dear herr frau monsieur madame señor señora signed",
 }
-CUE_OF = {"spelled_email": "email", "ipv6": "ip", "local_phone": "phone"}
+CUE_OF = {"joined_card": "card", "joined_phone": "phone", "spelled_email": "email", "ipv6": "ip", "local_phone": "phone"}
 AGAINST = set("version isbn issn order invoice ref reference figure fig table section chapter page release build ticket article no number sku serial date on".split())
 WORD = re.compile(r"[\w-]+")
 
@@ -144,6 +151,12 @@ def _format(kind: str, value: str, passed: bool) -> int:
         return YES if passed else NO
     if kind == "spelled_email":
         return YES if re.search(r"[A-Za-z]{2,10}$", value) else NO
+    if kind == "joined_card":
+        return YES if luhn(re.sub("[^0-9]", "", value)) else NO
+    if kind == "joined_phone":
+        return YES if 9 <= len(re.sub("[^0-9]", "", value)) <= 15 else NO
+    if kind == "person":
+        return NO if len(set(value.split(" "))) == 1 else NOTHING
     if kind == "ipv6":
         return YES if "::" in value and value.count("::") == 1 or value.count(":") == 7 else NO
     if kind == "iban":
@@ -165,9 +178,9 @@ def _gazetteer(kind: str, value: str) -> int:
         return YES if re.split(r"[^A-Za-z0-9-]+", value.rstrip(")] "))[-1].lower() in DOMAINS else NOTHING
     if kind == "ip":
         return NO if re.match(r"(?:0|127|255)\.", value) else NOTHING
-    if kind == "card":
+    if kind in ("card", "joined_card"):
         return YES if ISSUERS.match(digits) else NO
-    if kind == "phone":
+    if kind in ("phone", "joined_phone"):
         return YES if CALLING.match(digits) else NO
     if kind == "local_phone":
         return NOTHING if digits[0] in "0" else YES if len(digits) == 10 and digits[0] > "1" and digits[3] > "1" else NO
@@ -212,7 +225,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base = list(base_matches(text))
             taken = sorted((s, e) for _, s, e, ok in base if ok)
             wider, i = [], 0
-            for kind, s, e in sorted(wider_matches(text), key=lambda x: (x[1], x[0])):
+            for kind, s, e in sorted(set(wider_matches(text, [(s, e) for _, s, e, ok in base if not ok])), key=lambda x: (x[1], x[0])):
                 while i < len(taken) and taken[i][1] <= s:
                     i += 1
                 if i == len(taken) or taken[i][0] >= e:
