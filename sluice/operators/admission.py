@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sluice.operators.temporal import accepted  # noqa: F401  the temporal rule is admission's
+
 #: Origins of deposits; any other is UNKNOWN.
 ORIGINS = ("UI_IMPORT", "FTP", "S3", "API", "MAIL", "WS")
 #: Mail headers that are kept.
@@ -69,36 +68,6 @@ def idempotent(deposits: DataFrame, existing: DataFrame, order: str) -> DataFram
     return first.unionByName(deposits.filter("coalesce(transaction_key, '') = ''"))
 
 
-def _fold(n_key: int):
-    """Rows sorted by key, time and id; what stays between batches is one key and the time of its last accepted row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, last = None, None
-        for batch in batches:
-            taken = []
-            keys = zip(*(batch.column(i).to_pylist() for i in range(n_key)))
-            for i, (key, t, width) in enumerate(zip(keys, batch["t"].to_pylist(), batch["width"].to_pylist())):
-                if key != current:
-                    current, last = key, None
-                if last is None or t - last >= width:
-                    last = t
-                    taken.append(i)
-            yield batch.take(pa.array(taken, pa.int64())).drop_columns(["t", "width"])
-
-    return run
-
-
-def accepted(deposits: DataFrame, window_seconds: Column | int = 3_600, key: tuple[str, ...] = ("config_id", "source_key"), at: str = "seen_at", tie: str = "event_id") -> DataFrame:
-    """Deposits that pass the temporal rule: never seen, or last accepted at least a window ago. A skipped one does not refresh the clock.
-
-    The rule is an ordered fold, for which Spark has no window function: keys stream through their task in order, and none is held whole.
-    """
-    width = window_seconds if isinstance(window_seconds, Column) else F.lit(window_seconds)
-    rows = deposits.select(*key, F.col(tie).cast("bigint").alias(tie), F.unix_micros(F.col(at).cast("timestamp")).alias("t"), (width.cast("long") * 1_000_000).alias("width"))
-    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (*key, tie))
-    return rows.filter("t is not null").repartition(*key).sortWithinPartitions(*key, "t", tie).mapInArrow(_fold(len(key)), fields)
-
-
 def registry_upsert(registry: DataFrame, news: DataFrame, key: tuple[str, ...], attributes: tuple[str, ...], at: str = "last_seen_at", tie: str = "event_id") -> DataFrame:
     """One row for each key: of every attribute the newest value that is not empty; the latest sighting."""
     both = registry.unionByName(news, allowMissingColumns=True)
