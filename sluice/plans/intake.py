@@ -10,7 +10,7 @@ from sluice.operators import export as X
 from sluice.operators import quality as Q
 from sluice.plans.binding import Book
 from sluice.sources.adapters import view
-from sluice.sources.scratch import scratch
+from sluice.sources.scratch import kept, scratch
 from sluice.streaming import admission as stream
 
 BOOK = Book()
@@ -116,14 +116,21 @@ def a7_temporal_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @BOOK.query(ADMITTED)
 def a10_streaming_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same deposits as files that arrive in a folder, admitted by the continuous job."""
+    """Deposits up to a moment were admitted by the batch operator; the continuous job starts from the registry that this left, and reads the later ones from a folder of many files."""
     folder = scratch(spark, "admission")
     rows = view(spark, sf_dir, "v_deposits").select("event_id", F.col("config_id").cast("string").alias("config_id"), "source_key", F.col("seen_at").cast("timestamp").alias("seen_at"), F.lit("0").alias("size"))
-    rows.coalesce(1).write.json(f"{folder}/in")
-    job = stream.write_once(stream.accepted(stream.deposits(spark, f"{folder}/in"), 86_400, 86_400), f"{folder}/out", f"{folder}/state")
+    middle = rows.agg(F.timestamp_micros(F.floor((F.unix_micros(F.min("seen_at")) + F.unix_micros(F.max("seen_at"))) / 2).cast("long")).alias("middle"))
+    rows = rows.crossJoin(F.broadcast(middle))  # one row
+    early = kept(A.accepted(rows.filter("seen_at < middle"), 86_400), "early")
+    # the batch operator's last accepted deposit of each path is what the registry has
+    times = rows.filter("seen_at < middle").select("event_id", F.col("seen_at").alias("last_seen_at")).join(early.hint("merge"), "event_id")
+    registry = A.registry_upsert(times.limit(0), times, ("config_id", "source_key"), ())
+    rows.filter("seen_at >= middle").drop("middle").write.json(f"{folder}/in")
+    job = stream.write_once(stream.accepted(stream.deposits(spark, f"{folder}/in", files_per_batch=1_000_000), 86_400, registry), f"{folder}/out", f"{folder}/state")
     job.awaitTermination()
     types = view(spark, sf_dir, "v_deposits").schema
-    return spark.read.parquet(f"{folder}/out").select(F.col("config_id").cast(types["config_id"].dataType).alias("config_id"), "source_key", "event_id")
+    found = early.unionByName(spark.read.schema(early.schema).parquet(f"{folder}/out"))
+    return found.select(F.col("config_id").cast(types["config_id"].dataType).alias("config_id"), "source_key", "event_id")
 
 
 @BOOK.query("""

@@ -156,7 +156,7 @@ def test_stream_over_many_files_and_a_pause(spark, tmp_path):
     for half in (first[:3], first[3:]):
         for day in half:
             rows.filter(F.to_date("seen_at") == F.lit(day)).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-            job = S.write_once(S.accepted(S.deposits(spark, str(tmp_path / "in"), files_per_batch=2), 7_200, 86_400), str(tmp_path / "out"), str(tmp_path / "check"))
+            job = S.write_once(S.accepted(S.deposits(spark, str(tmp_path / "in"), files_per_batch=2), 7_200), str(tmp_path / "out"), str(tmp_path / "check"))
             job.awaitTermination(120)
     assert want and sorted(spark.read.parquet(str(tmp_path / "out")).collect()) == want
 
@@ -177,3 +177,19 @@ def test_stream_orders_rows_of_several_frames(spark, tmp_path):
         assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 2, 4]
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_stream_starts_from_a_registry(spark, tmp_path):
+    """What a registry has seen counts; a deposit without a time and a key that the registry alone has give nothing."""
+    from sluice.streaming import admission as S
+
+    (tmp_path / "in").mkdir()
+    at = lambda h: f"2024-01-01T{h:02d}:00:00Z"
+    rows = [(1, "c", "k", at(5)), (2, "c", "k", at(8)), (3, "c", "new", at(5)), (4, "c", "k", None), (5, None, "k", at(1))]
+    for n, (i, c, k, t) in enumerate(rows):
+        (tmp_path / "in" / f"{n}.json").write_text(json.dumps({"event_id": i, "config_id": c, "source_key": k, "seen_at": t, "size": "1"}))
+    registry = spark.sql("SELECT 'c' AS config_id, 'k' AS source_key, timestamp'2024-01-01 04:00:00' AS last_seen_at UNION ALL SELECT 'd', 'k', NULL")
+    for _ in range(2):  # the second run finds nothing new
+        S.write_once(S.accepted(S.deposits(spark, str(tmp_path / "in")), 3 * 3_600, registry), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
+        assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [2, 3, 5]
+    assert all(spark.conf.get(k, None) != v for k, v in S.SETTINGS.items())
