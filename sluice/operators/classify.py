@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sluice.operators.beside import beside
 
 WORD = "[a-zàâäéèêëïîôöùûüç0-9]{3,}"
 #: Rows of a weights or centroid table up to which it is broadcast; a larger one is joined by its key, or in blocks.
@@ -191,15 +190,62 @@ def model_version(centres: DataFrame, version: str) -> tuple[DataFrame, DataFram
     return centres.withColumn("version", F.lit(version)), pointer
 
 
-def choices(documents: DataFrame, configs: DataFrame, doctypes: DataFrame) -> DataFrame:
-    """Types a document may be given by hand: its config's expected ones, else the account's and public ones. documents: document_id, config_id, account_id."""
-    rows = documents.join(configs.select("config_id", "expected"), "config_id", "left").withColumn("expected", F.coalesce("expected", F.array().cast("array<string>")))
-    names = doctypes.select("doctype_id", "doctype_name")
-    some = rows.filter(F.size("expected") > 0).select("document_id", F.explode("expected").alias("doctype_id")).join(names.hint("merge"), "doctype_id")
-    none = rows.filter(F.size("expected") == 0)
-    public = beside(none, doctypes.filter("is_public").select("doctype_id", "doctype_name")).select("document_id", "doctype_id", "doctype_name")
-    own = none.join(doctypes.filter("not is_public").select("doctype_id", "doctype_name", "account_id").hint("merge"), "account_id").select("document_id", "doctype_id", "doctype_name")
-    return some.select("document_id", "doctype_id", "doctype_name").unionByName(public).unionByName(own)
+def _by_name(types: DataFrame, *key: str) -> DataFrame:
+    return types.groupBy(*key, "doctype_name").agg(F.min("doctype_id").alias("doctype_id"))
+
+
+def resolved(documents: DataFrame, configs: DataFrame, doctypes: DataFrame) -> DataFrame:
+    """The type whose definition extraction uses, found by the name that a document was classified with: rank 1 among the config's expected types (else its old list), the first in that order;
+    rank 2 among the public ones and those of the config's account, the least id; without an account among all. Documents without a name, or of type unknown, have none.
+
+    documents: document_id, config_id, doctype. configs: config_id, account_id, expected, old (arrays). doctypes: doctype_id, doctype_name, account_id, is_public. Each rank is a table with
+    one row for a name in its scope, so equal names in many accounts are never joined with each other.
+    """
+    wanted = F.when(F.size("expected") > 0, F.col("expected")).otherwise(F.col("old"))
+    listed = configs.select("config_id", F.posexplode(wanted).alias("place", "doctype_id")).join(doctypes.select("doctype_id", "doctype_name").hint("merge"), "doctype_id")
+    listed = listed.groupBy("config_id", "doctype_name").agg(F.min_by("doctype_id", "place").alias("listed"))
+    public = _by_name(doctypes.filter("is_public")).withColumnRenamed("doctype_id", "public")
+    own = _by_name(doctypes.filter("account_id IS NOT NULL"), "account_id").withColumnRenamed("doctype_id", "own")
+    every = _by_name(doctypes).withColumnRenamed("doctype_id", "every")
+    rows = documents.select("document_id", "config_id", F.col("doctype").alias("doctype_name")).filter("coalesce(doctype_name, '') NOT IN ('', 'unknown')")
+    rows = rows.join(configs.select("config_id", "account_id").hint("merge"), "config_id")
+    for table, key in ((listed, ["config_id", "doctype_name"]), (own, ["account_id", "doctype_name"]), (public, ["doctype_name"]), (every, ["doctype_name"])):
+        rows = rows.join(table.hint("merge"), key, "left")
+    fallback = F.when(F.col("account_id").isNull(), F.col("every")).otherwise(F.least("own", "public"))
+    rank = F.when(F.col("listed").isNotNull(), 1).otherwise(2)
+    return rows.select("document_id", F.coalesce("listed", fallback).alias("doctype_id"), rank.alias("rank")).filter("doctype_id IS NOT NULL")
+
+
+def choices(configs: DataFrame, doctypes: DataFrame) -> DataFrame:
+    """For each config the types that its documents may be given by hand, by name: the expected ones, else those of its account and the public ones, else (without an account) all.
+
+    configs: config_id, account_id, expected (array). A config's types are one array of (doctype_name, doctype_id), so documents are joined by config and there is no row for each document and type.
+    Public types are one array, and all types another; both are as long as the catalogue of types.
+    """
+    kind = F.struct("doctype_name", "doctype_id")
+    listed = configs.select("config_id", F.explode("expected").alias("doctype_id")).distinct().join(doctypes.select("doctype_id", "doctype_name").hint("merge"), "doctype_id")
+    listed = listed.groupBy("config_id").agg(F.collect_list(kind).alias("listed"))
+    own = doctypes.filter("NOT is_public AND account_id IS NOT NULL").groupBy("account_id").agg(F.collect_list(kind).alias("own"))
+    shared = doctypes.agg(F.collect_list(F.when(F.col("is_public"), kind)).alias("public"), F.collect_list(kind).alias("every"))
+    rows = configs.withColumn("asks", F.coalesce(F.size("expected"), F.lit(0)) > 0).drop("expected")
+    rows = rows.join(listed.hint("merge"), "config_id", "left").join(own.hint("merge"), "account_id", "left").crossJoin(F.broadcast(shared))  # one row
+    nothing = F.array().cast(own.schema["own"].dataType)
+    found = F.when(F.col("asks"), F.col("listed")).when(F.col("account_id").isNull(), F.col("every")).otherwise(F.concat(F.coalesce("own", nothing), "public"))
+    return rows.select("config_id", F.array_sort(F.coalesce(found, nothing)).alias("choices"))
+
+
+def reclassified(documents: DataFrame, picks: DataFrame) -> DataFrame:
+    """Documents after a choice by hand: its type, and the step before extraction; or, without a type (`guess`), the step before classification. Unrecognised ones are recognised again.
+
+    documents: document_id, doctype, process, status. picks: document_id, doctype_name, guess; the last of a document's picks by `pick_id` counts, unknown documents are ignored.
+    """
+    last = picks.groupBy("document_id").agg(F.max_by(F.struct(F.coalesce("doctype_name", F.lit("")).alias("name"), "guess"), "pick_id").alias("pick"))
+    rows, chosen = documents.join(last, "document_id", "left"), F.col("pick").isNotNull()
+    return rows.withColumns({
+        "doctype": F.when(chosen & ~F.col("pick.guess"), F.col("pick.name")).otherwise(F.col("doctype")),
+        "process": F.when(chosen, F.when(F.col("pick.guess"), "OCR_READER").otherwise("CLASSIFIER")).otherwise(F.col("process")),
+        "status": F.when(chosen & (F.col("status") == "UNRECOGNIZED"), "OCR_DONE").otherwise(F.col("status")),
+    }).drop("pick")
 
 
 #: Types and directions that a proposed field may have.

@@ -45,23 +45,38 @@ def cost_months(costs: DataFrame, months: int = 12) -> DataFrame:
     return by.orderBy(F.desc("year"), F.desc("month")).limit(months).orderBy("year", "month")
 
 
-def cost_projection(costs: DataFrame, volumes: tuple[int, ...] = (1_000, 5_000, 10_000, 50_000, 100_000)) -> DataFrame:
-    """Cost for each costed transaction and what it comes to at other volumes; the floor leaves out the model's classification."""
+def _within(costs: DataFrame, since: Column | None) -> DataFrame:
+    return costs if since is None else costs.filter(F.col("created_at") >= since)
+
+
+def cost_projection(costs: DataFrame, since: Column | None = None, volumes: tuple[int, ...] = (1_000, 5_000, 10_000, 50_000, 100_000)) -> DataFrame:
+    """Cost for each document that cost something in the period, and what it comes to at other volumes; the floor leaves out the model's classification.
+
+    costs: document_id (null: of no document; its amount counts all the same), process, source, amount_u, created_at.
+    """
     model = (F.col("process") == "CLASSIFY") & F.col("source").startswith("llm_")
-    one = costs.agg(
-        F.count_distinct("transaction_id").alias("units"), F.sum("amount_u").alias("amount_u"),
-        F.sum(F.when(model, F.col("amount_u")).otherwise(0)).alias("model_u"),
+    one = _within(costs, since).agg(
+        F.count_distinct("document_id").alias("units"), F.coalesce(F.sum("amount_u"), F.lit(0)).alias("amount_u"),
+        F.coalesce(F.sum(F.when(model, F.col("amount_u"))), F.lit(0)).alias("model_u"),
     )
     each = F.coalesce(F.try_divide(F.col("amount_u") / 100.0, F.col("units")), F.lit(0.0))
     floor = F.coalesce(F.try_divide((F.col("amount_u") - F.col("model_u")) / 100.0, F.col("units")), F.lit(0.0))
     share = F.coalesce(F.try_divide(100.0 * F.col("model_u"), F.col("amount_u")), F.lit(0.0))
     out = one.withColumn("volume", F.explode(F.array(*[F.lit(v) for v in volumes])))
     return out.select(
-        "units", F.round(each, 5).alias("unit_cost"), F.round(floor, 5).alias("unit_floor"), F.round(share, 1).alias("model_share"),
+        "units", F.round(F.col("amount_u") / 100.0, 4).alias("total"), F.round(each, 5).alias("unit_cost"), F.round(floor, 5).alias("unit_floor"), F.round(share, 1).alias("model_share"),
         "volume", F.round(each * F.col("volume"), 2).alias("projected"), F.round(floor * F.col("volume"), 2).alias("projected_floor"),
     )
 
 
+def process_averages(costs: DataFrame, since: Column | None = None) -> DataFrame:
+    """Each step's cost in the period for each document that cost something in any step; nothing where there is no such document. A step without a name is `?`."""
+    found = _within(costs, since)
+    by = found.groupBy(F.coalesce(F.nullif("process", F.lit("")), F.lit("?")).alias("process")).agg(F.sum("amount_u").alias("amount_u"))
+    units = found.agg(F.count_distinct("document_id").alias("units")).filter("units > 0")
+    return by.crossJoin(F.broadcast(units)).select("process", F.round(F.col("amount_u") / 100.0 / F.col("units"), 5).alias("unit_cost"))  # one row
+
+
 def step_durations(steps: DataFrame) -> DataFrame:
     known = steps.filter("duration_ms is not null")
     return known.groupBy("process").agg(F.floor(F.avg("duration_ms")).cast("long").alias("avg_ms"), F.max("duration_ms").alias("max_ms"), F.count("*").alias("n")).orderBy(F.desc("avg_ms"), "process")
@@ -105,15 +120,21 @@ def credit_forecast(costs: DataFrame, balances: DataFrame, now: Column, days: in
     return out.select("account_id", F.round(daily, 6).alias("daily"), left.alias("days_left"), F.when(left >= 0, F.date_add(now.cast("date"), F.floor(F.least(left, F.lit(36_500.0))).cast("int"))).alias("empty_on"))
 
 
-def board(transactions: DataFrame, documents: DataFrame, costs: DataFrame, now: Column) -> DataFrame:
-    """One row for each transaction, from aggregates that are joined once each."""
-    base = S.reconciled(transactions, documents)
-    summary = S.validation_summary(documents).drop("total")
-    held = S.stuck(transactions, documents, now).select("transaction_id", "stuck")
+def board(transactions: DataFrame, documents: DataFrame, costs: DataFrame, expected: DataFrame, now: Column, minutes: int = 10) -> DataFrame:
+    """One row for each transaction: status, counts, what is missing of the types its config expects, whether it is stuck, and its cost.
+
+    Documents are aggregated once for all of it, and costs once. A transaction whose config expects nothing is complete.
+    """
+    facts = transactions.join(S.document_facts(documents), "transaction_id", "left").withColumn("reconciled", S.implied())
+    complete = S.compared(facts, expected).select("transaction_id", "n_required", "missing", "complete")
     spent = costs.groupBy("transaction_id").agg(F.sum("amount_u").alias("cost_u"))
-    out = base.join(summary, "transaction_id", "left").join(held, "transaction_id", "left").join(spent, "transaction_id", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return out.select("transaction_id", "reconciled", "n_active", zero("validated"), zero("pending"), zero("error"), "stuck", zero("cost_u"))
+    out = facts.join(complete, "transaction_id", "left").join(spent, "transaction_id", "left")
+    idle = F.coalesce("touched_at", "created_at") < now - F.make_dt_interval(mins=F.lit(minutes))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return out.select(
+        "transaction_id", "reconciled", zero("n_active"), zero("validated"), zero("pending"), zero("error"), ((F.col("reconciled") == "WORKING") & idle).alias("stuck"), zero("cost_u"),
+        zero("n_required"), F.coalesce(F.array_join("missing", ","), F.lit("")).alias("missing"), F.coalesce("complete", F.lit(True)).alias("complete"),
+    )
 
 
 def page(rows: DataFrame, column: str, *, allowed: tuple[str, ...], descending: bool = True, number: int = 1, size: int = 25, default: str = "created_at", key: str = "transaction_id") -> DataFrame:

@@ -8,8 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.window import Window
+
 from sluice.operators.beside import if_few
+from sluice.sources.scratch import kept
 
+#: Statuses of documents that no longer count, at which work rests, and that need nothing more.
 TECHNICAL = ("DEPRECATED", "DISCARDED")
 TERMINAL = ("VALIDATED", "EXPORTED", "FAILED", "PENDING_VALIDATION", "UNRECOGNIZED")
 FINISHED = ("VALIDATED", "EXPORTED", "FAILED")
@@ -63,6 +67,26 @@ def reconciled(transactions: DataFrame, documents: DataFrame) -> DataFrame:
     return joined.withColumn("reconciled", status).withColumn("n_active", F.coalesce("n_active", F.lit(0))).drop("any_failed", "any_open", "all_exported", "any_pending", "all_done")
 
 
+def document_facts(documents: DataFrame) -> DataFrame:
+    """All that the board asks of a transaction's documents, in one aggregate: what `reconciled` needs, counts by state, the last change, and the types that active ones carry."""
+    s, on = F.col("status"), is_active(F.col("status"))
+    any_ = lambda c: F.coalesce(F.bool_or(on & c), F.lit(False))
+    return documents.groupBy("transaction_id").agg(
+        F.count_if(on).alias("n_active"), any_(s == "FAILED").alias("any_failed"), any_(~s.isin(*TERMINAL)).alias("any_open"), (~any_(s != "EXPORTED")).alias("all_exported"),
+        any_(s == "PENDING_VALIDATION").alias("any_pending"), (~any_(~s.isin("VALIDATED", "EXPORTED"))).alias("all_done"),
+        F.count_if(on & s.isin("VALIDATED", "EXPORTED")).alias("validated"), F.count_if(on & (s == "PENDING_VALIDATION")).alias("pending"), F.count_if(on & (s == "FAILED")).alias("error"),
+        F.max("updated_at").alias("touched_at"), F.collect_set(F.when(on, F.col("doctype"))).alias("have"),
+    )
+
+
+def implied(facts: str = "n_active") -> Column:
+    """The status that the facts of active documents imply; without any, the stored one."""
+    return (
+        F.when(F.coalesce(F.col(facts), F.lit(0)) == 0, F.col("status")).when(F.col("any_failed"), "FAILED").when(F.col("any_open"), "WORKING").when(F.col("all_exported"), "EXPORTED")
+        .when(F.col("any_pending"), "PENDING_VALIDATION").when(F.col("all_done"), "VALIDATED").otherwise(F.col("status"))
+    )
+
+
 def in_progress(documents: DataFrame) -> DataFrame:
     return documents.withColumn("in_progress", ~F.col("status").isin(*FINISHED))
 
@@ -90,9 +114,14 @@ def completeness(transactions: DataFrame, expected: DataFrame, documents: DataFr
     carries its id, or its name (trimmed, case ignored). A config's types are one list, which is compared with the set of types that the transaction
     carries, so there is no row for each transaction and type.
     """
-    lists = expected.groupBy("config_id").agg(F.collect_list(F.struct("doctype_id", "doctype_name", "required")).alias("types"))
     carried = active_documents(documents).groupBy("transaction_id").agg(F.collect_set("doctype").alias("have"))
-    rows = transactions.select("transaction_id", "config_id").join(if_few(lists), "config_id").join(carried, "transaction_id", "left")
+    return compared(transactions.select("transaction_id", "config_id").join(carried, "transaction_id", "left"), expected)
+
+
+def compared(carried: DataFrame, expected: DataFrame) -> DataFrame:
+    """`completeness` for rows transaction_id, config_id and have, the set of types that it carries (null: none)."""
+    lists = expected.groupBy("config_id").agg(F.collect_list(F.struct("doctype_id", "doctype_name", "required")).alias("types"))
+    rows = carried.select("transaction_id", "config_id", "have").join(if_few(kept(lists, "expected")), "config_id")
     rows = rows.withColumn("have", F.coalesce("have", F.array().cast("array<string>"))).withColumn("names", F.transform("have", lambda d: F.lower(F.trim(d))))
     there = lambda t: F.array_contains("have", t["doctype_id"]) | F.array_contains("names", F.lower(F.trim(t["doctype_name"])))
     marked = F.transform("types", lambda t: F.struct(t["doctype_name"].alias("name"), t["required"].alias("required"), F.coalesce(there(t), F.lit(False)).alias("present")))
@@ -134,22 +163,42 @@ def step_skips(progress: DataFrame, target: str = "target") -> DataFrame:
     return progress.withColumn("skip", F.coalesce(step_rank(F.col("current")) > step_rank(F.col(target)), F.lit(False)))
 
 
-def step_journal(marks: DataFrame, detail_chars: int = 2_000) -> DataFrame:
-    """One row for each run of a step from its start and end marks: kind, process, at, detail, ok."""
-    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
-    runs = marks.groupBy("transaction_id", "process").agg(of("start", "at").alias("started_at"), of("end", "at").alias("ended_at"), of("end", "ok").alias("ok"), of("end", "detail").alias("detail"))
+def step_journal(marks: DataFrame, *, detail_chars: int = 2_000) -> DataFrame:
+    """One row for each run of a step, from start and end marks: transaction_id, process, mark_id, kind, at, ok, detail.
+
+    A start begins a run, and the first end after it closes it; ends without a run and starts that were never closed leave no row, but for the last run of a step, which is still RUNNING.
+    """
+    steps = Window.partitionBy("transaction_id", "process").orderBy("at", "mark_id")
+    numbered = marks.withColumn("run_no", F.sum((F.col("kind") == "start").cast("int")).over(steps.rowsBetween(Window.unboundedPreceding, 0))).filter("run_no > 0")
+    when = F.struct("at", "mark_id")
+    first_end = lambda c: F.min_by(c, F.when(F.col("kind") == "end", when))
+    # at most one start is in a run
+    runs = numbered.groupBy("transaction_id", "process", "run_no").agg(
+        F.min(F.when(F.col("kind") == "start", F.col("at"))).alias("started_at"), first_end("at").alias("ended_at"), first_end("ok").alias("ok"), first_end("detail").alias("detail")
+    )
+    last = F.max("run_no").over(Window.partitionBy("transaction_id", "process"))
+    runs = runs.withColumn("last", F.col("run_no") == last).filter("ended_at IS NOT NULL OR last")
     took = F.greatest(F.lit(0), F.unix_micros(F.col("ended_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp")))
-    return runs.filter("ended_at is not null and started_at is not null").select(
-        "transaction_id", "process", F.when(F.col("ok"), "OK").otherwise("ERROR").alias("status"),
-        F.floor(took / 1000).cast("long").alias("duration_ms"), F.substring("detail", 1, detail_chars).alias("detail"),
+    status = F.when(F.col("ended_at").isNull(), "RUNNING").when(F.col("ok"), "OK").otherwise("ERROR")
+    return runs.select(
+        "transaction_id", "process", "run_no", "started_at", "ended_at", status.alias("status"), F.when(F.col("ended_at").isNotNull(), F.floor(took / 1000).cast("long")).alias("duration_ms"),
+        F.substring(F.when(status == "ERROR", F.col("detail")), 1, detail_chars).alias("detail"),
     )
 
 
+def advanced(entities: DataFrame, journal: DataFrame, key: str = "transaction_id") -> DataFrame:
+    """Entities (transactions or documents) with process and process_time of their last run that went well; failed and running ones move nothing."""
+    last = journal.filter("status = 'OK'").groupBy(key).agg(F.max_by(F.struct("process", "ended_at"), F.struct("ended_at", "started_at", "process")).alias("last"))
+    moved = entities.join(last, key, "left")
+    new = {"process": F.coalesce("last.process", "process"), "process_time": F.coalesce("last.ended_at", "process_time")}
+    return moved.withColumns(new).drop("last")
+
+
 def retention_due(transactions: DataFrame, configs: DataFrame, now: Column, default_days: int = 30) -> DataFrame:
-    """Exported transactions whose time is over; a config's days count if they read as a number from 0 up."""
+    """Exported transactions (by the status that their documents imply, as `reconciled` gives it) whose time is over; a config's days count if they read as a number from 0 up."""
     days = F.col("retention_days").try_cast("int")
     own = F.when(days >= 0, days)
-    joined = transactions.filter((F.col("status") == "EXPORTED") & F.col("exported_at").isNotNull()).join(configs.select("config_id", own.alias("days")), "config_id", "left")
+    joined = transactions.filter((F.col("reconciled") == "EXPORTED") & F.col("exported_at").isNotNull()).join(configs.select("config_id", own.alias("days")), "config_id", "left")
     joined = joined.withColumn("days", F.coalesce("days", F.lit(default_days)))
     return joined.filter(F.col("exported_at") + F.make_dt_interval(days=F.col("days")) < now)
 

@@ -453,16 +453,64 @@ def l13_classification_method(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "v_costs").select("transaction_id", "amount_u", classification_method(F.col("source")).alias("method"))
 
 
-@BOOK.query("""
-SELECT c_custkey AS document_id, s_suppkey AS doctype_id FROM customer, supplier WHERE c_custkey % 4 <> 0 AND s_suppkey % 50 = 0
-UNION ALL SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON s_nationkey = c_nationkey WHERE c_custkey % 4 <> 0 AND s_suppkey % 50 <> 0
-UNION ALL SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON s_suppkey = c_custkey WHERE c_custkey % 4 = 0""")
+CATALOGUE = """
+types AS (SELECT s_suppkey::VARCHAR AS doctype_id, 'type ' || (s_suppkey % 13)::VARCHAR AS doctype_name, CASE WHEN s_suppkey % 3 > 0 THEN s_nationkey END AS account_id, s_suppkey % 5 = 0 AS is_public FROM supplier),
+configs AS (
+  SELECT c_custkey AS config_id, CASE WHEN c_custkey % 7 > 0 THEN c_nationkey END AS account_id,
+         CASE WHEN c_custkey % 4 = 0 THEN [(c_custkey % 10 + 3)::VARCHAR, (c_custkey % 10 + 1)::VARCHAR] ELSE [] END AS expected,
+         CASE WHEN c_custkey % 4 = 1 THEN [(c_custkey % 10)::VARCHAR, 'gone'] ELSE [] END AS old FROM customer)"""
+
+
+def catalogue(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Configs of each customer, of which some have no account, expect types or have an old list; and types of suppliers, with names that many share."""
+    s, c = F.col("s_suppkey"), F.col("c_custkey")
+    types = view(spark, sf_dir, "supplier").select(s.cast("string").alias("doctype_id"), F.concat(F.lit("type "), (s % 13).cast("string")).alias("doctype_name"), F.when(s % 3 > 0, F.col("s_nationkey")).alias("account_id"), (s % 5 == 0).alias("is_public"))
+    none, of = F.array().cast("array<string>"), lambda n: (c % 10 + n).cast("string")
+    configs = view(spark, sf_dir, "customer").select(
+        c.alias("config_id"), F.when(c % 7 > 0, F.col("c_nationkey")).alias("account_id"), F.when(c % 4 == 0, F.array(of(3), of(1))).otherwise(none).alias("expected"), F.when(c % 4 == 1, F.array(of(0), F.lit("gone"))).otherwise(none).alias("old")
+    )
+    return configs, types
+
+
+@BOOK.query(f"""
+WITH {CATALOGUE},
+docs AS (SELECT o_orderkey AS document_id, o_custkey AS config_id, CASE WHEN o_orderkey % 17 = 0 THEN 'unknown' ELSE 'type ' || (o_orderkey % 15)::VARCHAR END AS doctype FROM orders),
+lists AS (SELECT config_id, unnest(w) AS doctype_id, generate_subscripts(w, 1) AS place FROM (SELECT config_id, CASE WHEN len(expected) > 0 THEN expected ELSE old END AS w FROM configs)),
+candidates AS (
+  SELECT d.document_id, t.doctype_id, 1 AS rank, l.place AS place FROM docs d JOIN lists l USING (config_id) JOIN types t ON t.doctype_id = l.doctype_id AND t.doctype_name = d.doctype WHERE d.doctype <> 'unknown'
+  UNION ALL
+  SELECT d.document_id, t.doctype_id, 2, 0 FROM docs d JOIN configs c USING (config_id) JOIN types t ON t.doctype_name = d.doctype
+  WHERE d.doctype <> 'unknown' AND (c.account_id IS NULL OR t.is_public OR t.account_id = c.account_id))
+SELECT document_id, doctype_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY rank, place, doctype_id) AS n FROM candidates) WHERE n = 1""")
+def l8_resolved_doctype(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    docs = view(spark, sf_dir, "orders").select(k.alias("document_id"), F.col("o_custkey").alias("config_id"), F.when(k % 17 == 0, "unknown").otherwise(F.concat(F.lit("type "), (k % 15).cast("string"))).alias("doctype"))
+    configs, types = catalogue(spark, sf_dir)
+    return L.resolved(docs, configs, types)
+
+
+@BOOK.query(f"""
+WITH {CATALOGUE},
+chosen AS (
+  SELECT c.config_id, t.doctype_name || '/' || t.doctype_id AS item, t.doctype_name, t.doctype_id FROM configs c JOIN types t ON
+    CASE WHEN len(c.expected) > 0 THEN list_contains(c.expected, t.doctype_id) WHEN c.account_id IS NULL THEN true ELSE t.is_public OR t.account_id = c.account_id END)
+SELECT c.config_id, coalesce(string_agg(item, ',' ORDER BY doctype_name, doctype_id), '') AS choices FROM configs c LEFT JOIN chosen USING (config_id) GROUP BY c.config_id""", blank=("choices",))
 def l14_reclassification_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("c_custkey")
-    docs = view(spark, sf_dir, "customer").select(k.alias("document_id"), k.alias("config_id"), F.col("c_nationkey").alias("account_id"))
-    configs = docs.select("config_id", F.when(F.col("config_id") % 4 == 0, F.array(F.col("config_id").cast("string"))).alias("expected"))
-    types = view(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("doctype_id"), F.col("s_name").alias("doctype_name"), F.col("s_nationkey").alias("account_id"), (F.col("s_suppkey") % 50 == 0).alias("is_public"))
-    return L.choices(docs, configs, types).select("document_id", F.col("doctype_id").cast("bigint").alias("doctype_id"))
+    configs, types = catalogue(spark, sf_dir)
+    item = F.transform("choices", lambda t: F.concat(t["doctype_name"], F.lit("/"), t["doctype_id"]))
+    return L.choices(configs.drop("old"), types).select("config_id", F.array_join(item, ",").alias("choices"))
+
+
+@BOOK.query("""
+WITH picks AS (SELECT event_id AS pick_id, user_id AS document_id, event_type AS name, event_id % 3 = 0 AS guess FROM events),
+last AS (SELECT document_id, arg_max(name, pick_id) AS name, arg_max(guess, pick_id) AS guess FROM picks GROUP BY document_id)
+SELECT o_orderkey AS document_id, CASE WHEN l.guess = false THEN l.name ELSE 'old' END AS doctype, CASE WHEN l.guess THEN 'OCR_READER' WHEN l.guess = false THEN 'CLASSIFIER' ELSE 'FIELD_EXTRACTOR' END AS process,
+       CASE WHEN o_orderstatus = 'O' THEN CASE WHEN l.guess IS NULL THEN 'UNRECOGNIZED' ELSE 'OCR_DONE' END ELSE 'FAILED' END AS status
+FROM orders LEFT JOIN last l ON l.document_id = o_orderkey""")
+def l14_reclassified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    picks = view(spark, sf_dir, "events").select(F.col("event_id").alias("pick_id"), F.col("user_id").alias("document_id"), F.col("event_type").alias("doctype_name"), (F.col("event_id") % 3 == 0).alias("guess"))
+    docs = view(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"), F.lit("old").alias("doctype"), F.lit("FIELD_EXTRACTOR").alias("process"), F.when(F.col("o_orderstatus") == "O", "UNRECOGNIZED").otherwise("FAILED").alias("status"))
+    return L.reclassified(docs, picks)
 
 
 @BOOK.query("""

@@ -139,26 +139,47 @@ def s10_step_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.step_skips(rows).select("event_id", "skip")
 
 
-@BOOK.query("""
-WITH marks AS (SELECT user_id AS transaction_id, event_type AS process, CASE WHEN event_id % 2 = 0 THEN 'start' ELSE 'end' END AS kind, ts AS moment, value >= 50 AS ok, props AS detail FROM events),
+MARKS = """
+marks AS (SELECT user_id AS transaction_id, event_type AS process, event_id AS mark_id, CASE WHEN event_id % 5 < 3 THEN 'start' ELSE 'end' END AS kind, ts AS moment, value >= 50 AS ok, props AS detail FROM events),
+numbered AS (SELECT *, sum((kind = 'start')::INT) OVER (PARTITION BY transaction_id, process ORDER BY moment, mark_id) AS run_no FROM marks),
 runs AS (
-  SELECT transaction_id, process, max(moment) FILTER (kind = 'start') AS a, max(moment) FILTER (kind = 'end') AS b, max(ok) FILTER (kind = 'end') AS ok, max(detail) FILTER (kind = 'end') AS detail
-  FROM marks GROUP BY transaction_id, process)
-SELECT transaction_id, process, CASE WHEN ok THEN 'OK' ELSE 'ERROR' END AS status, greatest(0, (epoch_us(b) - epoch_us(a)) // 1000) AS duration_ms, substr(detail, 1, 2000) AS detail
-FROM runs WHERE a IS NOT NULL AND b IS NOT NULL""")
-def s11_step_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = view(spark, sf_dir, "events")
-    marks = events.select(F.col("user_id").alias("transaction_id"), F.col("event_type").alias("process"), F.when(F.col("event_id") % 2 == 0, "start").otherwise("end").alias("kind"), F.col("ts").alias("at"), (F.col("value") >= 50).alias("ok"), F.col("props").alias("detail"))
+  SELECT transaction_id, process, run_no::BIGINT AS run_no, min(moment) FILTER (kind = 'start') AS a, arg_min(moment, (moment, mark_id)) FILTER (kind = 'end') AS b,
+         arg_min(ok, (moment, mark_id)) FILTER (kind = 'end') AS ok, arg_min(detail, (moment, mark_id)) FILTER (kind = 'end') AS detail
+  FROM numbered WHERE run_no > 0 GROUP BY ALL),
+journal AS (
+  SELECT *, CASE WHEN b IS NULL THEN 'RUNNING' WHEN ok THEN 'OK' ELSE 'ERROR' END AS status
+  FROM (SELECT *, run_no = max(run_no) OVER (PARTITION BY transaction_id, process) AS last FROM runs) WHERE b IS NOT NULL OR last)"""
+
+
+def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mark = F.when(F.col("event_id") % 5 < 3, "start").otherwise("end")
+    marks = view(spark, sf_dir, "events").select(F.col("user_id").alias("transaction_id"), F.col("event_type").alias("process"), F.col("event_id").alias("mark_id"), mark.alias("kind"), F.col("ts").alias("at"), (F.col("value") >= 50).alias("ok"), F.col("props").alias("detail"))
     return S.step_journal(marks)
 
 
 @BOOK.query(f"""
-SELECT t.transaction_id, coalesce(c.retention_days, 30) AS days FROM v_transactions t LEFT JOIN v_configs c ON t.config_id = c.config_id
-WHERE t.status = 'EXPORTED' AND t.created_at + to_days(coalesce(c.retention_days, 30)) < TIMESTAMP '1994-06-01'""")
+WITH {MARKS}
+SELECT transaction_id, process, run_no, status, CASE WHEN b IS NOT NULL THEN greatest(0, (epoch_us(b) - epoch_us(a)) // 1000) END AS duration_ms, CASE WHEN status = 'ERROR' THEN substr(detail, 1, 2000) ELSE '' END AS detail FROM journal""", blank=("detail",))
+def s11_step_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return journal(spark, sf_dir).drop("started_at", "ended_at").withColumn("detail", F.coalesce("detail", F.lit("")))
+
+
+@BOOK.query(f"""
+WITH {MARKS}, good AS (SELECT transaction_id, arg_max(process, (b, a, process)) AS process FROM journal WHERE status = 'OK' GROUP BY transaction_id)
+SELECT t.transaction_id, coalesce(g.process, 'NEWDOC') AS process FROM v_transactions t LEFT JOIN good g ON g.transaction_id = t.transaction_id""")
+def s11_process_advanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = TX(spark, sf_dir).select("transaction_id", F.lit("NEWDOC").alias("process"), F.col("created_at").alias("process_time"))
+    return S.advanced(rows, journal(spark, sf_dir)).select("transaction_id", "process")
+
+
+@BOOK.query(f"""
+WITH {FACTS}
+SELECT t.transaction_id, coalesce(c.retention_days, 30) AS days FROM reconciled t LEFT JOIN v_configs c ON t.config_id = c.config_id
+WHERE t.reconciled = 'EXPORTED' AND t.created_at + to_days(coalesce(c.retention_days, 30)) < TIMESTAMP '{NOW}'""")
 def s12_retention_due(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tx = TX(spark, sf_dir).withColumn("exported_at", F.col("created_at"))
+    tx = S.reconciled(TX(spark, sf_dir), DOCS(spark, sf_dir)).withColumn("exported_at", F.col("created_at"))
     configs = view(spark, sf_dir, "v_configs").withColumn("retention_days", F.col("retention_days").cast("string"))
-    return S.retention_due(tx, configs, F.lit("1994-06-01 00:00:00").cast("timestamp_ntz")).select("transaction_id", "days")
+    return S.retention_due(tx, configs, now()).select("transaction_id", "days")
 
 
 @BOOK.query("""
@@ -179,10 +200,10 @@ def s13_cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @BOOK.query("""
-SELECT '__transactions__/a/c/' || user_id::VARCHAR AS prefix, count(*) AS objects FROM events
-WHERE user_id NOT IN (SELECT transaction_id FROM v_transactions) GROUP BY user_id""")
+SELECT '__transactions__/a/c/' || (user_id * (1 + event_id % 20))::VARCHAR AS prefix, count(*) AS objects FROM events
+WHERE user_id * (1 + event_id % 20) NOT IN (SELECT transaction_id FROM v_transactions) GROUP BY ALL""")
 def s14_orphan_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = view(spark, sf_dir, "events").select(F.format_string("__transactions__/a/c/%d/%d.pdf", "user_id", "event_id").alias("key"))
+    keys = view(spark, sf_dir, "events").select(F.format_string("__transactions__/a/c/%d/%d.pdf", F.col("user_id") * (1 + F.col("event_id") % 20), "event_id").alias("key"))
     return S.orphan_prefixes(keys, TX(spark, sf_dir))
 
 
@@ -243,13 +264,30 @@ def r3_cost_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.cost_months(COSTS(spark, sf_dir))
 
 
-@BOOK.query("""
-WITH one AS (SELECT count(DISTINCT transaction_id) AS units, sum(amount_u) AS a, sum(CASE WHEN process = 'CLASSIFY' AND source LIKE 'llm\\_%' ESCAPE '\\' THEN amount_u ELSE 0 END) AS m FROM v_costs)
-SELECT units, round(a / 100.0 / units, 5) AS unit_cost, round((a - m) / 100.0 / units, 5) AS unit_floor, round(100.0 * m / a, 1) AS model_share, volume,
+SPENT = """
+spent AS (SELECT *, CASE WHEN provider <> 'Brand#11' THEN transaction_id::VARCHAR || '/' || provider END AS document_id FROM v_costs WHERE created_at >= TIMESTAMP '1994-01-01')"""
+
+
+def spent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Costs with the document they are for; one provider's are for none."""
+    return COSTS(spark, sf_dir).withColumn("document_id", F.when(F.col("provider") != "Brand#11", F.concat(F.col("transaction_id").cast("string"), F.lit("/"), F.col("provider"))))
+
+
+SINCE = lambda: F.lit("1994-01-01 00:00:00").cast("timestamp_ntz")
+
+
+@BOOK.query(f"""
+WITH {SPENT}, one AS (SELECT count(DISTINCT document_id) AS units, sum(amount_u) AS a, sum(CASE WHEN process = 'CLASSIFY' AND source LIKE 'llm\\_%' ESCAPE '\\' THEN amount_u ELSE 0 END) AS m FROM spent)
+SELECT units, round(a / 100.0, 4) AS total, round(a / 100.0 / units, 5) AS unit_cost, round((a - m) / 100.0 / units, 5) AS unit_floor, round(100.0 * m / a, 1) AS model_share, volume,
        round(a / 100.0 / units * volume, 2) AS projected, round((a - m) / 100.0 / units * volume, 2) AS projected_floor
 FROM one, (VALUES (1000), (5000), (10000), (50000), (100000)) v(volume)""")
 def r4_cost_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.cost_projection(COSTS(spark, sf_dir))
+    return R.cost_projection(spent(spark, sf_dir), SINCE())
+
+
+@BOOK.query(f"WITH {SPENT} SELECT process, round(sum(amount_u) / 100.0 / (SELECT count(DISTINCT document_id) FROM spent), 5) AS unit_cost FROM spent GROUP BY process")
+def r4_process_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.process_averages(spent(spark, sf_dir), SINCE())
 
 
 @BOOK.query("SELECT process, floor(avg(duration_ms))::BIGINT AS avg_ms, max(duration_ms) AS max_ms, count(*) AS n FROM v_steps WHERE duration_ms IS NOT NULL GROUP BY process")
@@ -289,12 +327,20 @@ WITH {FACTS},
 v AS (SELECT transaction_id, count(*) FILTER (status IN ('VALIDATED', 'EXPORTED')) AS validated, count(*) FILTER (status = 'PENDING_VALIDATION') AS pending, count(*) FILTER (status = 'FAILED') AS error
       FROM v_documents WHERE status NOT IN ('DEPRECATED', 'DISCARDED') GROUP BY transaction_id),
 last AS (SELECT transaction_id, max(updated_at) AS touched_at FROM v_documents GROUP BY transaction_id),
-c AS (SELECT transaction_id, sum(amount_u)::BIGINT AS cost_u FROM v_costs GROUP BY transaction_id)
+c AS (SELECT transaction_id, sum(amount_u)::BIGINT AS cost_u FROM v_costs GROUP BY transaction_id),
+{EXPECTED.strip()},
+carried AS (SELECT DISTINCT transaction_id, doctype FROM v_documents WHERE status NOT IN ('DEPRECATED', 'DISCARDED')),
+marked AS (
+  SELECT e.*, EXISTS (SELECT 1 FROM carried c WHERE c.transaction_id = e.transaction_id AND (c.doctype = e.doctype_id OR lower(trim(c.doctype)) = lower(trim(e.doctype_name)))) AS present
+  FROM expected e),
+m AS (SELECT transaction_id, count(*) FILTER (required) AS n_required, coalesce(array_to_string(list_sort(list(DISTINCT doctype_name) FILTER (required AND NOT present)), ','), '') AS missing,
+             count(*) FILTER (required AND NOT present) = 0 AS complete FROM marked GROUP BY transaction_id)
 SELECT r.transaction_id, reconciled, n_active, coalesce(validated, 0) AS validated, coalesce(pending, 0) AS pending, coalesce(error, 0) AS error,
-       reconciled = 'WORKING' AND coalesce(touched_at, created_at) < TIMESTAMP '{NOW}' - INTERVAL 10 MINUTE AS stuck, coalesce(cost_u, 0) AS cost_u
-FROM reconciled r LEFT JOIN v ON v.transaction_id = r.transaction_id LEFT JOIN last ON last.transaction_id = r.transaction_id LEFT JOIN c ON c.transaction_id = r.transaction_id""")
+       reconciled = 'WORKING' AND coalesce(touched_at, created_at) < TIMESTAMP '{NOW}' - INTERVAL 10 MINUTE AS stuck, coalesce(cost_u, 0) AS cost_u,
+       coalesce(m.n_required, 0) AS n_required, coalesce(m.missing, '') AS missing, coalesce(m.complete, true) AS complete
+FROM reconciled r LEFT JOIN m ON m.transaction_id = r.transaction_id LEFT JOIN v ON v.transaction_id = r.transaction_id LEFT JOIN last ON last.transaction_id = r.transaction_id LEFT JOIN c ON c.transaction_id = r.transaction_id""")
 def r9_transaction_board(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.board(TX(spark, sf_dir), DOCS(spark, sf_dir), COSTS(spark, sf_dir), now())
+    return R.board(TX(spark, sf_dir), DOCS(spark, sf_dir), COSTS(spark, sf_dir), expected(spark, sf_dir), now())
 
 
 @BOOK.query("SELECT transaction_id, status, created_at, true AS has_next FROM v_transactions ORDER BY status DESC, transaction_id LIMIT 25 OFFSET 25")
@@ -342,6 +388,6 @@ def q3_unique_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.repeated(view(spark, sf_dir, "v_deposits"), "config_id", "source_key")
 
 
-@BOOK.query("SELECT event_id FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer)")
+@BOOK.query("SELECT event_id FROM events WHERE event_id NOT IN (SELECT c_custkey FROM customer)")
 def q4_foreign_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.dangling(view(spark, sf_dir, "events"), "user_id", view(spark, sf_dir, "customer"), "c_custkey").select("event_id")
+    return Q.dangling(view(spark, sf_dir, "events"), "event_id", view(spark, sf_dir, "customer"), "c_custkey").select("event_id")
