@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sluice.sources import versions
+from sluice.sources.scratch import kept
 
 WORD = "[a-zàâäéèêëïîôöùûüç0-9]{3,}"
 #: Rows of a weights or centroid table up to which it is broadcast; a larger one is joined by its key, or in blocks.
@@ -184,10 +187,26 @@ def centroids(log: DataFrame, old: DataFrame | None = None) -> DataFrame:
     return dealt.mapInPandas(_fold, f"label {label_type}, centroid_no int, vector array<float>")
 
 
-def model_version(centres: DataFrame, version: str) -> tuple[DataFrame, DataFrame]:
-    """The centroids under their version, and the pointer row with the sorted classes."""
-    pointer = centres.agg(F.array_sort(F.collect_set("label")).alias("classes"), F.count("*").alias("n_centroids")).withColumn("version", F.lit(version))
-    return centres.withColumn("version", F.lit(version)), pointer
+MODEL, SEEN = "label {t}, centroid_no int, vector array<float>", "label {t}, log_key string"
+
+
+def model_version(log: DataFrame, root: str, version: str) -> bool:
+    """Fold the log rows that no version has seen into the latest centroids, and write them as a new version, whole or not at all; False if the version is there already.
+
+    log: label, log_key, vector. What a version has seen is known by keys, so a late key that sorts early is not lost; only new rows are folded. The manifest's note has the sorted classes.
+    """
+    spark, kind = log.sparkSession, log.schema["label"].dataType.simpleString()
+    known = {r.version for r in versions.manifest(spark, f"{root}/centroids").select("version").collect()}
+    if version in known:
+        return False
+    # rows are marked as seen before the model is written: what a run that died in between has marked belongs to no model, and is not counted
+    seen = versions.load_all(spark, f"{root}/seen", SEEN.format(t=kind) + ", version string").filter(F.col("version").isin(*known) if known else F.lit(False))
+    new = kept(log.withColumn("log_key", F.col("log_key").cast("string")).join(seen.select("label", "log_key").hint("merge"), ["label", "log_key"], "left_anti"), "log")
+    old = versions.load(spark, f"{root}/centroids", MODEL.format(t=kind))
+    versions.commit(new.select("label", "log_key", F.lit(version).alias("version")), f"{root}/seen", f"{version}-{uuid.uuid4().hex}")
+    centres = kept(centroids(new, old), "centroids")
+    classes = centres.agg(F.array_join(F.array_sort(F.collect_set(F.col("label").cast("string"))), ",")).first()[0]
+    return versions.commit(centres, f"{root}/centroids", version, note=classes)
 
 
 def _by_name(types: DataFrame, *key: str) -> DataFrame:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluice.sources import versions
+
+EXPORTED = "document_id string, payload string, account_id string"
+
 
 def payloads(documents: DataFrame, indexes: DataFrame) -> DataFrame:
     """JSON of each document: extracted values as indexes, metadata as transaction fields, in order of position."""
@@ -26,6 +30,22 @@ def pending_writes(documents: DataFrame, listed: DataFrame, prefix: str) -> Data
     return missing.drop("object").dropDuplicates(["document_id"])
 
 
+def write_new(documents: DataFrame, root: str, run: str) -> bool:
+    """Write the JSON of documents (document_id, payload, account_id) that no earlier run has written, by account; whole or not at all. A run that is started again writes nothing.
+
+    False if this run is there already.
+    """
+    before = versions.load_all(documents.sparkSession, root, EXPORTED, "json").select("document_id")
+    fresh = documents.select(F.col("document_id").cast("string").alias("document_id"), "payload", F.col("account_id").cast("string").alias("account_id"))
+    fresh = fresh.join(before.hint("merge"), "document_id", "left_anti").groupBy("document_id").agg(F.max_by("payload", "payload").alias("payload"), F.max_by("account_id", "payload").alias("account_id"))
+    return versions.commit(fresh, root, run, partition_by=("account_id",), fmt="json")
+
+
+def exported(spark, root: str) -> DataFrame:
+    """All that runs have written."""
+    return versions.load_all(spark, root, EXPORTED, "json")
+
+
 def gate(documents: DataFrame) -> DataFrame:
     """decision and reason, in order. documents: status, object_key, config_known, complete, override, way_out."""
     s = F.col("status")

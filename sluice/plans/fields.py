@@ -9,7 +9,9 @@ from sluice.operators import classify as L
 from sluice.operators import extract as E
 from sluice.plans.binding import Book
 from sluice.plans.pages import LINES, lines
+from sluice.sources import versions
 from sluice.sources.adapters import view
+from sluice.sources.scratch import scratch
 
 BOOK = Book()
 
@@ -440,10 +442,31 @@ def l11_centroid_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.centroids(log)
 
 
-@BOOK.query("SELECT array_to_string(list_sort(list(DISTINCT label)), ',') AS classes, count(DISTINCT label) AS n_centroids, 'v1' AS version FROM embeddings")
+@BOOK.query("""
+WITH v AS (SELECT * FROM (VALUES ('v1', 1), ('v2', 2)) v(version, sequence)),
+l AS (SELECT v.version, v.sequence, label FROM embeddings, v WHERE v.sequence = 2 OR vec_id % 3 <> 0)
+SELECT version, sequence::BIGINT AS sequence, array_to_string(list_sort(list(DISTINCT label::VARCHAR)), ',') AS classes, count(DISTINCT label) AS n_centroids, sequence = 2 AS latest FROM l GROUP BY ALL""")
 def l12_model_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pointer = L.model_version(l11_centroid_update(spark, sf_dir), "v1")[1]
-    return pointer.select(F.array_join(F.col("classes").cast("array<string>"), ",").alias("classes"), "n_centroids", "version")
+    """Two versions, the second from the log rows that the first has not seen; writing the second again changes nothing."""
+    root = scratch(spark, "model")
+    log = view(spark, sf_dir, "embeddings").select("label", F.format_string("%012d", "vec_id").alias("log_key"), F.col("embedding").alias("vector"))
+    for rows, version in ((log.filter("vec_id % 3 <> 0"), "v1"), (log, "v2"), (log, "v2")):
+        L.model_version(rows, root, version)
+    pointer = versions.latest(spark, f"{root}/centroids")
+    return versions.manifest(spark, f"{root}/centroids").select("version", "sequence", F.col("note").alias("classes"), F.col("n_rows").alias("n_centroids"), (F.col("version") == pointer).alias("latest"))
+
+
+@BOOK.query("SELECT label, count(*) AS n_seen, 2 AS n_runs FROM embeddings GROUP BY label")
+def l11_incremental_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same log in two portions: each row is folded once, in the run that first sees it."""
+    root = scratch(spark, "model")
+    log = view(spark, sf_dir, "embeddings").select("label", F.format_string("%012d", "vec_id").alias("log_key"), F.col("embedding").alias("vector"))
+    middle = log.agg(F.percentile_approx(F.col("log_key").cast("long"), 0.5)).first()[0] or 0
+    for rows, version in ((log.filter(F.col("log_key").cast("long") <= middle), "v1"), (log, "v2")):
+        L.model_version(rows, root, version)
+    seen = versions.load_all(spark, f"{root}/seen", L.SEEN.format(t=log.schema["label"].dataType.simpleString()) + ", version string")
+    runs = versions.manifest(spark, f"{root}/centroids").agg(F.count("*").cast("int").alias("n_runs"))
+    return seen.groupBy("label").agg(F.count("*").alias("n_seen")).crossJoin(F.broadcast(runs))  # one row
 
 
 @BOOK.query("SELECT transaction_id, amount_u, CASE WHEN source = '' THEN '' ELSE split_part(source, '_v', 1) END AS method FROM v_costs")

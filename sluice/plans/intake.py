@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +13,7 @@ from sluice.operators import admission as A
 from sluice.operators import export as X
 from sluice.operators import quality as Q
 from sluice.plans.binding import Book
+from sluice.sources import landing
 from sluice.sources.adapters import view
 from sluice.sources.scratch import kept, scratch
 from sluice.streaming import admission as stream
@@ -41,6 +46,50 @@ def deposits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "user_id", "ts", key.alias("key"))
 
 
+@BOOK.query("SELECT source, sum(octet_length(encode(text)) + 1)::BIGINT AS bytes, true AS once FROM documents GROUP BY source")
+def a1_polled_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as files of their sources, put down in two portions with a run of the polling job after each: every object is listed once."""
+    folder = scratch(spark, "landing")
+    texts = view(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("none")).alias("source"), "text")
+    for half in (0, 1):
+        texts.filter(F.col("doc_id") % 2 == half).drop("doc_id").write.mode("append").partitionBy("source").option("lineSep", "\n").text(f"{folder}/in")
+        stream.write_once(landing.polled(spark, f"{folder}/in", pattern="*.txt"), f"{folder}/out", f"{folder}/state").awaitTermination()
+    listed = spark.read.parquet(f"{folder}/out").withColumn("source", F.regexp_extract("key", "/source=([^/]+)/", 1))
+    return listed.groupBy("source").agg(F.sum("size").alias("bytes"), (F.count("*") == F.count_distinct("key")).alias("once"))
+
+
+def _container(ids: pd.Series, texts: pd.Series) -> pd.Series:
+    """Zip files nested id % 7 deep, with a text, a program and the next zip file in each; every 11th is broken."""
+
+    def zipped(text: bytes, below: int) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("p.txt", text)
+            z.writestr("q.exe", b"no")
+            if below:
+                z.writestr("in.zip", zipped(text, below - 1))
+        return out.getvalue()
+
+    return pd.Series([b"PK broken" if i % 11 == 0 else zipped((t or "").encode(), i % 7) for i, t in zip(ids, texts)])
+
+
+@BOOK.query("""
+WITH opened AS (SELECT doc_id, d AS depth, octet_length(encode(text)) AS n FROM (SELECT *, unnest(range(1, least(doc_id % 7, 4) + 2)) AS d FROM documents WHERE doc_id % 11 <> 0)),
+names AS (SELECT * FROM (VALUES (0, 'p.txt'), (1, 'q.exe'), (2, 'in.zip')) m(position, name))
+SELECT doc_id::VARCHAR AS root, depth, repeat('/in.zip', (depth - 1)::INTEGER) || '/' || name AS path, position,
+       CASE name WHEN 'p.txt' THEN 'ok' WHEN 'q.exe' THEN 'unsupported' ELSE CASE WHEN depth = 5 THEN 'too_deep' ELSE 'ok' END END AS state, CASE name WHEN 'p.txt' THEN n WHEN 'q.exe' THEN 2 END AS size
+FROM opened, names WHERE name <> 'in.zip' OR depth <= doc_id % 7
+UNION ALL SELECT doc_id::VARCHAR, 1, '/', 0, 'error:BadZipFile', 0 FROM documents WHERE doc_id % 11 = 0""")
+def a14_container_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of containers made of the documents, down to the fifth level."""
+    docs = view(spark, sf_dir, "documents")
+    make = F.pandas_udf(_container, "binary")
+    made = docs.select(F.col("doc_id").cast("string").alias("root"), F.lit("").alias("name"), make("doc_id", "text").alias("content"))
+    found = landing.expand(made, allowed="txt, pdf")
+    size = F.when(~F.col("path").endswith(".zip"), F.col("size"))
+    return found.select("root", "depth", "path", "position", "state", size.alias("size"))
+
+
 @BOOK.query(f"WITH {KEYS} SELECT event_id, account_id, config_id, origin, filename FROM fields")
 def a2_upload_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deposits(spark, sf_dir).withColumn("p", A.parsed_key(F.col("key"))).select("event_id", "p.*")
@@ -270,6 +319,19 @@ def b2_idempotent_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.pending_writes(docs, keys, "out").select("document_id")
 
 
+@BOOK.query("""
+SELECT document_id, payload, account_id FROM (
+  SELECT document_id, '{"id":"' || document_id || '"}' AS payload, (transaction_id % 10)::VARCHAR AS account_id FROM v_documents WHERE status = 'VALIDATED')""")
+def b2_export_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs over growing sets, of which the second is started twice: read back, each document is there once."""
+    root = scratch(spark, "export")
+    docs = view(spark, sf_dir, "v_documents").filter("status = 'VALIDATED'")
+    docs = docs.select("document_id", "position", F.concat(F.lit('{"id":"'), "document_id", F.lit('"}')).alias("payload"), (F.col("transaction_id") % 10).alias("account_id"))
+    for rows, run in ((docs.filter("position % 3 = 0"), "r1"), (docs.filter("position % 3 < 2"), "r2"), (docs.filter("position % 3 < 2"), "r2"), (docs, "r3")):
+        X.write_new(rows, root, run)
+    return X.exported(spark, root)
+
+
 @BOOK.query("""
 SELECT document_id, reason, CASE reason WHEN '' THEN 'export' WHEN 'already_exported' THEN 'skip' ELSE 'refuse' END AS decision FROM (
   SELECT d.document_id, CASE WHEN d.status = 'EXPORTED' THEN 'already_exported' WHEN d.status <> 'VALIDATED' THEN 'invalid_status:' || d.status WHEN d.position % 5 = 0 THEN 'no_file'

@@ -12,17 +12,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 from pyspark.sql.window import Window
 
+from sluice.operators.admission import container_category, extension_allowed
 from sluice.sources.scratch import scratch
 
 #: Limits of a container.
 MOST_BYTES, MOST_MEMBERS = 500_000_000, 10_000
 
 
+def _objects(rows: DataFrame, content: bool) -> DataFrame:
+    columns = [F.col("path").alias("key"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_at")]
+    return rows.filter(~F.col("path").endswith("/")).select(*columns, *([F.col("content")] if content else []))
+
+
 def scan(spark: SparkSession, folder: str, *, pattern: str = "*", content: bool = False) -> DataFrame:
     """Objects under a folder: key, size, modified_at and, if asked for, content. Folders themselves are not objects."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
-    columns = [F.col("path").alias("key"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_at")]
-    return rows.select(*columns, *([F.col("content")] if content else []))
+    return _objects(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder), content)
+
+
+POLLED = "path string, modificationTime timestamp, length long, content binary"
+
+
+def polled(spark: SparkSession, folder: str, *, pattern: str = "*", content: bool = False, files_per_trigger: int = 10_000) -> DataFrame:
+    """The same as a stream: each object once, when it is first seen; the job's checkpoint remembers them."""
+    rows = spark.readStream.format("binaryFile").schema(POLLED).option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_trigger).load(folder)
+    return _objects(rows, content)
 
 
 @udtf(returnType="position int, name string, size long, content binary, state string")
@@ -52,28 +65,38 @@ class Members:
             yield 0, "", 0, None, f"error:{type(error).__name__}"
 
 
-def expand(containers: DataFrame, *, depth: int = 5, most_bytes: int = MOST_BYTES) -> DataFrame:
+def expand(containers: DataFrame, *, depth: int = 5, most_bytes: int = MOST_BYTES, allowed: str = "") -> DataFrame:
     """All members down to a depth: root, depth, path, position, size, content, state. containers: root, name, content.
 
-    Every level is written out and read again, so that a container is opened once, whatever lies below it. The sizes of all that a root
-    holds are added up level by level; members beyond `most_bytes` are too large, and are not opened.
-    """
-    from sluice.operators.admission import container_category
+    state: ok; unsupported (the extension is not in `allowed`, a list as configs have it; empty allows all; containers are always opened); too_large (what a root holds, added up level by level,
+    is over `most_bytes`); too_many_members; too_deep (a container at the last level); error:<code> (it can't be read). Only ok members have content.
 
+    Every level is written out and read again, so that a container is opened once, whatever lies below it. The running sum of sizes reads no content, and only containers are carried on.
+    """
     spark = containers.sparkSession
     spark.udtf.register("sluice_members", Members)
     folder = scratch(spark, "containers")
     level = containers.select("root", F.col("name").alias("path"), "content", F.lit(0).cast("long").alias("held"))
+    level = level.withColumn("category", container_category(F.col("content"), F.col("path"))).filter("category <> 'FILE'")
     for n in range(1, depth + 1):
-        opened = level.withColumn("category", container_category(F.col("content"), F.col("path"))).filter("category <> 'FILE'")
+        opened = level
         rows = spark.sql(
-            f"SELECT c.root, {n} AS depth, concat(c.path, '/', m.name) AS path, m.position, m.size, m.content, m.state, c.held FROM {{opened}} c, LATERAL sluice_members(c.category, c.content) m", opened=opened
+            f"SELECT c.root, {n} AS depth, concat(c.path, '/', m.name) AS path, m.position, m.size, m.content, m.state, c.held, c.path AS above FROM {{opened}} c, LATERAL sluice_members(c.category, c.content) m", opened=opened
         )
-        total = F.col("held") + F.sum(F.when(F.col("state") == "ok", F.col("size")).otherwise(0)).over(Window.partitionBy("root").orderBy("path", "position").rowsBetween(Window.unboundedPreceding, 0))
-        rows = rows.withColumn("total", total).withColumn("state", F.when((F.col("state") == "ok") & (F.col("total") > most_bytes), "too_large").otherwise(F.col("state")))
-        rows = rows.withColumn("content", F.when(F.col("state") == "ok", F.col("content")))
-        rows.write.parquet(f"{folder}/level={n}")
-        held = spark.read.parquet(f"{folder}/level={n}")
-        sums = held.groupBy("root").agg(F.max("total").alias("held"))
-        level = held.filter("state = 'ok'").select("root", "path", "content").join(sums.hint("merge"), "root")
-    return spark.read.option("basePath", folder).parquet(f"{folder}/level=*").select("root", F.col("depth").cast("int").alias("depth"), "path", "position", "size", "content", "state")
+        category = F.when(F.col("state") == "ok", container_category(F.col("content"), F.col("path"))).otherwise("FILE")
+        state = F.when((F.col("state") == "ok") & (F.col("category") == "FILE") & ~extension_allowed(F.col("path"), F.lit(allowed)), "unsupported").otherwise(F.col("state"))
+        state = F.when((F.col("state") == "ok") & (F.col("category") != "FILE") & F.lit(n == depth), "too_deep").otherwise(state)
+        rows.withColumn("category", category).withColumn("state", state).write.parquet(f"{folder}/read={n}")
+        found = spark.read.parquet(f"{folder}/read={n}")
+        key = ["root", "above", "path", "position"]
+        running = Window.partitionBy("root").orderBy("path", "above", "position").rowsBetween(Window.unboundedPreceding, 0)
+        total = F.col("held") + F.sum(F.when(F.col("state") == "ok", F.col("size")).otherwise(0)).over(running)
+        judged = found.select(*key, "size", "held", "state").withColumn("total", total)
+        judged = judged.select(*key, "total", F.when((F.col("state") == "ok") & (F.col("total") > most_bytes), "too_large").otherwise(F.col("state")).alias("verdict"))
+        judged.write.parquet(f"{folder}/judged={n}")
+        judged = spark.read.parquet(f"{folder}/judged={n}")
+        sums = judged.groupBy("root").agg(F.max("total").alias("held"))
+        level = found.filter("category <> 'FILE'").drop("held").join(judged.hint("merge"), key).filter("verdict = 'ok'").select("root", "path", "content", "category").join(sums.hint("merge"), "root")
+    read, judged = (spark.read.option("basePath", folder).parquet(f"{folder}/{x}=*").withColumnRenamed(x, "level") for x in ("read", "judged"))
+    out = read.join(judged.hint("merge"), ["level", "root", "above", "path", "position"])
+    return out.select("root", F.col("level").cast("int").alias("depth"), "path", "position", "size", F.when(F.col("verdict") == "ok", F.col("content")).alias("content"), F.col("verdict").alias("state"))
