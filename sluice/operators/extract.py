@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sluice.functions.labels import SEPARATORS, following
 from sluice.operators.beside import beside, if_few
+from sluice.operators.nearby import BOX, nearest
 
 
 def route(fields: DataFrame) -> DataFrame:
@@ -101,11 +103,6 @@ def same_line(lines: DataFrame, reg: str, anchors: str, direction: str = "right"
     return rows.filter("best is not null").groupBy("document_id", "page").agg(F.min("best").alias("b")).select("document_id", "page", "b.value")
 
 
-def _penalty(direction: str | None) -> Column:
-    wrong = {"right": F.col("x0") <= F.col("ax1"), "left": F.col("x1") >= F.col("ax0"), "below": F.col("y0") <= F.col("ay1"), "above": F.col("y1") >= F.col("ay0")}.get(direction)
-    return F.lit(0) if wrong is None else F.when(wrong, 1_000).otherwise(0)
-
-
 def nearest_line(lines: DataFrame, reg: str, anchors: str, direction: str | None = None, max_distance: int = 0) -> DataFrame:
     """The match on the line nearest to an anchor's line: distance, 1000 for the wrong side, five times the vertical gap.
 
@@ -115,31 +112,14 @@ def nearest_line(lines: DataFrame, reg: str, anchors: str, direction: str | None
     return _neighbours(lines, lines.filter(F.col("text").rlike(reg)).withColumn("value", F.regexp_extract("text", reg, 0)), anchors, direction, max_distance)
 
 
-BOX = ("x0", "y0", "x1", "y1")
-
-
 def _neighbours(lines: DataFrame, items: DataFrame, anchors: str, direction: str | None, max_distance: int) -> DataFrame:
     """The value of the item nearest to a line with an anchor, on each page. items: lines with a value."""
     low = F.lower("text")
-    hit = None
+    hit = F.lit(False)
     for t in anchor_terms(anchors):
-        hit = low.contains(t) if hit is None else hit | low.contains(t)
-    marks = lines.filter(hit).select("document_id", "page", F.col("line_no").alias("a_no"), *[F.col(c).alias(f"a{c}") for c in BOX])
-    pairs = marks.join(items.select("document_id", "page", "line_no", *BOX, "value").hint("merge"), ["document_id", "page"]).filter("a_no <> line_no")
-    dx = (F.col("x0") + F.col("x1") - F.col("ax0") - F.col("ax1")) / 2
-    dy = (F.col("y0") + F.col("y1") - F.col("ay0") - F.col("ay1")) / 2
-    far = F.sqrt(dx * dx + dy * dy)
-    scored = pairs.withColumn("far", far).withColumn("score", F.round(far + _penalty(direction) + F.abs(dy) * 5, 6))
-    if max_distance:
-        scored = scored.filter(F.col("far") <= max_distance)
-    return scored.groupBy("document_id", "page").agg(F.min_by("value", F.struct("score", "a_no", "line_no")).alias("value"))
-
-
-#: The signs that may stand between a label and its value.
-SEPARATORS = " \t:：;,-—–=.\u00a0"
-#: A label is up to four words of letters and dots before a colon; it ends the value before it.
-LABEL_WORD = r"[\p{L}.]+"
-NEXT_LABEL = rf"(?s)\s+(?:{LABEL_WORD}\s+){{0,3}}{LABEL_WORD}\s*:.*"
+        hit = hit | low.contains(t)
+    marks = lines.filter(hit).select("document_id", "page", F.col("line_no").alias("a_no"), *[F.col(c).alias(f"a{c}") for c in BOX], F.lit(direction).cast("string").alias("direction"), F.lit(max_distance).alias("max_distance"))
+    return nearest(marks, items, ["document_id", "page"])
 
 
 def _without_separators(text: Column) -> Column:
@@ -155,7 +135,7 @@ def after_anchor(lines: DataFrame, anchors: str, direction: str = "right", max_d
     low = F.lower("text")
     tried = F.array(*[F.struct(F.lit(i).alias("term"), (F.locate(t, low) + len(t)).alias("from"), (F.locate(t, low) > 0).alias("ok")) for i, t in enumerate(terms)])
     rows = lines.select("document_id", "page", "line_no", "text", F.inline(F.filter(tried, lambda x: x["ok"])))
-    rest = F.regexp_replace(F.regexp_replace(_without_separators(F.substring("text", F.col("from"), F.length("text"))), NEXT_LABEL, ""), r"\s+$", "")
+    rest = following(F.substring("text", F.col("from"), F.length("text")))
     hits = rows.withColumn("value", rest).filter("value <> ''")
     own = hits.groupBy("document_id", "page").agg(F.min_by("value", F.struct("term", "line_no")).alias("value"))
     items = lines.withColumn("value", _without_separators(F.col("text"))).filter("value <> ''")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.operators import classify as L
+from sluice.operators import definitions as D
 from sluice.operators import extract as E
 from sluice.plans.binding import Book
 from sluice.plans.pages import LINES, lines
@@ -120,6 +121,63 @@ acr AS (
   SELECT doc_id AS document_id, f.field_name, coalesce((SELECT arg_min(value, page) FROM win w WHERE w.document_id = doc_id AND w.field_name = f.field_name AND value <> '' AND value <> d), d) AS value FROM documents, fld f)"""
 
 
+DEFINED = f"""{LINES},
+d AS (SELECT * FROM (VALUES
+  ('en', 'mail', '(?i){MAIL}', '', '', 0, '', '', ''), ('en', 'owner', '[A-Z][a-z]+', 'license|and or', 'below', 70, '', 'the', 'nobody'), ('en', 'word', '[A-Z][a-z]+', '', '', 0, '20,20,90,60', '', ''),
+  ('de', 'ip', '{ADDRESS}', '', '', 0, '', '', '0.0.0.0'), ('de', 'mail', '{MAIL}', 'der, und', 'right', 20, '', '', ''), ('fr', 'number', '[0-9]+', 'les|la', 'left', 0, '', '55', 'none')
+) t(doctype, field_name, regexp, anchors, direction, reach, zone, black_words, default_value)),
+l AS (SELECT v.*, lang AS doctype FROM v_lines v JOIN documents ON doc_id = document_id WHERE trim(v.text) <> ''),
+hit AS (SELECT l.*, d.* EXCLUDE (doctype), regexp_extract(text, regexp) AS value FROM l JOIN d ON l.doctype = d.doctype WHERE regexp_matches(text, regexp)),
+terms AS (SELECT *, row_number() OVER (PARTITION BY doctype, field_name ORDER BY length(term) DESC) AS no FROM (SELECT doctype, field_name, trim(lower(unnest(string_split(replace(anchors, '|', ','), ',')))) AS term FROM d WHERE anchors <> '')),
+m AS (SELECT document_id, page, line_no, field_name, direction, reach, gaps, found, unnest(range(1, len(found) + 1)) AS i FROM (SELECT hit.*, string_split_regex(text, regexp) AS gaps, regexp_extract_all(text, regexp) AS found FROM hit)),
+matches AS (SELECT *, found[i] AS value, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS st FROM m),
+k AS (SELECT document_id, page, line_no, field_name, no, length(term) AS n, list_sum(list_transform(parts[1:j], lambda x: length(x))) + (j - 1) * length(term) AS mark
+      FROM (SELECT *, unnest(range(1, len(parts))) AS j FROM (SELECT l.document_id, l.page, l.line_no, terms.*, string_split(lower(text), term) AS parts FROM l JOIN terms ON terms.doctype = l.doctype))),
+same AS (
+  SELECT document_id, page, field_name, value, row_number() OVER (PARTITION BY document_id, page, field_name ORDER BY no, abs(st - mark - n), line_no, mark, st) AS r
+  FROM k JOIN matches USING (document_id, page, line_no, field_name)
+  WHERE CASE direction WHEN 'right' THEN st >= mark + n WHEN 'left' THEN st < mark WHEN '' THEN st >= mark + n ELSE true END AND (reach = 0 OR abs(st - mark - n) <= 3 * reach)),
+anchored AS (SELECT DISTINCT l.document_id, l.page, l.line_no AS a_no, field_name, x0 AS ax0, x1 AS ax1, y0 AS ay0, y1 AS ay1 FROM l JOIN terms ON terms.doctype = l.doctype WHERE contains(lower(text), term)),
+near AS (
+  SELECT document_id, page, field_name, value, row_number() OVER (PARTITION BY document_id, page, field_name ORDER BY round(far + CASE WHEN direction = 'below' AND y0 <= ay1 OR direction = 'right' AND x0 <= ax1 OR direction = 'left' AND x1 >= ax0 THEN 1000 ELSE 0 END + abs(dy) * 5, 6), a_no, line_no) AS r
+  FROM (SELECT *, sqrt(dx * dx + dy * dy) AS far FROM (SELECT hit.*, a_no, ax0, ax1, ay0, ay1, (x0 + x1 - ax0 - ax1) / 2 AS dx, (y0 + y1 - ay0 - ay1) / 2 AS dy FROM hit JOIN anchored USING (document_id, page, field_name) WHERE a_no <> line_no)) WHERE reach = 0 OR far <= reach),
+cand AS (
+  SELECT document_id, page, field_name, 1 AS s, value FROM same WHERE r = 1
+  UNION ALL SELECT document_id, page, field_name, 2, value FROM near WHERE r = 1
+  UNION ALL SELECT document_id, page, field_name, 3, arg_min(value, line_no) FROM hit WHERE zone <> '' AND x1 BETWEEN 20 AND 90 AND y0 BETWEEN 20 AND 60 GROUP BY ALL
+  UNION ALL SELECT document_id, page, field_name, 4, arg_min(value, line_no) FROM hit GROUP BY ALL),
+values_ AS (
+  SELECT c.document_id, c.page, c.field_name, CASE WHEN black_words <> '' AND contains(lower(v), black_words) THEN default_value ELSE v END AS value
+  FROM (SELECT document_id, page, field_name, arg_min(value, s) AS v FROM cand GROUP BY ALL) c JOIN documents ON doc_id = document_id JOIN d ON d.doctype = lang AND d.field_name = c.field_name)"""
+
+
+def definitions(spark: SparkSession) -> DataFrame:
+    """Fields of three types, as the catalogue of types would give them."""
+    rows = [
+        ("en", "mail", f"/{MAIL}/i", "", "", "", "", "", "", ""), ("en", "owner", "[A-Z][a-z]+", "license|and or", "below", "70", "", "", "the", "nobody"), ("en", "word", "[A-Z][a-z]+", "", "", "x", "20,20,90,60", "", "", ""),
+        ("de", "ip", ADDRESS, "", "", "", "1,2,3", "", "", "0.0.0.0"), ("de", "mail", MAIL, "der, und", "right", "20", "", "", "", ""), ("fr", "number", "[0-9]+", "les|la", "left", "0", "", "", "55", "none"),
+    ]
+    return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in D.DEFINITION))
+
+
+def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.col("lang").alias("doctype"))
+
+
+@BOOK.query(f"WITH {DEFINED} SELECT document_id, page, field_name, value FROM values_")
+def e8_defined_page_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.page_values(lines(spark, sf_dir), _typed(spark, sf_dir), definitions(spark))
+
+
+@BOOK.query(f"""
+WITH {DEFINED}
+SELECT doc_id AS document_id, d.field_name, coalesce((SELECT arg_min(value, page) FROM values_ w WHERE w.document_id = doc_id AND w.field_name = d.field_name AND value <> '' AND value <> default_value), default_value) AS value
+FROM documents JOIN d ON d.doctype = lang""")
+def e9_defined_document_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fields = _typed(spark, sf_dir), definitions(spark)
+    return D.document_values(D.page_values(lines(spark, sf_dir), docs, fields), docs, fields)
+
+
 @BOOK.query(f"WITH {VALUES} SELECT document_id, page, field_name, value FROM win")
 def e8_strategy_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.winners(_values(spark, sf_dir), _field_frame(spark, sf_dir))
