@@ -140,5 +140,26 @@ sums AS (
 SELECT n.conv_id, n.depth::BIGINT AS depth, CASE WHEN n.depth > 0 THEN a.conv_id END AS parent_conv_id, n.n_convs, n.n_children,
        s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
 FROM counted n JOIN sums s ON n.p = s.p LEFT JOIN nodes a ON n.depth > 0 AND a.p = n.above
+""",
+    "unit_dedup_lines": f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+lines AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM texts)),
+placed AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n) - length(line) - 1 AS start_ FROM lines),
+units AS (
+  SELECT doc_id, n, start_, line, translate(array_to_string(list_filter(string_split_regex(line, '{SPACE}'), lambda w: w <> ''), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key,
+         row_number() OVER (PARTITION BY doc_id ORDER BY n) AS unit
+  FROM placed WHERE regexp_replace(line, '{SPACE}', '', 'g') <> ''),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, n) > 1 AS again FROM units),
+runs AS (
+  SELECT doc_id, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run, n, (start_ + length(line) - length(regexp_replace(line, '^{SPACE}', '')))::BIGINT AS a, (start_ + length(line))::BIGINT AS b
+  FROM ranked WHERE again),
+spans AS (SELECT doc_id, min(a) AS a, max(b) AS b FROM runs GROUP BY doc_id, run),
+cut AS (SELECT s.*, text, coalesce(lag(b) OVER (PARTITION BY s.doc_id ORDER BY a), 0) AS before FROM spans s JOIN texts t ON t.doc_id = s.doc_id),
+kept AS (
+  SELECT doc_id, count(*) AS n, sum(b - a)::BIGINT AS chars, string_agg(a::VARCHAR || ':' || b::VARCHAR, ',' ORDER BY a) AS listed,
+         string_agg(substr(text, before + 1, a - before), '' ORDER BY a) || substr(any_value(text), max(b) + 1) AS rest
+  FROM cut GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n, 0) AS n_spans, coalesce(chars, 0) AS n_removed_chars, coalesce(listed, '') AS removed_spans, sha256(coalesce(rest, text)) AS kept_sha256
+FROM texts t LEFT JOIN kept k ON k.doc_id = t.doc_id
 """,
 }

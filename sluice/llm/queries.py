@@ -42,6 +42,11 @@ def op8_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unitdedup.report(read(spark, sf_dir, "documents"))
 
 
+def unit_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator with lines as units and no least length: of every line all later occurrences go."""
+    return unitdedup.report(read(spark, sf_dir, "documents"), by="line", min_unit=1, min_run=1)
+
+
 def op3_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read(spark, sf_dir, "embeddings"))
 
@@ -63,7 +68,7 @@ def op13_galloping_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_adaptive_scan, op4_ngram_jaccard_join, op5_katz_backoff, op6_html_extraction, op7_secret_scan, op8_unit_dedup, op9_best_fit_packing, op10_source_mixing, op11_personal_data, op12_prefix_trie, op13_galloping_alignment)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_adaptive_scan, op4_ngram_jaccard_join, op5_katz_backoff, op6_html_extraction, op7_secret_scan, op8_unit_dedup, op9_best_fit_packing, op10_source_mixing, op11_personal_data, op12_prefix_trie, op13_galloping_alignment, unit_dedup_lines)}
 
 
 def oracle_sql() -> dict[str, str]:
