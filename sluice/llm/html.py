@@ -73,13 +73,13 @@ SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    """An element. hard: it is outside in any case; soft: unless it is around the page's longest article."""
+    """An element. hard: it is outside in any case; soft: unless it is around the page's longest article. mixed: soft, but its names hold words for content too."""
 
-    __slots__ = ("tag", "path", "above", "article", "header", "hard", "soft", "comments", "outside")
+    __slots__ = ("tag", "path", "above", "article", "header", "hard", "soft", "mixed", "comments", "outside")
 
     def __init__(self, tag: str, path: int, above: Node | None):
         self.tag, self.path, self.above = tag, path, above
-        self.article = self.header = self.hard = self.soft = self.comments = self.outside = False
+        self.article = self.header = self.hard = self.soft = self.mixed = self.comments = self.outside = False
 
 
 def _opened(tag: str, attributes: str, above: Node) -> Node:
@@ -87,21 +87,26 @@ def _opened(tag: str, attributes: str, above: Node) -> Node:
     names = f"{found.get('class', '')} {found.get('id', '')}"
     role = found.get("role", "")
     node = Node(tag, xxhash.xxh3_64_intdigest(f"{tag}.{names.strip()}", above.path), above)
-    roles = set()
+    roles, mixed = set(), True
     for name in names.split():
         words = {w for w in SPLIT.split(name) if w and not w.isdigit()}
-        if words <= WORDS | AROUND:
+        if words <= WORDS | AROUND and words & WORDS:
             roles |= words & WORDS
+            mixed &= bool(words & AROUND)
     node.article = above.article or tag in ("article", "main") or role == "main" or found.get("itemprop") == "articlebody"
     node.header = above.header or tag == "header" or "header" in names.split() and not above.article
     node.hard = tag in OUTSIDE or role in ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
     node.soft = tag == "form" or role == "form" or bool(roles) and tag not in ("html", "body")
+    node.mixed = node.soft and mixed and tag != "form"
     node.comments = above.comments or above.hard or node.hard or bool(roles & COMMENTS)
     return node
 
 
 def _settled(nodes: list[Node], blocks: list[tuple[Node, str]]) -> None:
-    """Which elements are outside. The longest article that is not itself a comment or the like is never so by names."""
+    """Which elements are outside. The longest article that is not itself a comment or the like is never so by names.
+
+    On a page without article tags, an element whose names speak for content as well is not outside by them if most of the page's text lies in it.
+    """
     sizes: dict[int, int] = {}
     roots: dict[int, Node] = {}
     for node, text in blocks:
@@ -116,10 +121,30 @@ def _settled(nodes: list[Node], blocks: list[tuple[Node, str]]) -> None:
         while node is not None:
             line.add(id(node))
             node = node.above
+    elif any(node.mixed for node in nodes):
+        line = _around_most(blocks)
     for node in nodes:
         node.outside = node.above.outside or node.hard or node.soft and id(node) not in line
 
 
+def _around_most(blocks: list[tuple[Node, str]]) -> set[int]:
+    """The soft elements that hold more than half of the text which is not outside in any case, from the outermost on, as long as their names are mixed."""
+    held: dict[int, tuple[Node, int]] = {}
+    total = 0
+    for node, text in blocks:
+        soft = []
+        if node.comments:
+            continue
+        total += len(text)
+        while node is not None:
+            if node.soft:
+                soft.append(node)
+            node = node.above
+        for x in soft:
+            held[id(x)] = (x, held.get(id(x), (x, 0))[1] + len(text))
+    return {i for i, (x, n) in held.items() if x.mixed and 2 * n > total}
+
+
 def read_page(html: str) -> tuple[list[tuple[Node, str]], list[tuple[int, int, int]]]:
     """The blocks of text with the node that holds them, and all tokens in page order.
 
@@ -205,13 +230,13 @@ def _text_token(node: Node, text: str) -> int:
 def main_text(blocks: list[tuple[Node, str]], template: set[int]) -> str:
     """The slots that belong to the article, in page order."""
     inside = [(b, t) for b, t in blocks if b.article and not b.outside and (not b.header or b.tag in HEADINGS)]
-    if inside or any(b.article and not b.outside for b, _ in blocks):
-        slots = [t for b, t in inside if _text_token(b, t) not in template] if template else [t for _, t in inside]
-        copied = 2 * sum(map(len, slots)) < sum(len(t) for _, t in inside)
-    else:
+    if not inside and not any(b.article and not b.outside for b, _ in blocks):
         inside = [(b, t) for b, t in blocks if not b.outside and not b.header]
-        slots = [t for b, t in inside if _text_token(b, t) not in template]
-        copied = not slots
+    own = [_text_token(b, t) not in template for b, t in inside]
+    slots = [t for (_, t), mine in zip(inside, own) if mine]
+    # an article that opens with a text of the template, and has no heading of its own, is a copy of others; without headings, one whose own texts have no letters
+    titles = [mine for (b, _), mine in zip(inside, own) if b.tag in HEADINGS]
+    copied = not any(titles) and not own[0] if titles else not any(c.isalpha() for t in slots for c in t)
     return "\n\n".join([t for _, t in inside] if copied else slots)
 
 
