@@ -44,12 +44,12 @@ def extension_allowed(filename: Column, allowed: Column) -> Column:
 def admission(deposits: DataFrame, configs: DataFrame) -> DataFrame:
     """decision and reason for each deposit (key): the first check that fails is the reason.
 
-    configs: config_id, account_id, is_active, filter_extensions; a dimension, joined as Spark sees fit by its size.
+    configs: config_id, account_id, is_active, filter_extensions. Joined by key, since its size is not known; Spark may split a config with many deposits.
     """
     rows = deposits.withColumn("p", parsed_key(F.col("key")))
     rows = rows.select("*", "p.*").drop("p")
     known = configs.select(F.col("config_id"), F.col("account_id").alias("owner"), "is_active", "filter_extensions", F.lit(True).alias("known"))
-    rows = rows.join(known, "config_id", "left")
+    rows = rows.join(known.hint("merge"), "config_id", "left")
     reason = (
         F.when(F.col("filename").isNull(), "invalid_key")
         .when(F.col("known").isNull(), "unknown_config")

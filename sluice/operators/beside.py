@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.sources.scratch import kept
+
 #: Rows up to which the small side is sent to all executors; beyond that it is dealt out like the large one.
 MOST = 10_000
 
 
-def if_few(rows: DataFrame, most: int = MOST) -> DataFrame:
-    """The rows with the hint to broadcast them, if there are no more than `most`."""
-    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+def if_few(rows: DataFrame, most: int = MOST, other: str | None = None) -> DataFrame:
+    """The rows with the hint to broadcast them, if there are no more than `most`; else with the hint `other`, if there is one.
+
+    They are worked out once: what is counted is written, and read again by the join.
+    """
+    first = kept(rows.limit(most + 1), "few")
+    if first.count() <= most:
+        return F.broadcast(first)
+    return rows.hint(other) if other else rows
 
 
 def beside(rows: DataFrame, few: DataFrame, most: int = MOST) -> DataFrame:

@@ -11,12 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sluice.operators.beside import if_few
 from sluice.sources import versions
 from sluice.sources.scratch import kept
 
 WORD = "[a-zàâäéèêëïîôöùûüç0-9]{3,}"
-#: Rows of a weights or centroid table up to which it is broadcast; a larger one is joined by its key, or in blocks.
-BROADCAST_ROWS = 200_000
+#: Rows of a weights table up to which it is broadcast (a row is a word, a label and a number); a larger one is joined by its key. Bytes of centroids up to which they are, and that a block has beyond.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64_000_000
 
 
 def document_words(documents: DataFrame, *more: str) -> DataFrame:
@@ -32,8 +33,8 @@ def _top_two(scores: DataFrame) -> DataFrame:
 
 
 def lexical(documents: DataFrame, weights: DataFrame) -> DataFrame:
-    """label, confidence and delta by the sum of the weights of the words that occur; null, 0 and 0 if none is known."""
-    hits = document_words(documents).join(weights.hint("shuffle_hash"), "word")
+    """label, confidence and delta by the sum of the weights of the words that occur; null, 0 and 0 if none is known. Words are joined where they are, if the weights are few; else those that have none go before the sum."""
+    hits = document_words(documents).join(if_few(weights, BROADCAST_ROWS, "shuffle_hash"), "word")
     top = _top_two(hits.groupBy("document_id", "label").agg(F.sum("weight").alias("score")))
     out = documents.select("document_id").join(top.hint("merge"), "document_id", "left")
     return out.select("document_id", "label", F.coalesce(F.least(F.lit(1.0), F.abs("best") / 10), F.lit(0.0)).alias("confidence"), F.coalesce(F.col("best") - F.col("second"), F.lit(0.0)).alias("delta"))
@@ -51,9 +52,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def _centroid_blocks(centroids: DataFrame) -> tuple[DataFrame, int]:
-    """Centroids as arrays, a label's together: one row, or, beyond BROADCAST_ROWS, as many as blocks of that size."""
-    n = centroids.count()
-    blocks = max(1, -(-n // BROADCAST_ROWS))
+    """Centroids as arrays, a label's together: one row, or, beyond BROADCAST_BYTES, as many as blocks of that size."""
+    size = centroids.agg(F.coalesce(F.sum(8 * F.size("vector") + 32), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // BROADCAST_BYTES))
     held = F.collect_list(F.struct("label", F.col("vector").alias("v"))).alias("cs")
     if blocks == 1:
         return centroids.agg(held), 1
@@ -77,7 +78,7 @@ def vector(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     """label, score and delta to the next other label, by the inner product of unit vectors. vectors: document_id, vector, one row a document.
 
     The centroids are few (the number of labels, not of documents): they are one array beside every vector, so scoring
-    shuffles nothing. More than BROADCAST_ROWS are scored block by block, and each document's best of all blocks are put together.
+    shuffles nothing. More than BROADCAST_BYTES are scored block by block, and each document's best of all blocks are put together.
     """
     held, blocks = _centroid_blocks(centroids)
     rows = vectors.select("document_id", "vector").crossJoin(F.broadcast(held) if blocks == 1 else held)

@@ -342,7 +342,7 @@ def propagated(transactions: DataFrame, fields: DataFrame, now: Column, zone_nam
 def metadata_upsert(metadata: DataFrame, news: DataFrame) -> DataFrame:
     """One row for each document and name with a value; the last one wins. news also has position."""
     good = news.filter("coalesce(index_name, '') <> '' and coalesce(index_value, '') <> ''").groupBy("document_id", "index_name").agg(F.max_by("index_value", "position").alias("index_value"))
-    return metadata.join(good.select("document_id", "index_name"), ["document_id", "index_name"], "left_anti").select("document_id", "index_name", "index_value").unionByName(good)
+    return metadata.join(good.select("document_id", "index_name").hint("merge"), ["document_id", "index_name"], "left_anti").select("document_id", "index_name", "index_value").unionByName(good)
 
 
 def inherited(children: DataFrame, parents: DataFrame, own: DataFrame) -> DataFrame:
@@ -368,7 +368,7 @@ def corrected(documents: DataFrame, indexes: DataFrame, corrections: DataFrame)
     again = corrections.select("document_id").distinct().withColumn("again", F.lit(True))
     kept = indexes.join(again.hint("merge"), "document_id", "left").filter((F.col("index_type") != "extracted") | F.col("again").isNull()).drop("again")
     rows = kept.unionByName(named.withColumn("index_type", F.lit("extracted")).select(*kept.columns))
-    docs = documents.join(again, "document_id", "left").withColumn("status", F.when(F.col("again"), F.lit("VALIDATED")).otherwise(F.col("status"))).drop("again")
+    docs = documents.join(again.hint("merge"), "document_id", "left").withColumn("status", F.when(F.col("again"), F.lit("VALIDATED")).otherwise(F.col("status"))).drop("again")
     return docs, rows
 
 

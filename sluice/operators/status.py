@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sluice.operators.beside import if_few
-from sluice.sources.scratch import kept
 
 #: Statuses of documents that no longer count, at which work rests, and that need nothing more.
 TECHNICAL = ("DEPRECATED", "DISCARDED")
@@ -121,7 +120,7 @@ def completeness(transactions: DataFrame, expected: DataFrame, documents: DataFr
 def compared(carried: DataFrame, expected: DataFrame) -> DataFrame:
     """`completeness` for rows transaction_id, config_id and have, the set of types that it carries (null: none)."""
     lists = expected.groupBy("config_id").agg(F.collect_list(F.struct("doctype_id", "doctype_name", "required")).alias("types"))
-    rows = carried.select("transaction_id", "config_id", "have").join(if_few(kept(lists, "expected")), "config_id")
+    rows = carried.select("transaction_id", "config_id", "have").join(if_few(lists), "config_id")
     rows = rows.withColumn("have", F.coalesce("have", F.array().cast("array<string>"))).withColumn("names", F.transform("have", lambda d: F.lower(F.trim(d))))
     there = lambda t: F.array_contains("have", t["doctype_id"]) | F.array_contains("names", F.lower(F.trim(t["doctype_name"])))
     marked = F.transform("types", lambda t: F.struct(t["doctype_name"].alias("name"), t["required"].alias("required"), F.coalesce(there(t), F.lit(False)).alias("present")))

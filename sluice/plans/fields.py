@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sluice.operators import classify as L
 from sluice.operators import definitions as D
 from sluice.operators import extract as E
+from sluice.operators.beside import if_few
 from sluice.plans.binding import Book
 from sluice.plans.pages import LINES, lines
 from sluice.sources import versions
@@ -413,9 +414,9 @@ def _centres(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding")
     # twice a minimum, which is pre-aggregated, so that no label's vectors gather in one row
     one = rows.groupBy("label").agg(F.min("vec_id").alias("first"))
-    two = rows.join(F.broadcast(one.withColumnRenamed("label", "of")), F.col("label").eqNullSafe(F.col("of")) & (F.col("vec_id") > F.col("first"))).groupBy("label").agg(F.min("vec_id").alias("first"))
+    two = rows.join(if_few(one.withColumnRenamed("label", "of"), other="merge"), F.col("label").eqNullSafe(F.col("of")) & (F.col("vec_id") > F.col("first"))).groupBy("label").agg(F.min("vec_id").alias("first"))
     firsts = one.union(two).withColumnRenamed("label", "of")
-    return rows.join(F.broadcast(firsts), F.col("label").eqNullSafe(F.col("of")) & (F.col("vec_id") == F.col("first"))).select("label", F.col("embedding").alias("vector"))
+    return rows.join(if_few(firsts, other="merge"), F.col("label").eqNullSafe(F.col("of")) & (F.col("vec_id") == F.col("first"))).select("label", F.col("embedding").alias("vector"))
 
 
 @BOOK.query(f"WITH {CENTRES} SELECT vec_id AS document_id, label, round(score, 6) AS score, round(delta, 6) AS delta FROM vt")
