@@ -6,8 +6,8 @@ sample; every row is in the index. A query goes to its `probes` nearest lists, a
 recall against brute force reaches its target. Lists are dealt into blocks of bounded size, so a hot list
 is many tasks.
 
-In a block, a query first ranks a few candidates exactly, which gives a distance to beat. The others are scanned column
-block by column block: after d of D rotated columns, the partial distance times D / d estimates the distance, and a
+In a block, the distances in the first columns come from one matrix product for many queries. A query ranks the few candidates that are nearest there
+exactly, which gives a distance to beat. The others are scanned column block by column block: after d of D rotated columns, the partial distance times D / d estimates the distance, and a
 candidate is abandoned when even with the tolerance (1 + EPSILON / sqrt(d)) the estimate is too large, which
 rejects wrongly with a chance that falls as exp(-EPSILON^2). Survivors are scored by the inner product of the original vectors in
 double precision, and the best of all blocks are merged. A query whose lists hold fewer than k candidates is searched again in all lists.
@@ -36,6 +36,8 @@ K, EVERY, EPSILON, COLUMNS, FIRST = 20, 20, 2.1, 16, 64
 SAMPLE, LIST_ROWS, BLOCK_ROWS, MOST_LISTS = 20_000, 400, 4_096, 4_096
 #: Recall that the number of probes is fitted to, queries for that.
 TARGET, TRIALS = 0.97, 200
+#: Queries whose distances in the first columns are worked out in one product.
+TOGETHER = 64
 
 
 @dataclass
@@ -122,27 +124,27 @@ def _dealt(index: Index, d: int, probes: int | None = None):
     return run
 
 
-def scan(q: np.ndarray, ids: np.ndarray, x: np.ndarray, px: np.ndarray, pq: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of a block for one query: vec_ids and scores. px and pq are the rotated forms."""
-    keep = np.flatnonzero(ids != own)
-    if len(keep) > max(FIRST, 2 * k):
-        total = px.shape[1]
-        probe, rest = keep[:FIRST], keep[FIRST:]
+def scan(q: np.ndarray, pq: np.ndarray, rows: np.ndarray, partial: np.ndarray, ids: np.ndarray, x: np.ndarray, px: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of a block's rows for one query: vec_ids and scores. px and pq are the rotated forms, partial the rows' squared distances in the first COLUMNS columns."""
+    if len(rows) > max(FIRST, 2 * k):
+        total, done = px.shape[1], min(COLUMNS, px.shape[1])
+        # those that are nearest in the first columns are ranked exactly; the k-th of them is to beat
+        split = np.argpartition(partial, FIRST - 1)
+        probe, rest = rows[split[:FIRST]], split[FIRST:]
         limit = np.partition(((px[probe] - pq) ** 2).sum(1), k - 1)[k - 1]
-        partial, done = np.zeros(len(rest)), 0
-        while done < total and len(rest):
+        rest, partial = rows[rest], partial[rest]
+        while len(rest):
+            stay = partial * (total / done) <= limit * (1 + EPSILON / np.sqrt(done)) ** 2 if done < total else partial <= limit * (1 + 1e-9) + 1e-12
+            rest, partial = rest[stay], partial[stay]
+            if done == total:
+                break
             end = min(total, done + COLUMNS)
-            partial += ((px[rest, done:end] - pq[done:end]) ** 2).sum(1)
+            partial = partial + ((px[rest, done:end] - pq[done:end]) ** 2).sum(1)
             done = end
-            if done < total:
-                stay = partial * (total / done) <= limit * (1 + EPSILON / np.sqrt(done)) ** 2
-            else:
-                stay = partial <= limit * (1 + 1e-9)
-            rest, partial = rest[stay], partial[stay]
-        keep = np.concatenate([probe, rest])
-    scores = np.array([float(np.dot(x[i], q)) for i in keep]) if len(keep) < 8 else x[keep] @ q
-    best = np.lexsort((ids[keep], -scores))[:k]
-    return ids[keep[best]], scores[best]
+        rows = np.concatenate([probe, rest])
+    scores = np.array([float(np.dot(x[i], q)) for i in rows]) if len(rows) < 8 else x[rows] @ q
+    best = np.lexsort((ids[rows], -scores))[:k]
+    return ids[rows[best]], scores[best]
 
 
 def _searched(index: Index, d: int, k: int):
@@ -165,14 +167,20 @@ def _searched(index: Index, d: int, k: int):
             order = np.argsort(which.reshape(-1), kind="stable")
             cuts = np.searchsorted(which.reshape(-1)[order], np.arange(len(first) + 1))
             out = []
-            for n, at in enumerate(first):
-                probed = np.unique(lists[asked[order[cuts[n] : cuts[n + 1]]]])
-                a, b = np.searchsorted(xlist, probed), np.searchsorted(xlist, probed, side="right")
-                rows = np.concatenate([np.arange(i, j) for i, j in zip(a, b)])
-                if len(rows):
-                    q = vectors[asked[at]]
-                    own = int(ids[asked[at]])
-                    out.append((own, *scan(q, xid[rows], x[rows], px[rows], index.placed(q[None, :], True)[0], own, k)))
+            kinds, kind = np.unique(xlist, return_inverse=True)
+            wide = min(COLUMNS, px.shape[1])
+            norms = (px[:, :wide] ** 2).sum(1)
+            for start in range(0, len(first), TOGETHER):
+                some = range(start, min(start + TOGETHER, len(first)))
+                q = vectors[asked[first[some]]]
+                pq = index.placed(q, True)
+                near = norms[:, None] - 2 * px[:, :wide] @ pq[:, :wide].T + (pq[:, :wide] ** 2).sum(1)[None, :]
+                for j, n in enumerate(some):
+                    own = int(ids[asked[first[n]]])
+                    probed = np.isin(kinds, lists[asked[order[cuts[n] : cuts[n + 1]]]])
+                    rows = np.flatnonzero(probed[kind] & (xid != own))
+                    if len(rows):
+                        out.append((own, *scan(q[j], pq[j], rows, near[rows, j], xid, x, px, k)))
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat([o[0] for o in out], [len(o[1]) for o in out])), pa.array(np.concatenate([o[1] for o in out])), pa.array(np.concatenate([o[2] for o in out]))],
