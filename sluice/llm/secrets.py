@@ -8,9 +8,9 @@ characters. The tests' p-values are combined (the least of three, times three).
 
 "Not random" is what a test can prove, so the discoveries are the tokens to dismiss. Their false discoveries,
 secrets thrown away, are controlled by the Benjamini-Hochberg step-up rule within length classes, since the power
-of the tests grows with length. Tokens that are not dismissed, hold at least two kinds of characters and have the
-length that the encoding needs become spans of kind `random`. The step-up rule works on a histogram
-of p-values (a fixed number of bins for each class), so no ranking of all tokens is needed.
+of the tests grows with length. Tokens that are not dismissed and hold at least two kinds of characters become spans of
+kind `random`. The step-up rule works on a histogram of p-values (a fixed number of bins for each class), so no ranking
+of all tokens is needed.
 
 Only built-in column functions are used. Starts of matches come from the lengths of the parts between them.
 
