@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sluice.operators.beside import if_few
 from sluice.sources import versions
 from sluice.sources.scratch import kept
 
@@ -34,7 +33,9 @@ def _top_two(scores: DataFrame) -> DataFrame:
 
 def lexical(documents: DataFrame, weights: DataFrame) -> DataFrame:
     """label, confidence and delta by the sum of the weights of the words that occur; null, 0 and 0 if none is known. Words are joined where they are, if the weights are few; else those that have none go before the sum."""
-    hits = document_words(documents).join(if_few(weights, BROADCAST_ROWS, "shuffle_hash"), "word")
+    weights = kept(weights, "weights")
+    held = F.broadcast(weights) if weights.count() <= BROADCAST_ROWS else weights.hint("shuffle_hash")
+    hits = document_words(documents).join(held, "word")
     top = _top_two(hits.groupBy("document_id", "label").agg(F.sum("weight").alias("score")))
     out = documents.select("document_id").join(top.hint("merge"), "document_id", "left")
     return out.select("document_id", "label", F.coalesce(F.least(F.lit(1.0), F.abs("best") / 10), F.lit(0.0)).alias("confidence"), F.coalesce(F.col("best") - F.col("second"), F.lit(0.0)).alias("delta"))
