@@ -16,3 +16,15 @@ def test_choices_are_put_together_once_for_a_scope(spark):
         ok = lambda t: t.doctype_id in c.expected if c.expected else c.account_id is None or t.is_public or t.account_id == c.account_id  # noqa: B023, E731
         assert every[c.config_id] == sorted((t.doctype_name, t.doctype_id) for t in rows if ok(t))
     assert len(every) == 60
+
+
+def test_types_of_one_account_are_dealt(spark):
+    from sluice.operators import classify as L
+
+    none = F.array().cast("array<bigint>")
+    configs = spark.range(4_000).select(F.col("id").alias("config_id"), F.lit(1).alias("account_id"), none.alias("expected"), none.alias("old"))
+    types = spark.range(50).select(F.col("id").alias("doctype_id"), F.col("id").cast("string").alias("doctype_name"), F.when(F.col("id") < 45, 1).otherwise(2).alias("account_id"))
+    found = L.scope(configs, types)
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 4_000 * 45 and max(sizes) < 0.9 * sum(sizes)
+    assert found.distinct().count() == 4_000 * 45 and found.filter("doctype_name <> cast(doctype_id as string)").isEmpty()
