@@ -290,14 +290,19 @@ YES, NO = ("true", "1", "ok", "found", "valid", "yes"), ("false", "0", "not_foun
 
 
 def _asked(indexes: DataFrame, definitions: DataFrame, replies: DataFrame) -> DataFrame:
-    asked = indexes.join(definitions.hint("merge"), ["doctype", "field_name"]).join(replies.hint("merge"), ["name", "value"], "left")
-    told = F.call_function("get_json_object", F.col("reply"), F.concat(F.lit("$."), F.col("status_key")))
-    word = F.lower(F.trim(told))
-    by_key = F.when(F.coalesce(word, F.lit("")) == "", "INVALID").when(word.isin(*NO), "INVALID").otherwise("VALID")
+    # a reply is read once, for all keys that definitions of its name ask for, and not for each row that it answers
+    keys = definitions.select("name", F.explode(F.concat(F.array("status_key"), F.coalesce(F.map_values("mapping"), F.array().cast("array<string>")))).alias("key"))
+    keys = keys.groupBy("name").agg(F.collect_set("key").alias("keys"))
+    read = F.transform("keys", lambda k: F.struct(k.alias("k"), F.call_function("get_json_object", F.col("reply"), F.concat(F.lit("$."), k)).alias("v")))
+    answers = replies.join(if_few(keys, other="merge"), "name").select("name", "value", "reply", F.map_from_entries(read).alias("told"))
+    # a few types and values may hold all rows: they are joined where they are, as long as there are few definitions and replies
+    asked = indexes.join(if_few(definitions, other="merge"), ["doctype", "field_name"]).join(if_few(answers, other="merge"), ["name", "value"], "left")
+    read = asked.withColumn("word", F.lower(F.trim(F.col("told")[F.col("status_key")])))
+    by_key = F.when(F.coalesce("word", F.lit("")) == "", "INVALID").when(F.col("word").isin(*NO), "INVALID").otherwise("VALID")
     bare = F.trim("reply")
     some = F.when(bare.isin("", "null", "{}", "[]", "false", "0", '""'), "UNKNOWN").otherwise("VALID")
     keyed = (F.coalesce("status_key", F.lit("")) != "") & bare.startswith("{")
-    return asked.withColumn("state", F.when(F.col("reply").isNull(), "ERROR").when(keyed, by_key).otherwise(some))
+    return read.withColumn("state", F.when(F.col("reply").isNull(), "ERROR").when(keyed, by_key).otherwise(some)).drop("word")
 
 
 def enrich(indexes: DataFrame, definitions: DataFrame, replies: DataFrame) -> DataFrame:
@@ -308,11 +313,15 @@ def enrich(indexes: DataFrame, definitions: DataFrame, replies: DataFrame) -> Da
     a reply at all. A document for which a definition of mode `error` fails gets no rows: see `enrichment_failures`.
     """
     rows = _asked(indexes, definitions, replies)
-    stopped = rows.filter("state = 'ERROR' and lower(on_failure) = 'error'").select("document_id").distinct()
-    rows = rows.join(stopped.hint("merge"), "document_id", "left_anti")
-    flags = rows.select("document_id", F.concat("field_name", F.lit("__consolidation_status")).alias("index_name"), F.col("state").alias("index_value"))
-    data = rows.filter("state <> 'ERROR'").select("document_id", "reply", F.explode("mapping").alias("index_name", "k")).filter("trim(index_name) <> ''")
-    return flags.unionByName(data.select("document_id", "index_name", F.call_function("get_json_object", F.col("reply"), F.concat(F.lit("$."), F.col("k"))).alias("index_value")).filter("index_value is not null"))
+    stops = F.col("document_id").isNotNull() & (F.col("state") == "ERROR") & F.coalesce(F.lower("on_failure") == "error", F.lit(False))
+    flag = F.struct(F.concat("field_name", F.lit("__consolidation_status")).alias("index_name"), F.col("state").alias("index_value"))
+    told = F.transform(F.map_entries("mapping"), lambda e: F.struct(e["key"].alias("index_name"), F.col("told")[e["value"]].alias("index_value")))
+    told = F.filter(told, lambda e: (F.trim(e["index_name"]) != "") & e["index_value"].isNotNull())
+    none = F.array().cast("array<struct<index_name:string,index_value:string>>")
+    made = F.concat(F.array(flag), F.coalesce(F.when(F.col("state") != "ERROR", told), none))
+    # a document's rows meet once; whether it stops and what it adds are both known then
+    rows = rows.select("document_id", made.alias("made"), stops.alias("stops")).withColumn("stopped", F.max("stops").over(Window.partitionBy("document_id")))
+    return rows.filter("not stopped").select("document_id", F.inline("made"))
 
 
 def enrichment_failures(indexes: DataFrame, definitions: DataFrame, replies: DataFrame) -> DataFrame:

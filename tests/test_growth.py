@@ -28,3 +28,17 @@ def test_types_of_one_account_are_dealt(spark):
     sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 4_000 * 45 and max(sizes) < 0.9 * sum(sizes)
     assert found.distinct().count() == 4_000 * 45 and found.filter("doctype_name <> cast(doctype_id as string)").isEmpty()
+
+
+def test_replies_are_joined_where_the_rows_are(spark):
+    from sluice.operators import extract as E
+
+    rows = spark.range(1_000).select((F.col("id") % 999).alias("document_id"), F.lit("t").alias("doctype"), F.lit("f").alias("field_name"), F.when(F.col("id") < 999, "7").otherwise("8").alias("value"))
+    defined = spark.createDataFrame([("check", "t", "f", "state", {"n": "n", " ": "n", "gone": "x"}, "error")], "name string, doctype string, field_name string, status_key string, mapping map<string,string>, on_failure string")
+    replies = spark.createDataFrame([("check", "7", '{"state":"yes","n":"n7"}')], "name string, value string, reply string")
+    found = E.enrich(rows, defined, replies)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" not in plan and "Union" not in plan
+    # document 0 has a value without a reply, which stops it
+    assert {tuple(r) for r in found.collect()} == {(i, *x) for i in range(1, 999) for x in (("f__consolidation_status", "VALID"), ("n", "n7"))}
+    assert [r.document_id for r in E.enrichment_failures(rows, defined, replies).filter("stops").collect()] == [0]
