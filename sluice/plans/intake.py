@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,7 +59,11 @@ def a1_polled_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.groupBy("source").agg(F.sum("size").alias("bytes"), (F.count("*") == F.count_distinct("key")).alias("once"))
 
 
-def _container(ids: pd.Series, texts: pd.Series) -> pd.Series:
+#: Bytes of containers that a batch has at most, but for a single one.
+BATCH_BYTES = 4_000_000
+
+
+def _containers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Zip files nested id % 7 deep, with a text, a program and the next zip file in each; every 11th is broken."""
 
     def zipped(text: bytes, below: int) -> bytes:
@@ -70,7 +75,21 @@ def _container(ids: pd.Series, texts: pd.Series) -> pd.Series:
                 z.writestr("in.zip", zipped(text, below - 1))
         return out.getvalue()
 
-    return pd.Series([b"PK broken" if i % 11 == 0 else zipped((t or "").encode(), i % 7) for i, t in zip(ids, texts)])
+    def batch_of(ids: list[int], made: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([str(i) for i in ids], pa.string()), pa.array([""] * len(ids), pa.string()), pa.array(made, pa.binary())], names=["root", "name", "content"])
+
+    for batch in batches:
+        ids, made, size = [], [], 0
+        for n in range(batch.num_rows):
+            i, text = batch["doc_id"][n].as_py(), batch["text"][n].as_py()
+            ids.append(i)
+            made.append(b"PK broken" if i % 11 == 0 else zipped((text or "").encode(), i % 7))
+            size += len(made[-1])
+            if size >= BATCH_BYTES:
+                yield batch_of(ids, made)
+                ids, made, size = [], [], 0
+        if ids:
+            yield batch_of(ids, made)
 
 
 @BOOK.query("""
@@ -82,9 +101,7 @@ FROM opened, names WHERE name <> 'in.zip' OR depth <= doc_id % 7
 UNION ALL SELECT doc_id::VARCHAR, 1, '/', 0, 'error:BadZipFile', 0 FROM documents WHERE doc_id % 11 = 0""")
 def a14_container_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of containers made of the documents, down to the fifth level."""
-    docs = view(spark, sf_dir, "documents")
-    make = F.pandas_udf(_container, "binary")
-    made = docs.select(F.col("doc_id").cast("string").alias("root"), F.lit("").alias("name"), make("doc_id", "text").alias("content"))
+    made = view(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(_containers, "root string, name string, content binary")
     found = landing.expand(made, allowed="txt, pdf")
     size = F.when(~F.col("path").endswith(".zip"), F.col("size"))
     return found.select("root", "depth", "path", "position", "state", size.alias("size"))

@@ -42,3 +42,13 @@ def test_replies_are_joined_where_the_rows_are(spark):
     # document 0 has a value without a reply, which stops it
     assert {tuple(r) for r in found.collect()} == {(i, *x) for i in range(1, 999) for x in (("f__consolidation_status", "VALID"), ("n", "n7"))}
     assert [r.document_id for r in E.enrichment_failures(rows, defined, replies).filter("stops").collect()] == [0]
+
+
+def test_containers_come_in_bounded_batches():
+    import pyarrow as pa
+    from sluice.plans import intake
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(600)), "text": ["x" * 50_000] * 600})
+    made = list(intake._containers(iter([batch])))
+    assert [r for b in made for r in b["root"].to_pylist()] == [str(i) for i in range(600)]
+    assert max(b.nbytes for b in made) < intake.BATCH_BYTES + 1_000_000
