@@ -89,8 +89,12 @@ def same_line(field: Field, text: str, low: str, matches: list[tuple[int, str]],
     return best
 
 
+#: Lines that are plain Python values at a time; every line brings the definitions of its type.
+LINES_EACH = 1_000
+
+
 def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (whole.slice(at, LINES_EACH) for whole in batches for at in range(0, whole.num_rows, LINES_EACH)):
         rows: list[tuple] = []
         columns = [batch[n].to_pylist() for n in ("line_no", "text", "definitions", *BOX)]
         for i, (line, text, definitions, *place) in enumerate(zip(*columns)):

@@ -52,3 +52,17 @@ def test_containers_come_in_bounded_batches():
     made = list(intake._containers(iter([batch])))
     assert [r for b in made for r in b["root"].to_pylist()] == [str(i) for i in range(600)]
     assert max(b.nbytes for b in made) < intake.BATCH_BYTES + 1_000_000
+
+
+def test_hits_come_in_portions():
+    import json
+
+    import pyarrow as pa
+    from sluice.operators import definitions as D
+
+    n = 3_500
+    rule = json.dumps([{"field_name": "f", "regexp": "[a-z]+"}])
+    columns = {"document_id": list(range(n)), "page": [1] * n, "line_no": [0] * n, "text": ["abc 1"] * n, "definitions": [rule] * n} | {c: [0.0] * n for c in ("x0", "y0", "x1", "y1")}
+    made = list(D._hits(iter([pa.RecordBatch.from_pydict(columns)])))
+    assert max(b.num_rows for b in made) <= 1_000
+    assert [x for b in made for x in b["document_id"].to_pylist()] == list(range(n)) and {v for b in made for v in b["value"].to_pylist()} == {"abc"}
