@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -70,15 +71,18 @@ def fields_of(definitions: str) -> tuple[list[Field], re.Pattern | None]:
 
 
 def same_line(field: Field, text: str, low: str, matches: list[tuple[int, str]], line: int) -> tuple[list[int], str] | None:
-    """The match nearest to an anchor of its own line: place (term, distance, line, anchor, match) and value."""
-    best = None
+    """The match nearest to an anchor of its own line: place (term, distance, line, anchor, match) and value. matches: in order of their starts."""
+    best, starts = None, [start for start, _ in matches]
     for i, term in enumerate(field.longest):
         at = low.find(term)
         while at >= 0:
             end = at + len(term)
-            for start, value in matches:
-                if field.direction in (None, "right") and start < end or field.direction == "left" and start >= at:
-                    continue
+            # of matches in order, only those next to the anchor can be nearest
+            if field.direction == "left":
+                near = range((n := bisect_left(starts, at)) - 1, n)
+            else:
+                near = range((n := bisect_left(starts, end)) - (field.direction not in (None, "right")), n + 1)
+            for start, value in (matches[k] for k in near if 0 <= k < len(matches)):
                 far = abs(start - end)
                 if not field.reach or far <= 3 * field.reach:
                     place = [i, far, line, at, start]

@@ -65,12 +65,27 @@ def anchor_terms(anchors: str) -> list[str]:
     return [a.strip().lower() for a in anchors.replace("|", ",").split(",") if a.strip()]
 
 
-def _places(text: Column, found: Column, parts: Column) -> Column:
+#: Numbers that are summed up in one fold: each of its steps copies all that it holds.
+SUMS_EACH = 32
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value), where the value is worked out once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _running(numbers: Column) -> Column:
+    """The sums of the first number, the first two and so on, by portions, so that the work grows with their number."""
+    sums = lambda v, start: F.aggregate(v, F.array(start), lambda held, x: F.concat(held, F.array(F.element_at(held, -1) + x)))
+    portions = lambda v: F.transform(F.sequence(F.lit(0), F.greatest(F.size(v) - 1, F.lit(0)), F.lit(SUMS_EACH)), lambda at: F.slice(v, at + 1, F.lit(SUMS_EACH)))
+    starts = lambda p: F.slice(sums(F.transform(p, lambda v: F.aggregate(v, F.lit(0), lambda s, x: s + x)), F.lit(0)), F.lit(1), F.size(p))
+    return _bound(_bound(numbers, portions), lambda p: F.flatten(F.zip_with(p, starts(p), lambda v, start: F.slice(sums(v, start), F.lit(2), F.size(v)))))
+
+
+def _places(found: Column, parts: Column) -> Column:
     """Start (from 0) and text of each match, from the matches and the parts of the text between them."""
-    steps = F.zip_with(F.slice(parts, F.lit(1), F.size(found)), found, lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
-    none = F.array().cast("array<struct<at:int,hit:string>>")
-    add = lambda state, x: F.struct((state["end"] + x["gap"] + F.length(x["hit"])).alias("end"), F.concat(state["all"], F.array(F.struct((state["end"] + x["gap"]).alias("at"), x["hit"].alias("hit")))).alias("all"))
-    return F.aggregate(steps, F.struct(F.lit(0).alias("end"), none.alias("all")), add)["all"]
+    ends = lambda hits: _running(F.zip_with(F.slice(parts, F.lit(1), F.size(hits)), hits, lambda gap, hit: F.length(gap) + F.length(hit)))
+    return _bound(found, lambda hits: F.zip_with(ends(hits), hits, lambda end, hit: F.struct((end - F.length(hit)).alias("at"), hit.alias("hit"))))
 
 
 def same_line(lines: DataFrame, reg: str, anchors: str, direction: str = "right", max_distance: int = 0) -> DataFrame:
@@ -78,29 +93,37 @@ def same_line(lines: DataFrame, reg: str, anchors: str, direction: str = "right"
 
     All occurrences of the anchor on all lines of the page are looked at. A match's distance is from the anchor's end to its own start, at most
     3 * max_distance characters (0: any); right asks for matches after the anchor, left for those before it. Of equal ones the first on the page counts.
+
+    Marks and matches of a line are put in one order. Of the pairs of a mark and a match the nearest are neighbours in it, since what lay
+    between the two would be nearer to one of them, so that a line's work grows with their number and not with that of their pairs.
     """
     reg = pattern(reg)
     terms = sorted(anchor_terms(anchors), key=lambda a: -len(a))
     low, budget = F.lower("text"), 3 * max_distance
-    matches = _places(F.col("text"), F.regexp_extract_all("text", F.lit(reg), F.lit(0)), F.split("text", reg, -1))
+    found = F.filter(_places(F.regexp_extract_all("text", F.lit(reg), F.lit(0)), F.split("text", reg, -1)), lambda x: (x["hit"] != "") & x["at"].isNotNull())
+    event = lambda place, kind, at, hit: F.struct(place.alias("place"), F.lit(kind).alias("kind"), at.alias("at"), hit.alias("hit"))
 
-    def nearest(i: int, term: str) -> Column:
-        parts = F.split(low, rf"\Q{term}\E", -1)
-        marks = F.transform(_places(low, F.array_repeat(F.lit(term), F.size(parts) - 1), parts), lambda x: x["at"])
+    def nearest(i: int, term: str, matches: Column) -> Column:
+        marks = _bound(F.split(low, rf"\Q{term}\E", -1), lambda parts: _places(F.array_repeat(F.lit(term), F.size(parts) - 1), parts))
+        # a mark stands at the character that matches are held against, before a match that begins there
+        marks = F.transform(marks, lambda x: event(x["at"] + (0 if direction == "left" else len(term)), 0, x["at"], F.lit("")))
+        events = F.sort_array(F.concat(marks, F.transform(matches, lambda m: event(m["at"], 1, m["at"], m["hit"]))))
 
-        def of(at: Column) -> Column:
-            good = {"right": lambda m: m["at"] >= at + len(term), "left": lambda m: m["at"] < at}.get(direction, lambda m: F.lit(True))
-            found = F.filter("m", lambda m: good(m) & (m["hit"] != ""))
-            # matches are in order, so on one side of the mark the first or the last one is nearest
-            found = {"right": F.slice(found, 1, 1), "left": F.slice(found, -1, 1)}.get(direction, found)
-            near = F.transform(found, lambda m: F.struct(F.lit(i).alias("term"), F.abs(m["at"] - at - len(term)).alias("far"), F.col("line_no"), at.alias("mark"), m["at"].alias("at"), m["hit"].alias("value")))
-            return F.filter(near, lambda m: m["far"] <= budget) if budget else near
+        def pair(mark: Column, match: Column) -> Column:
+            far = F.abs(match["at"] - mark["at"] - len(term))
+            made = F.struct(F.lit(i).alias("term"), far.alias("far"), F.col("line_no"), mark["at"].alias("mark"), match["at"].alias("at"), match["hit"].alias("value"))
+            ok = (mark["kind"] == 0) & (match["kind"] == 1)
+            return F.when(ok & (far <= budget) if budget else ok, made)
 
-        return F.array_min(F.flatten(F.transform(marks, of)))
+        after, before = (lambda x, y: pair(x, y)), (lambda x, y: pair(y, x))
+        of = {"right": after, "left": before}.get(direction, lambda x, y: F.coalesce(after(x, y), before(x, y)))
+        return _bound(events, lambda e: F.array_min(F.zip_with(F.slice(e, F.lit(1), F.greatest(F.size(e) - 1, F.lit(0))), F.slice(e, F.lit(2), F.greatest(F.size(e) - 1, F.lit(0))), of)))
 
     held = lines.filter(F.col("text").rlike(reg)).filter(" or ".join(["false", *(f"contains(lower(text), {_literal(t)})" for t in terms)]))
-    rows = held.withColumn("m", matches).select("document_id", "page", F.array_min(F.array(*[nearest(i, t) for i, t in enumerate(terms)])).alias("best"))
-    return rows.filter("best is not null").groupBy("document_id", "page").agg(F.min("best").alias("b")).select("document_id", "page", "b.value")
+    best = _bound(found, lambda m: F.array_min(F.array(*[nearest(i, t, m) for i, t in enumerate(terms)])))
+    rows = held.select("document_id", "page", best.alias("best"))
+    # a filter on `best` of lines would have it worked out twice
+    return rows.groupBy("document_id", "page").agg(F.min("best").alias("b")).filter("b is not null").select("document_id", "page", "b.value")
 
 
 def nearest_line(lines: DataFrame, reg: str, anchors: str, direction: str | None = None, max_distance: int = 0) -> DataFrame:

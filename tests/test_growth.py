@@ -66,3 +66,57 @@ def test_hits_come_in_portions():
     made = list(D._hits(iter([pa.RecordBatch.from_pydict(columns)])))
     assert max(b.num_rows for b in made) <= 1_000
     assert [x for b in made for x in b["document_id"].to_pylist()] == list(range(n)) and {v for b in made for v in b["value"].to_pylist()} == {"abc"}
+
+
+def _plain_same_line(rows, terms, direction, reach):
+    """Every pair of a mark and a match of each page."""
+    import re
+
+    best = {}
+    for page, line, text in rows:
+        for i, term in enumerate(sorted(terms, key=len, reverse=True)):
+            for mark in re.finditer(re.escape(term), text.lower()):
+                for m in re.finditer("[A-Z][a-z]+", text):
+                    if direction == "right" and m.start() < mark.end() or direction == "left" and m.start() >= mark.start():
+                        continue
+                    if not reach or abs(m.start() - mark.end()) <= 3 * reach:
+                        place = (i, abs(m.start() - mark.end()), line, mark.start(), m.start(), m.group())
+                        best[page] = min(best.get(page, place), place)
+    return {page: x[-1] for page, x in best.items()}
+
+
+def test_anchor_and_match_are_neighbours_in_their_order(spark):
+    import numpy as np
+    from sluice.operators import definitions as D
+    from sluice.operators import extract as E
+
+    r = np.random.default_rng(7)
+    words = np.array(["the", "Theo", "Under the", "under", "x", "Abc", "é", "Then", " ", "of"])
+    rows = [(int(p), n, " ".join(words[r.integers(0, len(words), int(r.choice([1, 2, 5, 30, 400])))])) for p in range(60) for n in range(3)]
+    lines = spark.createDataFrame([(1, *x) for x in rows], "document_id int, page int, line_no int, text string")
+    for direction in ("right", "left", "any"):
+        for reach in (0, 2):
+            expected = _plain_same_line(rows, ["the", "under the"], direction, reach)
+            assert {x.page: x.value for x in E.same_line(lines, "[A-Z][a-z]+", "the, under the", direction, reach).collect()} == expected
+            field = D.Field({"field_name": "f", "regexp": "[A-Z][a-z]+", "anchors": "the, under the", "direction": direction, "max_distance": str(reach)})
+            found = {}
+            for page, line, text in rows:
+                if own := D.same_line(field, text, text.lower(), [(m.start(), m.group()) for m in field.pattern.finditer(text)], line):
+                    found[page] = min(found.get(page, own), own)
+            assert {page: value for page, (_, value) in found.items()} == expected
+
+
+def test_a_line_of_many_anchors_and_matches(spark):
+    import time
+
+    from sluice.operators import definitions as D
+    from sluice.operators import extract as E
+
+    n = 25_000
+    text = "the Abcd " * n + "the Last"
+    lines = spark.createDataFrame([(1, 1, 0, text)], "document_id int, page int, line_no int, text string")
+    field = D.Field({"field_name": "f", "regexp": "[A-Z][a-z]+", "anchors": "the", "direction": "right"})
+    t = time.time()
+    assert [x.value for x in E.same_line(lines, "[A-Z][a-z]+", "the", "right").collect()] == ["Abcd"]
+    assert D.same_line(field, text, text, [(m.start(), m.group()) for m in field.pattern.finditer(text)], 0)[1] == "Abcd"
+    assert time.time() - t < 30  # all pairs of a mark and a match, 625 million, take minutes
