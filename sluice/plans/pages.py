@@ -34,6 +34,19 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("document_id", "line_no", (F.floor(F.col("line_no") / 5) + 1).cast("int").alias("page"), "text", F.lit(0.0).alias("x0"), (20.0 * (F.col("line_no") % 5)).alias("y0"), F.least(F.lit(100), F.length("text")).cast("double").alias("x1"), (20.0 * (F.col("line_no") % 5) + 15).alias("y1"))
 
 
+#: Characters of a task that makes lines into words: some 1.5 million words, which are sorted in memory before they are lines again.
+CHARS_EACH = 8_000_000
+
+
+def dealt(rows: DataFrame, each: int = CHARS_EACH) -> DataFrame:
+    """Lines dealt by pages before they are words, which then are grouped where they are: a text is sent once, and not as a row for each word.
+
+    There are as many parts as the texts' size asks for, so that no task's words outgrow its memory.
+    """
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    return rows.repartition(max(-(-chars // each), rows.sparkSession.sparkContext.defaultParallelism), "document_id", "page")
+
+
 def page_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = lines(spark, sf_dir).groupBy("document_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
     h = F.sha2("text", 256)
@@ -91,7 +104,7 @@ def t5_page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {LINES}, w AS (SELECT document_id, page, line_no, unnest(string_split_regex(trim(text), '[\x09-\x0D\x20]+')) AS word, generate_subscripts(string_split_regex(trim(text), '[\x09-\x0D\x20]+'), 1) AS i FROM v_lines)
 SELECT document_id, page, line_no AS line, string_agg(word, ' ' ORDER BY i) AS text, min(i)::DOUBLE AS x0, max(i + length(word))::DOUBLE AS x1 FROM w WHERE (i * 7 + line_no) % 100 >= 30 AND trim(word) <> '' GROUP BY document_id, page, line_no""")
 def t6_word_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = lines(spark, sf_dir).select("document_id", "page", "line_no", F.posexplode(F.split(F.trim("text"), r"[\x09-\x0D\x20]+")).alias("i", "w")).withColumn("i", F.col("i") + 1)
+    words = dealt(lines(spark, sf_dir).select("document_id", "page", "line_no", "text")).select("document_id", "page", "line_no", F.posexplode(F.split(F.trim("text"), r"[\x09-\x0D\x20]+")).alias("i", "w")).withColumn("i", F.col("i") + 1)
     rows = words.select("document_id", "page", F.lit(1).alias("block"), F.lit(1).alias("paragraph"), F.col("line_no").alias("line"), F.col("i").alias("position"), F.col("w").alias("text"), ((F.col("i") * 7 + F.col("line_no")) % 100).alias("confidence"), F.col("i").cast("double").alias("x0"), F.lit(0.0).alias("y0"), (F.col("i") + F.length("w")).cast("double").alias("x1"), F.lit(1.0).alias("y1"))
     return T.word_lines(rows).select("document_id", "page", "line", "text", "x0", "x1")
 

@@ -120,3 +120,15 @@ def test_a_line_of_many_anchors_and_matches(spark):
     assert [x.value for x in E.same_line(lines, "[A-Z][a-z]+", "the", "right").collect()] == ["Abcd"]
     assert D.same_line(field, text, text, [(m.start(), m.group()) for m in field.pattern.finditer(text)], 0)[1] == "Abcd"
     assert time.time() - t < 30  # all pairs of a mark and a match, 625 million, take minutes
+
+
+def test_words_are_grouped_where_their_lines_are(spark):
+    from sluice.plans import pages
+
+    plan = pages.t6_word_lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    initial = plan.split("Initial Plan")[-1]
+    exchanges = [line for line in initial.splitlines() if "Exchange" in line]
+    assert len(exchanges) == 1 and "REPARTITION_BY_NUM" in exchanges[0]  # lines are sent, words are not
+    rows = spark.range(50).select(F.col("id").alias("document_id"), F.lit(1).alias("page"), F.lit("x" * 100).alias("text"))
+    assert pages.dealt(rows, 250).rdd.getNumPartitions() == 20 and pages.dealt(rows).count() == 50
+    assert pages.dealt(rows.limit(0)).count() == 0
