@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from sluice.functions.labels import SEPARATORS, following
 from sluice.operators.beside import beside, if_few
 from sluice.operators.nearby import BOX, nearest
+from sluice.sources.scratch import kept
 
 
 def route(fields: DataFrame) -> DataFrame:
@@ -149,6 +150,10 @@ def _without_separators(text: Column) -> Column:
     return F.regexp_replace(F.ltrim(text, F.lit(SEPARATORS)), r"^\s+|\s+$", "")
 
 
+#: Pages whose anchors stand alone, up to which their numbers (two to a page) are sent to where all lines are.
+FEW_PAGES = 200_000
+
+
 def after_anchor(lines: DataFrame, anchors: str, direction: str = "right", max_distance: int = 0) -> DataFrame:
     """The rest of the line after the longest anchor, without separators, up to the next `Label :`; else the nearest line on the wanted side.
 
@@ -157,14 +162,19 @@ def after_anchor(lines: DataFrame, anchors: str, direction: str = "right", max_d
     terms = sorted(anchor_terms(anchors), key=lambda a: -len(a))
     low = F.lower("text")
     tried = F.array(*[F.struct(F.lit(i).alias("term"), (F.locate(t, low) + len(t)).alias("from"), (F.locate(t, low) > 0).alias("ok")) for i, t in enumerate(terms)])
-    rows = lines.select("document_id", "page", "line_no", "text", F.inline(F.filter(tried, lambda x: x["ok"])))
-    rest = following(F.substring("text", F.col("from"), F.length("text")))
-    hits = rows.withColumn("value", rest).filter("value <> ''")
-    own = hits.groupBy("document_id", "page").agg(F.min_by("value", F.struct("term", "line_no")).alias("value"))
-    items = lines.withColumn("value", _without_separators(F.col("text"))).filter("value <> ''")
-    alone = rows.select("document_id", "page").distinct().join(own.hint("merge"), ["document_id", "page"], "left_anti")
-    near = _neighbours(lines.join(alone.hint("merge"), ["document_id", "page"], "left_semi"), items, anchors, direction, max_distance)
-    return own.unionByName(near)
+    # lines with an anchor are written once; what follows needs all lines of a page only where anchors stand alone
+    held = lines.filter(" or ".join(["false", *(f"contains(lower(text), {_literal(t)})" for t in terms)]))
+    rows = held.select("document_id", "page", "line_no", *BOX, "text", F.posexplode(F.filter(tried, lambda x: x["ok"])).alias("nth", "x"))
+    rest = following(F.substring("text", F.col("x.from"), F.length("text")))
+    rows = kept(rows.select("document_id", "page", "line_no", *BOX, "nth", F.col("x.term").alias("term"), rest.alias("value")), "anchored")
+    page = ["document_id", "page"]
+    own = rows.filter("value <> ''").groupBy(*page).agg(F.min_by("value", F.struct("term", "line_no")).alias("value"))
+    alone = kept(rows.select(*page).distinct().join(own.hint("merge"), page, "left_anti"), "alone")
+    marks = rows.filter("nth = 0").join(alone.hint("merge"), page, "left_semi")
+    marks = marks.select(*page, F.col("line_no").alias("a_no"), *[F.col(c).alias(f"a{c}") for c in BOX], F.lit(direction).cast("string").alias("direction"), F.lit(max_distance).alias("max_distance"))
+    there = lines.join(if_few(alone, most=FEW_PAGES, other="merge"), page, "left_semi")
+    items = kept(there.select(*page, "line_no", *BOX, _without_separators(F.col("text")).alias("value")).filter("value <> ''"), "beside-anchors")
+    return own.unionByName(nearest(marks, items, page))
 
 
 def barcode_value(barcodes: DataFrame, wanted: str, reg: str | None = None) -> DataFrame:

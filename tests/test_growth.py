@@ -132,3 +132,18 @@ def test_words_are_grouped_where_their_lines_are(spark):
     rows = spark.range(50).select(F.col("id").alias("document_id"), F.lit(1).alias("page"), F.lit("x" * 100).alias("text"))
     assert pages.dealt(rows, 250).rdd.getNumPartitions() == 20 and pages.dealt(rows).count() == 50
     assert pages.dealt(rows.limit(0)).count() == 0
+
+
+def test_lines_are_read_once_for_anchors(spark, monkeypatch):
+    from sluice.operators import extract as E
+
+    n = F.col("id") % 3
+    text = F.when((F.col("id") % 6 == 0), "Net Total").when(F.col("id") % 30 == 3, F.concat(F.lit("total: net total "), F.col("id").cast("string"))).when(n == 1, F.concat(F.lit("- v"), F.col("id").cast("string"))).otherwise("")
+    lines = spark.range(300).select(F.floor(F.col("id") / 6).cast("int").alias("document_id"), (F.floor(F.col("id") / 3) % 2).cast("int").alias("page"), n.cast("int").alias("line_no"), text.alias("text"), F.lit(0.0).alias("x0"), (n * 20.0).alias("y0"), F.lit(9.0).alias("x1"), (n * 20.0 + 15).alias("y1"))
+    # page 0 of every document has an anchor that stands alone, page 1 of every fifth one with a value on its line
+    expected = {(d, 0, f"v{6 * d + 1}") for d in range(50)} | {(d, 1, f"{6 * d + 3}") for d in range(0, 50, 5)}
+    for most in (E.FEW_PAGES, 0):  # sent, or met by their key
+        monkeypatch.setattr(E, "FEW_PAGES", most)
+        found = E.after_anchor(lines, "total, net total", "below")
+        assert "Range (" not in found._jdf.queryExecution().optimizedPlan().toString()  # lines are not read again by what comes after
+        assert {tuple(r) for r in found.collect()} == expected
