@@ -507,6 +507,30 @@ def test_unit_dedup_plain(docs, by, min_unit, min_run):
         assert mine[r.doc_id] == ",".join(found), r.doc_id
 
 
+def test_unit_dedup_windows(spark):
+    """Passages of fifty words are found wherever they begin and whatever their units are; a passage in one document only is none."""
+    from sluice.llm import unitdedup as U
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("etaoinshrd") for _ in range(8))
+    shout = " ".join(f"{word()}!!" for _ in range(60))
+    rows, wanted = [(0, shout), (1, shout), (2, " ".join(["same"] * 70)), (3, "Other " + " ".join(["same"] * 65) + " end"), (4, " ".join(word() for _ in range(300)))], {1, 3}
+    for i in range(60):
+        shared, end = [word() for _ in range(50)], rng.randrange(4)
+        for at in range(8 + end, 50, rng.choice((9, 23))):
+            shared[at] += "."
+        for k in (10 + 2 * i, 11 + 2 * i):
+            rows.append((k, " ".join([word() for _ in range(rng.randrange(40))] + shared + [word() for _ in range(rng.randrange(40))])))
+        wanted.add(11 + 2 * i)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in U.report(table, windows=True).collect()}
+    assert {d for d, r in found.items() if r.n_spans} == wanted
+    assert not wanted <= {r.doc_id for r in U.report(table).collect() if r.n_spans}  # by units alone
+    for r in U.dedup(table, windows=True).collect():
+        parts = [dict(rows)[r.doc_id][s.start : s.end] for s in r.removed_spans]
+        assert all(len(p.split()) >= U.MIN_RUN for p in parts) and sum(map(len, parts)) == found[r.doc_id].n_removed_chars
+
+
 def test_unit_dedup_equal_rows(spark):
     from llm_cases import prose
     from sluice.llm import unitdedup as U
