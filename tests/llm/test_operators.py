@@ -123,6 +123,23 @@ def test_line_dedup_crowded_band(spark):
         assert {(r.v, r.u) for r in L.similar_lines(places, lines, block=block).collect()} == {(a, b) for b, a in same.items()}
 
 
+def test_line_dedup_bit_table(spark):
+    """Similar sets always pass the test by bit tables; sets with nothing in common do not."""
+    from pyspark.sql import functions as F
+
+    from sluice.llm import linededup as L
+
+    rng = random.Random(3)
+    rows = []
+    for n in (1, 9, 18, 90, 900):
+        a = [rng.getrandbits(63) for _ in range(n)]
+        rows += [(a, a, True), (a, a[n // 10 :] + [rng.getrandbits(63) for _ in range(n // 10)], True), (a, [rng.getrandbits(63) for _ in range(n)], n > 90)]
+    table = spark.createDataFrame(rows, "a array<long>, b array<long>, wanted boolean")
+    x, y = (F.struct(F.col(c).alias("set"), L.bit_table(F.col(c)).alias("bits")) for c in "ab")
+    for r in table.select(x.alias("x"), y.alias("y"), "wanted").select(L.maybe_similar(F.col("x"), F.col("y"), 0.8).alias("maybe"), (L.jaccard(F.col("x.set"), F.col("y.set")) >= 0.8).alias("similar"), "wanted").collect():
+        assert r.maybe >= r.similar and (r.wanted or not r.maybe)
+
+
 def plain_links(rows):
     """Sets of five words with their doc_ids, and the pairs of similar ones, by comparing every two."""
     sets = defaultdict(list)
