@@ -6,10 +6,11 @@ sample; every row is in the index. A query goes to its `probes` nearest lists, a
 recall against brute force reaches its target. Lists are dealt into blocks of bounded size, so a hot list
 is many tasks.
 
-In a block, the distances in the first columns come from one matrix product for many queries. A query ranks the few candidates that are nearest there
-exactly, which gives a distance to beat. The others are scanned column block by column block: after d of D rotated columns, the partial distance times D / d estimates the distance, and a
-candidate is abandoned when even with the tolerance (1 + EPSILON / sqrt(d)) the estimate is too large, which
-rejects wrongly with a chance that falls as exp(-EPSILON^2). Survivors are scored by the inner product of the original vectors in
+In a block, many queries are scanned together; each comes to a block once, with the lists that it probes there. The distances in the first columns come
+from one matrix product. A query ranks the few candidates that are nearest there exactly, which gives a distance to beat. The others are scanned column block
+by column block: after d of D rotated columns, the partial distance times D / d estimates the distance, and a candidate is abandoned when even with the
+tolerance (1 + EPSILON / sqrt(d)) the estimate is too large, which rejects wrongly with a chance that falls as exp(-EPSILON^2). While many candidates are left,
+further columns come from a product too, later for the open pairs alone. The nearest are scored by the inner product of the original vectors in
 double precision, and the best of all blocks are merged. A query whose lists hold fewer than k candidates is searched again in all lists.
 
 Edge cases: vectors that are null, empty, zero, of another length than most or with null or non-finite components
@@ -36,8 +37,8 @@ K, EVERY, EPSILON, COLUMNS, FIRST = 20, 20, 2.1, 16, 64
 SAMPLE, LIST_ROWS, BLOCK_ROWS, MOST_LISTS = 20_000, 400, 4_096, 4_096
 #: Recall that the number of probes is fitted to, queries for that.
 TARGET, TRIALS = 0.97, 200
-#: Queries whose distances in the first columns are worked out in one product.
-TOGETHER = 64
+#: Queries that are scanned together; while one of so many distances or more is still open, the next columns come from one product for all.
+TOGETHER, FEW = 64, 8
 
 
 @dataclass
@@ -105,46 +106,74 @@ def fit(vectors: DataFrame, *, seed: int = 3, target: float = TARGET) -> Index |
     return index
 
 
-def _dealt(index: Index, d: int, probes: int | None = None):
-    """Each row with its list, or, for queries, with the lists that they probe."""
-    as_query = probes is not None
+def _dealt(index: Index, d: int, probes: int = 1, units: list[tuple[int, int, int]] | None = None):
+    """Each row with its list, or, where the lists' units are given, each query once for each unit of the lists that it probes, with those lists."""
+    place = {n: (first, blocks) for n, first, blocks in units or ()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths = batch["vector"].value_lengths().to_numpy()
             batch = batch.filter(pa.array(lengths == d))
-            for at in range(0, batch.num_rows, 2_000):
-                part = batch.slice(at, 2_000)
+            for at in range(0, batch.num_rows, 2_000 if units is None else 200):
+                part = batch.slice(at, 2_000 if units is None else 200)
                 vectors = part["vector"].flatten().to_numpy().reshape(-1, d)
-                own = index.order(index.placed(vectors, as_query), probes if as_query else 1)
-                rows = np.repeat(np.arange(len(own)), own.shape[1])
-                taken = part.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([taken["vec_id"], taken["vector"], pa.array(own.ravel().astype(np.int32))], names=["vec_id", "vector", "list"])
+                own = index.order(index.placed(vectors, units is not None), probes)
+                if units is None:
+                    yield pa.RecordBatch.from_arrays([part["vec_id"], part["vector"], pa.array(own[:, 0].astype(np.int32))], names=["vec_id", "vector", "list"])
+                    continue
+                rows, lists, to = [], [], []
+                for i, probed in enumerate(own.tolist()):
+                    met: dict[int, list[int]] = {}
+                    for n in probed:
+                        for unit in range(place[n][0], sum(place[n])):
+                            met.setdefault(unit, []).append(n)
+                    rows += [i] * len(met)
+                    lists += met.values()
+                    to += met
+                taken = part.take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([taken["vec_id"], taken["vector"], pa.array(lists, pa.list_(pa.int32())), pa.array(to, pa.int32())], names=["vec_id", "vector", "lists", "unit"])
 
     return run
 
 
-def scan(q: np.ndarray, pq: np.ndarray, rows: np.ndarray, partial: np.ndarray, ids: np.ndarray, x: np.ndarray, px: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of a block's rows for one query: vec_ids and scores. px and pq are the rotated forms, partial the rows' squared distances in the first COLUMNS columns."""
-    if len(rows) > max(FIRST, 2 * k):
-        total, done = px.shape[1], min(COLUMNS, px.shape[1])
+def scan(q: np.ndarray, x: np.ndarray, pq: np.ndarray, px: np.ndarray, ids: np.ndarray, may: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of a block's rows x for each of many queries q: positions of queries and rows, scores. px and pq are the rotated forms, `may` (queries x rows) tells which rows a query may meet."""
+    total, done = px.shape[1], min(COLUMNS, px.shape[1])
+    #: what rounding may add to a squared distance
+    slack = 1e-12 * (1 + (pq**2).sum(1) + (px**2).sum(1).max())[:, None]
+
+    def apart(a: int, b: int) -> np.ndarray:
+        return (px[:, a:b] ** 2).sum(1)[None, :] - 2 * pq[:, a:b] @ px[:, a:b].T + (pq[:, a:b] ** 2).sum(1)[:, None]
+
+    near, still, limit = apart(0, done), may, np.full((len(q), 1), np.inf)
+    if len(x) > max(FIRST, 2 * k):
         # those that are nearest in the first columns are ranked exactly; the k-th of them is to beat
-        split = np.argpartition(partial, FIRST - 1)
-        probe, rest = rows[split[:FIRST]], split[FIRST:]
-        limit = np.partition(((px[probe] - pq) ** 2).sum(1), k - 1)[k - 1]
-        rest, partial = rows[rest], partial[rest]
-        while len(rest):
-            stay = partial * (total / done) <= limit * (1 + EPSILON / np.sqrt(done)) ** 2 if done < total else partial <= limit * (1 + 1e-9) + 1e-12
-            rest, partial = rest[stay], partial[stay]
-            if done == total:
-                break
-            end = min(total, done + COLUMNS)
-            partial = partial + ((px[rest, done:end] - pq[done:end]) ** 2).sum(1)
-            done = end
-        rows = np.concatenate([probe, rest])
-    scores = np.array([float(np.dot(x[i], q)) for i in rows]) if len(rows) < 8 else x[rows] @ q
-    best = np.lexsort((ids[rows], -scores))[:k]
-    return ids[rows[best]], scores[best]
+        split = np.argpartition(np.where(may, near, np.inf), FIRST - 1, axis=1)[:, :FIRST]
+        exact = np.where(np.take_along_axis(may, split, 1), ((px[split] - pq[:, None, :]) ** 2).sum(2), np.inf)
+        limit = np.partition(exact, k - 1, axis=1)[:, k - 1 : k]
+        first = np.zeros_like(may)
+        np.put_along_axis(first, split, True, axis=1)
+    else:
+        first = may
+    while done < total:
+        still = still & (first | (near <= (limit * (1 + EPSILON / np.sqrt(done)) ** 2 + slack) * (done / total)))
+        end = min(total, done + COLUMNS)
+        if np.count_nonzero(still) * FEW > near.size:
+            near += apart(done, end)
+        else:
+            at, row = np.divmod(np.flatnonzero(still), len(x))
+            near[at, row] += ((px[row, done:end] - pq[at, done:end]) ** 2).sum(1)
+        done = end
+    near[~still] = np.inf
+    # by now distances are whole, and only the k nearest can be the k best
+    if len(x) > k:
+        limit = np.partition(near, k - 1, axis=1)[:, k - 1 : k]
+    at, row = np.divmod(np.flatnonzero(still & (near <= limit * (1 + 1e-9) + slack)), len(x))
+    scores = np.einsum("ij,ij->i", q[at], x[row])
+    order = np.lexsort((ids[row], -scores, at))
+    at, row, scores = at[order], row[order], scores[order]
+    best = np.arange(len(at)) - np.searchsorted(at, at) < k
+    return at[best], row[best], scores[best]
 
 
 def _searched(index: Index, d: int, k: int):
@@ -154,38 +183,20 @@ def _searched(index: Index, d: int, k: int):
         for group in runs(batches, "unit"):
             is_query = np.asarray(group["is_query"])
             vectors = group["vector"].flatten().to_numpy().reshape(-1, d)
-            ids, lists = group["vec_id"].to_numpy(), group["list"].to_numpy()
+            ids, lists, many = group["vec_id"].to_numpy(), group["lists"].flatten().to_numpy(), group["lists"].value_lengths().to_numpy()
+            starts = np.cumsum(many) - many
             mine, asked = np.flatnonzero(~is_query), np.flatnonzero(is_query)
             if not len(mine) or not len(asked):
                 continue
-            mine = mine[np.argsort(lists[mine], kind="stable")]
-            x, xid, xlist = vectors[mine], ids[mine], lists[mine]
+            x, xid = vectors[mine], ids[mine]
             px = index.placed(x, False)
-            # a query comes once for each of its lists; a vec_id may have several vectors
-            keys = np.ascontiguousarray(np.concatenate([np.ascontiguousarray(a).view(np.uint8).reshape(len(asked), -1) for a in (ids[asked], vectors[asked])], axis=1))
-            _, first, which = np.unique(keys.view(np.dtype((np.void, keys.shape[1]))).ravel(), return_index=True, return_inverse=True)
-            order = np.argsort(which.reshape(-1), kind="stable")
-            cuts = np.searchsorted(which.reshape(-1)[order], np.arange(len(first) + 1))
-            out = []
-            kinds, kind = np.unique(xlist, return_inverse=True)
-            wide = min(COLUMNS, px.shape[1])
-            norms = (px[:, :wide] ** 2).sum(1)
-            for start in range(0, len(first), TOGETHER):
-                some = range(start, min(start + TOGETHER, len(first)))
-                q = vectors[asked[first[some]]]
-                pq = index.placed(q, True)
-                near = norms[:, None] - 2 * px[:, :wide] @ pq[:, :wide].T + (pq[:, :wide] ** 2).sum(1)[None, :]
-                for j, n in enumerate(some):
-                    own = int(ids[asked[first[n]]])
-                    probed = np.isin(kinds, lists[asked[order[cuts[n] : cuts[n + 1]]]])
-                    rows = np.flatnonzero(probed[kind] & (xid != own))
-                    if len(rows):
-                        out.append((own, *scan(q[j], pq[j], rows, near[rows, j], xid, x, px, k)))
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat([o[0] for o in out], [len(o[1]) for o in out])), pa.array(np.concatenate([o[1] for o in out])), pa.array(np.concatenate([o[2] for o in out]))],
-                    names=["query_id", "vec_id", "score"],
-                )
+            kinds, kind = np.unique(lists[starts[mine]], return_inverse=True)
+            for start in range(0, len(asked), TOGETHER):
+                some = asked[start : start + TOGETHER]
+                probed = np.array([np.isin(kinds, lists[starts[n] : starts[n] + many[n]]) for n in some])
+                q = vectors[some]
+                at, row, scores = scan(q, x, index.placed(q, True), px, xid, probed[:, kind] & (xid[None, :] != ids[some][:, None]), k)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some[at]]), pa.array(xid[row]), pa.array(scores)], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -216,20 +227,19 @@ def nearest(embeddings: DataFrame, *, k: int = K, every: int = EVERY, target: fl
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     d = len(index.rotation) - 1
-    fields = "vec_id long, vector array<double>, list int"
-    members = stored(vectors.mapInArrow(_dealt(index, d), fields), "lists")
+    members = stored(vectors.mapInArrow(_dealt(index, d), "vec_id long, vector array<double>, list int"), "lists")
     queries = vectors.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "vector"])
     # one row for each list: at most MOST_LISTS
     sizes = {r["list"]: r["n"] for r in members.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    units = F.broadcast(spark.createDataFrame(grouped_lists(sizes, len(index.centroids)), "list int, first int, blocks int"))
+    grouped = grouped_lists(sizes, len(index.centroids))
+    units = F.broadcast(spark.createDataFrame(grouped, "list int, first int, blocks int"))
     block = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.col("blocks"))
     dealt = members.join(units, "list").withColumn("unit", F.xxhash64(F.col("first") + block.cast("int")))
-    dealt = dealt.select("vec_id", "vector", "list", "unit", F.lit(False).alias("is_query"))
+    dealt = dealt.select("vec_id", "vector", F.array("list").alias("lists"), "unit", F.lit(False).alias("is_query"))
 
     def search(some: DataFrame, probes: int) -> DataFrame:
-        asked = some.mapInArrow(_dealt(index, d, probes), fields).join(units, "list")
-        asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("unit", F.xxhash64(F.col("first") + F.col("block")))
-        both = dealt.union(asked.select("vec_id", "vector", "list", "unit", F.lit(True).alias("is_query")))
+        asked = some.mapInArrow(_dealt(index, d, probes, grouped), "vec_id long, vector array<double>, lists array<int>, unit int")
+        both = dealt.union(asked.select("vec_id", "vector", "lists", F.xxhash64("unit").alias("unit"), F.lit(True).alias("is_query")))
         found = both.repartition(partitions(spark), "unit").sortWithinPartitions("unit").mapInArrow(_searched(index, d, k), "query_id long, vec_id long, score double")
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return stored(found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest")
