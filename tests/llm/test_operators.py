@@ -140,6 +140,39 @@ def test_line_dedup_bit_table(spark):
         assert r.maybe >= r.similar and (r.wanted or not r.maybe)
 
 
+def test_line_dedup_bands(spark):
+    """Lines that differ in a long word, or in one character of a text without spaces, share bands; short lines have none."""
+    from llm_cases import prose
+    from pyspark.sql import functions as F
+
+    from sluice.llm import linededup as L
+
+    words, cjk = prose(4, 40).split(), "".join(chr(0x4E00 + i * 37 % 5000) for i in range(200))
+    texts = [" ".join(words), " ".join([*words[:7], "https://example.org/a/long/path", *words[8:]]), cjk, cjk[:100] + "x" + cjk[101:], prose(99, 40), "a b c d"]
+    lines = spark.createDataFrame([(i, t, i < 5) for i, t in enumerate(texts)], "key long, norm string, long boolean")
+    found = {r.key: r.bands for r in L.with_bands(lines, L.WORDS, L.SIGNED, L.SKETCH).collect()}
+    assert found[5] is None and all(len(set(found[i])) == L.SKETCH - 1 for i in range(5))
+    assert set(found[0]) & set(found[1]) and set(found[2]) & set(found[3]) and not set(found[0]) & set(found[4])
+    # of few hashes there are few neighbours, of one its own
+    few = spark.createDataFrame([([5],), ([5, 3, 5],), (list(range(50)),)], "h array<long>").select(F.size(L.bands(F.col("h"))).alias("n")).collect()
+    assert [r.n for r in few] == [1, 1, L.SKETCH - 1]
+
+
+def test_line_dedup_joins_crowds(spark):
+    """Lines of a crowded band meet in a join; they are not gathered in arrays."""
+    from sluice.llm import linededup as L
+
+    norms = [(k, f"line {k % 9} " + " ".join(f"w{k % 9}x{i}" for i in range(30)) + " end" * (k // 9)) for k in range(18)]
+    kept, names = L.stored, []
+    L.stored = lambda df, name: (names.append((name, df._jdf.queryExecution().optimizedPlan().toString())), kept(df, name))[1]
+    try:
+        found = L.similar_lines(spark.createDataFrame([(k, [7]) for k, _ in norms], "key long, bands array<long>"), spark.createDataFrame(norms, "key long, norm string"), block=4)
+        assert {(r.v, r.u) for r in found.collect()} >= {(k, k + 9) for k in range(9)}
+    finally:
+        L.stored = kept
+    assert "line-met" in dict(names) and "collect_list" not in dict(names)["line-met"]
+
+
 def plain_links(rows):
     """Sets of five words with their doc_ids, and the pairs of similar ones, by comparing every two."""
     sets = defaultdict(list)
