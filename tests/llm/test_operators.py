@@ -173,6 +173,44 @@ def test_line_dedup_joins_crowds(spark):
     assert "line-met" in dict(names) and "collect_list" not in dict(names)["line-met"]
 
 
+def test_line_dedup_sketches_the_measure(spark):
+    """Similar lines are found though no three words in a row are in both: numbers differ, or long words stand in another order."""
+    from llm_cases import WORDS
+
+    from sluice.llm import linededup as L
+
+    rng = random.Random(11)
+    names = [a + b for a in WORDS for b in WORDS if 9 <= len(a + b) <= 15]
+    rows = []
+    for i in range(150):
+        some = rng.sample(names, 7)
+        numbered = lambda: " ".join(f"{w} {rng.randint(0, 9)}" for w in some)  # noqa: B023, E731
+        rows += [(4 * i, numbered()), (4 * i + 1, numbered()), (4 * i + 2, " ".join(some[:6])), (4 * i + 3, " ".join(sorted(some[:6], reverse=True)))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id for r in L.report(table).collect() if r.n_removed}
+    similar = lambda a, b: len(a & b) >= L.SIMILARITY * len(a | b)
+    sets = [line_shingles(t, L.SHINGLE) for _, t in rows]
+    wanted = {d for d in range(len(rows)) if d % 2 and similar(sets[d - 1], sets[d])}
+    assert len(wanted) > 150 and wanted <= found
+
+
+def test_line_dedup_small_sets_share_a_band(spark):
+    """Of sets that the sketch holds whole, each similar pair shares a band, whichever hashes differ."""
+    from pyspark.sql import functions as F
+
+    from sluice.llm import linededup as L
+
+    rng, rows = random.Random(5), []
+    for n in range(1, 23):
+        for _ in range(60):
+            a = rng.sample(range(1 << 31), n)
+            b = a[rng.randint(0, n // 9) :] + rng.sample(range(1 << 31), rng.randint(0, n // 4))
+            if len(set(b)) <= 22 and len(set(a) & set(b)) >= L.SIMILARITY * len(set(a) | set(b)):
+                rows.append((a, b))
+    table = spark.createDataFrame(rows, "a array<long>, b array<long>")
+    assert len(rows) > 300 and table.filter(~F.arrays_overlap(L.bands(F.col("a")), L.bands(F.col("b")))).isEmpty()
+
+
 def plain_links(rows):
     """Sets of five words with their doc_ids, and the pairs of similar ones, by comparing every two."""
     sets = defaultdict(list)
