@@ -30,6 +30,32 @@ def test_types_of_one_account_are_dealt(spark):
     assert found.distinct().count() == 4_000 * 45 and found.filter("doctype_name <> cast(doctype_id as string)").isEmpty()
 
 
+def test_copies_of_wide_rows_are_bounded(spark, monkeypatch):
+    from sluice.operators import beside as B
+
+    made, held = [], B.if_few
+    monkeypatch.setattr(B, "if_few", lambda df, **k: (made.append(df.agg(F.sum("parts")).first()[0]), held(df, **k))[1])
+    rows, wide = spark.range(30_000).select("id", (F.col("id") % 3).alias("k")), spark.range(3).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    found = B.spread(rows, wide, ["k"], "id", each=10)
+    assert made[0] <= B.MOST_TASKS + 3 and found.rdd.getNumPartitions() <= B.MOST_TASKS
+    assert found.count() == 30_000 and found.filter("w <> 2 * k").isEmpty()
+
+
+def test_configs_meet_all_arrays_of_their_account(spark, monkeypatch):
+    """A config is sent once for many arrays, and gets each type once."""
+    from sluice.operators import classify as L
+
+    monkeypatch.setattr(L, "TYPES_EACH", 2)
+    asked, spread = [], L.spread
+    monkeypatch.setattr(L, "spread", lambda rows, *a, **k: (asked.append(rows.count()), spread(rows, *a, **k))[1])
+    none = F.array().cast("array<bigint>")
+    configs = spark.range(30).select(F.col("id").alias("config_id"), (F.col("id") % 2).alias("account_id"), none.alias("expected"), none.alias("old"))
+    types = spark.range(100).select(F.col("id").alias("doctype_id"), (F.col("id") % 2).alias("account_id"))
+    found = L.scope(configs, types, more=())
+    assert {tuple(r) for r in found.collect()} == {(c, t) for c in range(30) for t in range(100) if c % 2 == t % 2} and found.count() == 30 * 50
+    assert asked[0] <= 30 * 2
+
+
 def test_replies_are_joined_where_the_rows_are(spark):
     from sluice.operators import extract as E
 
