@@ -56,6 +56,21 @@ def test_configs_meet_all_arrays_of_their_account(spark, monkeypatch):
     assert asked[0] <= 30 * 2
 
 
+def test_small_choices_meet_configs_without_copies(spark, monkeypatch):
+    from sluice.operators import classify as L
+
+    none = F.array().cast("array<string>")
+    configs = spark.range(3_000).select(F.col("id").alias("config_id"), F.when(F.col("id") % 7 > 0, F.col("id") % 3).alias("account_id"), F.when(F.col("id") % 4 == 0, F.array(F.lit("2"))).otherwise(none).alias("expected"))
+    types = spark.range(12).select(F.col("id").cast("string").alias("doctype_id"), F.lit("t").alias("doctype_name"), (F.col("id") % 4).alias("account_id"), (F.col("id") % 6 == 0).alias("is_public"))
+    rows = lambda df: sorted((r.config_id, [tuple(x) for x in r.choices]) for r in df.collect())
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    small = L.choices(configs, types)
+    assert "strategy=broadcast" in plan(small) and "lot" not in plan(small) and small.rdd.getNumPartitions() == 3
+    monkeypatch.setattr(L, "BROADCAST_BYTES", 0)
+    large = L.choices(configs, types)
+    assert "lot" in plan(large) and rows(large) == rows(small)
+
+
 def test_replies_are_joined_where_the_rows_are(spark):
     from sluice.operators import extract as E
 
